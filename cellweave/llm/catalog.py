@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import host_reputation, packing, token_counts
+from . import host_reputation, ngram_join, packing, substring_dedup, token_counts
 from .common import table
 
 
@@ -16,6 +16,14 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.shared_window_digests(table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -31,6 +39,8 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_superkmer_dedup": op5_superkmer_dedup,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_url_reputation": op10_url_reputation,
