@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import host_reputation, ngram_join, packing, substring_dedup, token_counts
+from . import host_reputation, ngram_join, packing, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -20,6 +20,12 @@ def op5_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.shared_window_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.scores(docs, toxicity.with_labels(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (toxicity.in_fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
@@ -40,6 +46,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_superkmer_dedup": op5_superkmer_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Text bytes that one block of documents should hold; the number of blocks follows the input.
@@ -48,3 +52,39 @@ def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 
 def block_of(blocks: int) -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+
+
+def dealt(docs: DataFrame, blocks: int, most_bytes: int = 4 * BLOCK_BYTES) -> DataFrame:
+    """``block, payload``: the documents (``doc_id``, ``text``) dealt into blocks by a hash of the id, compressed to travel.
+
+    A task packs what it has read for each block, every ``most_bytes`` of text; ``unpacked`` gives them back.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            made = [zstandard.compress(pickle.dumps(x, 5), 3) for x in held.values()]
+            return pa.RecordBatch.from_pydict({"block": pa.array(list(held), pa.int32()), "payload": pa.array(made, pa.binary())})
+
+        for batch in batches:
+            for i, t, b in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                ids, texts = held.setdefault(b, ([], []))
+                ids.append(i)
+                texts.append(raw := (t or "").encode())
+                size += len(raw) + 16
+                if size >= most_bytes:
+                    yield out()
+                    held.clear()
+                    size = 0
+        if held:
+            yield out()
+
+    return docs.withColumn("block", block_of(blocks)).mapInArrow(pack, "block int, payload binary")
+
+
+def unpacked(payloads: pa.ChunkedArray) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and UTF-8 texts of each payload of ``dealt``; null texts have become empty."""
+    for x in payloads:
+        yield pickle.loads(zstandard.decompress(x.as_py()))
