@@ -302,8 +302,12 @@ def scores(docs: DataFrame, labelled: DataFrame, order: int = ORDER) -> DataFram
     return ratios.withColumn("score", fitted.score())
 
 
-def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The training rows of the ``labels`` table: every labelled document outside the held-out fifth."""
+def with_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The training rows of the ``labels`` table: every labelled document outside the held-out fifth.
+
+    Their ``doc_id`` is the column ``key`` of ``docs``; labels are found by ``doc_id`` all the same.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("doc_id is not null and label is not null")
     known = known.filter(in_fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return id_and_text(docs).join(known, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.join(known.withColumnRenamed("doc_id", "_id"), "_id").select("doc_id", "text", "label")

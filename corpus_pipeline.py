@@ -1,16 +1,71 @@
-"""From raw documents to packed training sequences, as a chain of corpus operators."""
+"""From raw documents to packed training sequences, as a chain of corpus operators.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the
+columns of ``documents``. Between stages the rows are a written table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from cellweave.llm import ngram_join, packing, quality, substring_dedup, toxicity
+from cellweave.llm.catalog import tokenizer_path
+from cellweave.llm.common import table, written
+
+#: Word shingles and likeness, in percent, from which two documents are near duplicates.
+SHINGLE_WORDS, LIKENESS = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below one half stay. Rows are told apart by id and text, so null and repeated ids do no harm."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    learnt = toxicity.with_labels(keyed, table(spark, sf_dir, "labels"), key="_key")
+    scored = toxicity.scores(keyed.select(F.col("_key").alias("doc_id"), "text"), learnt)
+    toxic = scored.filter("score >= 0.5").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(toxic, "_key", "left_anti").select(docs.columns)
+
+
+def drop_unlike_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, judged against what ``docs`` of their languages look like together."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "lang", "text")
+    return quality.quality(rows).filter("kept").select("_row.*")
+
 
-STAGES: list = []
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates; of rows with one id, one. Null ids stay."""
+    groups = written(ngram_join.jaccard_components(docs, SHINGLE_WORDS, LIKENESS), "groups")
+    stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    known = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").select(docs.columns)
+    if not groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        known = known.dropDuplicates(["doc_id"])
+    return known.unionByName(docs.filter("doc_id is null"))
+
+
+def drop_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every word that lies in fifty words which also stand in a smaller document is taken out; ``n_chars`` follows."""
+    rows = substring_dedup.remove_shared_windows(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
+    text = {c: F.col("_row")[c] for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in text:
+        text["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[c.alias(name) for name, c in text.items()])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES: list = [
+    ("toxicity", drop_toxic),
+    ("quality rules", drop_unlike_language),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("substring dedup", drop_shared_passages),
+    ("best-fit packing", pack),
+]
+#: Trained scores and a tokenizer are beyond SQL; the tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cellweave.llm.common import table, written
-
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
