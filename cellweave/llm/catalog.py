@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import host_reputation, ngram_join, packing, quality, substring_dedup, token_counts, toxicity
+from . import host_reputation, ngram_join, packing, quality, substring_dedup, syncmers, token_counts, toxicity
 from .common import table
 
 
@@ -20,13 +20,17 @@ def op1_distribution_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("lang", "text")
 
 
+def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.shared_window_digests(table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = toxicity.scores(docs, toxicity.with_labels(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.scores(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (toxicity.in_fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -50,6 +54,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_distribution_rules": op1_distribution_rules,
+    "op4_closed_syncmers": op4_closed_syncmers,
     "op5_superkmer_dedup": op5_superkmer_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
