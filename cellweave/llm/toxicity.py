@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import block_count, dealt, id_and_text, unpacked, written
+from .common import block_count, block_of, dealt, id_and_text, unpacked, written
 
 ORDER = 4
 #: Observations of a context that the shared distribution counts for in either class, beside the discounted mass.
@@ -64,29 +64,39 @@ def _batches(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
             first, size = i + 1, 0
 
 
-def _encoded(column: pa.Array) -> list[bytes]:
-    return [(t or "").encode() for t in column.to_pylist()]
+def class_counts(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
+    """``gram, toxic, ordinary``: in how many texts of either class each n-gram stands.
 
-
-def class_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
-    """``gram, toxic, ordinary``: in how many texts of either class each n-gram stands (``text``, ``label`` 0 or 1)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-            for first, part in _batches(_encoded(batch.column("text"))):
+    ``labels`` has ``doc_id, label`` (0 or 1) of some of ``docs``, at most once for an id. Texts and labels are dealt
+    by the same hash, so that no text is joined row by row.
+    """
+    docs = id_and_text(docs)
+    blocks = block_count(docs, BLOCK_BYTES)
+
+    def count(key: tuple, group: pa.Table, known: pa.Table) -> pa.Table:
+        label = dict(zip(known.column("doc_id").to_pylist(), known.column("label").to_pylist(), strict=True)) if known.num_rows else {}
+        grams, classes = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
+        for own, texts in unpacked(group.column("payload")) if label and group.num_rows else []:
+            chosen = [i for i, d in enumerate(own) if d in label]
+            labels = np.array([label[own[i]] for i in chosen], np.int64)
+            for first, part in _batches([texts[i] for i in chosen]):
                 keys, owner = byte_grams(part, order)
                 turn = np.lexsort((keys, owner))  # a text counts once, however often it repeats itself
                 keys, owner = keys[turn], owner[turn]
                 new = np.ones(len(keys), bool)
                 new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-                both = np.sort((keys[new] << np.uint64(1)) | labels[first + owner[new]].astype(np.uint64))
-                heads = np.flatnonzero(np.diff(both, prepend=~both[:1]))
-                n = np.diff(np.append(heads, len(both)))
-                toxic = (both[heads] & np.uint64(1)).astype(bool)
-                yield pa.RecordBatch.from_pydict({"gram": (both[heads] >> np.uint64(1)).view(np.int64), "toxic": np.where(toxic, n, 0), "ordinary": np.where(toxic, 0, n)})
+                value, place = np.unique(keys[new], return_inverse=True)
+                grams.append(value)
+                toxic = labels[first + owner[new]]
+                classes.append(np.stack([np.bincount(place, toxic, len(value)), np.bincount(place, 1 - toxic, len(value))], axis=1).astype(np.int64))
+        value, place = np.unique(np.concatenate(grams), return_inverse=True)
+        n = np.zeros((len(value), 2), np.int64)
+        np.add.at(n, place, np.concatenate(classes))
+        return pa.table({"gram": value.view(np.int64), "toxic": n[:, 0], "ordinary": n[:, 1]})
 
-    return labelled.select("text", "label").mapInArrow(count, "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    known = labels.withColumn("block", block_of(blocks))
+    counts = dealt(docs, blocks).groupBy("block").cogroup(known.groupBy("block")).applyInArrow(count, "gram long, toxic long, ordinary long")
+    return counts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def _discount(once: int | None, twice: int | None) -> float:
@@ -283,31 +293,25 @@ def calibrated(ratios: np.ndarray, n_grams: np.ndarray, label: np.ndarray) -> Ca
     return Calibration(tuple(float(v) for v in w / scale))
 
 
-def scores(docs: DataFrame, labelled: DataFrame, order: int = ORDER) -> DataFrame:
-    """``doc_id, n_grams, llr, score`` for each row of ``docs``, learnt from ``labelled`` (``doc_id, text, label`` 0 or 1).
+def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
+    """``doc_id, n_grams, llr, score`` for each row of ``docs``, learnt from ``labels`` (``doc_id, label`` 0 or 1).
 
-    Three quarters of the labelled rows are counted; the others, scored by that model, calibrate the score. Rows
-    with a null label or text aren't learnt from. A null text is empty: it has no n-gram, and the score that the
-    calibration gives to nothing. Repeated rows each give a row; an empty table gives none; without both classes
-    among the labels every score stays under one half.
+    Three quarters of the labelled documents are counted; the others, scored by that model, calibrate the score.
+    Null labels aren't learnt from; of two labels of one id the higher counts. A null text is empty: it has no
+    n-gram, and the score that the calibration gives to nothing. Repeated rows each give a row; an empty table
+    gives none; without both classes among the labels every score stays under one half.
     """
-    labelled = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label")).filter("label in (0, 1) and text is not null")
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
+    labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
     held = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION_SHARE)) == 0
-    counts = written(class_counts(labelled.filter(~held), order), "grams")
+    counts = written(class_counts(docs, labels.filter(~held), order), "grams")
     model = written(kneser_ney(counts, order), "model")
     ratios = written(log_ratios(docs, model, order), "ratios")
-    label = labelled.filter(held).groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = ratios.join(label, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).select("llr", "n_grams", "label").toPandas()
+    rows = ratios.join(labels.filter(held), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).select("llr", "n_grams", "label").toPandas()
     fitted = calibrated(rows["llr"].to_numpy(float), rows["n_grams"].to_numpy(float), rows["label"].to_numpy(float))
     return ratios.withColumn("score", fitted.score())
 
 
-def with_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The training rows of the ``labels`` table: every labelled document outside the held-out fifth.
-
-    Their ``doc_id`` is the column ``key`` of ``docs``; labels are found by ``doc_id`` all the same.
-    """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("doc_id is not null and label is not null")
-    known = known.filter(in_fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(known.withColumnRenamed("doc_id", "_id"), "_id").select("doc_id", "text", "label")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, label`` of the ``labels`` table, without the held-out fifth of the ids."""
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter(in_fold(F.col("doc_id")) != 0)

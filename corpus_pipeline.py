@@ -19,7 +19,8 @@ SHINGLE_WORDS, LIKENESS = 5, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below one half stay. Rows are told apart by id and text, so null and repeated ids do no harm."""
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    learnt = toxicity.with_labels(keyed, table(spark, sf_dir, "labels"), key="_key")
+    labels = toxicity.training_labels(table(spark, sf_dir, "labels"))
+    learnt = keyed.select("doc_id", "_key").join(labels, "doc_id").select(F.col("_key").alias("doc_id"), "label")
     scored = toxicity.scores(keyed.select(F.col("_key").alias("doc_id"), "text"), learnt)
     toxic = scored.filter("score >= 0.5").select(F.col("doc_id").alias("_key")).distinct()
     return keyed.join(toxic, "_key", "left_anti").select(docs.columns)
