@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import host_reputation, ngram_join, packing, piece_sampling, quality, substring_dedup, syncmers, token_counts, toxicity
+from . import bwt_dedup, host_reputation, ngram_join, packing, piece_sampling, quality, substring_dedup, syncmers, token_counts, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_merged_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.shared_byte_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_distribution_rules": op1_distribution_rules,
     "op2_sampled_pieces": op2_sampled_pieces,
+    "op3_merged_bwt": op3_merged_bwt,
     "op4_closed_syncmers": op4_closed_syncmers,
     "op5_superkmer_dedup": op5_superkmer_dedup,
     "op6_toxicity": op6_toxicity,

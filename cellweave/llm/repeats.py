@@ -54,7 +54,7 @@ def rolling(units: np.ndarray, size: int, multiplier: np.uint64 = MULTIPLIER) ->
         if step <= size:
             half = step // 2
             have = have[:-half] + have[half:] * power
-            power = power * power
+            power = _power(power, 2)
     return mixed(out)
 
 
@@ -163,7 +163,7 @@ def shared_windows(docs: DataFrame, method: Method, keep: list[str], hot: int =
     parts = blocks
     rows = docs.withColumn("block", block_of(blocks))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    schema += "".join(f", {name} {kind}" for name, kind in ((n, {"int64": "long", "string": "string"}[str(t)]) for n, t in method.columns if n not in keep))
+    schema += "".join(f", {name} {kind}" for name, kind in ((n, {"int64": "long", "string": "string", "binary": "binary"}[str(t)]) for n, t in method.columns if n not in keep))
 
     def minimisers(key: tuple, group: pa.Table) -> pa.Table:
         ids, found, owner = _ids(group), [], []
