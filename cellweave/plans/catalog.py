@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cellweave.functions.tables import written
-from cellweave.operators import compartments as cp, labels as lb, matching as mt, morphology as mo, neighbours as nb, raster as ra, shape as sh
+from cellweave.operators import compartments as cp, labels as lb, matching as mt, morphology as mo, neighbours as nb, outlines as ol, raster as ra, shape as sh
+from cellweave.sources import export
 from cellweave.sources.scenes import WIDTH, Scene
 
 RADIUS = 10.0
@@ -386,6 +387,34 @@ def candidate_pairs_bbox(s: Scene) -> DataFrame:
     return ra.candidate_pairs(boxes)
 
 
+@query()
+def synthesised_cells(s: Scene) -> DataFrame:
+    seeds, zone = _zone(s)
+    return ol.synthesised(seeds, written(zone, "zone"), 3.0, 1)[0]
+
+
+@query()
+def contours(s: Scene) -> DataFrame:
+    return ol.outlines(s.cells).select("label", F.size("ring").alias("vertices"), "area")
+
+
+@query()
+def clipped_overlaps(s: Scene) -> DataFrame:
+    """Outlines of the disks after every place has gone to the smallest disk over it: no two share area."""
+    shapes = s.disk_pixels(s.cell_disks).select(F.col("label").alias("ord"), F.col("label").cast("long").alias("label"), "r", "c")
+    return ol.outlines(ra.painted(shapes)).select("label", F.size("ring").alias("vertices"), "area")
+
+
+@query()
+def geojson_features(s: Scene) -> DataFrame:
+    cells = cells_of(s)
+    rings = ol.outlines(s.cells).select(F.col("label").alias("whole_cell_label"), "ring").join(cells.select("cell_id", "whole_cell_label"), "whole_cell_label")
+    nuclei = ol.outlines(s.nuclei).select(F.col("label").alias("nucleus_label"), "ring").join(cells.select("cell_id", "nucleus_label"), "nucleus_label")
+    summary = cp.intensity(cp.compartments(pixels_of(s, cells), cells), s.image, ["cell_id", "compartment"])
+    maps = cp.as_map(cp.keyed(summary, s.spark.createDataFrame(CHANNELS, "ch int, name string")))
+    return export.features(cells, rings, nuclei, maps)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per cell, channel and compartment: pixel count, mean, min, max, deviation and median."""
     return QUERIES["intensity_summary"](spark, sf_dir)
