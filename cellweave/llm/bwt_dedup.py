@@ -2,8 +2,8 @@
 
 What carries a shared minimiser (see ``repeats``) comes together as strings. They are cut into shards, each with its
 own transform. The merge starts with the shards' rows one behind another; every step brings each row to the front
-extension that its transform names, keeping the order within equal bytes, so that after h steps rows stand in the
-order of their first h bytes and the boundaries between unequal prefixes are known. No suffix is compared or sorted
+extension that its transform names (two bytes at once), keeping the order within equal bytes, so that after h bytes
+rows stand in the order of their first h bytes and the boundaries between unequal prefixes are known. No suffix is compared or sorted
 again across shards. Rows alone within their boundaries stay alone, and leave; after as many steps as a window is
 long, what is left are the repeated intervals, whose common prefix is a whole window.
 """
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .repeats import Chunk, Method, shared_windows
+from .repeats import Chunk, Method, beside_columns, shared_windows
 
 WINDOW, GRAM = 50, 24
 SHARD_BYTES = 1 << 19
@@ -31,7 +31,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | around[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     head = np.ones(n, bool)
     head[1:] = key[order[1:]] != key[order[:-1]]
     for at in range(8, depth, 8):
@@ -53,8 +53,9 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix order, Burrows-Wheeler transform, and the row that each row's front extension is."""
     order = suffix_order(text, depth)
-    row = np.empty(len(text), np.int64)
-    row[order] = np.arange(len(text))
+    order = order.astype(np.int32)
+    row = np.empty(len(text), np.int32)
+    row[order] = np.arange(len(text), dtype=np.int32)
     before = order - 1
     return order, text[before], row[before]
 
@@ -62,19 +63,26 @@ def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.
 def repeated_intervals(shards: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (in the shards end to end) whose next ``window`` bytes stand elsewhere too, interval by interval, and where each begins."""
     made = [transform(s, window + 6) for s in shards]
-    base = np.cumsum([0, *(len(s) for s in shards)])
+    base = np.cumsum([0, *(len(s) for s in shards)], dtype=np.int32)
     place = np.concatenate([o + b for (o, _, _), b in zip(made, base, strict=False)])
     before = np.concatenate([t for _, t, _ in made])
     extension = np.concatenate([e + b for (_, _, e), b in zip(made, base, strict=False)])
-    rows, interval = np.arange(len(place)), np.zeros(len(place), np.int64)
-    for _ in range(window):
-        byte = before[rows]
-        turn = np.argsort(byte, kind="stable")
-        byte, interval, rows = byte[turn], interval[turn], extension[rows[turn]]
+    # two bytes a step: what stands before the byte before, and the row of the extension's extension
+    ended = before == END
+    twice = (before[extension].astype(np.uint16) << 8) | before
+    either, farther = ended | ended[extension], extension[extension]
+    rows, interval = np.arange(len(place), dtype=np.int32), np.zeros(len(place), np.int32)
+    for step in [2] * (window // 2) + [1] * (window % 2):
+        symbol, over, to = (twice, either, farther) if step == 2 else (before, ended, extension)
+        rows_in = ~over[rows]
+        rows, interval = rows[rows_in], interval[rows_in]
+        key = symbol[rows]
+        turn = np.argsort(key, kind="stable")
+        key, interval, rows = key[turn], interval[turn], to[rows[turn]]
         head = np.ones(len(rows), bool)
-        head[1:] = (byte[1:] != byte[:-1]) | (interval[1:] != interval[:-1])
-        stay = ~(head & np.append(head[1:], True)) & (byte != END)
-        interval = np.cumsum(head)[stay]
+        head[1:] = (key[1:] != key[:-1]) | (interval[1:] != interval[:-1])
+        stay = ~(head & np.append(head[1:], True))
+        interval = np.cumsum(head, dtype=np.int32)[stay]
         rows = rows[stay]
         if not len(rows):
             break
@@ -100,7 +108,7 @@ def least_owners(strings: list[bytes], own: np.ndarray, window: int) -> list[np.
 
 def _chunk(rows: np.ndarray, texts: list[bytes]) -> Chunk:
     data = b"".join(texts)
-    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
     return Chunk(rows, np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), doc, data, (np.cumsum([0, *(len(t) for t in texts)]),))
 
 
@@ -138,8 +146,7 @@ def remove_shared_bytes(docs: DataFrame) -> DataFrame:
     nothing from each other; null ids come after all others; an empty table gives an empty one. Columns of ``docs``
     named like the two are replaced.
     """
-    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    return shared_windows(docs, BYTES, docs.columns)
+    return beside_columns(docs, BYTES, ["kept", "n_removed_bytes"])
 
 
 def shared_byte_digests(docs: DataFrame) -> DataFrame:

@@ -26,12 +26,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import NULL_ID, block_count, block_of
+from .common import NULL_ID, block_count, block_of, pack_arrays, unpack_arrays
 
 MESSAGE = "block int, part int, payload binary"
 #: Documents with one minimiser from which its windows travel one by one.
 HOT = 2048
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 18
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -91,7 +91,8 @@ def runs(units: np.ndarray, doc: np.ndarray, gram: int, window: int) -> Runs:
     start = np.flatnonzero(head & inside)
     stop = np.append(np.flatnonzero(head | ~inside), len(least))
     windows = stop[np.searchsorted(stop, start, "right")] - start
-    return Runs(start, windows, least[start], doc[start].astype(np.int64))
+    # 48 bits will do: where two minimisers fall together, windows travel that needn't
+    return Runs(start, windows, least[start] >> np.uint64(16), doc[start].astype(np.int64))
 
 
 @dataclass
@@ -181,10 +182,10 @@ def shared_windows(docs: DataFrame, method: Method, keep: list[str], hot: int =
         heads = np.flatnonzero(new)
         count = np.add.reduceat(other.astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64)
         value = value[heads]
-        return _table(_messages(key[0].as_py(), (value % np.uint64(parts)).astype(np.int64), parts, lambda at: _pack(value[at], count[at].astype(np.uint32))))
+        return _table(_messages(key[0].as_py(), (value % np.uint64(parts)).astype(np.int64), parts, lambda at: pack_arrays(np.diff(value[at], prepend=np.uint64(0)), count[at].astype(np.uint32))))
 
     def wanted(key: tuple, group: pa.Table) -> pa.Table:
-        got = [_unpack(x) for x in group.column("payload").to_pylist()]
+        got = [(np.cumsum(v, dtype=np.uint64), n) for v, n in (unpack_arrays(x) for x in group.column("payload").to_pylist())]
         value = np.concatenate([g[0] for g in got])
         distinct, place = np.unique(value, return_inverse=True)
         documents = np.bincount(place, np.concatenate([g[1] for g in got]))
@@ -193,7 +194,7 @@ def shared_windows(docs: DataFrame, method: Method, keep: list[str], hot: int =
         for block, (own, _), end in zip(group.column("block").to_pylist(), got, ends, strict=True):
             n = documents[place[end - len(own) : end]]
             if (n > 1).any():
-                out.append((block, key[0].as_py(), _pack(own[n > 1], n[n > 1] >= hot)))
+                out.append((block, key[0].as_py(), _pack("values", pack_arrays(np.diff(own[n > 1], prepend=np.uint64(0)), n[n > 1] >= hot))))
         return _table(out)
 
     def wanted_runs(chunk: Chunk, values: np.ndarray, is_hot: np.ndarray) -> tuple[Runs, np.ndarray]:
@@ -203,10 +204,10 @@ def shared_windows(docs: DataFrame, method: Method, keep: list[str], hot: int =
         return Runs(r.start[good], r.windows[good], r.value[good], r.doc[good]), is_hot[at[good]]
 
     def values_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        got = [_unpack(x) for x in group.column("payload").to_pylist()]
-        values = np.concatenate([np.zeros(0, np.uint64), *(g[0] for g in got)])
+        got = [unpack_arrays(_unpack(x)[1]) for x in group.column("payload").to_pylist()]
+        values = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(v, dtype=np.uint64) for v, _ in got)])
         order = np.argsort(values)
-        return values[order], np.concatenate([np.zeros(0, bool), *(g[1] for g in got)])[order]
+        return values[order], np.concatenate([np.zeros(0, bool), *(h for _, h in got)])[order]
 
     def packed_runs(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows or not answers.num_rows:
@@ -234,10 +235,10 @@ def shared_windows(docs: DataFrame, method: Method, keep: list[str], hot: int =
                     if o < single.get((x, y), NULL_ID + 1):
                         single[x, y] = o
         block = key[0].as_py()
-        keys = list(strings)
+        keys = sorted(strings)  # the answer comes in this order, without the strings
         part = np.array([strings[s][0] for s in keys], np.int64)
         own = np.array([strings[s][1] for s in keys], np.int64)
-        out = _messages(block, part, parts, lambda at: _pack([keys[i] for i in at.tolist()], own[at]))
+        out = _messages(block, part, parts, lambda at: _pack([keys[i] for i in at.tolist()], pack_arrays(own[at])))
         pairs = np.array(list(single), np.uint64).reshape(-1, 2)
         own1 = np.array(list(single.values()), np.int64)
         return _table(out + _messages(block, (pairs[:, 0] % np.uint64(parts)).astype(np.int64), parts, lambda at: _pack(None, pairs[at], own1[at])))
@@ -247,7 +248,7 @@ def shared_windows(docs: DataFrame, method: Method, keep: list[str], hot: int =
         out, place, own = [], {}, []
         for g in got:  # each distinct string once, with its smallest document
             if g[0] is not None:
-                for s, o in zip(g[0], g[1].tolist(), strict=True):
+                for s, o in zip(g[0], unpack_arrays(g[1])[0].tolist(), strict=True):
                     if (i := place.setdefault(s, len(own))) == len(own):
                         own.append(o)
                     elif o < own[i]:
@@ -264,47 +265,65 @@ def shared_windows(docs: DataFrame, method: Method, keep: list[str], hot: int =
         end = 0
         for b, g in zip(block, got, strict=True):
             if g[0] is None:
-                out.append((b, key[0].as_py(), _pack(None, g[1], low[end : end + len(g[1])])))
+                out.append((b, key[0].as_py(), _pack("singles", g[1], low[end : end + len(g[1])])))
                 end += len(g[1])
             else:
-                out.append((b, key[0].as_py(), _pack(g[0], [found[place[s]] for s in g[0]])))
+                out.append((b, key[0].as_py(), _pack("strings", pack_arrays(np.concatenate([found[place[s]] for s in g[0]])))))
         return _table(out)
 
     def removed(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         ids, names = _ids(group), [n for n, _ in method.columns]
-        least: dict[bytes, np.ndarray] = {}
         pairs, low, values, is_hot = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
-        for x in answers.column("payload").to_pylist() if answers.num_rows else []:
-            got = _unpack(x)
-            if len(got) == 3:
-                pairs.append(got[1])
-                low.append(got[2])
-            elif isinstance(got[0], list):
-                least.update(zip(got[0], got[1], strict=True))
+        told: dict[int, np.ndarray] = {}  # of each part's strings, in their order, end to end
+        for part, x in zip(answers.column("part").to_pylist(), answers.column("payload").to_pylist(), strict=True) if answers.num_rows else []:
+            kind, *got = _unpack(x)
+            if kind == "singles":
+                pairs.append(got[0])
+                low.append(got[1])
+            elif kind == "strings":
+                told[part] = unpack_arrays(got[0])[0]
             else:
-                values.append(got[0])
-                is_hot.append(got[1])
+                v, h = unpack_arrays(got[0])
+                values.append(np.cumsum(v, dtype=np.uint64))
+                is_hot.append(h)
         pairs, low, values, is_hot = (np.concatenate(x) for x in (pairs, low, values, is_hot))
         order = np.argsort(values)
         values, is_hot = values[order], is_hot[order]
         order = np.argsort(pairs[:, 0], kind="stable")
         pairs, low = pairs[order], low[order]
-        out: dict[int, tuple] = {}
+        chunks, size, part_of = [], {}, {}
         for chunk in _chunks(group, method):
             r, hot_run = wanted_runs(chunk, values, is_hot)
+            cold = ~hot_run
+            strings = [method.packed(chunk, a, n) for a, n in zip(r.start[cold].tolist(), r.windows[cold].tolist(), strict=True)]
+            size.update(zip(strings, r.windows[cold].tolist(), strict=True))
+            part_of.update(zip(strings, (r.value[cold] % np.uint64(parts)).tolist(), strict=True))
+            digests = _digests(chunk, method) if hot_run.any() else None
+            n_units, chunk.units = len(chunk.units), np.zeros(0, np.uint64)
+            chunks.append((chunk, n_units, r, hot_run, strings, digests))
+        least: dict[bytes, np.ndarray] = {}
+        at_part = dict.fromkeys(told, 0)
+        for s in sorted(size):
+            at = at_part[part_of[s]]
+            least[s] = told[part_of[s]][at : at + size[s]]
+            at_part[part_of[s]] = at + size[s]
+        out: dict[int, tuple] = {}
+        while chunks:
+            chunk, n_units, r, hot_run, strings, digests = chunks.pop()
             owner = ids[chunk.rows[r.doc]]
             hit = [np.zeros(0, np.int64)]
-            for a, n, o, h in zip(r.start.tolist(), r.windows.tolist(), owner.tolist(), hot_run.tolist(), strict=True):
-                if not h:
-                    hit.append(a + np.flatnonzero(least[method.packed(chunk, a, n)] < o))
-            if hot_run.any():
-                d1, d2 = _digests(chunk, method)
+            cold = ~hot_run
+            if strings:
+                told_low = np.concatenate([least[s] for s in strings])
+                hit.append(_ranges(r.start[cold], r.windows[cold])[told_low < np.repeat(owner[cold], r.windows[cold])])
+            if digests is not None:
+                d1, d2 = digests
                 at = _ranges(r.start[hot_run], r.windows[hot_run])
                 where = np.searchsorted(pairs[:, 0], d1[at])
                 for _ in range(4):  # equal first halves are next to each other
                     where = np.where((pairs[np.minimum(where, len(pairs) - 1), 1] != d2[at]) & (where + 1 < len(pairs)), where + 1, where)
                 hit.append(at[low[where] < np.repeat(owner[hot_run], r.windows[hot_run])])
-            delta = np.bincount(np.concatenate(hit), minlength=len(chunk.units) + 1)[: len(chunk.units) + 1]
+            delta = np.bincount(np.concatenate(hit), minlength=n_units + 1)[: n_units + 1]
             cover = np.cumsum(delta)
             cover[method.window :] -= cover[: -method.window].copy()
             out |= method.finish(chunk, keep, cover[:-1] > 0)
@@ -323,6 +342,17 @@ def shared_windows(docs: DataFrame, method: Method, keep: list[str], hot: int =
     return rows.groupBy("block").cogroup(answered.unionByName(found).groupBy("block")).applyInArrow(removed, schema)
 
 
+def beside_columns(docs: DataFrame, method: Method, added: list[str]) -> DataFrame:
+    """``docs`` with the method's ``text`` (if it makes one) in place and the columns ``added`` at the end.
+
+    The other columns travel under names of their own, so that they clash with none; those named like ``added`` are replaced.
+    """
+    rest = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", *added)}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(n) for c, n in rest.items()])
+    rows = shared_windows(rows, method, rows.columns)
+    return rows.select(*[F.col(rest.get(c, c)).alias(c) for c in docs.columns if c not in added], *added)
+
+
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     ends = np.cumsum(n)
     return np.arange(ends[-1] if len(n) else 0) + np.repeat(start - (ends - n), n)

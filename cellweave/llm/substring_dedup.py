@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .repeats import Chunk, Method, rolling, shared_windows
+from .repeats import Chunk, Method, beside_columns, rolling, shared_windows
 from .words import WHITE, joined, word_bounds, word_hashes
 
 WINDOW, GRAM = 50, 8
@@ -97,8 +97,7 @@ def remove_shared_windows(docs: DataFrame) -> DataFrame:
     empty (and come out empty), texts of fewer than 50 words are left alone, rows with equal ids take nothing from
     each other, null ids come after all others; an empty table gives an empty one.
     """
-    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    return shared_windows(docs, TEXT, docs.columns)
+    return beside_columns(docs, TEXT, ["n_removed_words"])
 
 
 def shared_window_digests(docs: DataFrame) -> DataFrame:
