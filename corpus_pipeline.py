@@ -44,11 +44,12 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every word that lies in fifty words which also stand in a smaller document is taken out; ``n_chars`` follows."""
-    rows = substring_dedup.remove_shared_windows(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
-    text = {c: F.col("_row")[c] for c in docs.columns} | {"text": F.col("text")}
-    if "n_chars" in text:
-        text["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[c.alias(name) for name, c in text.items()])
+    names = {c: f"_d{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    rows = substring_dedup.remove_shared_windows(docs.withColumnsRenamed(names))
+    values = {c: F.col(names.get(c, c)) for c in docs.columns}
+    if "n_chars" in values:
+        values["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[c.alias(name) for name, c in values.items()])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
