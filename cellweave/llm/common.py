@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -54,7 +55,7 @@ def block_of(blocks: int) -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
 
 
-def dealt(docs: DataFrame, blocks: int, most_bytes: int = 4 * BLOCK_BYTES) -> DataFrame:
+def dealt(docs: DataFrame, blocks: int, most_bytes: int = 2 * BLOCK_BYTES) -> DataFrame:
     """``block, payload``: the documents (``doc_id``, ``text``) dealt into blocks by a hash of the id, compressed to travel.
 
     A task packs what it has read for each block, every ``most_bytes`` of text; ``unpacked`` gives them back.
@@ -88,3 +89,21 @@ def unpacked(payloads: pa.ChunkedArray) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and UTF-8 texts of each payload of ``dealt``; null texts have become empty."""
     for x in payloads:
         yield pickle.loads(zstandard.decompress(x.as_py()))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of numbers, all first ones, then all second ones, and so on: alike ones lie together."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def unplaned(data: bytes, kind: np.dtype | type | str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    return zstandard.compress(pickle.dumps([(a.dtype.str, planes(a)) for a in arrays], 5), 1)
+
+
+def unpack_arrays(data: bytes) -> list[np.ndarray]:
+    return [unplaned(raw, kind) for kind, raw in pickle.loads(zstandard.decompress(data))]

@@ -19,9 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import block_count, id_and_text, written
+from .common import block_count, block_of, dealt, id_and_text, pack_arrays, unpack_arrays, unpacked, written
 from .components import components
 from .repeats import rolling
 from .words import joined, word_bounds, word_hashes
@@ -29,9 +29,14 @@ from .words import joined, word_bounds, word_hashes
 #: Buckets of the sketch that tells frequent shingles from rare ones; a fixed size, whatever the corpus.
 SKETCH_BITS, SKETCH_SLICES = 22, 16
 FRAGMENTS = 4
+COUNTS = -1
+#: A round's pairs are broadcast if they are no more than these (6.4 MB); more are joined by a shuffle.
+FEW_PAIRS = 200_000
 #: Up to so many classes that share a shingle, all their pairs are compared at once.
 SMALL = 4
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of prefixes that a task deals out at once.
+DEAL_BYTES = 4 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -52,10 +57,14 @@ def shingle_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarra
     return values[order], owner[order]
 
 
-def _chunked(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+def _encoded(texts: pa.Array) -> list[bytes]:
+    return [(t or "").encode() for t in texts.to_numpy(zero_copy_only=False).tolist()]
+
+
+def _chunked(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     first, size, out = 0, 0, []
-    for i, t in enumerate(texts.to_numpy(zero_copy_only=False).tolist()):
-        out.append((t or "").encode())
+    for i, t in enumerate(texts):
+        out.append(t)
         size += len(out[-1])
         if size >= CHUNK_BYTES:
             yield first, out
@@ -64,13 +73,12 @@ def _chunked(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, out
 
 
-def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(texts: list[bytes], size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes)"""
-    for first, part in _chunked(texts):
-        values, owner = shingle_hashes(part, size)
-        bounds = np.searchsorted(owner, np.arange(len(part) + 1)).tolist()
-        for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-            yield first + i, np.unique(values[a:b])
+    values, owner = shingle_hashes(texts, size)
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        yield i, np.unique(values[a:b])
 
 
 def rarity_levels(docs: DataFrame, size: int) -> bytes:
@@ -79,7 +87,7 @@ def rarity_levels(docs: DataFrame, size: int) -> bytes:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            for _, part in _chunked(batch.column("text")):
+            for _, part in _chunked(_encoded(batch.column("text"))):
                 total += np.bincount((shingle_hashes(part, size)[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
         if total.any():
             yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SKETCH_SLICES), pa.int32()), "counts": pa.array([zstandard.compress(x.tobytes(), 1) for x in np.split(total, SKETCH_SLICES)], pa.binary())})
@@ -97,62 +105,128 @@ def rarity_levels(docs: DataFrame, size: int) -> bytes:
 
 
 def shingle_sets(docs: DataFrame, size: int, percent: int, levels: bytes) -> DataFrame:
-    """``doc_id, n, digest, prefix``: size and digest of each document's set, and the shingles of which a likeness shares one."""
+    """``doc_id, n, digest, prefix``: size and digest of each document's set, and in their order the shingles of which a likeness shares one."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
             n, digest, prefix = [], [], []
-            for _, s in _sets(batch.column("text"), size):
+            for s in (s for _, part in _chunked(_encoded(batch.column("text"))) for _, s in _sets(part, size)):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 rank = (level[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
-                prefix.append(s[np.argpartition(rank, take - 1)[:take] if 0 < take < len(s) else slice(None)].tobytes())
+                chosen = np.argpartition(rank, take - 1)[:take] if 0 < take < len(s) else np.arange(len(s))
+                prefix.append(_narrow(s[chosen[np.lexsort((s[chosen], rank[chosen]))]]))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "prefix": pa.array(prefix, pa.binary())})
 
     return docs.mapInArrow(sets, "doc_id long, n long, digest binary, prefix binary")
 
 
-def _meetings(classes: DataFrame, parts: int) -> DataFrame:
-    """``token, id, n`` for each prefix shingle that two or more classes have."""
+def _narrow(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of each, six bytes apiece."""
+    return (hashes >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def _meetings(classes: DataFrame, parts: int, percent: int) -> DataFrame:
+    """``token, id, n, most`` for each prefix shingle that two or more classes (``id, n, prefix``) have.
 
-    def deal(key: tuple, group: pa.Table) -> pa.Table:
-        tokens = [np.frombuffer(x, np.uint64) for x in group.column("prefix").to_pylist()]
-        size = np.array([len(t) for t in tokens])
-        flat, ids, n = np.concatenate(tokens), np.repeat(group.column("id").to_numpy(), size), np.repeat(group.column("n").to_numpy(), size)
+    ``most`` bounds what the class shares with any other that has the token in its prefix: shingles that come
+    before the token and stand in no other prefix are in no such class, as its prefix would hold them.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column("prefix").nbytes
+            if size >= DEAL_BYTES:
+                yield dealt_out(held)
+                held, size = [], 0
+        if held:
+            yield dealt_out(held)
+
+    def dealt_out(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        tokens = [_wide(x) for batch in batches for x in batch.column("prefix").to_pylist()]
+        ids, n = (np.concatenate([batch.column(c).to_numpy() for batch in batches]) for c in ("id", "n"))
+        size = np.array([len(t) for t in tokens], np.int64)
+        flat, row = np.concatenate([np.zeros(0, np.uint64), *tokens]), np.repeat(np.arange(len(ids)), size)
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        order = np.lexsort((flat, flat % np.uint64(parts)))
+        flat, row, at = flat[order], row[order], at[order].astype(np.uint32)
         part = (flat % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=parts))
-        out = [(int(part[order[a]]), np.stack([flat[order[a:b]].view(np.int64), ids[order[a:b]], n[order[a:b]]]).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "payload": pa.array([x for _, x in out], pa.binary())})
+        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own, place = np.unique(row[a:b], return_inverse=True)
+            out.append((int(part[a]), pack_arrays(np.diff(flat[a:b], prepend=np.uint64(0)), place.astype(np.uint32), at[a:b], ids[own], n[own])))
+        return pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in out], pa.int32()), "payload": pa.array([x for _, x in out], pa.binary())})
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
-        all_ = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in group.column("payload").to_pylist()], axis=1)
-        all_ = all_[:, np.argsort(all_[0], kind="stable")]
-        same = all_[0][1:] == all_[0][:-1]
-        shared = np.append(same, False) | np.insert(same, 0, False) if all_.shape[1] else np.zeros(0, bool)
-        return pa.table({"token": all_[0][shared], "id": all_[1][shared], "n": all_[2][shared]})
+        got = [unpack_arrays(x) for x in group.column("payload").to_pylist()]
+        token = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(g[0], dtype=np.uint64) for g in got)]).view(np.int64)
+        ids, n = (np.concatenate([np.zeros(0, np.int64), *(g[k][g[1]] for g in got)]) for k in (3, 4))
+        at = np.concatenate([np.zeros(0, np.int64), *(g[2].astype(np.int64) for g in got)])
+        order = np.argsort(token, kind="stable")
+        same = np.diff(token[order]) == 0
+        shared = order[np.append(same, False) | np.insert(same, 0, False)] if len(order) else order
+        return pa.table({"token": token[shared], "id": ids[shared], "n": n[shared], "at": at[shared]})
 
-    dealt = classes.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).groupBy("block").applyInArrow(deal, "part int, payload binary")
-    return dealt.groupBy("part").applyInArrow(meet, "token long, id long, n long")
+    rows = classes.mapInArrow(deal, "part int, payload binary").groupBy("part").applyInArrow(meet, "token long, id long, n long, at long")
+    before = F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1
+    rows = rows.withColumn("most", F.col("n") - (F.col("at") - before)).drop("at")
+    return rows.filter(100 * F.col("most") >= percent * F.col("n"))
 
 
 def _fragments(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """``id, fragment, hashes``: the sets of the documents in ``ids``, cut along the global order."""
+    """``id, fragment, hashes``: the sets of the documents in ``ids``, cut along the global order.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Fragment ``COUNTS`` holds instead how many shingles lie in each of 64 finer fragments.
+    """
+    blocks = block_count(docs)
+
+    def cut(key: tuple, group: pa.Table, wanted: pa.Table) -> pa.Table:
+        open_ = set(wanted.column("doc_id").to_pylist()) if wanted.num_rows else set()
+        a, b, c = [], [], []
+        for own, texts in unpacked(group.column("payload")) if open_ and group.num_rows else []:
+            chosen = [i for i, d in enumerate(own) if d in open_ and not open_.discard(d)]  # repeated rows count once
+            for first, part in _chunked([texts[i] for i in chosen]):
+                for row, s in _sets(part, size):
+                    bounds = np.searchsorted(s, np.arange(1, FRAGMENTS).astype(np.uint64) * np.uint64((1 << 64) // FRAGMENTS))
+                    counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64).astype(np.uint32)
+                    a.append(own[chosen[first + row]])
+                    b.append(COUNTS)
+                    c.append(counts.tobytes())
+                    for f, x in enumerate(np.split(s, bounds)):
+                        if len(x):
+                            a.append(own[chosen[first + row]])
+                            b.append(f)
+                            c.append(_narrow(x))
+        return pa.table({"id": pa.array(a, pa.int64()), "fragment": pa.array(b, pa.int32()), "hashes": pa.array(c, pa.binary())})
+
+    wanted = ids.select(F.col("id").alias("doc_id")).withColumn("block", block_of(blocks))
+    return dealt(docs, blocks).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(cut, "id long, fragment int, hashes binary")
+
+
+def _close(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` whose fine fragments are of sizes that still allow the likeness: no fragment shares more than its smaller side."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, out = batch.column("doc_id").to_pylist(), []
-            for i, s in _sets(batch.column("text"), size):
-                bounds = np.searchsorted(s, np.arange(1, FRAGMENTS).astype(np.uint64) * np.uint64((1 << 64) // FRAGMENTS))
-                out += [(own[i], f, x.tobytes()) for f, x in enumerate(np.split(s, bounds)) if len(x)]
-            if out:
-                a, b, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_pydict({"id": pa.array(a, pa.int64()), "fragment": pa.array(b, pa.int32()), "hashes": pa.array(c, pa.binary())})
+            most = np.array([np.minimum(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)).sum() for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)], np.int64)
+            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            chosen = pa.array(100 * most >= percent * (both - most))
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(chosen) for c in ("a", "b", "na", "nb")})
 
-    return docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(cut, "id long, fragment int, hashes binary").dropDuplicates(["id", "fragment"])
+    left, right = (counts.select(F.col("id").alias(x), F.col("hashes").alias(y)) for x, y in (("a", "left"), ("b", "right")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "left", "right").mapInArrow(possible, "a long, b long, na long, nb long")
 
 
 def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
@@ -160,44 +234,50 @@ def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
 
     def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)]
+            n = [len(np.intersect1d(_wide(x), _wide(y), assume_unique=True)) for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("a", "b", "na", "nb")} | {"part_overlap": pa.array(n, pa.int64())})
 
-    left = fragments.select(F.col("id").alias("a"), "fragment", F.col("hashes").alias("left"))
-    right = fragments.select(F.col("id").alias("b"), "fragment", F.col("hashes").alias("right"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "left", "right").mapInArrow(overlaps, "a long, b long, na long, nb long, part_overlap long")
+    if pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS:
+        pairs = F.broadcast(pairs)
+    left = pairs.join(fragments, F.col("id") == F.col("a")).select("a", "b", "na", "nb", "fragment", F.col("hashes").alias("left"))
+    right = pairs.select("a", "b").join(fragments, F.col("id") == F.col("b")).select("a", "b", "fragment", F.col("hashes").alias("right"))
+    partial = left.join(right, ["a", "b", "fragment"]).select("a", "b", "na", "nb", "left", "right").mapInArrow(overlaps, "a long, b long, na long, nb long, part_overlap long")
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part_overlap").alias("o"))
     return total.filter(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
 def _compare_all(meetings: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``id, root`` of the classes that meet others; the root names the component."""
-    fragments = written(_fragments(docs, meetings.select("id").distinct(), size), "fragments")
-    roots, tested, pivots = meetings.select("id").distinct().withColumn("root", F.col("id")), None, 2
+    roots = written(meetings.select("id").distinct().withColumn("root", F.col("id")), "roots")
+    fragments = written(_fragments(docs, roots, size), "fragments")
+    open_, tested, pivots = meetings.withColumn("root", F.col("id")), None, 2
     while True:
-        now = meetings.join(roots, "id")
-        mixed = now.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
-        mixed = written(mixed.filter("low <> high").select("token", "members"), "mixed")
-        largest = mixed.agg(F.max("members")).first()[0]
+        mixed = open_.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
+        open_ = written(open_.join(mixed.filter("low <> high").select("token", "members"), "token"), "open")
+        largest = open_.agg(F.max("members")).first()[0]
         if largest is None:
             return roots
         order = F.xxhash64("id", F.lit(pivots))
-        now = now.join(mixed, "token").withColumn("salt", F.when(F.col("members") <= max(SMALL, pivots), F.col("id")).otherwise(F.pmod(order, F.lit(pivots))))
-        chosen = now.groupBy("token", "salt").agg(F.min(F.struct(order.alias("o"), "id", "n", "root")).alias("p"))
-        chosen = chosen.select("token", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.root").alias("proot"))
-        met = now.join(chosen, "token").filter((F.col("root") != F.col("proot")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")))
+        now = open_.withColumn("salt", F.when(F.col("members") <= max(SMALL, pivots), F.col("id")).otherwise(F.pmod(order, F.lit(pivots))))
+        chosen = now.groupBy("token", "salt").agg(F.min(F.struct(order.alias("o"), "id", "n", "most", "root")).alias("p"))
+        chosen = chosen.select("token", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.most").alias("pmost"), F.col("p.root").alias("proot"))
+        most = F.least("most", "pmost")
+        met = now.join(chosen, "token").filter((F.col("root") != F.col("proot")) & (100 * most >= percent * (F.col("n") + F.col("pn") - most)))
         first = F.col("id") < F.col("pivot")
         pairs = met.select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("id", "pivot", "a"), ("pivot", "id", "b"), ("n", "pn", "na"), ("pn", "n", "nb")))).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        if tested is not None:
+            pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        links = _links(pairs, fragments, percent)
+        close = written(_close(pairs, fragments.filter(F.col("fragment") == COUNTS), percent), "close")
+        links = written(_links(close, fragments.filter(F.col("fragment") != COUNTS), percent), "links")
         links = links.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
-        moved = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("vertex").alias("root"), F.col("root").alias("next"))
+        moved = written(components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("vertex").alias("root"), F.col("root").alias("next")), "moved")
         roots = written(roots.join(moved, "root", "left").select("id", F.coalesce("next", "root").alias("root")), "roots")
         if largest <= max(SMALL, pivots):
             return roots  # every pair between two components has been compared
+        # tokens of fewer members are done with: all their pairs have been compared
+        open_ = open_.filter(F.col("members") > max(SMALL, pivots)).join(moved, "root", "left").select("token", "id", "n", "most", F.coalesce("next", "root").alias("root"))
         pivots *= 8
 
 
@@ -214,9 +294,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     known = docs.filter("doc_id is not null")
     parts = block_count(docs)
     table = written(shingle_sets(docs, size, percent, rarity_levels(docs, size)), "sets")
-    same = table.filter("doc_id is not null and digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("c"))
-    classes = written(same.select("digest", F.col("c.doc_id").alias("id"), F.col("c.n").alias("n"), F.col("c.prefix").alias("prefix")), "classes")
-    meetings = written(_meetings(classes.select("id", "n", "prefix"), parts), "meetings")
+    same = table.filter("doc_id is not null and digest is not null")
+    classes = written(same.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
+    first = same.select(F.col("doc_id").alias("id"), "n", "prefix").join(classes.select("id"), "id")
+    meetings = written(_meetings(first, parts, percent), "meetings")
     rows = table.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(classes.select("digest", "id"), "digest", "left")
     roots = _compare_all(meetings, known, size, percent)
     low = written(roots.join(roots.groupBy("root").agg(F.min("id").alias("low")), "root").select("id", "low"), "low")
