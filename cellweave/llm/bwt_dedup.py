@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .repeats import Chunk, Method, beside_columns, shared_windows
+from .repeats import Chunk, Method, beside_columns, rolling, shared_windows, sliding_min
 
 WINDOW, GRAM = 50, 24
 SHARD_BYTES = 1 << 19
@@ -89,8 +89,37 @@ def repeated_intervals(shards: list[np.ndarray], window: int) -> tuple[np.ndarra
     return place[rows], np.flatnonzero(np.diff(interval, prepend=-1))
 
 
+def minimiser_of(strings: list[bytes], window: int) -> np.ndarray:
+    """The minimiser that a string's windows share, from its first window."""
+    out, first, held = [np.zeros(0, np.uint64)], 0, 0
+    for i, s in enumerate(strings):
+        held += len(s)
+        if held >= SHARD_BYTES or i + 1 == len(strings):
+            part = strings[first : i + 1]
+            size = np.array([len(x) for x in part])
+            least = sliding_min(rolling(np.frombuffer(b"".join(part), np.uint8).astype(np.uint64) + np.uint64(1), GRAM), window - GRAM + 1)
+            out.append(least[np.cumsum(size) - size])
+            first, held = i + 1, 0
+    return np.concatenate(out)
+
+
 def least_owners(strings: list[bytes], own: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each string, the smallest document of each of its windows, through the merged transforms."""
+    """For each string, the smallest document of each of its windows, through the merged transforms.
+
+    Equal windows have equal minimisers, so a string that is the only one with its minimiser has no window in
+    common with any other; it stays out of the merge.
+    """
+    if not strings:
+        return []
+    _, kind, times = np.unique(minimiser_of(strings, window), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(times[kind] > 1)
+    out = [np.full(len(s) - window + 1, o) for s, o in zip(strings, own.tolist(), strict=True)]
+    for i, low in zip(several.tolist(), _merged_owners([strings[i] for i in several.tolist()], own[several], window), strict=True):
+        out[i] = low
+    return out
+
+
+def _merged_owners(strings: list[bytes], own: np.ndarray, window: int) -> list[np.ndarray]:
     if not strings:
         return []
     size = np.array([len(s) + 1 for s in strings])
