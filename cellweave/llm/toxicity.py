@@ -24,7 +24,7 @@ ORDER = 4
 PRIOR = 5.0
 #: Labelled documents held back from the counts, with which the score is calibrated: every fourth, by a hash of the id.
 CALIBRATION_SHARE = 4
-#: Calibrated on so many of them at most, in the order of a hash of their ids.
+#: So many ids are held back at most, those with the least hashes; all others are counted.
 CALIBRATION_ROWS = 50_000
 CHUNK_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20
@@ -293,17 +293,26 @@ def calibrated(ratios: np.ndarray, n_grams: np.ndarray, label: np.ndarray) -> Ca
     return Calibration(tuple(float(v) for v in w / scale))
 
 
+def held_back(labels: DataFrame) -> Column:
+    """Whether a row of ``labels`` (``doc_id``, each once) is kept from the counts, to calibrate the score."""
+    h = F.xxhash64("doc_id")
+    fourth = F.pmod(h, F.lit(CALIBRATION_SHARE)) == 0
+    last = labels.filter(fourth).select(h.alias("h")).orderBy("h").limit(CALIBRATION_ROWS).agg(F.max("h")).first()[0]
+    return fourth & (h <= last) if last is not None else F.lit(False)
+
+
 def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """``doc_id, n_grams, llr, score`` for each row of ``docs``, learnt from ``labels`` (``doc_id, label`` 0 or 1).
 
-    Three quarters of the labelled documents are counted; the others, scored by that model, calibrate the score.
+    A quarter of the labelled documents, CALIBRATION_ROWS at most, is held back and calibrates the score of the model
+    that all others are counted for.
     Null labels aren't learnt from; of two labels of one id the higher counts. A null text is empty: it has no
     n-gram, and the score that the calibration gives to nothing. Repeated rows each give a row; an empty table
     gives none; without both classes among the labels every score stays under one half.
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
     labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
-    held = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION_SHARE)) == 0
+    held = held_back(labels)
     counts = written(class_counts(docs, labels.filter(~held), order), "grams")
     model = written(kneser_ney(counts, order), "model")
     ratios = written(log_ratios(docs, model, order), "ratios")

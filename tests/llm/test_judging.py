@@ -150,6 +150,20 @@ def test_held_out_accuracy(spark, docs, rows):
     assert toxicity.scores(docs.limit(0), frame.limit(0).select("doc_id", F.col("toxic").alias("label"))).count() == 0
 
 
+def test_only_rows_that_calibrate_are_held_back(spark, monkeypatch):
+    labels = spark.range(400).selectExpr("id as doc_id", "cast(id % 2 as int) as label")
+    fourth = sum(r.h % 4 == 0 for r in labels.select(F.xxhash64("doc_id").alias("h")).collect())
+    assert labels.filter(toxicity.held_back(labels)).count() == fourth > 7
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 7)
+    assert labels.filter(toxicity.held_back(labels)).count() == 7 and labels.filter(~toxicity.held_back(labels)).count() == 393
+    none = labels.limit(0)
+    assert none.filter(toxicity.held_back(none)).count() == 0
+    seen, count = [], toxicity.class_counts
+    monkeypatch.setattr(toxicity, "class_counts", lambda docs, known, *a, **k: seen.append(known.count()) or count(docs, known, *a, **k))
+    docs = labels.selectExpr("doc_id", "concat('word', doc_id) as text")
+    assert toxicity.scores(docs, labels).count() == 400 and seen == [393]
+
+
 URLS = ["http://a.example.com/fr/1?x=/de/", "https://A.B.example.ORG/es/2#t", "http://example.org/en/1", "http://example.org/en/2", "ftp://shop.example.net", "no scheme/fr/", None, "", "http://bad.example.net/q", "x://com/de/1", "http://notexample.org/es/1", "http://com/fr"]
 
 
