@@ -40,12 +40,14 @@ def _strength(groups: DataFrame) -> float:
     return max(LEAST, min(MOST, 1 / rho - 1)) if rho > 0 else MOST
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """``host, n, good, rate, sd`` of each host from labelled outcomes (``host``, ``good`` 0 or 1).
+def host_reputation(outcomes: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """``host, n, good, rate, sd`` of each host from labelled outcomes (``host``, ``good`` 0 or 1), and of each in ``asked``.
 
     A suffix's rate is shrunk to the whole table's, a registered domain's (the last two labels) to its suffix's,
     and a host's to its domain's; each level's prior weight is fitted to that level. ``rate`` and ``sd`` are mean
-    and deviation of the host's beta posterior. Rows with a null host or outcome don't count.
+    and deviation of the host's beta posterior. Rows with a null host or outcome don't count. A host of ``asked``
+    (``host``) without outcomes has ``n`` 0 and the rate of its domain, else its suffix, else the whole table, with
+    the hosts' prior weight; without any outcome at all there is no row.
     """
     hosts = outcomes.filter("host is not null and good is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("good").cast("double").alias("good"))
     hosts = written(hosts, "hosts").select("host", F.substring_index("host", ".", -2).alias("domain"), F.substring_index("host", ".", -1).alias("suffix"), "n", "good")
@@ -57,22 +59,30 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
         weight = _strength(groups)
         return groups.withColumn(rate, (F.col("good") + weight * F.col("parent_rate")) / (F.col("n") + weight)), weight
 
-    suffixes, _ = shrunk(suffixes.withColumn("parent_rate", F.lit(((good or 0) + 1) / ((n or 0) + 2))), "suffix_rate")
+    whole = ((good or 0) + 1) / ((n or 0) + 2)
+    suffixes, _ = shrunk(suffixes.withColumn("parent_rate", F.lit(whole)), "suffix_rate")
     domains, _ = shrunk(domains.join(suffixes.select("suffix", F.col("suffix_rate").alias("parent_rate")), "suffix"), "domain_rate")
     hosts, weight = shrunk(hosts.join(domains.select("domain", F.col("domain_rate").alias("parent_rate")), "domain"), "rate")
-    return hosts.select("host", "n", "good", "rate", F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + weight + 1)).alias("sd"))
+    hosts = hosts.select("host", "n", "good", "rate")
+    if asked is not None and n:
+        new = asked.filter("host is not null").select("host").distinct().join(hosts, "host", "left_anti")
+        new = new.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+        new = new.join(domains.select("domain", "domain_rate"), "domain", "left").join(suffixes.select("suffix", "suffix_rate"), "suffix", "left")
+        hosts = hosts.unionByName(new.select("host", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("good"), F.coalesce("domain_rate", "suffix_rate", F.lit(whole)).alias("rate")))
+    return hosts.withColumn("sd", F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + weight + 1)))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, least_rate: float = 0.8, z: float = 1.645) -> DataFrame:
     """``page_id, host, path, rule, verdict`` and the host's ``rate, bound``.
 
     A rule's verdict stands; otherwise a page is blocked if even the upper posterior bound, ``rate + z sd`` of its
-    host, lies below ``least_rate``. Hosts without outcomes have no bound and are allowed. A null url, or one
-    without ``://``, has an empty host and path. ``outcomes`` has ``url`` and ``good``.
+    host, lies below ``least_rate``. Hosts without outcomes are judged by their domain, suffix or the whole table;
+    only where there is no outcome at all they have no bound and are allowed. A null url, or one without ``://``,
+    has an empty host and path. ``outcomes`` has ``url`` and ``good``.
     """
-    scored = host_reputation(outcomes.select(host_of(F.col("url")).alias("host"), F.col("good")))
-    scored = scored.select("host", "rate", (F.col("rate") + z * F.col("sd")).alias("bound"))
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    scored = host_reputation(outcomes.select(host_of(F.col("url")).alias("host"), F.col("good")), rows)
+    scored = scored.select("host", "rate", (F.col("rate") + z * F.col("sd")).alias("bound"))
     rows = rows.withColumn("_m", matched_rule(F.col("host"), F.col("path"), rules)).join(scored, "host", "left")
     own = F.when(F.col("bound") < least_rate, F.lit(BLOCK)).otherwise(F.lit(ALLOW))
     return rows.select("page_id", "host", "path", F.col("_m.rule").alias("rule"), F.coalesce("_m.verdict", own).alias("verdict"), F.round("rate", 6).alias("rate"), F.round("bound", 6).alias("bound"))

@@ -191,3 +191,14 @@ def test_shrinkage_goes_to_the_domain(spark):
     outcomes = [("a.one.com", 1)] * 95 + [("a.one.com", 0)] * 5 + [("b.one.com", 0)] + [("a.two.com", 0)] * 95 + [("a.two.com", 1)] * 5 + [("b.two.com", 0)]
     rate = {r.host: r.rate for r in hr.host_reputation(spark.createDataFrame(outcomes, "host string, good int")).collect()}
     assert rate["b.one.com"] > rate["b.two.com"] and 0 < rate["a.two.com"] < rate["a.one.com"] < 1
+
+
+def test_hosts_without_outcomes_have_their_domains_bound(spark):
+    outcomes = [(f"http://h{i % 20}.bad.com/{i}", 0) for i in range(400)] + [(f"http://h{i % 20}.good{i % 9}.com/{i}", 1) for i in range(4000)]
+    urls = ["http://new.bad.com/x", "http://new.good1.com/x", "http://new.other.com/x", "http://new.other.net/x", "http://h1.bad.com/x"]
+    frame = spark.createDataFrame(outcomes, "url string, good int")
+    got = {r.page_id: r for r in hr.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), frame, ()).collect()}
+    assert [got[i].verdict for i in range(5)] == ["block", "allow", "allow", "allow", "block"]
+    assert all(r.bound is not None for r in got.values()) and got[0].rate < got[2].rate < got[1].rate and got[3].rate == pytest.approx(4001 / 4402, abs=1e-6)
+    seen = {r.host: r for r in hr.host_reputation(frame.select(hr.host_of(F.col("url")).alias("host"), "good")).collect()}
+    assert "new.bad.com" not in seen and got[4].rate == pytest.approx(seen["h1.bad.com"].rate, abs=1e-6)
