@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import block_count
 
 WORDS, INNER = 5, 2
-#: A fingerprint holds the so many anchors with the least hashes, eight hexadecimal digits each, in ascending order.
-SKETCH = 64
 #: Text bytes in one range of ids, within which a document's successor is found.
 RANGE_BYTES = 4 << 20
 _WHITE = r"[\x20\x09-\x0D]+"
@@ -42,23 +40,38 @@ def with_anchors(docs: DataFrame, words: int = WORDS, inner: int = INNER) -> Dat
     return rows.withColumn("anchors", F.when(F.size("_w") >= words, found).otherwise(short)).drop("_w", "_s")
 
 
-def sketch(anchors: Column, size: int = SKETCH) -> Column:
-    """The ``size`` least distinct hashes, cut to 32 bits, as ascending array of long."""
-    cut = F.array_distinct(F.transform(anchors, lambda a: F.shiftrightunsigned(a["hash"], 32)))
-    return F.slice(F.array_sort(cut), 1, size)
+def hash_set(anchors: Column) -> Column:
+    """All distinct hashes, cut to 32 bits, as ascending array of long."""
+    return F.sort_array(F.array_distinct(F.transform(anchors, lambda a: F.shiftrightunsigned(a["hash"], 32))))
 
 
 def as_text(hashes: Column) -> Column:
+    """Eight hexadecimal digits for each hash."""
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
 
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """The Jaccard likeness that two sketches tell: the share of the least hashes of both that both have.
+def likeness(a: Column, b: Column) -> Column:
+    """The Jaccard likeness of two sets of hashes; two empty ones are alike (1), an empty and another are not (0)."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1)))
 
-    Two empty sketches are alike (1), an empty and another are not (0).
+
+def shared_passages(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``left_id, right_id, shift, n_anchors, first, last`` for the equal anchors of texts of ``left`` and ``right``, by their shift.
+
+    Both have ``doc_id`` (not null, each once) and ``text``. ``shift`` is the place in the right text less that in the
+    left one, ``first`` and ``last`` the least and greatest place in the left one. An anchor that stands several
+    times in a text counts at each of its places, so the rows grow with the product of the places of an anchor.
     """
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(both, a), b)) / F.greatest(F.size(both), F.lit(1)))
+
+    def spread(docs: DataFrame, side: str) -> DataFrame:
+        rows = with_anchors(docs.select(F.col("doc_id").alias(f"{side}_id"), "text"))
+        return rows.select(f"{side}_id", F.explode("anchors").alias("_a")).select(f"{side}_id", F.col("_a.at").alias(f"_{side}"), F.col("_a.hash").alias("_hash"))
+
+    pairs = spread(left, "left").join(spread(right, "right"), "_hash")
+    return pairs.groupBy("left_id", "right_id", (F.col("_right") - F.col("_left")).alias("shift")).agg(
+        F.count(F.lit(1)).alias("n_anchors"), F.min("_left").alias("first"), F.max("_left").alias("last")
+    )
 
 
 def _rank(key: Column, bounds: Column, n: int) -> Column:
@@ -97,17 +110,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` for each row of ``docs``.
 
     The edited text has the last half of the code points (rounded down) replaced by the first as many, or all, of
-    the next document's text. Null texts count as empty; equal texts have equal fingerprints; an empty text has an
-    empty one. Repeated rows follow each other.
+    the next document's text. A fingerprint holds all distinct anchors of its text. Null texts count as empty; equal
+    texts have equal fingerprints; an empty text has an empty one. Repeated rows follow each other.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_anchors(rows).withColumn("_print", sketch(F.col("anchors"))).drop("anchors")
-    rows = with_successor(rows, ["text", "_print"]).withColumn("_n", F.char_length("text"))
+    rows = with_successor(rows, ["text"]).withColumn("_n", F.char_length("text"))
     half = F.expr("_n div 2").cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("_n") - half), F.substring(F.col("next.text"), F.lit(1), half))
-    rows = rows.select("doc_id", F.col("_n").cast("long").alias("n_chars"), edited.alias("text"), "_print", F.col("next._print").alias("_next"))
-    rows = with_anchors(rows.withColumn("edited_sha256", F.sha2(F.col("text").cast("binary"), 256)))
-    rows = rows.withColumn("_edited", sketch(F.col("anchors"))).drop("anchors", "text")
+    rows = rows.select("doc_id", F.col("_n").cast("long").alias("n_chars"), "text", edited.alias("_edit"), F.col("next.text").alias("_following"))
+    rows = rows.withColumn("edited_sha256", F.sha2(F.col("_edit").cast("binary"), 256))
+    for source, name in (("text", "_print"), ("_edit", "_edited"), ("_following", "_next")):  # anchors anew: they are larger to send than the text
+        rows = with_anchors(rows.withColumn("text", F.col(source))).withColumn(name, hash_set(F.col("anchors"))).drop("anchors")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("_print")).alias("fingerprint"), as_text(F.col("_edited")).alias("edited_fingerprint"),
         likeness(F.col("_print"), F.col("_edited")).alias("near_edited"), likeness(F.col("_print"), F.col("_next")).alias("near_next"),

@@ -92,6 +92,22 @@ def test_fingerprints(docs, rows, empty):
     assert one.near_next == 1.0
 
 
+def test_fingerprints_hold_every_anchor_and_its_place(spark):
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(100)
+    texts = [(0, " ".join(fresh(1500) + passage + fresh(1400))), (1, " ".join(fresh(300) + passage + fresh(2600)))]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    anchors = {r.doc_id: {a.hash % 2**64 >> 32 for a in r.anchors} for r in syncmers.with_anchors(frame).collect()}
+    got = {r.doc_id: r for r in syncmers.fingerprints(frame).collect()}
+    for d, own in anchors.items():
+        assert got[d].fingerprint == "".join(f"{h:08x}" for h in sorted(own)) and len(own) > 1000
+    assert got[0].near_next == pytest.approx(len(anchors[0] & anchors[1]) / len(anchors[0] | anchors[1])) and got[0].near_next > 0
+    found = syncmers.shared_passages(frame.filter("doc_id = 0"), frame.filter("doc_id = 1")).collect()
+    assert [(r.left_id, r.right_id, r.shift) for r in found] == [(0, 1, -1200)]
+    assert found[0].n_anchors > 25 and 1500 <= found[0].first < found[0].last <= 1595
+
+
 def test_kneser_ney_against_plain_counts(spark):
     texts = [(0, "abab abba", 1), (1, "abc abc abd", 0), (2, "bcd abca", 0)]
     frame = spark.createDataFrame(texts, "doc_id long, text string, label int")
