@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .words import joined, word_bounds, word_hashes
 
@@ -44,8 +44,6 @@ class Rules:
     min_words: int = 20
     max_repeat_percent: int = 30
     repeat_window: int = 8
-    #: Words whose share of some task's words of a language is this or more are candidates for common words.
-    common_share: float = 0.004
     common_words: int = 32
     #: A language needs so many words in the corpus to be a reference.
     reference_words: int = 2000
@@ -113,62 +111,49 @@ def _distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def references(docs: DataFrame, rules: Rules = Rules()) -> list[Reference]:
     """One reference for each value of ``lang`` with enough words; rows with a null language or text don't count.
 
-    Two passes over all texts: the first finds, task by task, every word that could reach the share of a common
-    word anywhere (at most 1 / ``common_share`` for each task and language); the second counts those exactly.
-    Only sums by language and by candidate reach the driver.
+    Two passes over all texts: one counts every word by language, of which the most common reach the driver (of equal
+    counts the least by its bytes); the other sums character classes and words. No cut into tasks changes either.
     """
     docs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             texts = _encoded(batch.column("text"))
             for lang in dict.fromkeys(langs):
                 for _, part in _chunks([t for t, own in zip(texts, langs, strict=True) if own == lang]):
                     t = Texts(part)
-                    value, at, n = np.unique(t.folded(), return_index=True, return_counts=True)
-                    common = np.flatnonzero(n >= max(2, rules.common_share * len(t.doc)))
-                    words = [t.data[t.start[i] : t.end[i]].translate(FOLD).decode() for i in at[common].tolist()]
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), pa.string()), "word": pa.array(words, pa.string())})
-
-    found = docs.mapInArrow(candidates, "lang string, word string").distinct().collect()
-    chosen: dict[str, list[str]] = {}
-    for r in sorted(found):
-        chosen.setdefault(r["lang"], []).append(r["word"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes: dict[str, np.ndarray] = {}
-        counts: dict[str, np.ndarray] = {}
+                    _, at, n = np.unique(t.folded(), return_index=True, return_counts=True)
+                    words = [t.data[t.start[i] : t.end[i]].translate(FOLD).decode() for i in at.tolist()]
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), pa.string()), "word": pa.array(words, pa.string()), "n": pa.array(n, pa.int64())})
+
+    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             texts = _encoded(batch.column("text"))
             for lang in dict.fromkeys(langs):
-                words = chosen.get(lang, [])
-                keys = hashes_of(words)
-                order = np.argsort(keys)
                 for _, part in _chunks([t for t, own in zip(texts, langs, strict=True) if own == lang]):
                     t = Texts(part)
-                    classes[lang] = classes.get(lang, 0) + t.class_counts().sum(axis=0)
-                    found = _places(t.folded(), keys[order])
-                    n = np.zeros(len(words) + 1, np.int64)
-                    n[order] = np.bincount(found[found >= 0], minlength=len(words))[: len(words)]
-                    n[-1] = len(t.doc) - n[:-1].sum()
-                    counts[lang] = counts.get(lang, 0) + n
-        if classes:
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(list(classes), pa.string()), "classes": pa.array([x.tolist() for x in classes.values()], pa.list_(pa.int64())), "words": pa.array([counts[k].tolist() for k in classes], pa.list_(pa.int64()))})
-
-    summed = docs.mapInArrow(count, "lang string, classes array<bigint>, words array<bigint>")
-    long = summed.select("lang", F.posexplode("classes").alias("i", "n"), F.lit("class").alias("kind")).unionByName(summed.select("lang", F.posexplode("words").alias("i", "n"), F.lit("word").alias("kind")))
-    total = {(r["lang"], r["kind"], r["i"]): r["n"] for r in long.groupBy("lang", "kind", "i").agg(F.sum("n").alias("n")).collect()}
+                    sums[lang] = sums.get(lang, 0) + np.append(t.class_counts().sum(axis=0), len(t.doc))
+        if sums:
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "sums": pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))})
+
+    counts = docs.mapInArrow(by_word, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))  # each task sends its first ones only
+    common: dict[str, list] = {}
+    for row in sorted(counts.withColumn("i", place).filter(F.col("i") <= rules.common_words).collect(), key=lambda x: (x["lang"], x["i"])):
+        common.setdefault(row["lang"], []).append(row)
+    summed = docs.mapInArrow(by_class, "lang string, sums array<bigint>").select("lang", F.posexplode("sums").alias("i", "n"))
+    total = {(x["lang"], x["i"]): x["n"] for x in summed.groupBy("lang", "i").agg(F.sum("n").alias("n")).collect()}
     out = []
-    for lang, words in sorted(chosen.items()):
-        counts = np.array([total.get((lang, "word", i), 0) for i in range(len(words) + 1)], float)
-        classes = np.array([total.get((lang, "class", i), 0) for i in range(8)], float)
-        if counts.sum() < rules.reference_words:
+    for lang, top in common.items():
+        classes, n_words = np.array([total[lang, i] for i in range(8)], float), total[lang, 8]
+        if n_words < rules.reference_words:
             continue
-        top = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))[: rules.common_words]
-        shares = np.append(counts[top], counts.sum() - counts[top].sum()) / counts.sum()
-        out.append(Reference(lang, classes / classes.sum(), dict(zip(hashes_of([words[i] for i in top]).tolist(), range(len(top)), strict=True)), shares))
+        n = np.array([x["n"] for x in top], float)
+        shares = np.append(n, n_words - n.sum()) / n_words
+        out.append(Reference(lang, classes / classes.sum(), dict(zip(hashes_of([x["word"] for x in top]).tolist(), range(len(top)), strict=True)), shares))
     return out
 
 

@@ -49,6 +49,20 @@ def test_texts_unlike_their_language_go(spark):
     assert got[103].nearest == "de"
 
 
+def test_references_hold_the_commonest_words_of_all_texts(spark):
+    rng = random.Random(4)
+    made = [(i, " ".join(f"{'Ww'[i % 2]}{int(rng.paretovariate(0.6)) % 900}" for _ in range(200)), "en") for i in range(40)]
+    made.append((99, "tail " * 3, "en"))
+    frame = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    counts = Counter(w.lower() for _, t, _ in made for w in words_of(t))
+    top = sorted(counts, key=lambda w: (-counts[w], w.encode()))[:32]
+    assert counts[top[31]] < 0.004 * counts.total()
+    for parts in (1, 7):
+        (got,) = quality.references(frame.repartition(parts))
+        assert list(got.words) == quality.hashes_of(top).tolist()
+        assert got.shares[:32] == pytest.approx([counts[w] / counts.total() for w in top]) and got.shares.sum() == pytest.approx(1)
+
+
 def test_distance_of_histograms():
     p, q = np.array([[0.5, 0.5, 0.0], [0.0, 0.0, 1.0]]), np.array([0.5, 0.5, 0.0])
     assert quality._distance(p, q) == pytest.approx([0.0, 1.0])
