@@ -1,11 +1,12 @@
 """Byte-level substring dedup: shard Burrows-Wheeler transforms, merged by refining their interleave.
 
-What carries a shared minimiser (see ``repeats``) comes together as strings. They are cut into shards, each with its
-own transform. The merge starts with the shards' rows one behind another; every step brings each row to the front
-extension that its transform names (two bytes at once), keeping the order within equal bytes, so that after h bytes
-rows stand in the order of their first h bytes and the boundaries between unequal prefixes are known. No suffix is compared or sorted
-again across shards. Rows alone within their boundaries stay alone, and leave; after as many steps as a window is
-long, what is left are the repeated intervals, whose common prefix is a whole window.
+What carries a shared minimiser (see ``repeats``) comes together as strings. They are cut into shards, and of each
+only its transform and its suffix order go on. The merge starts with the shards' rows one behind another in one
+interval. A row's front extension follows from the transform alone: the count of its symbol above it, behind the rows
+of lesser symbols. Every step brings each row's symbols (two bytes at once) before the interval it lies in, so that
+after h bytes the intervals are those of equal first h bytes over all shards together; no suffix is compared or sorted
+again. Where a boundary first parts a row from all others is the length of its longest common prefix with any other
+row. Rows alone in their interval leave; what is left after a window's length are the repeated intervals.
 """
 
 from __future__ import annotations
@@ -50,28 +51,35 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix order, Burrows-Wheeler transform, and the row that each row's front extension is."""
-    order = suffix_order(text, depth)
-    order = order.astype(np.int32)
-    row = np.empty(len(text), np.int32)
-    row[order] = np.arange(len(text), dtype=np.int32)
-    before = order - 1
-    return order, text[before], row[before]
+def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order and Burrows-Wheeler transform."""
+    order = suffix_order(text, depth).astype(np.int32)
+    return order, text[order - 1]
 
 
-def repeated_intervals(shards: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in the shards end to end) whose next ``window`` bytes stand elsewhere too, interval by interval, and where each begins."""
-    made = [transform(s, window + 6) for s in shards]
-    base = np.cumsum([0, *(len(s) for s in shards)], dtype=np.int32)
-    place = np.concatenate([o + b for (o, _, _), b in zip(made, base, strict=False)])
-    before = np.concatenate([t for _, t, _ in made])
-    extension = np.concatenate([e + b for (_, _, e), b in zip(made, base, strict=False)])
-    # two bytes a step: what stands before the byte before, and the row of the extension's extension
+def front_extensions(symbols: np.ndarray) -> np.ndarray:
+    """The row that each row of a transform has as its extension by its symbol: counted, from the symbols alone."""
+    turn = np.argsort(symbols, kind="stable")
+    out = np.empty(len(symbols), np.int32)
+    out[turn] = np.arange(len(symbols), dtype=np.int32)
+    return out
+
+
+def merged(transforms: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (of the transforms end to end) in intervals of equal next ``window`` bytes, where each begins, and common prefixes.
+
+    The last holds for every row how many bytes at its front another row shares, up to ``window``; it is counted in
+    steps of two bytes, so it may be one too low where it is under ``window``.
+    """
+    base = np.cumsum([0, *(len(t) for t in transforms)], dtype=np.int32)
+    before = np.concatenate(transforms)
+    extension = np.concatenate([front_extensions(t) + b for t, b in zip(transforms, base, strict=False)])
+    # two bytes a step: what stands before the byte before, and the extension's extension
     ended = before == END
     twice = (before[extension].astype(np.uint16) << 8) | before
     either, farther = ended | ended[extension], extension[extension]
-    rows, interval = np.arange(len(place), dtype=np.int32), np.zeros(len(place), np.int32)
+    common = np.zeros(len(before), np.uint8)
+    rows, interval, length = np.arange(len(before), dtype=np.int32), np.zeros(len(before), np.int32), 0
     for step in [2] * (window // 2) + [1] * (window % 2):
         symbol, over, to = (twice, either, farther) if step == 2 else (before, ended, extension)
         rows_in = ~over[rows]
@@ -84,9 +92,22 @@ def repeated_intervals(shards: list[np.ndarray], window: int) -> tuple[np.ndarra
         stay = ~(head & np.append(head[1:], True))
         interval = np.cumsum(head, dtype=np.int32)[stay]
         rows = rows[stay]
+        length += step
+        common[rows] = length
         if not len(rows):
             break
-    return place[rows], np.flatnonzero(np.diff(interval, prepend=-1))
+    return rows, np.flatnonzero(np.diff(interval, prepend=-1)), common
+
+
+def repeated_intervals(shards: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (in the shards end to end) whose next ``window`` bytes stand elsewhere too, interval by interval, where each begins, and each place's common prefix."""
+    made = [transform(s, window + 6) for s in shards]
+    base = np.cumsum([0, *(len(s) for s in shards)])
+    place = np.concatenate([o + b for (o, _), b in zip(made, base, strict=False)])
+    rows, heads, common = merged([t for _, t in made], window)
+    at_place = np.empty_like(common)
+    at_place[place] = common
+    return place[rows], heads, at_place
 
 
 def minimiser_of(strings: list[bytes], window: int) -> np.ndarray:
@@ -128,7 +149,7 @@ def _merged_owners(strings: list[bytes], own: np.ndarray, window: int) -> list[n
     cuts = np.unique(np.append(ends[np.searchsorted(ends, np.arange(SHARD_BYTES, len(data), SHARD_BYTES))], len(data)))
     shards = np.split(data, cuts[:-1])
     low = np.repeat(own, size)
-    places, heads = repeated_intervals(shards, window)
+    places, heads, _ = repeated_intervals(shards, window)
     if len(places):
         least = np.minimum.reduceat(low[places], heads)
         low[places] = np.repeat(least, np.diff(np.append(heads, len(places))))

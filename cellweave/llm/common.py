@@ -85,6 +85,17 @@ def dealt(docs: DataFrame, blocks: int, most_bytes: int = 2 * BLOCK_BYTES) -> Da
     return docs.withColumn("block", block_of(blocks)).mapInArrow(pack, "block int, payload binary")
 
 
+def text_chunks(column: pa.Array, size: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts as UTF-8) of about ``size`` bytes each; null ones are empty, a longer text stays whole."""
+    raw = column.cast(pa.large_string()).cast(pa.large_binary())
+    ends = np.cumsum(np.diff(np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1])) if len(raw) else np.zeros(0, np.int64)
+    first = 0
+    while first < len(raw):
+        upto = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size, "right")))
+        yield first, [x or b"" for x in raw.slice(first, upto - first).to_pylist()]
+        first = upto
+
+
 def unpacked(payloads: pa.ChunkedArray) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and UTF-8 texts of each payload of ``dealt``; null texts have become empty."""
     for x in payloads:

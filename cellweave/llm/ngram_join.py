@@ -2,12 +2,15 @@
 
 Documents with equal shingle sets are one class, joined through its smallest id. Shingles have one global order,
 rarer ones first; two sets as alike as the threshold asks share one of the first few shingles of either, so only
-classes that meet in such a prefix are compared. Large meetings are not paired off: in each round every class is
-compared with a few pivots of each shingle it shares, and what is linked by then needs no more comparison inside
-its component; rounds go on, with more pivots each, until no uncompared pair is left between two components.
+classes that meet in such a prefix are compared. First each class is compared with one other: the one that most of a
+sample of its shingles names, of whose own shingles the fewest come before. That links the bulk of a large group to
+few texts. Then, at every prefix shingle whose classes are in several components, all pairs of classes of different
+components are compared that can still be alike by size and place; of very mixed shingles only those with some
+pivots, more of them from round to round, until no such pair is left.
 
 A comparison is vertical: the global order is cut into fragments, partial overlaps are counted for each fragment
-on its own, and summed for each pair.
+on its own, and summed for each pair. Overlaps are counted on 64-bit hashes of the shingles; prefixes, which only
+name candidates, hold 48 bits of them.
 """
 
 from __future__ import annotations
@@ -19,22 +22,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import block_count, block_of, dealt, id_and_text, pack_arrays, unpack_arrays, unpacked, written
+from .common import block_count, block_of, dealt, id_and_text, pack_arrays, text_chunks, unpack_arrays, unpacked, written
 from .components import components
-from .repeats import rolling
-from .words import joined, word_bounds, word_hashes
+from .words import joined, run_hashes, word_bounds, word_hashes
 
 #: Buckets of the sketch that tells frequent shingles from rare ones; a fixed size, whatever the corpus.
 SKETCH_BITS, SKETCH_SLICES = 22, 16
 FRAGMENTS = 4
-COUNTS = -1
-#: A round's pairs are broadcast if they are no more than these (6.4 MB); more are joined by a shuffle.
-FEW_PAIRS = 200_000
-#: Up to so many classes that share a shingle, all their pairs are compared at once.
-SMALL = 4
-CHUNK_BYTES = 1 << 20
+#: Equal ranges of hashes in which a set's shingles are counted, for a bound of overlaps.
+BINS = 64
+#: Text bytes for each part into which prefix shingles are dealt.
+PART_BYTES = 64 << 20
+#: The first round reads every so many-th shingle.
+SAMPLE = 4
+#: Of a shingle's classes outside its largest component, up to so many are compared with all others at once; eight times more from round to round.
+MIXED = 2048
+CHUNK_BYTES = 1 << 19
 #: Bytes of prefixes that a task deals out at once.
 DEAL_BYTES = 4 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -46,31 +51,24 @@ def shingle_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarra
     raw = np.frombuffer(data, np.uint8)
     start, end = word_bounds(raw)
     units, doc = word_hashes(raw, start, end), np.searchsorted(ends, start, "right")
-    values, owner = rolling(units, size), doc[: max(len(doc) - size + 1, 0)]
+    values, owner = run_hashes(units, size), doc[: max(len(doc) - size + 1, 0)]
     inside = owner == doc[size - 1 :] if len(owner) else np.zeros(0, bool)
     n = np.bincount(doc, minlength=len(texts))
     first = np.cumsum(n) - n
     short = np.flatnonzero((n > 0) & (n < size))
-    own = [rolling(units[first[i] : first[i] + n[i]], int(n[i])) for i in short]
+    own = [run_hashes(units[first[i] : first[i] + n[i]], int(n[i])) for i in short]
     values, owner = np.concatenate([values[inside], *own]), np.concatenate([owner[inside], short])
     order = np.argsort(owner, kind="stable")
     return values[order], owner[order]
 
 
-def _encoded(texts: pa.Array) -> list[bytes]:
-    return [(t or "").encode() for t in texts.to_numpy(zero_copy_only=False).tolist()]
-
-
 def _chunked(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    first, size, out = 0, 0, []
+    first, size = 0, 0
     for i, t in enumerate(texts):
-        out.append(t)
-        size += len(out[-1])
-        if size >= CHUNK_BYTES:
-            yield first, out
-            first, size, out = i + 1, 0, []
-    if out:
-        yield first, out
+        size += len(t)
+        if size >= CHUNK_BYTES or i + 1 == len(texts):
+            yield first, texts[first : i + 1]
+            first, size = i + 1, 0
 
 
 def _sets(texts: list[bytes], size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -87,8 +85,8 @@ def rarity_levels(docs: DataFrame, size: int) -> bytes:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            for _, part in _chunked(_encoded(batch.column("text"))):
-                total += np.bincount((shingle_hashes(part, size)[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+            for _, part in text_chunks(batch.column("text"), CHUNK_BYTES):
+                np.add.at(total, (shingle_hashes(part, size)[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         if total.any():
             yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SKETCH_SLICES), pa.int32()), "counts": pa.array([zstandard.compress(x.tobytes(), 1) for x in np.split(total, SKETCH_SLICES)], pa.binary())})
 
@@ -105,23 +103,26 @@ def rarity_levels(docs: DataFrame, size: int) -> bytes:
 
 
 def shingle_sets(docs: DataFrame, size: int, percent: int, levels: bytes) -> DataFrame:
-    """``doc_id, n, digest, prefix``: size and digest of each document's set, and in their order the shingles of which a likeness shares one."""
+    """``doc_id, n, digest, bins, prefix``: size and digest of each document's set, how many shingles lie in each of BINS
+    ranges, and in their order the shingles of which a likeness shares one."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            n, digest, prefix = [], [], []
-            for s in (s for _, part in _chunked(_encoded(batch.column("text"))) for _, s in _sets(part, size)):
-                n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                rank = (level[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
-                chosen = np.argpartition(rank, take - 1)[:take] if 0 < take < len(s) else np.arange(len(s))
-                prefix.append(_narrow(s[chosen[np.lexsort((s[chosen], rank[chosen]))]]))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "prefix": pa.array(prefix, pa.binary())})
+            for first, part in text_chunks(batch.column("text"), CHUNK_BYTES):
+                n, digest, bins, prefix = [], [], [], []
+                for _, s in _sets(part, size):
+                    n.append(len(s))
+                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    bins.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.uint32).tobytes())
+                    take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
+                    rank = (level[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
+                    chosen = np.argpartition(rank, take - 1)[:take] if 0 < take < len(s) else np.arange(len(s))
+                    prefix.append(_narrow(s[chosen[np.lexsort((s[chosen], rank[chosen]))]]))
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(first, len(part)), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "bins": pa.array(bins, pa.binary()), "prefix": pa.array(prefix, pa.binary())})
 
-    return docs.mapInArrow(sets, "doc_id long, n long, digest binary, prefix binary")
+    return docs.mapInArrow(sets, "doc_id long, n long, digest binary, bins binary, prefix binary")
 
 
 def _narrow(hashes: np.ndarray) -> bytes:
@@ -135,11 +136,47 @@ def _wide(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _meetings(classes: DataFrame, parts: int, percent: int) -> DataFrame:
-    """``token, id, n, most`` for each prefix shingle that two or more classes (``id, n, prefix``) have.
+class Members:
+    """The classes at one prefix shingle: id, set size, place of the shingle in the class's order, component."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, percent: int):
+        self.ids, self.n, self.root, self.percent = ids, n, root, percent
+        self.most = n - at  # what the class shares at most with another whose first common shingle this is
+
+    def possible(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Whether two classes whose first common shingle is this one can be as alike as asked."""
+        most = np.minimum(self.most[u], self.most[v])
+        return (self.root[u] != self.root[v]) & (100 * most >= self.percent * (self.n[u] + self.n[v] - most))
+
+    def pairs(self, mixed: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Pairs of different components that can be alike, and whether these are all; else those of some pivots."""
+        alive = np.flatnonzero((100 + self.percent) * self.most >= self.percent * (self.n + self.n.min()))
+        if not len(alive):
+            return alive, alive, True
+        _, code, count = np.unique(self.root[alive], return_inverse=True, return_counts=True)
+        minor = alive[code != count.argmax()]
+        if all_ := len(minor) <= mixed:
+            chosen, seen = minor, np.zeros(len(self.n), bool)
+        else:
+            chosen, seen = alive[np.lexsort((self.ids[alive], -self.most[alive]))[: max(1, mixed // 256)]], np.zeros(len(self.n), bool)
+        left, right = [alive[:0]], [alive[:0]]
+        for u in chosen.tolist():
+            seen[u] = True  # what has been paired with u
+            v = alive[~seen[alive]]
+            v = v[self.possible(np.full(len(v), u), v)]
+            left.append(np.full(len(v), u))
+            right.append(v)
+        return np.concatenate(left), np.concatenate(right), bool(all_)
+
+
+CANDIDATES = "a long, b long, na long, nb long, votes long"
 
-    ``most`` bounds what the class shares with any other that has the token in its prefix: shingles that come
-    before the token and stand in no other prefix are in no such class, as its prefix would hold them.
+
+def _candidates(classes: DataFrame, parts: int, percent: int, round_: int) -> DataFrame:
+    """``a, b, na, nb, votes``: pairs of ``classes`` (``id, n, prefix, root``) to compare, each once from each part of the shingles.
+
+    In round 0 ``a`` is a class and ``b`` the pivot of ``votes`` of its shingles; later ``a < b``, and ``b`` is null where
+    the class ``a`` has a shingle at which pairs are left for another round.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +192,13 @@ def _meetings(classes: DataFrame, parts: int, percent: int) -> DataFrame:
 
     def dealt_out(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         tokens = [_wide(x) for batch in batches for x in batch.column("prefix").to_pylist()]
-        ids, n = (np.concatenate([batch.column(c).to_numpy() for batch in batches]) for c in ("id", "n"))
+        ids, n, root = (np.concatenate([batch.column(c).to_numpy() for batch in batches]) for c in ("id", "n", "root"))
         size = np.array([len(t) for t in tokens], np.int64)
         flat, row = np.concatenate([np.zeros(0, np.uint64), *tokens]), np.repeat(np.arange(len(ids)), size)
         at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        if not round_:
+            some = (flat >> np.uint64(8)) % np.uint64(SAMPLE) == 0
+            flat, row, at = flat[some], row[some], at[some]
         order = np.lexsort((flat, flat % np.uint64(parts)))
         flat, row, at = flat[order], row[order], at[order].astype(np.uint32)
         part = (flat % np.uint64(parts)).astype(np.int64)
@@ -166,119 +206,167 @@ def _meetings(classes: DataFrame, parts: int, percent: int) -> DataFrame:
         out = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             own, place = np.unique(row[a:b], return_inverse=True)
-            out.append((int(part[a]), pack_arrays(np.diff(flat[a:b], prepend=np.uint64(0)), place.astype(np.uint32), at[a:b], ids[own], n[own])))
+            out.append((int(part[a]), pack_arrays(np.diff(flat[a:b], prepend=np.uint64(0)), place.astype(np.uint32), at[a:b], ids[own], n[own].astype(np.uint32), root[own] - ids[own])))
         return pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in out], pa.int32()), "payload": pa.array([x for _, x in out], pa.binary())})
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
         got = [unpack_arrays(x) for x in group.column("payload").to_pylist()]
-        token = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(g[0], dtype=np.uint64) for g in got)]).view(np.int64)
-        ids, n = (np.concatenate([np.zeros(0, np.int64), *(g[k][g[1]] for g in got)]) for k in (3, 4))
-        at = np.concatenate([np.zeros(0, np.int64), *(g[2].astype(np.int64) for g in got)])
+        token = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(g[0], dtype=np.uint64) for g in got)])
         order = np.argsort(token, kind="stable")
         same = np.diff(token[order]) == 0
         shared = order[np.append(same, False) | np.insert(same, 0, False)] if len(order) else order
-        return pa.table({"token": token[shared], "id": ids[shared], "n": n[shared], "at": at[shared]})
+        base = np.cumsum([0, *(len(g[3]) for g in got)])
+        place = np.concatenate([np.zeros(0, np.int64), *(g[1].astype(np.int64) + b for g, b in zip(got, base, strict=False))])[shared]
+        at = np.concatenate([np.zeros(0, np.int64), *(g[2].astype(np.int64) for g in got)])[shared]
+        ids, n, moved = (np.concatenate([np.zeros(0, np.int64), *(g[k].astype(np.int64) for g in got)])[place] for k in (3, 4, 5))
+        token, root = token[shared], ids + moved
+        return (nominated if not round_ else remaining)(token, ids, n, at, root)
+
+    def nominated(token: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray) -> pa.Table:
+        order = np.lexsort((ids, at, token))
+        token, ids, n, at = token[order], ids[order], n[order], at[order]
+        head = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else order
+        pivot = np.repeat(head, np.diff(np.append(head, len(token))))
+        members = Members(ids, n, at, ids, percent)
+        some = np.flatnonzero(members.possible(np.arange(len(ids)), pivot))
+        return told(ids[some], ids[pivot[some]], n[some], n[pivot[some]])
+
+    def remaining(token: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray) -> pa.Table:
+        head = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+        ends = np.append(head[1:], len(token))
+        several = np.minimum.reduceat(root, head) != np.maximum.reduceat(root, head) if len(head) else head
+        left, right, open_, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for a, b in zip(head[several].tolist(), ends[several].tolist(), strict=True) if len(head) else []:
+            u, v, all_ = Members(ids[a:b], n[a:b], at[a:b], root[a:b], percent).pairs(MIXED * 8 ** (round_ - 1))
+            left.append(u + a)
+            right.append(v + a)
+            size += len(u)
+            if size > 1 << 20:
+                left, right, size = *distinct(np.concatenate(left), np.concatenate(right), ids), 0
+            if not all_:
+                open_.append(ids[a:b])
+        left, right = (x[0] for x in distinct(np.concatenate(left), np.concatenate(right), ids))
+        first = ids[left] < ids[right]
+        left, right = np.where(first, left, right), np.where(first, right, left)
+        found, rest = told(ids[left], ids[right], n[left], n[right]), np.unique(np.concatenate(open_))
+        none = pa.nulls(len(rest), pa.int64())
+        return pa.concat_tables([found, pa.table({"a": rest, "b": none, "na": none, "nb": none, "votes": none})])
+
+    def distinct(left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> tuple[list, list]:
+        low, high = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
+        order = np.lexsort((high, low))
+        new = np.ones(len(order), bool)
+        new[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
+        return [left[order[new]]], [right[order[new]]]
+
+    def told(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> pa.Table:
+        order = np.lexsort((b, a))
+        a, b, na, nb = a[order], b[order], na[order], nb[order]
+        head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else order
+        return pa.table({"a": a[head], "b": b[head], "na": na[head], "nb": nb[head], "votes": np.diff(np.append(head, len(a)))})
+
+    return classes.mapInArrow(deal, "part int, payload binary").groupBy("part").applyInArrow(meet, CANDIDATES)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    first = F.col("a") < F.col("b")
+    return pairs.select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a", "b", "a"), ("b", "a", "b"), ("na", "nb", "na"), ("nb", "na", "nb")))).distinct()
+
+
+def _close(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+    """``a, b, na, nb`` of those ``pairs`` whose counts by range still allow the likeness: no range shares more than its smaller side."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BINS) for c in ("left", "right"))
+            most = np.minimum(left, right).sum(axis=1).astype(np.int64)
+            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            chosen = pa.array(100 * most >= percent * (both - most))
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(chosen) for c in ("a", "b", "na", "nb")})
 
-    rows = classes.mapInArrow(deal, "part int, payload binary").groupBy("part").applyInArrow(meet, "token long, id long, n long, at long")
-    before = F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1
-    rows = rows.withColumn("most", F.col("n") - (F.col("at") - before)).drop("at")
-    return rows.filter(100 * F.col("most") >= percent * F.col("n"))
+    left, right = (bins.select(F.col("id").alias(x), F.col("bins").alias(y)) for x, y in (("a", "left"), ("b", "right")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "left", "right").mapInArrow(possible, "a long, b long, na long, nb long")
 
 
-def _fragments(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """``id, fragment, hashes``: the sets of the documents in ``ids``, cut along the global order.
+def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (``a, b, na, nb``) whose sets are as alike as asked.
 
-    Fragment ``COUNTS`` holds instead how many shingles lie in each of 64 finer fragments.
+    Every side of a pair sends the fragments of its set to the pair; the overlap of each fragment is counted where its
+    two sides meet, and the counts are summed.
     """
     blocks = block_count(docs)
 
     def cut(key: tuple, group: pa.Table, wanted: pa.Table) -> pa.Table:
-        open_ = set(wanted.column("doc_id").to_pylist()) if wanted.num_rows else set()
-        a, b, c = [], [], []
-        for own, texts in unpacked(group.column("payload")) if open_ and group.num_rows else []:
-            chosen = [i for i, d in enumerate(own) if d in open_ and not open_.discard(d)]  # repeated rows count once
-            for first, part in _chunked([texts[i] for i in chosen]):
+        partners: dict[int, list[int]] = {}
+        for i, other in zip(wanted.column("doc_id").to_pylist(), wanted.column("other").to_pylist(), strict=True) if wanted.num_rows else []:
+            partners.setdefault(i, []).append(other)
+        a, b, c, d = [], [], [], []
+        for own, texts in unpacked(group.column("payload")) if partners and group.num_rows else []:
+            chosen = [(d, partners.pop(d), t) for d, t in zip(own, texts, strict=True) if d in partners]  # repeated rows count once
+            for first, part in _chunked([t for _, _, t in chosen]):
                 for row, s in _sets(part, size):
                     bounds = np.searchsorted(s, np.arange(1, FRAGMENTS).astype(np.uint64) * np.uint64((1 << 64) // FRAGMENTS))
-                    counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64).astype(np.uint32)
-                    a.append(own[chosen[first + row]])
-                    b.append(COUNTS)
-                    c.append(counts.tobytes())
+                    i, others, _ = chosen[first + row]
                     for f, x in enumerate(np.split(s, bounds)):
-                        if len(x):
-                            a.append(own[chosen[first + row]])
-                            b.append(f)
-                            c.append(_narrow(x))
-        return pa.table({"id": pa.array(a, pa.int64()), "fragment": pa.array(b, pa.int32()), "hashes": pa.array(c, pa.binary())})
-
-    wanted = ids.select(F.col("id").alias("doc_id")).withColumn("block", block_of(blocks))
-    return dealt(docs, blocks).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(cut, "id long, fragment int, hashes binary")
-
+                        for other in others if len(x) else []:
+                            a.append(min(i, other))
+                            b.append(max(i, other))
+                            c.append(f)
+                            d.append(x.tobytes())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "fragment": pa.array(c, pa.int32()), "hashes": pa.array(d, pa.binary())})
 
-def _close(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` whose fine fragments are of sizes that still allow the likeness: no fragment shares more than its smaller side."""
-
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            most = np.array([np.minimum(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)).sum() for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)], np.int64)
-            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            chosen = pa.array(100 * most >= percent * (both - most))
-            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(chosen) for c in ("a", "b", "na", "nb")})
+            n = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in batch.column("sides").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "overlap": pa.array(n, pa.int64())})
 
-    left, right = (counts.select(F.col("id").alias(x), F.col("hashes").alias(y)) for x, y in (("a", "left"), ("b", "right")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "left", "right").mapInArrow(possible, "a long, b long, na long, nb long")
+    sides = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("other")))
+    wanted = sides.withColumn("block", block_of(blocks))
+    cuts = dealt(docs, blocks).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(cut, "a long, b long, fragment int, hashes binary")
+    met = cuts.groupBy("a", "b", "fragment").agg(F.collect_list("hashes").alias("sides")).filter(F.size("sides") == 2)
+    total = met.select("a", "b", "sides").mapInArrow(overlaps, "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("o"))
+    return total.join(pairs, ["a", "b"]).filter(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (``a, b, na, nb``) whose sets are as alike as asked."""
+def _with_root(rows: DataFrame, roots: DataFrame | None, key: str, name: str) -> DataFrame:
+    if roots is None:
+        return rows.withColumn(name, F.col(key))
+    moved = roots.select(F.col("id").alias(key), F.col("root").alias("_root"))
+    return rows.join(moved, key, "left").withColumn(name, F.coalesce("_root", key)).drop("_root")
 
-    def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [len(np.intersect1d(_wide(x), _wide(y), assume_unique=True)) for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("a", "b", "na", "nb")} | {"part_overlap": pa.array(n, pa.int64())})
-
-    if pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS:
-        pairs = F.broadcast(pairs)
-    left = pairs.join(fragments, F.col("id") == F.col("a")).select("a", "b", "na", "nb", "fragment", F.col("hashes").alias("left"))
-    right = pairs.select("a", "b").join(fragments, F.col("id") == F.col("b")).select("a", "b", "fragment", F.col("hashes").alias("right"))
-    partial = left.join(right, ["a", "b", "fragment"]).select("a", "b", "na", "nb", "left", "right").mapInArrow(overlaps, "a long, b long, na long, nb long, part_overlap long")
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part_overlap").alias("o"))
-    return total.filter(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
-
-
-def _compare_all(meetings: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``id, root`` of the classes that meet others; the root names the component."""
-    roots = written(meetings.select("id").distinct().withColumn("root", F.col("id")), "roots")
-    fragments = written(_fragments(docs, roots, size), "fragments")
-    open_, tested, pivots = meetings.withColumn("root", F.col("id")), None, 2
+
+def _compared(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``id, root`` of the ``classes`` (``id, n, bins, prefix``) that have links; the root names the component."""
+    parts = block_count(docs, PART_BYTES)
+    roots, tested, open_, round_ = None, None, classes, 0
     while True:
-        mixed = open_.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
-        open_ = written(open_.join(mixed.filter("low <> high").select("token", "members"), "token"), "open")
-        largest = open_.agg(F.max("members")).first()[0]
-        if largest is None:
-            return roots
-        order = F.xxhash64("id", F.lit(pivots))
-        now = open_.withColumn("salt", F.when(F.col("members") <= max(SMALL, pivots), F.col("id")).otherwise(F.pmod(order, F.lit(pivots))))
-        chosen = now.groupBy("token", "salt").agg(F.min(F.struct(order.alias("o"), "id", "n", "most", "root")).alias("p"))
-        chosen = chosen.select("token", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.most").alias("pmost"), F.col("p.root").alias("proot"))
-        most = F.least("most", "pmost")
-        met = now.join(chosen, "token").filter((F.col("root") != F.col("proot")) & (100 * most >= percent * (F.col("n") + F.col("pn") - most)))
-        first = F.col("id") < F.col("pivot")
-        pairs = met.select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("id", "pivot", "a"), ("pivot", "id", "b"), ("n", "pn", "na"), ("pn", "n", "nb")))).distinct()
-        pairs = written(pairs, "pairs")
-        if tested is not None:
-            pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        close = written(_close(pairs, fragments.filter(F.col("fragment") == COUNTS), percent), "close")
-        links = written(_links(close, fragments.filter(F.col("fragment") != COUNTS), percent), "links")
-        links = links.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
-        moved = written(components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("vertex").alias("root"), F.col("root").alias("next")), "moved")
-        roots = written(roots.join(moved, "root", "left").select("id", F.coalesce("next", "root").alias("root")), "roots")
-        if largest <= max(SMALL, pivots):
-            return roots  # every pair between two components has been compared
-        # tokens of fewer members are done with: all their pairs have been compared
-        open_ = open_.filter(F.col("members") > max(SMALL, pivots)).join(moved, "root", "left").select("token", "id", "n", "most", F.coalesce("next", "root").alias("root"))
-        pivots *= 8
+        found = _candidates(_with_root(open_.select("id", "n", "prefix"), roots, "id", "root"), parts, percent, round_)
+        if round_ == 0:
+            votes = found.groupBy("a", "b", "na", "nb").agg(F.sum("votes").alias("votes"))
+            best = votes.groupBy("a").agg(F.max(F.struct("votes", (-F.col("b")).alias("_b"), "b", "na", "nb")).alias("best"))
+            pairs = written(_ordered(best.select("a", "best.b", "best.na", "best.nb")), "pairs")
+            left = None
+        else:
+            found = written(found, "candidates")
+            pairs = found.filter("b is not null").select("a", "b", "na", "nb").distinct()
+            pairs = written(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            left = found.filter("b is null").select(F.col("a").alias("id")).distinct()
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        close = written(_close(pairs, classes, percent), "close")
+        links = written(_links(close, docs, size, percent), "links")
+        edges = _with_root(_with_root(links, roots, "a", "ra"), roots, "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        moved = written(components(edges), "moved")  # vertex, root
+        if roots is None:
+            roots = moved.select(F.col("vertex").alias("id"), "root")
+        else:
+            new = moved.select(F.col("vertex").alias("id")).join(roots, "id", "left_anti").withColumn("root", F.col("id"))
+            rows = roots.unionByName(new).join(moved.select(F.col("vertex").alias("root"), F.col("root").alias("_next")), "root", "left")
+            roots = written(rows.select("id", F.coalesce("_next", "root").alias("root")), "roots")
+        if left is not None:
+            if left.isEmpty():
+                return roots
+            open_ = open_.join(left, "id", "left_semi")
+        round_ += 1
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -286,19 +374,18 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
 
     A document's set holds its distinct ``size``-word shingles, A-Z lower-cased; with fewer words, all of them as one;
     null, empty and blank texts have no shingle and no link. Two documents link when 100 times their overlap is
-    ``percent`` times their union or more. Repeated rows are one document and each give a row; ids are otherwise
-    taken as unique; a null id keeps its row, has a null component and links with nothing. An empty table gives
-    an empty one.
+    ``percent`` times their union or more. The answer is components: a pair inside a component that other links have
+    already made is not compared, so links are not listed or counted. Repeated rows are one document and each give a
+    row; ids are otherwise taken as unique; a null id keeps its row, has a null component and links with nothing. An
+    empty table gives an empty one.
     """
     docs = id_and_text(docs)
     known = docs.filter("doc_id is not null")
-    parts = block_count(docs)
     table = written(shingle_sets(docs, size, percent, rarity_levels(docs, size)), "sets")
     same = table.filter("doc_id is not null and digest is not null")
     classes = written(same.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
-    first = same.select(F.col("doc_id").alias("id"), "n", "prefix").join(classes.select("id"), "id")
-    meetings = written(_meetings(first, parts, percent), "meetings")
+    first = same.select(F.col("doc_id").alias("id"), "n", "bins", "prefix").join(classes.select("id"), "id", "left_semi")
+    roots = _compared(written(first, "representatives"), known, size, percent)
     rows = table.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(classes.select("digest", "id"), "digest", "left")
-    roots = _compare_all(meetings, known, size, percent)
     low = written(roots.join(roots.groupBy("root").agg(F.min("id").alias("low")), "root").select("id", "low"), "low")
     return rows.join(low, "id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "id", "doc_id")).alias("component_id"))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .repeats import mixed
+from .words import coded
 
 #: The escaped blank of the piece files.
 BLANK = 0x2581
@@ -118,7 +119,7 @@ def sample(texts: list[str], keys: np.ndarray, pieces: Pieces, how: Sampling) ->
     begin[1:] = (doc[1:] != doc[:-1]) | ((code[1:] == BLANK) & (code[:-1] != BLANK)) | odd[1:] | odd[:-1]
     start = np.flatnonzero(begin)
     size = np.diff(np.append(start, len(code)))
-    kind, kind_of = _distinct(code, start, size)
+    kind, kind_of = _distinct(code, size)
     # the distinct ones, end to end, with a node before each character and one behind the last
     k_size = size[kind]
     node0 = np.cumsum(k_size + 1) - (k_size + 1)
@@ -192,14 +193,11 @@ def sample(texts: list[str], keys: np.ndarray, pieces: Pieces, how: Sampling) ->
     return np.split(ids, cuts[:-1])
 
 
-def _distinct(code: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A stretch for each distinct one, and for each stretch which; by two hashes."""
-    power = np.ones(int(size.max()), np.uint64)
-    power[1:] = STEP
-    power = np.cumprod(power)
-    within = np.arange(len(code)) - np.repeat(start, size)
-    value = mixed(np.add.reduceat((code.astype(np.uint64) + np.uint64(1)) * power[within], start) + size.astype(np.uint64) * SPREAD)
-    _, kind, kind_of = np.unique(value, return_index=True, return_inverse=True)
+def _distinct(code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stretch for each distinct one, and for each stretch which; they are compared character by character."""
+    kind_of, distinct = coded(code.astype(np.uint32).view(np.uint8), 4 * size)
+    kind = np.empty(len(distinct), np.int64)
+    kind[kind_of[::-1]] = np.arange(len(size))[::-1]
     return kind, kind_of
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .words import joined, word_bounds, word_hashes
+from .words import joined, run_hashes, word_bounds, word_hashes
 
 CHUNK_BYTES = 2 << 20
 LOWER_CASE, UPPER_CASE, DIGIT, BEYOND, BLANK, STOP, MARK, SYMBOL = range(8)
@@ -175,13 +175,11 @@ def _places(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _repeated(hashes: np.ndarray, doc: np.ndarray, window: int, size: int) -> np.ndarray:
     """Words of each text that lie in a window of words which stands twice or more in it."""
-    from .repeats import rolling
-
     if len(hashes) < window:
         return np.zeros(size, np.int64)
     inside = doc[: len(doc) - window + 1] == doc[window - 1 :]
     at = np.flatnonzero(inside)
-    value, owner = rolling(hashes, window)[at], doc[at]
+    value, owner = run_hashes(hashes, window)[at], doc[at]
     order = np.lexsort((value, owner))
     same = (value[order[1:]] == value[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
     twice = order[np.append(same, False) | np.insert(same, 0, False)] if len(order) else order

@@ -7,8 +7,8 @@ of all documents meets in a part as often as there are blocks, not documents.
 
 1. each block sends the minimisers of its windows, with the number of its documents that have each;
 2. parts answer with those of two or more documents, and mark the hot ones;
-3. blocks send what carries a wanted minimiser: runs of windows as one packed string, or, where the minimiser is
-   hot, the digests of the single windows;
+3. blocks send what carries a wanted minimiser: runs of windows as one packed string; where the minimiser is hot,
+   each window is a packed string of its own and goes by its own hash, so that no bucket outgrows a task;
 4. parts find each window's smallest document (the named method of either operator) and answer;
 5. blocks take out what windows of smaller documents cover.
 
@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import NULL_ID, block_count, block_of, pack_arrays, unpack_arrays
 
 MESSAGE = "block int, part int, payload binary"
-#: Documents with one minimiser from which its windows travel one by one.
-HOT = 2048
+#: Documents with one minimiser from which its windows travel one by one: a bucket holds a string of each at most.
+HOT = 1 << 15
 CHUNK_BYTES = 1 << 18
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -154,10 +154,6 @@ def _ids(group: pa.Table) -> np.ndarray:
     return group.column("doc_id").fill_null(NULL_ID).to_numpy().astype(np.int64)
 
 
-def _digests(chunk: Chunk, method: Method) -> tuple[np.ndarray, np.ndarray]:
-    return rolling(chunk.units, method.window), rolling(chunk.units, method.window, np.uint64(0xA0761D6478BD642F))
-
-
 def shared_windows(docs: DataFrame, method: Method, keep: list[str], hot: int = HOT) -> DataFrame:
     """``keep`` columns of ``docs`` (``doc_id`` long and ``text`` among its columns) and the method's own columns."""
     blocks = block_count(docs)
@@ -197,11 +193,17 @@ def shared_windows(docs: DataFrame, method: Method, keep: list[str], hot: int =
                 out.append((block, key[0].as_py(), _pack("values", pack_arrays(np.diff(own[n > 1], prepend=np.uint64(0)), n[n > 1] >= hot))))
         return _table(out)
 
-    def wanted_runs(chunk: Chunk, values: np.ndarray, is_hot: np.ndarray) -> tuple[Runs, np.ndarray]:
+    def wanted_runs(chunk: Chunk, values: np.ndarray, is_hot: np.ndarray) -> tuple[Runs, list[bytes], np.ndarray]:
+        """The runs that carry a wanted minimiser (of a hot one each window alone), as packed strings, and the part of each."""
         r = runs(chunk.units, chunk.doc, method.gram, method.window)
         at = np.minimum(np.searchsorted(values, r.value), max(len(values) - 1, 0))
         good = values[at] == r.value if len(values) else np.zeros(len(r.value), bool)
-        return Runs(r.start[good], r.windows[good], r.value[good], r.doc[good]), is_hot[at[good]]
+        r, hot_run = Runs(r.start[good], r.windows[good], r.value[good], r.doc[good]), is_hot[at[good]]
+        if hot_run.any():
+            single, cold = _ranges(r.start[hot_run], r.windows[hot_run]), ~hot_run
+            own = rolling(chunk.units, method.window)[single] >> np.uint64(16)
+            r = Runs(*(np.concatenate(x) for x in ((r.start[cold], single), (r.windows[cold], np.ones(len(single), np.int64)), (r.value[cold], own), (r.doc[cold], np.repeat(r.doc[hot_run], r.windows[hot_run])))))
+        return r, [method.packed(chunk, a, n) for a, n in zip(r.start.tolist(), r.windows.tolist(), strict=True)], (r.value % np.uint64(parts)).astype(np.int64)
 
     def values_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         got = [unpack_arrays(_unpack(x)[1]) for x in group.column("payload").to_pylist()]
@@ -215,92 +217,57 @@ def shared_windows(docs: DataFrame, method: Method, keep: list[str], hot: int =
         values, is_hot = values_of(answers)
         ids = _ids(group)
         strings: dict[bytes, list] = {}  # packed string: [part, smallest document]
-        single: dict[tuple[int, int], int] = {}
         for chunk in _chunks(group, method):
-            r, hot_run = wanted_runs(chunk, values, is_hot)
-            if not len(r.start):
-                continue
-            owner = ids[chunk.rows[r.doc]].tolist()
-            for a, n, v, o, h in zip(r.start.tolist(), r.windows.tolist(), (r.value % np.uint64(parts)).tolist(), owner, hot_run.tolist(), strict=True):
-                if not h:
-                    s = method.packed(chunk, a, n)
-                    if (e := strings.get(s)) is None:
-                        strings[s] = [v, o]
-                    elif o < e[1]:
-                        e[1] = o
-            if hot_run.any():
-                d1, d2 = _digests(chunk, method)
-                at = _ranges(r.start[hot_run], r.windows[hot_run])
-                for x, y, o in zip(d1[at].tolist(), d2[at].tolist(), np.repeat(np.array(owner)[hot_run], r.windows[hot_run]).tolist(), strict=True):
-                    if o < single.get((x, y), NULL_ID + 1):
-                        single[x, y] = o
-        block = key[0].as_py()
+            r, packed, part_of = wanted_runs(chunk, values, is_hot)
+            for s, v, o in zip(packed, part_of.tolist(), ids[chunk.rows[r.doc]].tolist(), strict=True):
+                if (e := strings.get(s)) is None:
+                    strings[s] = [v, o]
+                elif o < e[1]:
+                    e[1] = o
         keys = sorted(strings)  # the answer comes in this order, without the strings
         part = np.array([strings[s][0] for s in keys], np.int64)
         own = np.array([strings[s][1] for s in keys], np.int64)
-        out = _messages(block, part, parts, lambda at: _pack([keys[i] for i in at.tolist()], pack_arrays(own[at])))
-        pairs = np.array(list(single), np.uint64).reshape(-1, 2)
-        own1 = np.array(list(single.values()), np.int64)
-        return _table(out + _messages(block, (pairs[:, 0] % np.uint64(parts)).astype(np.int64), parts, lambda at: _pack(None, pairs[at], own1[at])))
+        return _table(_messages(key[0].as_py(), part, parts, lambda at: _pack([keys[i] for i in at.tolist()], pack_arrays(own[at]))))
 
     def smallest(key: tuple, group: pa.Table) -> pa.Table:
-        block, got = group.column("block").to_pylist(), [_unpack(x) for x in group.column("payload").to_pylist()]
-        out, place, own = [], {}, []
-        for g in got:  # each distinct string once, with its smallest document
-            if g[0] is not None:
-                for s, o in zip(g[0], unpack_arrays(g[1])[0].tolist(), strict=True):
-                    if (i := place.setdefault(s, len(own))) == len(own):
-                        own.append(o)
-                    elif o < own[i]:
-                        own[i] = o
+        out, place, own, sent = [], {}, [], []
+        for x in group.column("payload").to_pylist():  # each distinct string once, with its smallest document
+            strings, owners = _unpack(x)
+            mine = np.empty(len(strings), np.int64)
+            for k, (s, o) in enumerate(zip(strings, unpack_arrays(owners)[0].tolist(), strict=True)):
+                if (i := place.setdefault(s, len(own))) == len(own):
+                    own.append(o)
+                elif o < own[i]:
+                    own[i] = o
+                mine[k] = i
+            sent.append(mine)
         found = method.least(list(place), np.array(own, np.int64), method.window)
-        singles = [g for g in got if g[0] is None]
-        pairs = np.concatenate([np.zeros((0, 2), np.uint64), *(g[1] for g in singles)])
-        owner = np.concatenate([np.zeros(0, np.int64), *(g[2] for g in singles)])
-        order = np.lexsort((owner, pairs[:, 1], pairs[:, 0]))
-        heads = np.ones(len(order), bool)
-        heads[1:] = (pairs[order[1:]] != pairs[order[:-1]]).any(axis=1)
-        low = np.empty(len(order), np.int64)
-        low[order] = owner[order[np.flatnonzero(heads)]][np.cumsum(heads) - 1] if len(order) else low
-        end = 0
-        for b, g in zip(block, got, strict=True):
-            if g[0] is None:
-                out.append((b, key[0].as_py(), _pack("singles", g[1], low[end : end + len(g[1])])))
-                end += len(g[1])
-            else:
-                out.append((b, key[0].as_py(), _pack("strings", pack_arrays(np.concatenate([found[place[s]] for s in g[0]])))))
+        for block, mine in zip(group.column("block").to_pylist(), sent, strict=True):
+            out.append((block, key[0].as_py(), _pack("strings", pack_arrays(np.concatenate([found[i] for i in mine.tolist()])))))
         return _table(out)
 
     def removed(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         ids, names = _ids(group), [n for n, _ in method.columns]
-        pairs, low, values, is_hot = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+        values, is_hot = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
         told: dict[int, np.ndarray] = {}  # of each part's strings, in their order, end to end
         for part, x in zip(answers.column("part").to_pylist(), answers.column("payload").to_pylist(), strict=True) if answers.num_rows else []:
             kind, *got = _unpack(x)
-            if kind == "singles":
-                pairs.append(got[0])
-                low.append(got[1])
-            elif kind == "strings":
+            if kind == "strings":
                 told[part] = unpack_arrays(got[0])[0]
             else:
                 v, h = unpack_arrays(got[0])
                 values.append(np.cumsum(v, dtype=np.uint64))
                 is_hot.append(h)
-        pairs, low, values, is_hot = (np.concatenate(x) for x in (pairs, low, values, is_hot))
+        values, is_hot = np.concatenate(values), np.concatenate(is_hot)
         order = np.argsort(values)
         values, is_hot = values[order], is_hot[order]
-        order = np.argsort(pairs[:, 0], kind="stable")
-        pairs, low = pairs[order], low[order]
         chunks, size, part_of = [], {}, {}
         for chunk in _chunks(group, method):
-            r, hot_run = wanted_runs(chunk, values, is_hot)
-            cold = ~hot_run
-            strings = [method.packed(chunk, a, n) for a, n in zip(r.start[cold].tolist(), r.windows[cold].tolist(), strict=True)]
-            size.update(zip(strings, r.windows[cold].tolist(), strict=True))
-            part_of.update(zip(strings, (r.value[cold] % np.uint64(parts)).tolist(), strict=True))
-            digests = _digests(chunk, method) if hot_run.any() else None
+            r, strings, parts_ = wanted_runs(chunk, values, is_hot)
+            size.update(zip(strings, r.windows.tolist(), strict=True))
+            part_of.update(zip(strings, parts_.tolist(), strict=True))
             n_units, chunk.units = len(chunk.units), np.zeros(0, np.uint64)
-            chunks.append((chunk, n_units, r, hot_run, strings, digests))
+            chunks.append((chunk, n_units, r, strings))
         least: dict[bytes, np.ndarray] = {}
         at_part = dict.fromkeys(told, 0)
         for s in sorted(size):
@@ -309,21 +276,13 @@ def shared_windows(docs: DataFrame, method: Method, keep: list[str], hot: int =
             at_part[part_of[s]] = at + size[s]
         out: dict[int, tuple] = {}
         while chunks:
-            chunk, n_units, r, hot_run, strings, digests = chunks.pop()
+            chunk, n_units, r, strings = chunks.pop()
             owner = ids[chunk.rows[r.doc]]
-            hit = [np.zeros(0, np.int64)]
-            cold = ~hot_run
+            hit = np.zeros(0, np.int64)
             if strings:
                 told_low = np.concatenate([least[s] for s in strings])
-                hit.append(_ranges(r.start[cold], r.windows[cold])[told_low < np.repeat(owner[cold], r.windows[cold])])
-            if digests is not None:
-                d1, d2 = digests
-                at = _ranges(r.start[hot_run], r.windows[hot_run])
-                where = np.searchsorted(pairs[:, 0], d1[at])
-                for _ in range(4):  # equal first halves are next to each other
-                    where = np.where((pairs[np.minimum(where, len(pairs) - 1), 1] != d2[at]) & (where + 1 < len(pairs)), where + 1, where)
-                hit.append(at[low[where] < np.repeat(owner[hot_run], r.windows[hot_run])])
-            delta = np.bincount(np.concatenate(hit), minlength=n_units + 1)[: n_units + 1]
+                hit = _ranges(r.start, r.windows)[told_low < np.repeat(owner, r.windows)]
+            delta = np.bincount(hit, minlength=n_units + 1)[: n_units + 1]
             cover = np.cumsum(delta)
             cover[method.window :] -= cover[: -method.window].copy()
             out |= method.finish(chunk, keep, cover[:-1] > 0)

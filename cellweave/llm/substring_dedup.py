@@ -8,11 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .repeats import Chunk, Method, beside_columns, rolling, shared_windows
-from .words import WHITE, joined, word_bounds, word_hashes
+from .repeats import Chunk, Method, beside_columns, shared_windows
+from .words import WHITE, joined, word_bounds, word_codes, word_hashes
 
 WINDOW, GRAM = 50, 8
-SECOND = np.uint64(0xA0761D6478BD642F)
 
 
 def _chunk(rows: np.ndarray, texts: list[bytes]) -> Chunk:
@@ -35,21 +34,34 @@ def _packed(chunk: Chunk, window: int, windows: int) -> bytes:
 
 
 def _least(strings: list[bytes], own: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each packed string, the smallest document of each of its windows: equal windows meet by sorting."""
+    """For each packed string, the smallest document of each of its windows: equal windows meet by sorting.
+
+    Words are numbered by comparing their bytes, pairs of them by sorting pairs of numbers, then runs of 4, 8, 16 and
+    so on words by sorting pairs of half as long ones: two windows have one number if, and only if, they are equal.
+    """
     if not strings:
         return []
     data, ends = joined(strings)
     raw = np.frombuffer(data, np.uint8)
     start, end = word_bounds(raw)
-    units, doc = word_hashes(raw, start, end), np.searchsorted(ends, start, "right")
+    doc = np.searchsorted(ends, start, "right")
     inside = np.flatnonzero(doc[: len(doc) - window + 1] == doc[window - 1 :])
-    one, two, owner = rolling(units, window)[inside], rolling(units, window, SECOND)[inside], own[doc[inside]]
-    order = np.lexsort((owner, two, one))
-    head = np.ones(len(order), bool)
-    head[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
-    low = np.empty(len(order), np.int64)
-    low[order] = owner[order[head]][np.cumsum(head) - 1]
-    return np.split(low, np.searchsorted(doc[inside], np.arange(1, len(strings))))
+    number = window_numbers(word_codes(raw, start, end)[0], window)[inside]
+    least = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, number, own[doc[inside]])
+    return np.split(least[number], np.searchsorted(doc[inside], np.arange(1, len(strings))))
+
+
+def window_numbers(code: np.ndarray, window: int) -> np.ndarray:
+    """A number for each run of ``window`` codes, equal for equal runs alone."""
+
+    def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]
+
+    width, out = 1, code
+    while 2 * width <= window:
+        out, width = paired(out[: len(out) - width], out[width:]), 2 * width
+    return paired(out[: len(code) - window + 1], out[window - width :][: len(code) - window + 1]) if width < window else out
 
 
 def _finish_digest(chunk: Chunk, keep: list[str], covered: np.ndarray) -> dict[int, tuple]:

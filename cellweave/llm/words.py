@@ -3,24 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-
-from .repeats import MULTIPLIER, mixed
+import pyarrow as pa
+import xxhash
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: list[np.ndarray] = []
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        inverse = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
-        ones = np.ones(size, np.uint64)
-        ones[1:] = MULTIPLIER
-        back = np.ones(size, np.uint64)
-        back[1:] = inverse
-        _powers[:] = [np.cumprod(ones), np.cumprod(back)]
-    return _powers[0], _powers[1]
+STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,12 +19,41 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def coded(data: bytes | np.ndarray, size: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each run of ``size`` bytes of ``data``, end to end: equal runs, compared byte by byte, have equal numbers.
+
+    Numbers follow first occurrence; the distinct runs stand in their order beside.
+    """
+    ends = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=ends[1:])
+    runs = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data) if isinstance(data, np.ndarray) else data)])
+    found = runs.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """``coded`` for the words of ``word_bounds``."""
+    return coded(data[~WHITE[data]], end - start)
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word that depends on its bytes alone."""
-    power, back = _tables(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    return mixed((total[end] - total[start]) * back[start]) if len(start) else np.zeros(0, np.uint64)
+    """A 64-bit hash (XXH3) of each word; the distinct words of ``data`` are hashed once each."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    code, distinct = word_codes(data, start, end)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))[code]
+
+
+def run_hashes(units: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``size`` hashes; every step multiplies and mixes, so no sum of powers cancels."""
+    if len(units) < size:
+        return np.zeros(0, np.uint64)
+    n = len(units) - size + 1
+    out = units[:n]
+    for i in range(1, size):
+        out = (out ^ (out >> np.uint64(32))) * STEP + units[i : i + n]
+    out = (out ^ (out >> np.uint64(31))) * MIX
+    return out ^ (out >> np.uint64(29))
 
 
 def joined(texts: list[bytes]) -> tuple[bytes, np.ndarray]:

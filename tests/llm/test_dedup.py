@@ -49,7 +49,7 @@ def test_bytes(docs, rows):
 @pytest.mark.parametrize("method", [substring_dedup.DIGEST, bwt_dedup.DIGEST])
 def test_hot_minimisers_give_the_same(docs, method):
     rows = docs.select("doc_id", "text")
-    one, two = (Counter(map(tuple, repeats.shared_windows(rows, method, ["doc_id"], hot).collect())) for hot in (2, 2048))
+    one, two = (Counter(map(tuple, repeats.shared_windows(rows, method, ["doc_id"], hot).collect())) for hot in (2, repeats.HOT))
     assert one == two
 
 
@@ -71,9 +71,54 @@ def test_merged_transforms_find_all_repeats():
     for i in range(len(text) - k + 1):
         if 255 not in text[i : i + k]:
             found.setdefault(bytes(text[i : i + k]), set()).add(i)
-    places, heads = bwt_dedup.repeated_intervals(shards, k)
+    places, heads, common = bwt_dedup.repeated_intervals(shards, k)
     got = [set(x.tolist()) for x in np.split(places, heads[1:])] if len(places) else []
     assert sorted(map(sorted, got)) == sorted(sorted(x) for x in found.values() if len(x) > 1)
+    for n, c in enumerate(common.tolist()):  # the longest prefix that stands elsewhere, in steps of two bytes
+        own = max((j for j in range(k + 1) if 255 not in text[n : n + j] and n + j <= len(text) and sum(bytes(text[n : n + j]) == bytes(text[i : i + j]) for i in range(len(text) - j + 1)) > 1), default=0)
+        assert c in ({own, own - 1} if 0 < own < k else {own})
+
+
+def test_the_merge_reads_the_transforms():
+    """With a shard's transform out of order the intervals are wrong: they come from its symbols and counts."""
+    rng = np.random.default_rng(1)
+    shards = [np.append(np.frombuffer(bytes(rng.choice([97, 98], 60).tolist()) + b"x" * i, np.uint8), np.uint8(255)) for i in range(2)]
+    shards[1][:51] = shards[0][:51]
+    shards[1][50] = 195 - shards[0][50]
+    made = [bwt_dedup.transform(s, 56) for s in shards]
+    place = np.concatenate([made[0][0], made[1][0] + len(shards[0])])
+    rows, heads, _ = bwt_dedup.merged([t for _, t in made], 50)
+    assert sorted(place[rows].tolist()) == [0, len(shards[0])] and len(heads) == 1
+    shuffled = made[1][1].copy()
+    rng.shuffle(shuffled)
+    rows, _, _ = bwt_dedup.merged([made[0][1], shuffled], 50)
+    assert sorted(place[rows].tolist()) != [0, len(shards[0])]
+
+
+def thue_morse(n: int) -> str:
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_cancel_in_sums_of_powers_are_told_apart(spark, n):
+    """Polynomial hashes modulo 2^64 are equal for these two words, whatever the multiplier."""
+    x = thue_morse(n)
+    y = x.translate({97: 98, 98: 97})
+    rest = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([*rest[:20], x, *rest[20:]])), (2, " ".join([*rest[:20], y, *rest[20:]])), (3, x), (4, y), (5, x)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.shared_window_digests(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
+def test_window_numbers_are_exact():
+    rng = np.random.default_rng(2)
+    for n, window in ((300, 50), (60, 7), (40, 1), (40, 2), (40, 40)):
+        code = rng.integers(0, 2, n)
+        code[n // 2 :] = code[: n - n // 2]
+        number = substring_dedup.window_numbers(code, window)
+        runs = [tuple(code[i : i + window]) for i in range(n - window + 1)]
+        assert len(number) == len(runs) and len(set(zip(number.tolist(), runs, strict=True))) == len(set(runs)) == len(set(number.tolist()))
 
 
 def linked(rows, size, percent):
