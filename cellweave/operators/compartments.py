@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CELL, NUCLEUS, CYTOPLASM, MEMBRANE = "CELL", "NUCLEUS", "CYTOPLASM", "MEMBRANE"
@@ -17,52 +19,88 @@ def with_membrane(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("is_membrane", ~inner)
 
 
-def cell_pixels(cells: DataFrame, nuclei: DataFrame, whole: DataFrame) -> DataFrame:
+def cell_pixels(cells: DataFrame, nuclei: DataFrame, whole: DataFrame, grown: DataFrame | None = None) -> DataFrame:
     """``cell_id, r, c, is_nuc, is_membrane``: a cell's own pixels, and which of them its nucleus covers.
 
-    A cell with a whole-cell label has that label's pixels, of which the nucleus' own ones count as nucleus; one
-    with a nucleus alone has the nucleus' pixels.
+    A cell with a whole-cell label has that label's pixels, a synthesised one those that ``grown`` (``r, c, label``)
+    gives its nucleus; the nucleus' own ones among them count as nucleus. One with a nucleus alone, or whose other
+    pixels are gone, has the nucleus' pixels.
     """
-    known = cells.select("cell_id", "nucleus_label", "whole_cell_label")
+    known = cells.select("cell_id", "nucleus_label", "whole_cell_label", F.col("match_source") if "match_source" in cells.columns else F.lit("").alias("match_source"))
     nuc = nuclei.filter("label > 0").select("r", "c", F.col("label").alias("nucleus_label"))
-    body = whole.filter("label > 0").join(known.filter("whole_cell_label is not null"), F.col("label") == F.col("whole_cell_label"))
-    body = body.select("cell_id", "r", "c", "nucleus_label").join(nuc.withColumn("_n", F.lit(True)), ["r", "c", "nucleus_label"], "left")
+    body = whole.filter("label > 0").join(known.filter("whole_cell_label is not null"), F.col("label") == F.col("whole_cell_label")).select("cell_id", "r", "c", "nucleus_label")
+    if grown is not None:
+        more = grown.join(known.filter("match_source = 'watershed_synth'"), F.col("label") == F.col("nucleus_label"))
+        body = body.unionByName(more.select("cell_id", "r", "c", "nucleus_label"))
+    body = body.join(nuc.withColumn("_n", F.lit(True)), ["r", "c", "nucleus_label"], "left")
     body = body.select("cell_id", "r", "c", F.coalesce("_n", F.lit(False)).alias("is_nuc"))
-    alone = nuc.join(known.filter("whole_cell_label is null"), "nucleus_label").select("cell_id", "r", "c", F.lit(True).alias("is_nuc"))
+    bare = known.join(body.select("cell_id").distinct(), "cell_id", "left_anti")
+    alone = nuc.join(bare, "nucleus_label").select("cell_id", "r", "c", F.lit(True).alias("is_nuc"))
     return with_membrane(body.unionByName(alone))
 
 
+def _bounded(cells: DataFrame) -> DataFrame:
+    """``cell_id, _b``: whether a cell has a boundary of its own."""
+    synthesised = F.col("match_source") == "watershed_synth" if "match_source" in cells.columns else F.lit(False)
+    return cells.select("cell_id", (F.col("whole_cell_label").isNotNull() | synthesised).alias("_b"))
+
+
 def compartments(pixels: DataFrame, cells: DataFrame) -> DataFrame:
-    """``cell_id, compartment, r, c``. Cytoplasm needs boundary and nucleus, membrane a boundary; empty ones have no rows."""
-    has = cells.select("cell_id", F.col("whole_cell_label").isNotNull().alias("_b"), F.col("nucleus_label").isNotNull().alias("_n"))
+    """``cell_id, compartment, r, c``. Cytoplasm needs boundary and nucleus pixels, membrane a boundary; empty ones have no rows."""
     of = lambda name, when: F.when(when, F.lit(name))
+    rows = pixels.withColumn("_n", F.max("is_nuc").over(Window.partitionBy("cell_id"))).join(_bounded(cells), "cell_id")
     names = F.array(F.lit(CELL), of(NUCLEUS, F.col("is_nuc")), of(CYTOPLASM, F.col("_b") & F.col("_n") & ~F.col("is_nuc")), of(MEMBRANE, F.col("_b") & F.col("is_membrane")))
-    rows = pixels.join(has, "cell_id").select("cell_id", F.explode(F.array_compact(names)).alias("compartment"), "r", "c")
-    return rows
+    return rows.select("cell_id", F.explode(F.array_compact(names)).alias("compartment"), "r", "c")
 
 
-def _std(v: Column) -> Column:
-    """Population deviation; exact sums for integers."""
-    n = F.count(v)
-    return F.sqrt((n * F.sum(v * v) - F.sum(v) * F.sum(v)).cast("double")) / n
+def _std(v: Column, whole_numbers: bool) -> Column:
+    """Population deviation: exact sums for whole numbers, which no size of group overflows; else by Spark's own."""
+    if not whole_numbers:
+        return F.stddev_pop(v)
+    n, total = F.count(v).cast("decimal(19,0)"), F.sum(v.cast("decimal(19,0)"))
+    squares = F.sum((v.cast("decimal(19,0)") * v.cast("decimal(19,0)")).cast("decimal(28,0)"))
+    return F.sqrt((n * squares - total * total).cast("double")) / F.count(v)
 
 
-def _statistics(v: Column, median: bool) -> list[Column]:
-    out = [F.count(v).alias("n"), (F.sum(v) / F.count(v)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), _std(v).alias("std")]
+def _statistics(v: Column, median: bool, whole_numbers: bool) -> list[Column]:
+    out = [F.count(v).alias("n"), (F.sum(v) / F.count(v)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), _std(v, whole_numbers).alias("std")]
     return out + ([F.percentile(v, F.lit(0.5)).alias("median")] if median else [])
 
 
+def _whole_numbers(image: DataFrame) -> bool:
+    return image.schema["v"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+
 def intensity(places: DataFrame, image: DataFrame, by: list[str], mode: str = "exact") -> DataFrame:
     """``n, mean, min, max, std`` and, but for the fast modes, ``median`` of the image under each group of ``places``."""
     rows = places.join(image, ["r", "c"])
-    return rows.groupBy(*by, "ch").agg(*_statistics(F.col("v"), mode == "exact"))
+    return rows.groupBy(*by, "ch").agg(*_statistics(F.col("v"), mode == "exact", _whole_numbers(image)))
+
+
+def _of_compartments(pixels: DataFrame, cells: DataFrame, image: DataFrame, made: Callable[[Column], list[Column]]) -> DataFrame:
+    """``cell_id, ch, compartment`` and what ``made`` gives for the values of each: every pixel meets the image once."""
+    rows = pixels.join(_bounded(cells), "cell_id").join(image, ["r", "c"])
+    inside = {CELL: F.lit(True), NUCLEUS: F.col("is_nuc"), CYTOPLASM: F.col("_b") & ~F.col("is_nuc"), MEMBRANE: F.col("_b") & F.col("is_membrane")}
+    rows = rows.groupBy("cell_id", "ch").agg(*[F.struct(*made(F.when(when, F.col("v")))).alias(name) for name, when in inside.items()])
+    fields = [f.name for f in rows.schema[CELL].dataType.fields]
+    each = F.array(*[F.struct(F.lit(name).alias("compartment"), *[F.col(name)[f].alias(f) for f in fields]) for name in inside])
+    nucleus = F.col(NUCLEUS)["n"] > 0
+    rows = rows.select("cell_id", "ch", nucleus.alias("_n"), F.explode(each).alias("_e")).select("cell_id", "ch", "_n", "_e.*")
+    return rows.filter((F.col("n") > 0) & (F.col("_n") | (F.col("compartment") != CYTOPLASM))).drop("_n")
+
+
+def compartment_intensity(pixels: DataFrame, cells: DataFrame, image: DataFrame, mode: str = "exact") -> DataFrame:
+    """``cell_id, ch, compartment`` and the statistics of ``intensity``, from ``cell_pixels``."""
+    return _of_compartments(pixels, cells, image, lambda v: _statistics(v, mode == "exact", _whole_numbers(image)))
 
 
-def percentiles(places: DataFrame, image: DataFrame, by: list[str], at: list[float], min_pixels: int = 0) -> DataFrame:
-    """``p, value`` for each percentile, with linear interpolation; groups of fewer than ``min_pixels`` pixels have none."""
-    rows = places.join(image, ["r", "c"]).groupBy(*by, "ch").agg(F.count(F.lit(1)).alias("n"), F.percentile("v", F.array(*[F.lit(p / 100.0) for p in at])).alias("q"))
+def compartment_percentiles(pixels: DataFrame, cells: DataFrame, image: DataFrame, at: list[float], min_pixels: int = 0) -> DataFrame:
+    """``cell_id, ch, compartment, p, value`` with linear interpolation; cells of fewer than ``min_pixels`` pixels have none."""
+    if min_pixels:
+        pixels = pixels.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("cell_id"))).filter(F.col("_size") >= min_pixels).drop("_size")
+    rows = _of_compartments(pixels, cells, image, lambda v: [F.count(v).alias("n"), F.percentile(v, F.array(*[F.lit(p / 100.0) for p in at])).alias("q")])
     pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in at]).alias("p"), F.col("q").alias("value"))
-    return rows.filter(F.col("n") >= min_pixels).select(*by, "ch", F.inline(pairs)).toDF(*by, "ch", "p", "value")
+    return rows.select("cell_id", "ch", "compartment", F.inline(pairs)).toDF("cell_id", "ch", "compartment", "p", "value")
 
 
 def keyed(summary: DataFrame, channels: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cellweave.functions.tables import written
-from cellweave.operators import compartments as cp, labels as lb, matching as mt, morphology as mo, neighbours as nb, outlines as ol, raster as ra, shape as sh
-from cellweave.sources import export
+from cellweave.operators import clipping as cl, compartments as cp, labels as lb, matching as mt, measure as me, morphology as mo, neighbours as nb, outlines as ol, raster as ra, shape as sh
+from cellweave.sources import boundaries as bd, export
 from cellweave.sources.scenes import WIDTH, Scene
 
 RADIUS = 10.0
@@ -38,7 +38,7 @@ SCENE = f"""
 k AS (SELECT CAST(s_suppkey AS INT) k, CAST(s_suppkey AS INT) % 10 gc, CAST(FLOOR(s_suppkey / 10) AS INT) gr FROM supplier),
 ctr AS (SELECT k, gr*16 + 8 + (k*7) % 5 - 2 AS cy, gc*16 + 8 + (k*11) % 5 - 2 AS cx FROM k),
 meta AS (SELECT CAST((max(gr) + 1) * 16 AS INT) AS h, 160 AS w FROM k),
-wcd AS (SELECT k + 1 AS label, cy, cx, CASE WHEN k % 13 = 7 THEN 3 ELSE 4 + k % 3 END AS rad FROM ctr WHERE k % 17 <> 5),
+wcd AS (SELECT k + 1 AS label, cy, cx + CASE WHEN k % 30 = 3 THEN 10 ELSE 0 END AS cx, CASE WHEN k % 13 = 7 THEN 3 ELSE 4 + k % 3 END AS rad FROM ctr WHERE k % 17 <> 5),
 nd AS (SELECT k + 1 AS label, cy + k % 3 - 1 AS cy, cx + CAST(FLOOR(k / 3) AS INT) % 3 - 1 + CASE WHEN k % 13 = 7 THEN 6 ELSE 0 END AS cx, 2 AS rad FROM ctr WHERE k % 11 <> 3
   UNION ALL SELECT 100000 + k, cy - 3, cx, 1 FROM ctr WHERE k % 7 = 2),
 off AS (SELECT unnest(range(-6, 7)) AS o),
@@ -79,7 +79,7 @@ PIXELS = """
 body AS (SELECT cell_id, wc.r, wc.c, nuc.label IS NOT NULL is_nuc FROM cells JOIN wc ON wc.label = whole_cell_label LEFT JOIN nuc ON nuc.r = wc.r AND nuc.c = wc.c AND nuc.label = nucleus_label),
 px AS (SELECT a.cell_id, a.r, a.c, a.is_nuc, (SELECT count(*) FROM body b WHERE b.cell_id = a.cell_id AND abs(b.r - a.r) + abs(b.c - a.c) = 1) < 4 is_membrane FROM body a),
 comp AS (SELECT cell_id, 'CELL' compartment, r, c FROM px UNION ALL SELECT cell_id, 'NUCLEUS', r, c FROM px WHERE is_nuc
-  UNION ALL SELECT cell_id, 'CYTOPLASM', r, c FROM px WHERE NOT is_nuc UNION ALL SELECT cell_id, 'MEMBRANE', r, c FROM px WHERE is_membrane)"""
+  UNION ALL SELECT cell_id, 'CYTOPLASM', r, c FROM px WHERE NOT is_nuc AND cell_id IN (SELECT cell_id FROM px WHERE is_nuc) UNION ALL SELECT cell_id, 'MEMBRANE', r, c FROM px WHERE is_membrane)"""
 _SUMMARY = "count(*) n, CAST(sum(v) AS DOUBLE)/count(*) mean, min(v) min, max(v) max, sqrt(CAST(count(*)*sum(v*v) - sum(v)*sum(v) AS DOUBLE))/count(*) std"
 
 
@@ -196,27 +196,31 @@ def membrane_pixels(s: Scene) -> DataFrame:
 
 @query(sql(f"SELECT cell_id, ch, compartment, {_SUMMARY}, CAST(quantile_cont(v, 0.5) AS DOUBLE) median FROM comp JOIN img USING (r, c) GROUP BY ALL", *_PIXELS, IMAGE))
 def intensity_summary(s: Scene) -> DataFrame:
-    return cp.intensity(compartments_of(s), s.image, ["cell_id", "compartment"])
+    cells = cells_of(s)
+    return cp.compartment_intensity(pixels_of(s, cells), cells, s.image)
 
 
 @query(sql(f"SELECT cell_id, ch, compartment, {_SUMMARY} FROM comp JOIN img USING (r, c) GROUP BY ALL", *_PIXELS, IMAGE))
 def intensity_fast(s: Scene) -> DataFrame:
-    return cp.intensity(compartments_of(s), s.image, ["cell_id", "compartment"], "fast")
+    cells = cells_of(s)
+    return cp.compartment_intensity(pixels_of(s, cells), cells, s.image, "fast")
 
 
 def _percentile_sql(least: int) -> str:
-    return " UNION ALL ".join(f"SELECT cell_id, ch, compartment, CAST({p} AS DOUBLE) p, round(CAST(quantile_cont(v, {p / 100}) AS DOUBLE), 6) value FROM m GROUP BY ALL HAVING count(*) >= {least}" for p in PERCENTILES)
+    return " UNION ALL ".join(f"SELECT cell_id, ch, compartment, CAST({p} AS DOUBLE) p, round(CAST(quantile_cont(v, {p / 100}) AS DOUBLE), 6) value FROM m WHERE cell_id IN (SELECT cell_id FROM px GROUP BY 1 HAVING count(*) >= {least}) GROUP BY ALL" for p in PERCENTILES)
 
 
 @query(sql(_percentile_sql(0), *_PIXELS, IMAGE, "m AS (SELECT * FROM comp JOIN img USING (r, c))"))
 def intensity_percentiles(s: Scene) -> DataFrame:
-    rows = cp.percentiles(compartments_of(s), s.image, ["cell_id", "compartment"], PERCENTILES)
+    cells = cells_of(s)
+    rows = cp.compartment_percentiles(pixels_of(s, cells), cells, s.image, PERCENTILES)
     return rows.withColumn("value", F.round("value", 6))
 
 
 @query(sql(_percentile_sql(25), *_PIXELS, IMAGE, "m AS (SELECT * FROM comp JOIN img USING (r, c))"))
 def small_cell_percentiles(s: Scene) -> DataFrame:
-    rows = cp.percentiles(compartments_of(s), s.image, ["cell_id", "compartment"], PERCENTILES, 25)
+    cells = cells_of(s)
+    rows = cp.compartment_percentiles(pixels_of(s, cells), cells, s.image, PERCENTILES, 25)
     return rows.withColumn("value", F.round("value", 6))
 
 
@@ -229,7 +233,8 @@ _KEYED = sql(
 
 @query(_KEYED)
 def measurement_rows(s: Scene) -> DataFrame:
-    return cp.keyed(cp.intensity(compartments_of(s), s.image, ["cell_id", "compartment"]), s.spark.createDataFrame(CHANNELS, "ch int, name string"))
+    cells = cells_of(s)
+    return cp.keyed(cp.compartment_intensity(pixels_of(s, cells), cells, s.image), s.spark.createDataFrame(CHANNELS, "ch int, name string"))
 
 
 # depth by brute force over nearby pixels: the window passes' own check
@@ -241,12 +246,18 @@ hist AS (SELECT cell_id, compartment, depth, count(*) n FROM ring0 GROUP BY ALL)
 cum AS (SELECT *, sum(n) OVER (PARTITION BY cell_id, compartment) total, COALESCE(sum(n) OVER (PARTITION BY cell_id, compartment ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) lt FROM hist),
 rings AS (SELECT cell_id, compartment, CAST(depth AS INT) depth, n, CASE {} ELSE 5 END bin FROM cum)""".format(" ".join(f"WHEN total - lt > FLOOR(CAST(total AS DOUBLE) * CAST('{1.0 - b / 5!r}' AS DOUBLE)) THEN {b}" for b in range(1, 5)))
 _REACH = mo.reach_px(RING_PIXEL)
-_EXPANSION = """
-ring0 AS (SELECT b.cell_id, y r, x c, min(abs(p.r - y) + abs(p.c - x)) depth FROM (SELECT cell_id, unnest(range(greatest(r0 - {k}, 0), least(r1 + {k}, h - 1) + 1)) y, greatest(c0 - {k}, 0) c0, least(c1 + {k}, w - 1) c1 FROM (SELECT cell_id, min(r) r0, max(r) r1, min(c) c0, max(c) c1 FROM px GROUP BY 1) CROSS JOIN meta) b,
+
+
+def _expansion(reach: int) -> str:
+    return """
+out0 AS (SELECT b.cell_id, y r, x c, min(abs(p.r - y) + abs(p.c - x)) depth FROM (SELECT cell_id, unnest(range(greatest(r0 - {k}, 0), least(r1 + {k}, h - 1) + 1)) y, greatest(c0 - {k}, 0) c0, least(c1 + {k}, w - 1) c1 FROM (SELECT cell_id, min(r) r0, max(r) r1, min(c) c0, max(c) c1 FROM px GROUP BY 1) CROSS JOIN meta) b,
   LATERAL (SELECT unnest(range(c0, c1 + 1)) x) JOIN px p ON p.cell_id = b.cell_id GROUP BY ALL HAVING depth BETWEEN 1 AND {k}),
-hist AS (SELECT cell_id, depth, count(*) n FROM ring0 GROUP BY ALL),
-cum AS (SELECT *, sum(n) OVER (PARTITION BY cell_id) total, COALESCE(sum(n) OVER (PARTITION BY cell_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) lt FROM hist),
-rings AS (SELECT cell_id, CAST(depth AS INT) depth, n, CASE {rule} ELSE 5 END bin FROM cum)""".format(k=_REACH, rule=" ".join(f"WHEN lt < FLOOR(CAST(total AS DOUBLE) * CAST('{b / 5!r}' AS DOUBLE)) THEN {b}" for b in range(1, 5)))
+ohist AS (SELECT cell_id, depth, count(*) n FROM out0 GROUP BY ALL),
+ocum AS (SELECT *, sum(n) OVER (PARTITION BY cell_id) total, COALESCE(sum(n) OVER (PARTITION BY cell_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) lt FROM ohist),
+orings AS (SELECT cell_id, CAST(depth AS INT) depth, n, CASE {rule} ELSE 5 END bin FROM ocum)""".format(k=reach, rule=" ".join(f"WHEN lt < FLOOR(CAST(total AS DOUBLE) * CAST('{b / 5!r}' AS DOUBLE)) THEN {b}" for b in range(1, 5)))
+
+
+_EXPANSION = _expansion(_REACH)
 _INNER, _OUTER = ["cell_id", "compartment"], ["cell_id"]
 _RING_STATS = "count(*) n, CAST(sum(v) AS DOUBLE)/count(*) mean, CAST(quantile_cont(v, 0.5) AS DOUBLE) median"
 
@@ -274,18 +285,18 @@ def erosion_intensity(s: Scene) -> DataFrame:
     return _ring_stats(s, places, mo.erosion_rings(places, _INNER), _INNER)
 
 
-@query(sql("SELECT cell_id, depth, CAST(n AS BIGINT) n, bin FROM rings", *_PIXELS, _EXPANSION))
+@query(sql("SELECT cell_id, depth, CAST(n AS BIGINT) n, bin FROM orings", *_PIXELS, _EXPANSION))
 def expansion_bins(s: Scene) -> DataFrame:
     return mo.expansion_rings(_outward(s), _OUTER)
 
 
-@query(sql(f"SELECT cell_id, ch, bin, {_RING_STATS} FROM ring0 JOIN rings USING (cell_id, depth) JOIN img USING (r, c) GROUP BY ALL", *_PIXELS, IMAGE, _EXPANSION))
+@query(sql(f"SELECT cell_id, ch, bin, {_RING_STATS} FROM out0 JOIN orings USING (cell_id, depth) JOIN img USING (r, c) GROUP BY ALL", *_PIXELS, IMAGE, _EXPANSION))
 def expansion_intensity(s: Scene) -> DataFrame:
     places = _outward(s)
     return _ring_stats(s, places, mo.expansion_rings(places, _OUTER), _OUTER)
 
 
-@query(sql(f"SELECT cell_id, ch, {_SUMMARY}, CAST(quantile_cont(v, 0.5) AS DOUBLE) median FROM ring0 JOIN img USING (r, c) GROUP BY ALL", *_PIXELS, IMAGE, _EXPANSION))
+@query(sql(f"SELECT cell_id, ch, {_SUMMARY}, CAST(quantile_cont(v, 0.5) AS DOUBLE) median FROM out0 JOIN img USING (r, c) GROUP BY ALL", *_PIXELS, IMAGE, _EXPANSION))
 def environment_ring(s: Scene) -> DataFrame:
     return cp.intensity(_outward(s), s.image, _OUTER)
 
@@ -398,11 +409,120 @@ def contours(s: Scene) -> DataFrame:
     return ol.outlines(s.cells).select("label", F.size("ring").alias("vertices"), "area")
 
 
-@query()
+# trimming in SQL: the scene's overlapping pairs have no cell in common, so their order doesn't matter
+_TRIMMED = """
+lap AS (SELECT a.label i, b.label j, count(*) px FROM wcp a JOIN wcp b ON a.r = b.r AND a.c = b.c AND a.label < b.label GROUP BY 1, 2),
+area AS (SELECT label, count(*) n FROM wcp GROUP BY 1),
+lost AS (SELECT CASE WHEN x.n >= y.n THEN i ELSE j END loser, CASE WHEN x.n >= y.n THEN j ELSE i END winner FROM lap JOIN area x ON x.label = i JOIN area y ON y.label = j),
+rest AS (SELECT label, r, c FROM wcp JOIN lost ON label = loser WHERE NOT EXISTS (SELECT 1 FROM wcp v WHERE v.label = winner AND v.r = wcp.r AND v.c = wcp.c)),
+reach AS (SELECT label, r, c, r*1000 + c root FROM rest UNION SELECT rest.label, rest.r, rest.c, reach.root FROM reach JOIN rest ON rest.label = reach.label AND abs(rest.r - reach.r) + abs(rest.c - reach.c) = 1),
+piece AS (SELECT label, r, c, min(root) root FROM reach GROUP BY 1, 2, 3),
+best AS (SELECT label, root FROM (SELECT label, root, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, root) k FROM piece GROUP BY 1, 2) WHERE k = 1),
+trim AS (SELECT CAST(label AS BIGINT) label, CAST(r AS INT) r, CAST(c AS INT) c FROM wcp WHERE label NOT IN (SELECT loser FROM lost) UNION ALL SELECT CAST(label AS BIGINT), CAST(r AS INT), CAST(c AS INT) FROM piece JOIN best USING (label, root))"""
+
+
+def _trimmed(s: Scene) -> DataFrame:
+    return cl.trimmed(s.disk_pixels(s.cell_disks))
+
+
+@query(sql("SELECT CAST(i AS BIGINT) i, CAST(j AS BIGINT) j, px FROM lap", _TRIMMED))
+def overlapping_cells(s: Scene) -> DataFrame:
+    shapes = s.disk_pixels(s.cell_disks)
+    found = cl.overlapping(shapes)
+    a, b = (shapes.select(F.col("label").alias(x), "r", "c") for x in "ij")
+    rows = found.join(a, "i").join(b, ["j", "r", "c"]).groupBy("i", "j").agg(F.count(F.lit(1)).alias("px"))
+    return rows.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "px")
+
+
+@query(sql("SELECT label, r, c FROM trim", _TRIMMED))
 def clipped_overlaps(s: Scene) -> DataFrame:
-    """Outlines of the disks after every place has gone to the smallest disk over it: no two share area."""
-    shapes = s.disk_pixels(s.cell_disks).select(F.col("label").alias("ord"), F.col("label").cast("long").alias("label"), "r", "c")
-    return ol.outlines(ra.painted(shapes)).select("label", F.size("ring").alias("vertices"), "area")
+    """The disks after trimming: no two share a place."""
+    return _trimmed(s)
+
+
+@query(sql("SELECT CAST(n.label AS BIGINT) label, count(*) px FROM nucp n JOIN trim t ON t.label = n.label AND t.r = n.r AND t.c = n.c GROUP BY 1", _TRIMMED))
+def clipped_nuclei(s: Scene) -> DataFrame:
+    """Nuclei inside their own trimmed cells; the scene's are in one piece there."""
+    return cl.clipped_nuclei(s.disk_pixels(s.nucleus_disks), _trimmed(s)).groupBy("label").agg(F.count(F.lit(1)).alias("px"))
+
+
+def _diamonds(s: Scene) -> DataFrame:
+    """A boundary table: a diamond about each disk, as well-known binary."""
+
+    def made(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for y, x, rad in zip(*(batch.column(c).to_pylist() for c in ("cy", "cx", "rad")), strict=True):
+                reach = rad + 0.3
+                out.append(bd.well_known([[(x + reach, y), (x, y + reach), (x - reach, y), (x, y - reach), (x + reach, y)]]))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.binary())], names=["label", "geometry"])
+
+    disks = s.cell_disks.select(F.col("label").cast("long").alias("label"), *[F.col(c).cast("double").alias(c) for c in ("cy", "cx", "rad")])
+    return disks.mapInArrow(made, "label long, geometry binary")
+
+
+@query(sql("SELECT CAST(y AS INT) r, CAST(x AS INT) c, CAST(max(label) AS BIGINT) label FROM (SELECT label, cy + a.o y, cx + b.o x, abs(a.o + 0.5) + abs(b.o + 0.5) d, rad FROM wcd CROSS JOIN (SELECT unnest(range(-8, 9)) o) a CROSS JOIN (SELECT unnest(range(-8, 9)) o) b) CROSS JOIN meta WHERE d < rad + 0.3 AND y BETWEEN 0 AND h - 1 AND x BETWEEN 0 AND w - 1 GROUP BY 1, 2"))
+def burned_boundaries(s: Scene) -> DataFrame:
+    return bd.burned(bd.rings(_diamonds(s)), (s.height, WIDTH))
+
+
+@query(sql("SELECT CAST(label AS BIGINT) label, CAST(5 AS INT) vertices, round(2*(rad + 0.3)*(rad + 0.3), 6) area FROM wcd"))
+def boundary_outlines(s: Scene) -> DataFrame:
+    rows = bd.outlines(bd.rings(_diamonds(s)))
+    return rows.select("label", F.size("ring").alias("vertices"), F.round("area", 6).alias("area"))
+
+
+# nuclei without a cell, in order, after the matches; one whose pixels all belong to matched cells keeps its id unused
+_ALL = """
+spare AS (SELECT label, area, (SELECT count(*) FROM cells) + row_number() OVER (ORDER BY label) cell_id FROM nst WHERE label NOT IN (SELECT nuc FROM pairs)),
+free AS (SELECT * FROM spare WHERE label IN (SELECT label FROM nuc WHERE NOT EXISTS (SELECT 1 FROM wc WHERE wc.r = nuc.r AND wc.c = nuc.c AND wc.label IN (SELECT wc FROM pairs)))),
+every AS (SELECT cell_id, nucleus_label, whole_cell_label, nucleus_area_px, overlap_px, overlap_fraction, match_source FROM cells
+  UNION ALL SELECT cell_id, label, NULL, area, 0, 0, 'watershed_synth' FROM free)"""
+
+
+@query(sql("SELECT * FROM every", *_MATCHED, _ALL))
+def all_cells(s: Scene) -> DataFrame:
+    """Matches by overlap, by distance, and cells grown around what is left, with ids that run on."""
+    cells, _ = me.all_cells(s.nuclei, s.cells, (s.height, WIDTH))
+    return cells.select("cell_id", "nucleus_label", "whole_cell_label", "nucleus_area_px", "overlap_px", "overlap_fraction", "match_source")
+
+
+#: Microns a pixel of the whole run: rings and neighbours reach sixteen pixels.
+RUN = me.Options(percentiles=PERCENTILES, environment_expansion=True, neighbours=3, pixel_size_microns=1.25)
+_FIVE = "unnest(['Mean', 'Median', 'Min', 'Max', 'Std.Dev.']) s, unnest([mean, median, CAST(min AS DOUBLE), CAST(max AS DOUBLE), std]) v"
+_TWO = "unnest(['Mean', 'Median']) s, unnest([mean, median]) v"
+_BY_PLACE = f"{_SUMMARY}, CAST(quantile_cont(v, 0.5) AS DOUBLE) median"
+_RUN = f"""
+shp AS (SELECT cell_id, 'Cell' nm, r, c FROM px UNION ALL SELECT cell_id, 'Nucleus', r, c FROM px WHERE is_nuc),
+edge AS (SELECT a.* FROM shp a WHERE (SELECT count(*) FROM shp b WHERE b.cell_id = a.cell_id AND b.nm = a.nm AND abs(b.r - a.r) + abs(b.c - a.c) = 1) < 4),
+code AS (SELECT a.cell_id, a.nm, a.r, a.c, sum(CASE abs(a.r - b.r) + abs(a.c - b.c) WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 10 END) k FROM edge a JOIN edge b ON b.cell_id = a.cell_id AND b.nm = a.nm AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY ALL),
+per AS (SELECT cell_id, nm, sum(CASE WHEN k IN (5, 7, 15, 17, 25, 27) THEN 1.0 WHEN k IN (21, 33) THEN sqrt(2.0) WHEN k IN (13, 23) THEN (1 + sqrt(2.0))/2 ELSE 0.0 END) len FROM code GROUP BY ALL),
+cov AS (SELECT cell_id, nm, n, CAST(srr*n - sr*sr AS DOUBLE)/(CAST(n AS DOUBLE)*n) + 1/12 a, CAST(scc*n - sc*sc AS DOUBLE)/(CAST(n AS DOUBLE)*n) + 1/12 b, CAST(rc*n - sr*sc AS DOUBLE)/(CAST(n AS DOUBLE)*n) m FROM (SELECT cell_id, nm, count(*) n, sum(r) sr, sum(c) sc, sum(r*r) srr, sum(c*c) scc, sum(r*c) rc FROM shp GROUP BY ALL)),
+form AS (SELECT cell_id, nm, n*1.5625 area, CASE WHEN n < 5 OR len <= 0 THEN 0.0 ELSE least(greatest(4*pi()*n/(len*len), 0.0), 1.0) END circ, len*1.25 len,
+  5*sqrt(greatest((a + b + sqrt(4*m*m + (a-b)*(a-b)))/2, 0)) major, 5*sqrt(greatest((a + b - sqrt(4*m*m + (a-b)*(a-b)))/2, 0)) minor FROM cov JOIN per USING (cell_id, nm)),
+lab AS (SELECT *, upper(compartment[1]) || lower(compartment[2:]) nm FROM comp JOIN img USING (r, c) JOIN names USING (ch)),
+inner_ AS (SELECT cell_id, name, upper(compartment[1]) || lower(compartment[2:]) || ': ErosionBin_' || bin nm, {_BY_PLACE} FROM ring0 JOIN rings USING (cell_id, compartment, depth) JOIN img USING (r, c) JOIN names USING (ch) GROUP BY ALL),
+outer_ AS (SELECT cell_id, name, 'Cell: ExpansionBin_' || bin nm, {_BY_PLACE} FROM out0 JOIN orings USING (cell_id, depth) JOIN img USING (r, c) JOIN names USING (ch) GROUP BY ALL),
+env AS (SELECT cell_id, name, 'Cell: Environment_20um' nm, {_BY_PLACE} FROM out0 JOIN img USING (r, c) JOIN names USING (ch) GROUP BY ALL),
+base AS (SELECT cell_id, nm || ': ' || s AS key, v FROM (SELECT cell_id, nm, unnest(['Area µm^2', 'Circularity', 'Length µm', 'Max diameter µm', 'Min diameter µm']) s, unnest([area, circ, len, major, minor]) v FROM form)
+  UNION ALL SELECT a.cell_id, 'Nucleus/Cell area ratio', b.area/a.area FROM form a JOIN form b ON b.cell_id = a.cell_id AND a.nm = 'Cell' AND b.nm = 'Nucleus'
+  UNION ALL SELECT cell_id, name || ': ' || nm || ': ' || s, v FROM (SELECT cell_id, name, nm, {_FIVE} FROM (SELECT cell_id, name, nm, {_BY_PLACE} FROM lab GROUP BY ALL))
+  UNION ALL SELECT cell_id, name || ': ' || nm || ': Percentile: ' || p, v FROM ({" UNION ALL ".join(f"SELECT cell_id, name, nm, '{p}' p, CAST(quantile_cont(v, {p / 100}) AS DOUBLE) v FROM lab GROUP BY ALL" for p in PERCENTILES)})
+  UNION ALL SELECT cell_id, name || ': ' || nm || ': ' || s, v FROM (SELECT cell_id, name, nm, {_TWO} FROM inner_)
+  UNION ALL SELECT cell_id, name || ': ' || nm || ': ' || s, v FROM (SELECT cell_id, name, nm, {_TWO} FROM outer_)
+  UNION ALL SELECT cell_id, name || ': ' || nm || ': ' || s, v FROM (SELECT cell_id, name, nm, {_FIVE} FROM env)),
+dist AS (SELECT a.cell_id, b.cell_id neighbour_id, (a.centroid_r-b.centroid_r)*(a.centroid_r-b.centroid_r) + (a.centroid_c-b.centroid_c)*(a.centroid_c-b.centroid_c) d2 FROM cells a JOIN cells b ON a.cell_id <> b.cell_id),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY d2, neighbour_id) AS rank FROM dist WHERE d2 <= 256) WHERE rank <= 3)"""
+
+
+@query(sql("SELECT cell_id, key, round(v + 1e-8, 5) AS value FROM base UNION ALL SELECT nn.cell_id, 'Neighbours: Mean: ' || key, round(sum(v)/count(*) + 1e-8, 5) FROM nn JOIN base ON base.cell_id = neighbour_id GROUP BY 1, 2", *_PIXELS, IMAGE, _NAMES, _EROSION, _expansion(mo.reach_px(RUN.pixel)), _RUN))
+def measurements_all(s: Scene) -> DataFrame:
+    """Every family of measurements of the matched cells in one run; solidity, which SQL can't give, is left to its own query."""
+    channels = s.spark.createDataFrame(CHANNELS, "ch int, name string")
+    rows = me.measure(cells_of(s), s.nuclei, s.cells, s.image, channels, (s.height, WIDTH), RUN)
+    return rows.filter(~F.col("key").endswith("Solidity")).withColumn("value", F.round(F.col("value") + 1e-8, 5))
 
 
 @query()
@@ -410,7 +530,7 @@ def geojson_features(s: Scene) -> DataFrame:
     cells = cells_of(s)
     rings = ol.outlines(s.cells).select(F.col("label").alias("whole_cell_label"), "ring").join(cells.select("cell_id", "whole_cell_label"), "whole_cell_label")
     nuclei = ol.outlines(s.nuclei).select(F.col("label").alias("nucleus_label"), "ring").join(cells.select("cell_id", "nucleus_label"), "nucleus_label")
-    summary = cp.intensity(cp.compartments(pixels_of(s, cells), cells), s.image, ["cell_id", "compartment"])
+    summary = cp.compartment_intensity(pixels_of(s, cells), cells, s.image)
     maps = cp.as_map(cp.keyed(summary, s.spark.createDataFrame(CHANNELS, "ch int, name string")))
     return export.features(cells, rings, nuclei, maps)
 

@@ -31,9 +31,10 @@ class Scene:
 
     @cached_property
     def cell_disks(self) -> DataFrame:
-        """``label, cy, cx, rad``; disks of different cells may overlap."""
+        """``label, cy, cx, rad``; every thirtieth disk is moved over its neighbour."""
         rad = F.when(F.col("k") % 13 == 7, 3).otherwise(4 + F.col("k") % 3)
-        return self.centres.filter("k % 17 <> 5").select((F.col("k") + 1).alias("label"), "cy", "cx", rad.alias("rad"))
+        moved = F.col("cx") + F.when(F.col("k") % 30 == 3, 10).otherwise(0)
+        return self.centres.filter("k % 17 <> 5").select((F.col("k") + 1).alias("label"), "cy", moved.alias("cx"), rad.alias("rad"))
 
     @cached_property
     def nucleus_disks(self) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from cellweave.operators import compartments as cp, labels as lb, matching as mt, morphology as mo, neighbours as nb, outlines as ol, raster as ra, shape as sh
+from cellweave.operators import clipping as cl, compartments as cp, labels as lb, matching as mt, measure as me, morphology as mo, neighbours as nb, outlines as ol, raster as ra, shape as sh
 from cellweave.functions.tables import numbered
 from pyspark.sql import functions as F
 
@@ -75,13 +75,34 @@ def test_compartments_and_intensity(spark):
     got = {r["compartment"]: r for r in cp.intensity(places, image(spark, values), ["cell_id", "compartment"]).collect()}
     inner = values[2:5, 2:5].ravel()
     assert got["NUCLEUS"]["mean"] == inner.mean() and got["NUCLEUS"]["std"] == pytest.approx(inner.std()) and got["NUCLEUS"]["median"] == np.median(inner)
-    p = cp.percentiles(places, image(spark, values), ["cell_id", "compartment"], [33.0]).filter("compartment = 'NUCLEUS'").first()
+    pixels = cp.cell_pixels(cells, mask(spark, nuc), mask(spark, wc))
+    once = {r["compartment"]: r for r in cp.compartment_intensity(pixels, cells, image(spark, values)).collect()}
+    assert {k: r.asDict() for k, r in once.items()} == {k: r.asDict() for k, r in got.items()}
+    p = cp.compartment_percentiles(pixels, cells, image(spark, values), [33.0]).filter("compartment = 'NUCLEUS'").first()
     assert p["value"] == pytest.approx(np.percentile(inner, 33.0))
-    assert cp.percentiles(places, image(spark, values), ["cell_id", "compartment"], [50.0], 25).select("compartment").distinct().collect() == [("CELL",)]
+    assert cp.compartment_percentiles(pixels, cells, image(spark, values), [50.0], 25).select("compartment").distinct().count() == 4
+    assert cp.compartment_percentiles(pixels, cells, image(spark, values), [50.0], 26).count() == 0
     keyed = cp.keyed(cp.intensity(places, image(spark, values), ["cell_id", "compartment"]), spark.createDataFrame([(1, "CD3")], "ch int, name string"))
     assert {"CD3: Cell: Mean", "CD3: Nucleus: Std.Dev."} <= set(cp.as_map(keyed).first()["measurements"])
 
 
+def test_deviation_neither_overflows_nor_loses_constants(spark):
+    one = spark.range(60000).select(F.lit(1).alias("cell_id"), F.lit(0).alias("r"), F.col("id").cast("int").alias("c"))
+    long = one.select(F.lit(1).alias("ch"), "r", "c", F.lit(65535).cast("long").alias("v"))
+    assert cp.intensity(one, long, ["cell_id"]).first()["std"] == 0.0
+    for value, n in ((70000.3, 7), (636.96, 3)):
+        constant = long.filter(F.col("c") < n).withColumn("v", F.lit(value))
+        assert cp.intensity(one, constant, ["cell_id"]).first()["std"] == 0.0
+
+
+def test_a_nucleus_outside_its_cell_leaves_no_cytoplasm(spark):
+    nuc, wc = mask(spark, [[0, 1, 1, 0, 0]] * 2), mask(spark, [[0, 0, 0, 5, 5]] * 2)
+    cells = mt.matched_cells(nuc, wc, 5.0)
+    pixels = cp.cell_pixels(cells, nuc, wc)
+    assert {r[0] for r in cp.compartments(pixels, cells).select("compartment").distinct().collect()} == {"CELL", "MEMBRANE"}
+    assert {r["compartment"] for r in cp.compartment_intensity(pixels, cells, image(spark, [[1] * 5] * 2)).collect()} == {"CELL", "MEMBRANE"}
+
+
 def test_one_mask_alone_has_no_cytoplasm(spark):
     wc = mask(spark, [[1] * 5] * 5)
     cells = lb.single_mask_cells(wc, "wc_only")
@@ -193,3 +214,113 @@ def test_candidate_pairs(spark):
 def test_digest_ignores_order(spark):
     m = mask(spark, [[1, 2], [3, 4]])
     assert lb.digest(m).first() == lb.digest(m.orderBy(F.desc("label"))).first() != lb.digest(mask(spark, [[1, 2], [4, 3]])).first()
+
+
+def square(label, r0, c0, n):
+    return [(label, r, c) for r in range(r0, r0 + n) for c in range(c0, c0 + n)]
+
+
+def areas(frame):
+    return {r.label: r["count"] for r in frame.groupBy("label").count().collect()}
+
+
+def test_trimming_takes_pairs_in_order(spark):
+    shapes = lambda rows: spark.createDataFrame(rows, "label long, r int, c int")
+    # the larger loses; of equal ones the first; what was cut free is dropped
+    assert areas(cl.trimmed(shapes(square(1, 0, 0, 4) + square(2, 2, 2, 3)))) == {1: 12, 2: 9}
+    assert areas(cl.trimmed(shapes(square(1, 0, 0, 3) + square(2, 2, 2, 3)))) == {1: 8, 2: 9}
+    bar = [(1, 0, c) for c in range(7)] + [(2, r, 4) for r in range(-1, 2)]
+    assert areas(cl.trimmed(shapes(bar))) == {1: 4, 2: 3}
+    assert areas(cl.trimmed(shapes(square(3, 0, 0, 2) + square(1, 0, 0, 2)))) == {3: 4}
+    assert cl.trimmed(shapes(square(1, 0, 0, 2)).limit(0)).count() == 0
+    assert areas(cl.trimmed(shapes(square(1, 0, 0, 2) + square(2, 5, 5, 2)))) == {1: 4, 2: 4}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_trimming_in_rounds_is_trimming_one_by_one(spark, seed):
+    rng = np.random.default_rng(seed)
+    cells = {i: {(r, c) for _, r, c in square(i, int(rng.integers(0, 12)), int(rng.integers(0, 12)), int(rng.integers(2, 6)))} for i in range(1, 9)}
+    rows = [(i, r, c) for i, places in cells.items() for r, c in places]
+    pairs = [(i, j) for i in cells for j in cells if i < j and cells[i] & cells[j]]
+    for i, j in pairs:
+        if cells[i] & cells[j]:
+            lose, win = (i, j) if len(cells[i]) >= len(cells[j]) else (j, i)
+            rest, best = cells[lose] - cells[win], set()
+            while rest:
+                piece, edge = set(), [min(rest)]
+                while edge:
+                    r, c = edge.pop()
+                    if (r, c) in rest:
+                        rest.discard((r, c))
+                        piece.add((r, c))
+                        edge += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
+                best = max(best, piece, key=len)
+            cells[lose] = best
+    got: dict = {}
+    for r in cl.trimmed(spark.createDataFrame(rows, "label long, r int, c int")).collect():
+        got.setdefault(r.label, set()).add((r.r, r.c))
+    assert got == {i: p for i, p in cells.items() if p}
+
+
+def test_nuclei_are_clipped_to_their_cells(spark):
+    shapes = lambda rows: spark.createDataFrame(rows, "label long, r int, c int")
+    nuclei = square(1, 0, 0, 3) + square(2, 20, 20, 2)
+    cells = [(1, r, c) for r in range(3) for c in (0, 2)] + [(1, 0, 1)] + square(2, 0, 5, 2)
+    assert areas(cl.clipped_nuclei(shapes(nuclei), shapes(cells))) == {1: 7}
+
+
+def test_a_whole_run(spark):
+    wc = [[0] * 12, [0, 5, 5, 5, 5] + [0] * 7] + [[0, 5, 5, 5, 5, 0, 0, 0, 0, 0, 0, 0]] * 3 + [[0] * 12]
+    nuc = [[0] * 12] * 2 + [[0, 0, 2, 2, 0, 0, 0, 0, 0, 9, 9, 0]] * 2 + [[0] * 12] * 2
+    values = np.arange(72).reshape(6, 12)
+    channels = spark.createDataFrame([(1, "CD3")], "ch int, name string")
+    options = me.Options(percentiles=me.parse_percentiles("10, ,90"), neighbours=1, environment_expansion=True, pixel_size_microns=4.0)
+    cells, long = me.run(mask(spark, nuc), mask(spark, wc), image(spark, values), channels, (6, 12), options)
+    rows = {r.cell_id: r for r in cells.collect()}
+    assert {i: (r.nucleus_label, r.whole_cell_label, r.match_source) for i, r in rows.items()} == {1: (2, 5, "overlap_1to1"), 2: (9, None, "watershed_synth")}
+    got: dict = {}
+    for r in long.collect():
+        assert r.value == r.value and (r.cell_id, r.key) not in got
+        got[r.cell_id, r.key] = r.value
+    cell = np.array(wc) == 5
+    inner = np.array(nuc) == 2
+    assert got[1, "Cell: Area µm^2"] == 16 * 16.0 and got[1, "Nucleus: Area µm^2"] == 4 * 16.0 and got[1, "Nucleus/Cell area ratio"] == 0.25
+    assert got[1, "CD3: Cytoplasm: Mean"] == pytest.approx(values[cell & ~inner].mean()) and got[1, "CD3: Cell: Std.Dev."] == pytest.approx(values[cell].std())
+    assert got[1, "CD3: Cell: Percentile: 10.0"] == pytest.approx(np.percentile(values[cell], 10))
+    assert {k for i, k in got if i == 1 and "Bin_1" in k} == {f"CD3: {x}: {s}" for x in ("Cell: ErosionBin_1", "Nucleus: ErosionBin_1", "Cell: ExpansionBin_1") for s in ("Mean", "Median")}
+    assert {k for i, k in got if i == 1 and "Environment" in k} == {f"CD3: Cell: Environment_20um: {s}" for s in ("Mean", "Median", "Min", "Max", "Std.Dev.")}
+    assert (2, "CD3: Membrane: Mean") in got and (2, "CD3: Cytoplasm: Mean") in got  # a grown cell has a boundary
+    cells, long = me.run(mask(spark, nuc), None, image(spark, values), channels, (6, 12), me.Options(downsample_factor=2.0, performance_mode="fast", erosion_steps=False, expansion_steps=False))
+    keys = {r.key for r in long.collect()}
+    assert cells.count() == 2 and "CD3: Nucleus: Mean" in keys and not {k for k in keys if "Median" in k or "Bin" in k or "Membrane" in k or "Percentile" in k}
+    assert me.run(None, mask(spark, wc), None, None, (6, 12))[1] is None
+
+
+@pytest.mark.parametrize("wrong", [{"neighbours": -1}, {"downsample_factor": 0.0}, {"performance_mode": "quick"}, {"pixel_size_microns": 0.0}, {"estimate_cell_boundary_dist": 0.0}, {"dist_threshold": -1.0}])
+def test_options_are_checked(wrong):
+    with pytest.raises(ValueError, match=next(iter(wrong))):
+        me.Options(**wrong)
+
+
+def test_masks_are_checked(spark):
+    m = mask(spark, [[1, 2]])
+    assert me.check_masks(m, m, {"nuclear mask": (1, 2), "image": (3, 1, 2)}) == (1, 2)
+    for sizes, message in (({"a": (1, 2), "image": (1, 1, 3)}, "differ"), ({"a": (1, 2, 3)}, "axes")):
+        with pytest.raises(ValueError, match=message):
+            me.check_masks(m, None, sizes)
+    with pytest.raises(ValueError, match="mask"):
+        me.check_masks(None, None, {})
+    with pytest.raises(ValueError, match="outside"):
+        me.check_inside(m, (1, 1), "mask")
+    with pytest.raises(ValueError, match="percentiles"):
+        me.parse_percentiles("101")
+    inside = lambda r, c: spark.range(1).select(me.contains(*[F.lit(x) for x in (r, c, 0, 0, 2, 2)])).first()[0]
+    assert inside(1, 1) and not inside(2, 1)
+
+
+def test_two_channels_of_one_name(spark):
+    wc = mask(spark, [[1, 1]])
+    both = image(spark, [[1, 1]]).unionByName(image(spark, [[5, 5]]).withColumn("ch", F.lit(2)))
+    channels = spark.createDataFrame([(1, "X"), (2, "X")], "ch int, name string")
+    long = me.measure(lb.single_mask_cells(wc, "wc_only"), wc.limit(0), wc, both, channels, (1, 2), me.Options(erosion_steps=False, expansion_steps=False))
+    assert [r.value for r in long.filter("key = 'X: Cell: Mean'").collect()] == [5.0]

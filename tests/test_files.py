@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from cellweave.plans import outline_store
-from cellweave.sources import export, tiff
+from cellweave.sources import boundaries, export, tiff, zarr
 from pyspark.sql import functions as F
 
 
@@ -103,3 +103,69 @@ def test_outlines_resume_and_discard(spark, tmp_path):
     rows = outline_store.outlines(pixels, path, batch_size=5)
     assert {(r.batch, r.area < 0) for r in rows.collect()} == {(0, True), (1, False), (2, True)} and rows.count() == 12
     assert outline_store.outlines(pixels, path, tolerance=0.0, batch_size=5).filter("area < 0").count() == 0
+
+
+RING = [(1.0, 1.0), (5.0, 1.0), (5.0, 5.0), (1.0, 5.0), (1.0, 1.0)]
+HOLE = [(2.0, 2.0), (4.0, 2.0), (4.0, 4.0), (2.0, 4.0), (2.0, 2.0)]
+
+
+def test_boundary_tables(spark, tmp_path):
+    multi = struct.pack("<BII", 1, 6, 2) + boundaries.well_known([[(8.0, 8.0), (9.0, 8.0), (9.0, 9.0), (8.0, 8.0)]]) + boundaries.well_known([RING, HOLE])
+    big = struct.pack(">BIII", 0, 3, 1, 5) + b"".join(struct.pack(">dd", *p) for p in RING)
+    made = [[multi], [None], [boundaries.well_known([HOLE])], [big], [boundaries.well_known([RING[:3]])]]
+    spark.createDataFrame(made, "geometry binary").coalesce(1).write.parquet(str(tmp_path / "b.parquet"))
+    table = boundaries.read_boundaries(spark, str(tmp_path / "b.parquet"))
+    assert sorted((r.label, r.geometry is None) for r in table.collect()) == [(1, False), (2, True), (3, False), (4, False), (5, False)]
+    rings = boundaries.rings(table).cache()
+    assert sorted((r.label, r.part, r.hole) for r in rings.collect()) == [(1, 0, False), (1, 1, False), (1, 1, True), (3, 0, False), (4, 0, False)]
+    got = {(r.r, r.c): r.label for r in boundaries.burned(rings.filter("label <> 4"), (20, 20)).collect()}
+    inner = {(r, c) for r in (2, 3) for c in (2, 3)}
+    assert {k for k, v in got.items() if v == 3} == inner and {k for k, v in got.items() if v == 1 and k[0] < 6} == {(r, c) for r in range(1, 5) for c in range(1, 5)} - inner
+    assert set(boundaries.burned(rings, (3, 20)).select("r").distinct().collect()) == {(1,), (2,)}
+    found = {r.label: (len(r.ring), r.area) for r in boundaries.outlines(rings).collect()}
+    assert found == {1: (5, 16.0), 3: (5, 4.0), 4: (5, 16.0)}
+    with pytest.raises(ValueError, match="no polygon"):
+        boundaries.polygons(struct.pack("<BIdd", 1, 1, 0.0, 0.0))
+
+
+def test_final_polygons_as_a_mask(spark):
+    table = spark.createDataFrame([(1, boundaries.well_known([RING, HOLE])), (2, boundaries.well_known([HOLE])), (3, boundaries.well_known([[(3.0, 1.0), (5.0, 1.0), (5.0, 3.0), (3.0, 3.0), (3.0, 1.0)]]))], "label long, geometry binary")
+    got = {(r.r, r.c): r.label for r in boundaries.painted(boundaries.rings(table), (10, 10)).collect()}
+    assert got[1, 1] == 1 and got[3, 3] == 2 and got[2, 4] == 3 and (0, 0) not in got
+
+
+@pytest.mark.parametrize("version", [2, 3])
+def test_chunked_arrays(spark, tmp_path, version):
+    a = np.random.default_rng(4).integers(0, 9, (7, 5)).astype("<u2")
+    at = tmp_path / "store" / "labels" / "0"
+    at.mkdir(parents=True)
+    if version == 2:
+        (at / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": [7, 5], "chunks": [4, 3], "dtype": "<u2", "compressor": {"id": "zlib"}, "fill_value": 0, "order": "C", "filters": None}))
+    else:
+        (at / "zarr.json").write_text(json.dumps({"zarr_format": 3, "node_type": "array", "shape": [7, 5], "data_type": "uint16", "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [4, 3]}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "gzip"}], "fill_value": 0}))
+    for i in range(2):
+        for j in range(2):
+            chunk = np.zeros((4, 3), "<u2")
+            own = a[4 * i : 4 * i + 4, 3 * j : 3 * j + 3]
+            chunk[: own.shape[0], : own.shape[1]] = own
+            there = at / f"{i}.{j}" if version == 2 else at / "c" / str(i) / str(j)
+            there.parent.mkdir(parents=True, exist_ok=True)
+            there.write_bytes(zlib.compress(chunk.tobytes()) if version == 2 else gzip.compress(chunk.tobytes()))
+    pixels, size = zarr.read_mask(spark, str(tmp_path / "store"))
+    assert size == (7, 5) and {(r.r, r.c): r.label for r in pixels.collect()} == {(int(r), int(c)): int(a[r, c]) for r, c in zip(*np.nonzero(a), strict=True)}
+    image, shape = zarr.read_image(spark, str(at), "YX")
+    assert shape == (1, 7, 5) and {(r.r, r.c): r.v for r in image.collect()} == {k: float(v) for k, v in np.ndenumerate(a)}
+    if version == 2:
+        there = tmp_path / "spatial" / "images" / "slide" / "0"
+        there.mkdir(parents=True)
+        (there / ".zarray").write_text(json.dumps({"shape": [3, 70, 50], "chunks": [3, 70, 50], "dtype": "<f4", "compressor": None, "fill_value": 0}))
+        (there / "0.0.0").write_bytes(np.arange(3 * 70 * 50, dtype="<f4").tobytes())
+        assert zarr.image_size(spark, str(tmp_path / "spatial")) == (70, 50)
+        image, shape = zarr.read_image(spark, str(there))
+        assert shape == (3, 70, 50) and image.filter("ch = 2 and r = 0 and c = 1").first()["v"] == 3501.0
+        with pytest.raises(ValueError, match="2D"):
+            zarr.read_mask(spark, str(there))
+    with pytest.raises(ValueError, match="no array"):
+        zarr.find_array(spark, str(tmp_path / "nothing"))
+    with pytest.raises(ValueError, match="no image"):
+        zarr.image_size(spark, str(tmp_path / "nothing"))
