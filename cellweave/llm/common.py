@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 import uuid
@@ -12,6 +13,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+# Python workers live on from task to task: arrays over 1 MB are to go back to the system as soon as they are freed
+pa.set_memory_pool(pa.system_memory_pool())
+M_MMAP_THRESHOLD = -3  # a fixed value of the C library
+getattr(ctypes.CDLL(None), "mallopt", lambda *_: 0)(M_MMAP_THRESHOLD, 1 << 20)
+
 #: Text bytes that one block of documents should hold; the number of blocks follows the input.
 BLOCK_BYTES = 8 << 20
 #: The id that stands for a null one wherever ids are compared: it comes after all others.

@@ -32,9 +32,11 @@ from .words import joined, run_hashes, word_bounds, word_hashes
 SKETCH_BITS, SKETCH_SLICES = 22, 16
 FRAGMENTS = 4
 #: Equal ranges of hashes in which a set's shingles are counted, for a bound of overlaps.
-BINS = 64
+BINS = 128
 #: Text bytes for each part into which prefix shingles are dealt.
 PART_BYTES = 64 << 20
+#: If no more texts than these are to be compared, their ids (8 bytes each) are broadcast and only they are dealt; else all are.
+FEW_TEXTS = 200_000
 #: The first round reads every so many-th shingle.
 SAMPLE = 4
 #: Of a shingle's classes outside its largest component, up to so many are compared with all others at once; eight times more from round to round.
@@ -115,7 +117,8 @@ def shingle_sets(docs: DataFrame, size: int, percent: int, levels: bytes) -> Dat
                 for _, s in _sets(part, size):
                     n.append(len(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    bins.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.uint32).tobytes())
+                    counts = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BINS) if len(s) <= 0xFFFF else np.full(BINS, 0xFFFF)  # no bound for a set that large
+                    bins.append(counts.astype(np.uint16).tobytes())
                     take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                     rank = (level[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
                     chosen = np.argpartition(rank, take - 1)[:take] if 0 < take < len(s) else np.arange(len(s))
@@ -278,8 +281,8 @@ def _close(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BINS) for c in ("left", "right"))
-            most = np.minimum(left, right).sum(axis=1).astype(np.int64)
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("left", "right"))
+            most = np.minimum(left, right).sum(axis=1, dtype=np.int64)
             both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             chosen = pa.array(100 * most >= percent * (both - most))
             yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(chosen) for c in ("a", "b", "na", "nb")})
@@ -321,7 +324,10 @@ def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "overlap": pa.array(n, pa.int64())})
 
     sides = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("other")))
-    wanted = sides.withColumn("block", block_of(blocks))
+    wanted = written(sides.withColumn("block", block_of(blocks)), "wanted")
+    ids = wanted.select("doc_id").distinct()
+    if ids.limit(FEW_TEXTS + 1).count() <= FEW_TEXTS:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     cuts = dealt(docs, blocks).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(cut, "a long, b long, fragment int, hashes binary")
     met = cuts.groupBy("a", "b", "fragment").agg(F.collect_list("hashes").alias("sides")).filter(F.size("sides") == 2)
     total = met.select("a", "b", "sides").mapInArrow(overlaps, "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("o"))
