@@ -30,7 +30,7 @@ from .words import joined, run_hashes, word_bounds, word_hashes
 
 #: Buckets of the sketch that tells frequent shingles from rare ones; a fixed size, whatever the corpus.
 SKETCH_BITS, SKETCH_SLICES = 22, 16
-FRAGMENTS = 4
+FRAGMENTS = 3
 #: Equal ranges of hashes in which a set's shingles are counted, for a bound of overlaps.
 BINS = 128
 #: Text bytes for each part into which prefix shingles are dealt.
