@@ -15,9 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .words import joined, run_hashes, word_bounds, word_hashes
+from .common import text_chunks
+from .words import joined, run_hashes, word_bounds, word_codes, word_hashes
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
+#: Distinct words of which a task holds counts before it sends them on.
+HELD_WORDS = 200_000
 LOWER_CASE, UPPER_CASE, DIGIT, BEYOND, BLANK, STOP, MARK, SYMBOL = range(8)
 SYMBOLS = b"#*$%&|<>"
 
@@ -62,19 +65,6 @@ class Reference:
     shares: np.ndarray  # of the common words, and of all others
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK_BYTES or i + 1 == len(texts):
-            yield first, texts[first : i + 1]
-            first, size = i + 1, 0
-
-
-def _encoded(column: pa.Array) -> list[bytes]:
-    return [(t or "").encode() for t in column.to_pylist()]
-
-
 class Texts:
     """Arrays over some texts: bytes, words (A-Z lower-cased hashes too), and the text of each."""
 
@@ -116,26 +106,35 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> list[Reference]:
     """
     docs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
 
-    def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Texts]]:
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            texts = _encoded(batch.column("text"))
-            for lang in dict.fromkeys(langs):
-                for _, part in _chunks([t for t, own in zip(texts, langs, strict=True) if own == lang]):
-                    t = Texts(part)
-                    _, at, n = np.unique(t.folded(), return_index=True, return_counts=True)
-                    words = [t.data[t.start[i] : t.end[i]].translate(FOLD).decode() for i in at.tolist()]
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), pa.string()), "word": pa.array(words, pa.string()), "n": pa.array(n, pa.int64())})
+            for first, texts in text_chunks(batch.column("text"), CHUNK_BYTES):
+                own = langs[first : first + len(texts)]
+                for lang in dict.fromkeys(own):
+                    yield lang, Texts([t for t, x in zip(texts, own, strict=True) if x == lang])
+
+    def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, bytes], int] = {}
+
+        def out() -> pa.RecordBatch:
+            words = [w.decode() for _, w in held]
+            return pa.RecordBatch.from_pydict({"lang": pa.array([x for x, _ in held], pa.string()), "word": pa.array(words, pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+
+        for lang, t in by_lang(batches):
+            code, distinct = word_codes(np.frombuffer(t.data.translate(FOLD), np.uint8), t.start, t.end)
+            for word, n in zip(distinct.to_pylist(), np.bincount(code, minlength=len(distinct)).tolist(), strict=True):
+                held[lang, word] = held.get((lang, word), 0) + n
+            if len(held) > HELD_WORDS:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            texts = _encoded(batch.column("text"))
-            for lang in dict.fromkeys(langs):
-                for _, part in _chunks([t for t, own in zip(texts, langs, strict=True) if own == lang]):
-                    t = Texts(part)
-                    sums[lang] = sums.get(lang, 0) + np.append(t.class_counts().sum(axis=0), len(t.doc))
+        for lang, t in by_lang(batches):
+            sums[lang] = sums.get(lang, 0) + np.append(t.class_counts().sum(axis=0), len(t.doc))
         if sums:
             yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "sums": pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))})
 
@@ -209,16 +208,18 @@ def judged(docs: DataFrame, known: list[Reference], rules: Rules = Rules()) -> D
     names = [n for n, _ in COLUMNS]
     keep = [c for c in docs.columns if c not in names]
 
+    plain = "text" in keep and docs.schema["text"].dataType.simpleString() == "string"  # then it travels once
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: list[dict] = [_judge(part, known, rules) for _, part in _chunks(_encoded(batch.column("_text")))]
+            made: list[dict] = [_judge(part, known, rules) for _, part in text_chunks(batch.column("text" if plain else "_text"), CHUNK_BYTES)]
             kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
             columns = {c: batch.column(c) for c in keep}
             columns |= {n: pa.array([v for m in made for v in m[n]], kinds[k]) for n, k in COLUMNS}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields] + [f"{n} {k}" for n, k in COLUMNS])
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(rows, schema)
+    return docs.select(*keep, *([] if plain else [F.col("text").cast("string").alias("_text")])).mapInArrow(rows, schema)
 
 
 def _judge(texts: list[bytes], known: list[Reference], rules: Rules) -> dict[str, list]:
