@@ -1,5 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models over byte n-grams, compared as length-normalised log-likelihoods.
 
+An n-gram is a byte and what its word has before it, back to the blank before the word or to five bytes. The
+log-likelihoods of both classes are compared over the whole text, by its length, and over its worst stretch of
+STRETCH bytes, so that an expression in a long text isn't thinned out by the rest.
 The highest order is counted for toxic and for ordinary texts apart; all lower orders are continuation counts of
 both together. An expression that neither class has seen falls back on the same shared distribution in both, so it
 speaks for neither beyond what its context says. Counts, continuation counts and the model are Spark tables that
@@ -17,42 +20,55 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import block_count, block_of, dealt, id_and_text, unpacked, written
+from .common import block_count, block_of, dealt, id_and_text, planes, unpacked, unplaned, written
 
-ORDER = 4
+ORDER = 6
+#: Bytes of the stretch of a text that is compared on its own.
+STRETCH = 12
 #: Observations of a context that the shared distribution counts for in either class, beside the discounted mass.
 PRIOR = 5.0
 #: Labelled documents held back from the counts, with which the score is calibrated: every fourth, by a hash of the id.
 CALIBRATION_SHARE = 4
 #: So many ids are held back at most, those with the least hashes; all others are counted.
 CALIBRATION_ROWS = 50_000
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 BLOCK_BYTES = 16 << 20
 LOWER = bytes(0x20 if c in range(9, 14) else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def byte_grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the ``order``-byte runs of each text, as whole numbers, in text order, and the text of each.
+    """A key for each byte of each text but its first: the byte and those before it in its word, and the text of each.
 
-    A-Z is lower-cased, a run of white space is one blank, and each text stands between two blanks; texts of fewer
-    than ``order`` bytes have none.
+    A-Z is lower-cased, a run of white space is one blank, and each text stands between two blanks. A key holds
+    ``order`` bytes at most, of which the blank before the word is the first there can be; zeros fill it up. The blank
+    behind a word has the word's end before it. Texts without words have no key.
     """
     data = np.frombuffer(b"".join(b" " + t.translate(LOWER) + b" " for t in texts), np.uint8)
-    if len(data) < order:
+    if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     ends = np.cumsum([len(t) + 2 for t in texts])
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends, prepend=0))
     keep = np.ones(len(data), bool)
     keep[1:] = (data[1:] != 0x20) | (data[:-1] != 0x20) | (owner[1:] != owner[:-1])
     data, owner = data[keep], owner[keep]
-    n = len(data) - order + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys = np.zeros(n, np.uint64)
-    for i in range(order):
-        keys = (keys << np.uint64(8)) | data[i : i + n]
-    inside = owner[:n] == owner[order - 1 :]
-    return keys[inside], owner[:n][inside].astype(np.int64)
+    blank = data == 0x20
+    within = np.arange(len(data)) - np.maximum.accumulate(np.where(blank, np.arange(len(data)), 0))
+    within[1:][blank[1:]] = within[:-1][blank[1:]] + 1  # bytes since the blank before the word
+    keys = data.astype(np.uint64)
+    for i in range(1, order):
+        keys[i:] |= np.where(within[i:] >= i, data[:-i].astype(np.uint64), np.uint64(0)) << np.uint64(8 * i)
+    inside = np.append(False, owner[1:] == owner[:-1])
+    return keys[inside], owner[inside].astype(np.int64)
+
+
+def peaks(worth: np.ndarray, owner: np.ndarray, texts: int, stretch: int) -> np.ndarray:
+    """The largest sum of ``stretch`` consecutive values of each text (of as many as there are, at its beginning); 0 for none."""
+    upto = np.append(0.0, np.cumsum(worth))
+    at = np.arange(len(worth))
+    first = np.maximum(at - stretch + 1, np.searchsorted(owner, owner))
+    out = np.full(texts, -np.inf)
+    np.maximum.at(out, owner, upto[at + 1] - upto[first])
+    return np.where(np.isfinite(out), out, 0.0)
 
 
 def _batches(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -65,9 +81,10 @@ def _batches(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def class_counts(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
-    """``gram, toxic, ordinary``: in how many texts of either class each n-gram stands.
+    """``gram, toxic, ordinary``: how often each n-gram stands in the texts of either class.
 
-    ``labels`` has ``doc_id, label`` (0 or 1) of some of ``docs``, at most once for an id. Texts and labels are dealt
+    A repeated expression counts each time, in the counts as in ``log_ratios``. ``labels`` has ``doc_id, label`` (0 or
+    1) of some of ``docs``, at most once for an id. Texts and labels are dealt
     by the same hash, so that no text is joined row by row.
     """
     docs = id_and_text(docs)
@@ -81,13 +98,9 @@ def class_counts(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Data
             labels = np.array([label[own[i]] for i in chosen], np.int64)
             for first, part in _batches([texts[i] for i in chosen]):
                 keys, owner = byte_grams(part, order)
-                turn = np.lexsort((keys, owner))  # a text counts once, however often it repeats itself
-                keys, owner = keys[turn], owner[turn]
-                new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-                value, place = np.unique(keys[new], return_inverse=True)
+                value, place = np.unique(keys, return_inverse=True)
                 grams.append(value)
-                toxic = labels[first + owner[new]]
+                toxic = labels[first + owner]
                 classes.append(np.stack([np.bincount(place, toxic, len(value)), np.bincount(place, 1 - toxic, len(value))], axis=1).astype(np.int64))
         value, place = np.unique(np.concatenate(grams), return_inverse=True)
         n = np.zeros((len(value), 2), np.int64)
@@ -144,24 +157,15 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 def _packed(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, byte plane by byte plane."""
-    return zstandard.compress(_planes(np.diff(keys, prepend=np.uint64(0))), 1)
+    return zstandard.compress(planes(np.diff(keys, prepend=np.uint64(0))), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(_unplaned(zstandard.decompress(data), np.uint64), dtype=np.uint64)
-
-
-def _planes(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
-
-
-def _unplaned(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.cumsum(unplaned(zstandard.decompress(data), np.uint64), dtype=np.uint64)
 
 
 def log_ratios(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """``doc_id, n_grams, llr`` (the sum over the text) for each row of ``docs``; null texts are empty and have nought of either."""
+    """``doc_id, n_grams, llr`` (the sum over the text) ``, peak`` (over its worst stretch) for each row of ``docs``; null texts are empty and have nought of each."""
     docs = id_and_text(docs)
     blocks = parts = block_count(docs, BLOCK_BYTES)
     rows = dealt(docs, blocks)
@@ -194,23 +198,26 @@ def log_ratios(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFra
                     hit = open_ & (have[at] == want)
                     values[hit] = worth[at[hit]]
                     open_ &= ~hit
+            values = values.astype(np.float16)
             some = values != 0  # what is not in the answer is worth nought
-            out.append(pickle.dumps((_packed(keys[some]), zstandard.compress(_planes(values[some]), 1)), 5))
+            out.append(pickle.dumps((_packed(keys[some]), zstandard.compress(planes(values[some]), 1)), 5))
         return _messages(asked.column("block").to_pylist() if out else [], asked.column("part").to_pylist() if out else [], out)
 
     def total(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         got = [pickle.loads(x) for x in answers.column("payload").to_pylist()] if answers.num_rows else []
         keys = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(k) for k, _ in got)])
-        values = np.concatenate([np.zeros(0, np.float32), *(_unplaned(zstandard.decompress(v), np.float32) for _, v in got)])
+        values = np.concatenate([np.zeros(0, np.float32), *(unplaned(zstandard.decompress(v), np.float16).astype(np.float32) for _, v in got)])
         worth = Lookup(keys, values)
-        ids, n_grams, llr = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+        ids, n_grams, llr, peak = [], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
         for own, texts in unpacked(group.column("payload")) if group.num_rows else []:
             ids += own
             for _, part in _batches(texts):
                 keys, owner = byte_grams(part, order)
                 n_grams.append(np.bincount(owner, minlength=len(part)))
-                llr.append(np.bincount(owner, worth(keys), minlength=len(part)))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_grams": np.concatenate(n_grams).astype(np.int64), "llr": np.concatenate(llr)})
+                values = worth(keys).astype(float)
+                llr.append(np.bincount(owner, values, minlength=len(part)))
+                peak.append(peaks(values, owner, len(part), STRETCH))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_grams": np.concatenate(n_grams).astype(np.int64), "llr": np.concatenate(llr), "peak": np.concatenate(peak)})
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,7 +227,7 @@ def log_ratios(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFra
 
     known = model.mapInArrow(placed, "gram long, whole boolean, llr float, part int")
     answers = rows.groupBy("block").applyInArrow(ask, message).groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answer, message)
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total, "doc_id long, n_grams long, llr double")
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total, "doc_id long, n_grams long, llr double, peak double")
 
 
 class Lookup:
@@ -265,28 +272,28 @@ def in_fold(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Calibration:
-    """Weights of the mean log-ratio, of its sum over the root of the length, of the length's logarithm, and a constant."""
+    """Weights of the worst stretch's log-ratio, of the text's mean one, of its sum over the root of the length, of the length's logarithm, and a constant."""
 
-    weights: tuple[float, ...] = (8.0, 0.0, 0.0, -1.0)
+    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, -1.0)
 
     def score(self) -> Column:
         n = F.greatest("n_grams", F.lit(1)).cast("double")
-        a, b, c, d = self.weights
-        z = F.lit(a) * F.col("llr") / n + F.lit(b) * F.col("llr") / F.sqrt(n) + F.lit(c) * F.log(n) + F.lit(d)
+        a, b, c, d, e = self.weights
+        z = F.lit(a) * F.col("peak") + F.lit(b) * F.col("llr") / n + F.lit(c) * F.col("llr") / F.sqrt(n) + F.lit(d) * F.log(n) + F.lit(e)
         return F.lit(1.0) / (1 + F.exp(-z))
 
 
-def calibrated(ratios: np.ndarray, n_grams: np.ndarray, label: np.ndarray) -> Calibration:
-    """Logistic regression by Newton's method; with one class alone, that of the untrained weights."""
+def calibrated(peak: np.ndarray, ratios: np.ndarray, n_grams: np.ndarray, label: np.ndarray) -> Calibration:
+    """Logistic regression by Newton's method; with one class alone, the untrained weights."""
     if len(label) == 0 or label.min() == label.max():
         return Calibration()
     n = np.maximum(n_grams, 1).astype(float)
-    x = np.stack([ratios / n, ratios / np.sqrt(n), np.log(n), np.ones(len(n))], axis=1)
+    x = np.stack([peak, ratios / n, ratios / np.sqrt(n), np.log(n), np.ones(len(n))], axis=1)
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
-    x, w = x / scale, np.zeros(4)
+    x, w = x / scale, np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(4), x.T @ (label - p) - 1e-3 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w)), x.T @ (label - p) - 1e-3 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -302,7 +309,7 @@ def held_back(labels: DataFrame) -> Column:
 
 
 def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
-    """``doc_id, n_grams, llr, score`` for each row of ``docs``, learnt from ``labels`` (``doc_id, label`` 0 or 1).
+    """``doc_id, n_grams, llr, peak, score`` for each row of ``docs``, learnt from ``labels`` (``doc_id, label`` 0 or 1).
 
     A quarter of the labelled documents, CALIBRATION_ROWS at most, is held back and calibrates the score of the model
     that all others are counted for.
@@ -316,8 +323,8 @@ def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     counts = written(class_counts(docs, labels.filter(~held), order), "grams")
     model = written(kneser_ney(counts, order), "model")
     ratios = written(log_ratios(docs, model, order), "ratios")
-    rows = ratios.join(labels.filter(held), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).select("llr", "n_grams", "label").toPandas()
-    fitted = calibrated(rows["llr"].to_numpy(float), rows["n_grams"].to_numpy(float), rows["label"].to_numpy(float))
+    rows = ratios.join(labels.filter(held), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).select("peak", "llr", "n_grams", "label").toPandas()
+    fitted = calibrated(rows["peak"].to_numpy(float), rows["llr"].to_numpy(float), rows["n_grams"].to_numpy(float), rows["label"].to_numpy(float))
     return ratios.withColumn("score", fitted.score())
 
 

@@ -63,6 +63,62 @@ def test_references_hold_the_commonest_words_of_all_texts(spark):
         assert got.shares[:32] == pytest.approx([counts[w] / counts.total() for w in top]) and got.shares.sum() == pytest.approx(1)
 
 
+def test_verdicts_against_plain_code_however_the_table_is_cut(spark):
+    """References, both distances, the nearest language and the verdict, computed again from the definitions."""
+    rng = random.Random(8)
+    texts = []
+    for i in range(160):
+        lang = ("en", "fr", None)[i % 3 if i % 7 else 2]
+        words = [f"{'Ab'[i % 2] if lang == 'en' else 'zé'}{int(rng.paretovariate(0.7)) % 200}" for _ in range(rng.randrange(10, 120))]
+        texts.append((i, " ".join(words).upper() if i % 9 == 0 else " ".join(words), lang))
+    frame = spark.createDataFrame([*texts, (900, None, "en"), (901, "", "fr")], "doc_id long, text string, lang string")
+
+    def classes(t):
+        out = [0] * 8
+        for c in t:
+            kind = 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if ord(c) > 127 else 4 if c in " \t\n\v\f\r" else 5 if c in ".,;:" else 7 if c in "#*$%&|<>" else 6
+            out[kind] += 1
+        return out
+
+    lower = lambda t: [w.translate({c: c + 32 for c in range(65, 91)}) for w in words_of(t)]
+
+    def distance(p, q):
+        kl = lambda a, b: sum(x * math.log2(x / ((x + y) / 2)) for x, y in zip(a, b, strict=True) if x)
+        return math.sqrt(max(0.0, (kl(p, q) + kl(q, p)) / 2))
+
+    known = {}
+    for lang in ("en", "fr"):
+        own = [t for _, t, x in texts if x == lang]
+        counts = Counter(w for t in own for w in lower(t))
+        top = sorted(counts, key=lambda w: (-counts[w], w.encode()))[:32]
+        shares = [counts[w] / counts.total() for w in top]
+        sums = np.sum([classes(t) for t in own], axis=0)
+        known[lang] = (sums / sums.sum(), top, [*shares, 1 - sum(shares)])
+    expected = {}
+    for i, t, _ in texts:
+        ws, best = lower(t), None
+        for lang in ("en", "fr"):
+            shape, top, shares = known[lang]
+            c, hits = classes(t), Counter(ws)
+            mine = [hits[w] / len(ws) for w in top]
+            d = (distance([x / len(t) for x in c], shape) if len(t) >= 200 else None, distance([*mine, 1 - sum(mine)], shares) if len(ws) >= 40 else None)
+            excess = max((d[0] or 0) / 0.28, (d[1] or 0) / 0.43)
+            if best is None or excess < best[0] - 1e-12:
+                best = (excess, lang, d)
+        expected[i] = (best[1], *best[2], not base(t)[-1] and best[0] <= 1)
+    rules = quality.Rules(reference_words=1000)
+    seen = []
+    for parts in (1, 7, 64):
+        got = {r.doc_id: r for r in quality.quality(frame.repartition(parts), rules).collect()}
+        for i, (lang, d1, d2, kept) in expected.items():
+            r = got[i]
+            assert (r.nearest, r.kept) == (lang, kept), i
+            for x, y in ((r.class_distance, d1), (r.word_distance, d2)):
+                assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, abs=1e-9))
+        seen.append({i: tuple(r) for i, r in got.items()})
+    assert seen[0] == seen[1] == seen[2] and len({x[3] for x in expected.values()}) == 2 and not got[900].kept
+
+
 def test_distance_of_histograms():
     p, q = np.array([[0.5, 0.5, 0.0], [0.0, 0.0, 1.0]]), np.array([0.5, 0.5, 0.0])
     assert quality._distance(p, q) == pytest.approx([0.0, 1.0])
@@ -122,6 +178,17 @@ def test_fingerprints_hold_every_anchor_and_its_place(spark):
     assert found[0].n_anchors > 25 and 1500 <= found[0].first < found[0].last <= 1595
 
 
+def plain_grams(text, order):
+    """Each byte but the first of the text between blanks, with what its word has before it."""
+    padded = " " + re.sub(r"[ \t-\r]+", " ", text.lower()) + " "
+    padded = re.sub(" +", " ", padded)
+    out = []
+    for i in range(1, len(padded)):
+        start = padded.rindex(" ", 0, i)
+        out.append(padded[max(start, i - order + 1) : i + 1].rjust(order, "\0"))
+    return out
+
+
 def test_kneser_ney_against_plain_counts(spark):
     texts = [(0, "abab abba", 1), (1, "abc abc abd", 0), (2, "bcd abca", 0)]
     frame = spark.createDataFrame(texts, "doc_id long, text string, label int")
@@ -129,8 +196,7 @@ def test_kneser_ney_against_plain_counts(spark):
     counts = toxicity.class_counts(frame, frame.select("doc_id", "label"), order)
     grams = {}
     for _, t, y in texts:
-        padded = f" {t} "
-        for g in {padded[i : i + order] for i in range(len(padded) - order + 1)}:
+        for g in plain_grams(t, order):
             grams.setdefault(g, [0, 0])[1 - y] += 1
     key = lambda g: int.from_bytes(g.encode(), "big")
     assert {r.gram: (r.toxic, r.ordinary) for r in counts.collect()} == {key(g): tuple(n) for g, n in grams.items()}
@@ -157,8 +223,15 @@ def test_kneser_ney_against_plain_counts(spark):
             own = [n[k] for h, n in grams.items() if h[:-1] == g[:-1]]
             p.append((max(grams[g][k] - d, 0) + (d * sum(x > 0 for x in own) + prior) * shared[g[1:]]) / (sum(own) + prior))
         expected[key(g)] = math.log(p[0] / p[1])
-    got = {r.gram: r.llr for r in toxicity.kneser_ney(counts.cache(), order).filter("whole").collect()}
+    model = toxicity.kneser_ney(counts.cache(), order).cache()
+    got = {r.gram: r.llr for r in model.filter("whole").collect()}
     assert got.keys() == expected.keys() and all(got[k] == pytest.approx(v, rel=1e-5, abs=1e-6) for k, v in expected.items())
+    open_ = {r.gram: r.llr for r in model.filter("not whole").collect()}
+    asked = [(0, "abab  abx\nAbba q"), (1, ""), (2, None), (3, "abd " * 20), (0, "abab  abx\nAbba q"), (4, "zz")]
+    for r in toxicity.log_ratios(spark.createDataFrame(asked, "doc_id long, text string"), model, order).collect():
+        own = [expected.get(k, open_.get(k >> 8, 0.0)) for k in map(key, plain_grams(dict(asked)[r.doc_id] or "", order))]
+        best = max((sum(own[max(0, i - toxicity.STRETCH + 1) : i + 1]) for i in range(len(own))), default=0.0)
+        assert r.n_grams == len(own) and r.llr == pytest.approx(sum(own), abs=0.01 * len(own) + 1e-9) and r.peak == pytest.approx(best, abs=0.02)
 
 
 def test_held_out_accuracy(spark, docs, rows):
