@@ -17,7 +17,10 @@ SHINGLE_WORDS, LIKENESS = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below one half stay. Rows are told apart by id and text, so null and repeated ids do no harm."""
+    """Documents scored below one half stay. Rows are told apart by id and text, so null and repeated ids do no harm.
+
+    Repeated rows share a score, a null text is scored as an empty one, and an empty table stays empty.
+    """
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     labels = toxicity.training_labels(table(spark, sf_dir, "labels"))
     learnt = keyed.select("doc_id", "_key").join(labels, "doc_id").select(F.col("_key").alias("doc_id"), "label")
@@ -27,9 +30,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unlike_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, judged against what ``docs`` of their languages look like together."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "lang", "text")
-    return quality.quality(rows).filter("kept").select("_row.*")
+    """Documents that the quality rules keep, judged against what ``docs`` of their languages look like together.
+
+    Null texts and those of under twenty words go, repeated rows share a verdict, and an empty table stays empty.
+    """
+    names = {n: f"_d{i}" for i, n in enumerate(n for n, _ in quality.COLUMNS) if n in docs.columns}
+    rows = quality.quality(docs.withColumnsRenamed(names)).filter("kept")
+    return rows.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +60,7 @@ def drop_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences; a null text is one piece of the end token, an empty table gives none."""
     return packing.packed(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
@@ -68,6 +76,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages one after another over ``documents``; any of them may leave an empty table to the next."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
