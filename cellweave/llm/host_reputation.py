@@ -10,6 +10,9 @@ ALLOW, BLOCK = "allow", "block"
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
 RULES: tuple[Rule, ...] = (("org", "/", ALLOW), ("example.org", "/es/", BLOCK), ("example.org", "/en/1", BLOCK), ("com", "/fr/", ALLOW), ("com", "/de/", BLOCK))
+#: Public suffixes of two labels, under which names are registered one label further left; extend it for more.
+SUFFIXES: tuple[str, ...] = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.sg", "com.tr", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
+_ADDRESS = r"^(\d+\.\d+\.\d+\.\d+|\[.*)$"
 #: A page's own labels count with this prior weight where the data fix none, and no less than LEAST, no more than MOST.
 LEAST, MOST = 2.0, 1000.0
 
@@ -22,6 +25,25 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
 
 
+def _name(host: Column) -> Column:
+    """A host without its port."""
+    return F.regexp_replace(host, r":\d*$", "")
+
+
+def suffix_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The public suffix: two labels if they are among ``suffixes`` and a third stands before them, else the last; ``address`` for numeric hosts."""
+    name = _name(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(_ADDRESS), F.lit("address")).when(two.isin(*suffixes) & (name != two), two).otherwise(F.substring_index(name, ".", -1))
+
+
+def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The registered domain: the suffix and the label before it; a numeric host is its own."""
+    name = _name(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(_ADDRESS), name).when(two.isin(*suffixes), F.substring_index(name, ".", -3)).otherwise(two)
+
+
 def matched_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """The longest rule (host and path together) that fits, as ``struct<rule, verdict>``; null if none does."""
     tests = None
@@ -43,14 +65,14 @@ def _strength(groups: DataFrame) -> float:
 def host_reputation(outcomes: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """``host, n, good, rate, sd`` of each host from labelled outcomes (``host``, ``good`` 0 or 1), and of each in ``asked``.
 
-    A suffix's rate is shrunk to the whole table's, a registered domain's (the last two labels) to its suffix's,
+    A suffix's rate is shrunk to the whole table's, a registered domain's (see ``domain_of``) to its suffix's,
     and a host's to its domain's; each level's prior weight is fitted to that level. ``rate`` and ``sd`` are mean
     and deviation of the host's beta posterior. Rows with a null host or outcome don't count. A host of ``asked``
     (``host``) without outcomes has ``n`` 0 and the rate of its domain, else its suffix, else the whole table, with
     the hosts' prior weight; without any outcome at all there is no row.
     """
     hosts = outcomes.filter("host is not null and good is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("good").cast("double").alias("good"))
-    hosts = written(hosts, "hosts").select("host", F.substring_index("host", ".", -2).alias("domain"), F.substring_index("host", ".", -1).alias("suffix"), "n", "good")
+    hosts = written(hosts, "hosts").select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "good")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     good, n = suffixes.agg(F.sum("good"), F.sum("n")).first()
@@ -66,7 +88,7 @@ def host_reputation(outcomes: DataFrame, asked: DataFrame | None = None) -> Data
     hosts = hosts.select("host", "n", "good", "rate")
     if asked is not None and n:
         new = asked.filter("host is not null").select("host").distinct().join(hosts, "host", "left_anti")
-        new = new.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+        new = new.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
         new = new.join(domains.select("domain", "domain_rate"), "domain", "left").join(suffixes.select("suffix", "suffix_rate"), "suffix", "left")
         hosts = hosts.unionByName(new.select("host", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("good"), F.coalesce("domain_rate", "suffix_rate", F.lit(whole)).alias("rate")))
     return hosts.withColumn("sd", F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + weight + 1)))
@@ -78,7 +100,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES
     A rule's verdict stands; otherwise a page is blocked if even the upper posterior bound, ``rate + z sd`` of its
     host, lies below ``least_rate``. Hosts without outcomes are judged by their domain, suffix or the whole table;
     only where there is no outcome at all they have no bound and are allowed. A null url, or one without ``://``,
-    has an empty host and path. ``outcomes`` has ``url`` and ``good``.
+    has an empty host and path. ``outcomes`` has ``url`` and ``good``. Repeated pages each give a row, and an empty
+    table none.
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     scored = host_reputation(outcomes.select(host_of(F.col("url")).alias("host"), F.col("good")), rows)

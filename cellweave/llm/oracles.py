@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from .host_reputation import LEAST, MOST, RULES
+from .host_reputation import LEAST, MOST, RULES, SUFFIXES
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP3 = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
-win AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) i FROM d)),
-first AS (SELECT s, min(doc_id) low FROM win GROUP BY s),
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) b FROM documents),
+win AS (SELECT doc_id, i, b[i:i + 49] s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) i FROM d)),
+first AS (SELECT s, min(doc_id) low FROM win GROUP BY s HAVING count(DISTINCT doc_id) > 1),
 hit AS (SELECT win.doc_id, win.i FROM win JOIN first USING (s) WHERE low < win.doc_id),
-byte AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) i FROM d),
-cov AS (SELECT byte.doc_id, byte.i, substr(h, CAST(2 * byte.i + 1 AS BIGINT), 2) b, coalesce(max(hit.i) OVER (PARTITION BY byte.doc_id ORDER BY byte.i) >= byte.i - 49, false) gone FROM byte LEFT JOIN hit ON hit.doc_id = byte.doc_id AND hit.i = byte.i),
+byte AS (SELECT doc_id, b, unnest(range(1, octet_length(b) + 1)) i FROM d WHERE doc_id IN (SELECT doc_id FROM hit)),
+cov AS (SELECT byte.doc_id, byte.i, hex(b[byte.i:byte.i]) h, coalesce(max(hit.i) OVER (PARTITION BY byte.doc_id ORDER BY byte.i) >= byte.i - 49, false) gone FROM byte LEFT JOIN hit ON hit.doc_id = byte.doc_id AND hit.i = byte.i),
 edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) starts FROM cov),
-told AS (SELECT doc_id, count(*) FILTER (gone) n_removed, count(*) FILTER (starts) n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) kept FROM edge GROUP BY doc_id)
-SELECT doc_id, length(h) // 2 n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256 FROM d LEFT JOIN told USING (doc_id)"""
+told AS (SELECT doc_id, count(*) FILTER (gone) n_removed, count(*) FILTER (starts) n_spans, string_agg(h, '' ORDER BY i) FILTER (NOT gone) kept FROM edge GROUP BY doc_id)
+SELECT doc_id, octet_length(b) n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, CASE WHEN n_removed IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(kept, ''))) END kept_sha256 FROM d LEFT JOIN told USING (doc_id)"""
 
 OP5 = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') ws FROM documents),
@@ -47,14 +47,19 @@ def _level(name: str, rows: str, parent: str, key: str, weight: str) -> str:
 
 
 _RULE = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{{h + p!r}, {v!r}}}".replace("{'", "{rule: '").replace("', '", "', verdict: '") for h, p, v in sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r)))
+_TWO = ", ".join(f"'{x}'" for x in SUFFIXES)
 OP10 = f"""
-WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_LOWER}) host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) path FROM pages),
-hs AS (SELECT host, count(*) n, CAST(sum(quality) AS DOUBLE) good, array_to_string(string_split(host, '.')[-2:], '.') dom, string_split(host, '.')[-1] suf FROM u JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL GROUP BY host),
+WITH u0 AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_LOWER}) host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) path FROM pages),
+u1 AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') nam, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') l FROM u0),
+u2 AS (SELECT *, array_to_string(l[-2:], '.') two, regexp_matches(nam, '^([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+|\\[.*)$') num FROM u1),
+u AS (SELECT page_id, host, path, CASE WHEN num THEN nam WHEN two IN ({_TWO}) THEN array_to_string(l[-3:], '.') ELSE two END dom, CASE WHEN num THEN 'address' WHEN two IN ({_TWO}) AND nam <> two THEN two ELSE l[-1] END suf FROM u2),
+hs AS (SELECT host, count(*) n, CAST(sum(quality) AS DOUBLE) good, any_value(dom) dom, any_value(suf) suf FROM u JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL GROUP BY host),
 ds AS (SELECT suf, dom, CAST(sum(n) AS BIGINT) n, sum(good) good FROM hs GROUP BY 1, 2),
 ss AS (SELECT suf, CAST(sum(n) AS BIGINT) n, sum(good) good FROM ds GROUP BY 1),
 {_level("s", "ss", "(SELECT (sum(good) + 1)/(sum(n) + 2) FROM ss)", "", "ks")},
 {_level("m", "ds", "s.rate", "JOIN s ON s.suf = x.suf", "km")},
 {_level("h", "hs", "m.rate", "JOIN m ON m.dom = x.dom", "kh")},
-b AS (SELECT host, rate, rate + 1.645*sqrt(rate*(1 - rate)/(n + k + 1)) bound FROM h),
+a AS (SELECT x.host, coalesce(h.rate, m.rate, s.rate, (SELECT (sum(good) + 1)/(sum(n) + 2) FROM ss)) rate, coalesce(h.n, 0) n FROM (SELECT DISTINCT host, dom, suf FROM u) x LEFT JOIN h ON h.host = x.host LEFT JOIN m ON m.dom = x.dom LEFT JOIN s ON s.suf = x.suf),
+b AS (SELECT host, rate, rate + 1.645*sqrt(rate*(1 - rate)/(n + kh.k + 1)) bound FROM a CROSS JOIN kh),
 r AS (SELECT u.*, rate, bound, CASE {_RULE} END m FROM u LEFT JOIN b USING (host))
 SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, CASE WHEN bound < 0.8 THEN 'block' ELSE 'allow' END) verdict, round(rate, 6) rate, round(bound, 6) bound FROM r"""

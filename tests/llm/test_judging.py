@@ -305,3 +305,17 @@ def test_hosts_without_outcomes_have_their_domains_bound(spark):
     assert all(r.bound is not None for r in got.values()) and got[0].rate < got[2].rate < got[1].rate and got[3].rate == pytest.approx(4001 / 4402, abs=1e-6)
     seen = {r.host: r for r in hr.host_reputation(frame.select(hr.host_of(F.col("url")).alias("host"), "good")).collect()}
     assert "new.bad.com" not in seen and got[4].rate == pytest.approx(seen["h1.bad.com"].rate, abs=1e-6)
+
+
+def test_registered_domains(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.y.example.com:8080", "example.com", "localhost", "", "10.0.0.7", "10.0.0.7:80", "[::1]:443"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", hr.domain_of(F.col("host")).alias("d"), hr.suffix_of(F.col("host")).alias("s")).collect()
+    assert [(r.d, r.s) for r in rows] == [
+        ("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "uk"), ("example.com", "com"), ("example.com", "com"), ("localhost", "localhost"), ("", ""),
+        ("10.0.0.7", "address"), ("10.0.0.7", "address"), ("[::1]", "address"),
+    ]
+
+
+def test_repeated_pages_each_give_a_row(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/")] * 3 + [(None, None)] * 2, "page_id long, url string")
+    assert hr.judge(pages, spark.createDataFrame([("http://a.com/1", 1)], "url string, good int")).count() == 5
