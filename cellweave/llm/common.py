@@ -13,10 +13,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Python workers live on from task to task: arrays over 1 MB are to go back to the system as soon as they are freed
+# Python workers live on from task to task: large arrays are to go back to the system as they are freed, small ones
+# to be used again without new pages. Fixed values of the C library: the two settings' numbers.
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
 pa.set_memory_pool(pa.system_memory_pool())
-M_MMAP_THRESHOLD = -3  # a fixed value of the C library
-getattr(ctypes.CDLL(None), "mallopt", lambda *_: 0)(M_MMAP_THRESHOLD, 1 << 20)
+for _setting, _bytes in ((M_MMAP_THRESHOLD, 16 << 20), (M_TRIM_THRESHOLD, 64 << 20)):
+    getattr(ctypes.CDLL(None), "mallopt", lambda *_: 0)(_setting, _bytes)
 
 #: Text bytes that one block of documents should hold; the number of blocks follows the input.
 BLOCK_BYTES = 8 << 20

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .repeats import Chunk, Method, beside_columns, shared_windows
-from .words import WHITE, joined, word_bounds, word_codes, word_hashes
+from .words import WHITE, joined, word_bounds, word_codes, word_marks
 
 WINDOW, GRAM = 50, 8
 
@@ -25,7 +25,7 @@ def _chunk(rows: np.ndarray, texts: list[bytes]) -> Chunk:
     place = np.cumsum(keep) - 1
     plain = np.where(white, np.uint8(0x20), raw)[keep].tobytes()
     first = place[start]
-    return Chunk(rows, word_hashes(raw, start, end), np.searchsorted(ends, start, "right"), plain, (data, ends, start, first, first + (end - start)))
+    return Chunk(rows, word_marks(raw, start, end), np.searchsorted(ends, start, "right"), plain, (data, ends, start, first, first + (end - start)))
 
 
 def _packed(chunk: Chunk, window: int, windows: int) -> bytes:
