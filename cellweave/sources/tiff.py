@@ -1,6 +1,7 @@
 """TIFF label masks and multi-channel images as Spark data sources; a partition reads some strips or tiles of one page.
 
-Uncompressed and deflate data, with or without horizontal differencing, classic and large files. Register with
+Uncompressed and deflate data, with or without horizontal differencing, classic and large files. Filters on ``r``,
+``c`` and ``ch`` reach the reader: strips, tiles and pages beyond them are not read. Register with
 ``register(spark)``, then ``spark.read.format("labelmask").load(path)`` gives ``r, c, label`` without background and
 ``spark.read.format("cyximage").load(path)`` gives ``ch, r, c, v``.
 """
@@ -18,7 +19,7 @@ from xml.etree import ElementTree
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 #: Fixed values of the TIFF format: bytes of each field type, and the tags that are read.
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
@@ -26,6 +27,8 @@ TYPE_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d",
 WIDTH, LENGTH, BITS, COMPRESSION, DESCRIPTION, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 270, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 284, 317, 322, 323, 324, 325, 339
 NONE, DEFLATE = (1,), (8, 32946)
+#: Where a stack written by ImageJ keeps its labels, and under which name.
+IJ_COUNTS, IJ_DATA, IJ_LABELS = 50838, 50839, b"labl"
 #: Bytes of pixels that one partition reads.
 PARTITION_BYTES = 32 << 20
 
@@ -161,6 +164,22 @@ def json_names(found: list[Page]) -> list[str]:
         return []
 
 
+def stack_names(page: Page) -> list[str]:
+    """The labels of a stack's slices: a table of (kind, number), then the entries, whose lengths stand in a tag of their own."""
+    counts, data = page.tags.get(IJ_COUNTS), bytes(page.tags.get(IJ_DATA, ()))
+    if not counts or data[:4] not in (b"IJIJ", b"JIJI"):
+        return []
+    order, text = (">", "utf-16-be") if data[:4] == b"IJIJ" else ("<", "utf-16-le")
+    kinds = [struct.unpack_from(f"{order}4sI", data, 4 + 8 * i) for i in range((counts[0] - 4) // 8)]
+    ends = list(np.cumsum(counts))
+    out, k = [], 0
+    for kind, n in kinds:
+        name = kind if order == ">" else kind[::-1]
+        out += [data[ends[k + i] : ends[k + i + 1]].decode(text) for i in range(n)] if name == IJ_LABELS else []
+        k += n
+    return [n for n in out if n]
+
+
 def is_json(found: list[Page]) -> bool:
     try:
         return "channel.target" in json.loads(found[0].description)
@@ -179,7 +198,7 @@ def channels(found: list[Page]) -> list[Channel]:
     """Channels in order: pages of the first one's size (all of them in a file described in JSON), and their samples."""
     full = [i for i, p in enumerate(found) if is_json(found) or p.shape == found[0].shape]
     spots = [(i, s) for i in full for s in range(found[i].samples)]
-    names = ome_names(found[0].description) or json_names(found)
+    names = ome_names(found[0].description) or json_names(found) or stack_names(found[0])
     if len(names) != len(spots):
         names = [f"Channel {i + 1}" for i in range(len(spots))]
     return [Channel(i, s, n) for (i, s), n in zip(spots, names, strict=True)]
@@ -196,10 +215,36 @@ class Part(InputPartition):
         self.page, self.segments = page, segments
 
 
+def narrowed(bounds: dict[str, tuple[float, float]], f: Filter) -> None:
+    """Brings what a filter says about a column into ``bounds``; other filters leave them as they are."""
+    name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+    if name is None or isinstance(f, In) and not f.value:
+        return
+    low, high = bounds.get(name, (-np.inf, np.inf))
+    if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+        low = max(low, f.value)
+    if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+        high = min(high, f.value)
+    if isinstance(f, In):
+        low, high = max(low, min(f.value)), min(high, max(f.value))
+    bounds[name] = (low, high)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
         self.found = pages(path)
+        self.bounds: dict[str, tuple[float, float]] = {}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Notes what can be left out; Spark still applies every filter to the rows."""
+        for f in filters:
+            narrowed(self.bounds, f)
+            yield f
+
+    def within(self, name: str, first: int, last: int) -> bool:
+        low, high = self.bounds.get(name, (-np.inf, np.inf))
+        return first <= high and last >= low
 
     def used(self) -> list[int]:
         return [0]
@@ -209,6 +254,8 @@ class _Reader(DataSourceReader):
         for i in self.used():
             page, held, size = self.found[i], [], 0
             for s in page.segments():
+                if not (self.within("r", s[0], s[0] + s[2] - 1) and self.within("c", s[1], s[1] + s[3] - 1)):
+                    continue
                 held.append(s)
                 size += s[2] * s[3] * page.dtype.itemsize * page.samples
                 if size >= PARTITION_BYTES:
@@ -237,7 +284,7 @@ class MaskReader(_Reader):
 
 class ImageReader(_Reader):
     def used(self) -> list[int]:
-        return list(dict.fromkeys(c.page for c in channels(self.found)))
+        return list(dict.fromkeys(c.page for i, c in enumerate(channels(self.found)) if self.within("ch", i + 1, i + 1)))
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         number = {(c.page, c.sample): i + 1 for i, c in enumerate(channels(self.found))}
@@ -285,6 +332,7 @@ class ImageSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MaskSource)
     spark.dataSource.register(ImageSource)
 

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 
 from cellweave.plans import outline_store
-from cellweave.sources import boundaries, export, tiff, zarr
+from cellweave.operators import labels as lb
+from cellweave.sources import boundaries, export, slides, tiff, zarr
 from pyspark.sql import functions as F
 
 
@@ -169,3 +170,41 @@ def test_chunked_arrays(spark, tmp_path, version):
         zarr.find_array(spark, str(tmp_path / "nothing"))
     with pytest.raises(ValueError, match="no image"):
         zarr.image_size(spark, str(tmp_path / "nothing"))
+
+
+def test_filters_reach_the_reader(spark, tmp_path):
+    tiff.register(spark)
+    a = np.arange(3 * 200 * 20, dtype=np.uint16).reshape(3, 200, 20)
+    tiff.save_tiff(tmp_path / "f.tif", list(a))
+    image = spark.read.format("cyximage").load(str(tmp_path / "f.tif"))
+    got = image.filter("ch = 2 and r between 5 and 6 and c in (3, 7)").collect()
+    assert {(r.ch, r.r, r.c): r.v for r in got} == {(2, r, c): float(a[1, r, c]) for r in (5, 6) for c in (3, 7)}
+    reader = tiff.ImageReader(str(tmp_path / "f.tif"))
+    kept = list(reader.pushFilters([tiff.EqualTo(("ch",), 2), tiff.LessThan(("r",), 500)]))
+    assert len(kept) == 2 and [p.page for p in reader.partitions()] == [1]
+    reader.bounds.clear()
+    list(reader.pushFilters([tiff.GreaterThan(("r",), 200)]))
+    assert reader.partitions() == []
+
+
+def test_labels_of_a_stack():
+    for order, magic, kind, text in ((">", b"IJIJ", b"labl", "utf-16-be"), ("<", b"JIJI", b"lbal", "utf-16-le")):
+        names = ["DNA", "CD3"]
+        blobs = [b"info"] + [n.encode(text) for n in names]
+        head = magic + struct.pack(f"{order}4sI", b"info" if order == ">" else b"ofni", 1) + struct.pack(f"{order}4sI", kind, 2)
+        page = tiff.Page(order, {tiff.IJ_COUNTS: (len(head), *map(len, blobs)), tiff.IJ_DATA: tuple(head + b"".join(blobs))})
+        assert tiff.stack_names(page) == names
+    assert tiff.stack_names(tiff.Page("<")) == []
+
+
+def test_slides_are_measured_together(spark):
+    one = [("a", 1, 1, 1), ("a", 1, 2, 1), ("b", 0, 0, 1), ("b", 3, 3, 2), ("c", 0, 0, 9)]
+    stack = slides.Stack((slides.Slide("a", (4, 5), 1), slides.Slide("b", (6, 4), 2)))
+    assert stack.size == (4 + 6 + 2 * slides.GAP, 5)
+    pixels = stack.stacked(spark.createDataFrame(one, "image_id string, r int, c int, label long"))
+    assert sorted(map(tuple, pixels.collect())) == [(1, 1, 1), (1, 2, 1), (260, 0, 2), (263, 3, 3)]
+    cells = lb.single_mask_cells(pixels, "wc_only")
+    back = stack.slide_of(cells.select("whole_cell_label", "centroid_r", "row_min"), F.col("centroid_r"), ["whole_cell_label"], ["centroid_r", "row_min"])
+    assert sorted(map(tuple, back.collect())) == [("a", 1, 1.0, 1), ("b", 1, 0.0, 0), ("b", 2, 3.0, 3)]
+    with pytest.raises(ValueError, match="names"):
+        slides.Stack((slides.Slide("a", (1, 1), 1),) * 2)
