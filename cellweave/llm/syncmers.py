@@ -14,6 +14,8 @@ from .common import block_count
 WORDS, INNER = 5, 2
 #: Text bytes in one range of ids, within which a document's successor is found.
 RANGE_BYTES = 4 << 20
+#: So many ranges at most, as their bounds are part of the plan; beyond 80 GB ranges are larger.
+MOST_RANGES = 20_000
 _WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -93,7 +95,7 @@ def with_successor(docs: DataFrame, columns: list[str]) -> DataFrame:
     also stands, as a copy, at the end of the range before, and every row finds its successor within its range.
     Equal ids go by text; null ids come last. An only row follows itself; an empty table gives an empty one.
     """
-    ranges = block_count(docs, RANGE_BYTES)
+    ranges = min(block_count(docs, RANGE_BYTES), MOST_RANGES)
     key = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
     at = F.lit([i / ranges for i in range(ranges)])
     bounds = docs.agg(F.array_sort(F.array_distinct(F.percentile_approx(key, at, F.lit(10_000 + 20 * ranges)))).alias("b"), F.min(key).alias("m")).first()

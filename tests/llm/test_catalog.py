@@ -87,3 +87,15 @@ def test_stages(spark, sf_dir):
 def test_rules_keep_a_table_without_references(spark):
     rows = spark.createDataFrame([(1, sentence(random.Random(0), 50), None)], "doc_id long, text string, lang string")
     assert [r.kept for r in quality.quality(rows).collect()] == [True]
+
+
+def test_stages_take_empty_tables_and_long_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+    rng = random.Random(3)
+    long = docs.filter("doc_id = 4").withColumn("text", F.lit(sentence(rng, 30_000))).withColumn("doc_id", F.lit(5000).cast("long"))
+    rows = docs.filter("doc_id % 4 = 0 and doc_id < 200").unionByName(long)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        rows = stage(spark, rows, sf_dir).cache()
+        assert rows.filter("doc_id = 5000").count() >= 1, name

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cellweave.llm import host_reputation as hr, quality, syncmers, toxicity
@@ -162,6 +163,41 @@ def test_fingerprints(docs, rows, empty):
     assert one.near_next == 1.0
 
 
+def spark_hash(*parts):
+    """XXH64 over the parts one after another, each with the hash before as seed, as Spark chains it; a signed number."""
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p.to_bytes(8, "little", signed=True), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_anchors(text):
+    w = [spark_hash(x) for x in words_of(text)]
+    if len(w) < 5:
+        return [(0, spark_hash(",".join(f"{x % 2**64:X}" for x in w)))] if w else []
+    s = [spark_hash(a, b) for a, b in zip(w, w[1:], strict=False)]
+    return [(i, spark_hash(*w[i : i + 5])) for i in range(len(w) - 4) if min(s[i : i + 4]) in (s[i], s[i + 3])]
+
+
+def test_fingerprints_against_plain_code(spark, docs, rows):
+    """Anchors, fingerprints and both likenesses of all rows."""
+    ordered = sorted(((1 << 63) - 1 if d is None else d, t or "", d) for d, t, *_ in rows)
+    prints, memo = lambda t: memo.setdefault(t, frozenset(h % 2**64 >> 32 for _, h in plain_anchors(t))), {}
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    expected = []
+    for i, (_, t, d) in enumerate(ordered):
+        following, half = ordered[(i + 1) % len(ordered)][1], len(t) // 2
+        own, edited = prints(t), prints(t[: len(t) - half] + following[:half])
+        shown = ["".join(f"{h:08x}" for h in sorted(x)) for x in (own, edited)]
+        expected.append((d, *shown, round(alike(own, edited), 9), round(alike(own, prints(following)), 9)))
+    got = [(r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in syncmers.fingerprints(docs).collect()]
+    assert Counter(got) == Counter(expected)
+    for r in syncmers.with_anchors(docs.filter("doc_id < 20")).select("text", "anchors").collect():
+        assert [(a["at"], a["hash"]) for a in r.anchors] == plain_anchors(r.text)
+    equal = spark.createDataFrame([(1, "a b c d e f g")] * 4 + [(1, None)] * 2, "doc_id long, text string")
+    assert syncmers.with_successor(equal, ["text"]).count() == 6
+
+
 def test_fingerprints_hold_every_anchor_and_its_place(spark):
     rng = random.Random(3)
     fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]

@@ -70,6 +70,43 @@ def test_every_capacity_holds(rule):
         packing.plan({101: 1}, capacity)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_the_plan_is_vector_best_fit(seed):
+    """Piece by piece, longest first: the open bin that is left with the least weighted norm, if every capacity holds."""
+    rng = np.random.default_rng(seed)
+    capacity = packing.Capacity(tokens=100, documents=5, attention_cost=4500)
+    lengths = sorted(rng.integers(1, 60, 150).tolist(), reverse=True)
+    scale = [w / c for w, c in zip(capacity.weights, capacity.full(), strict=True)]
+    bins: list[tuple[tuple, list]] = []
+    for n in lengths:
+        item = capacity.vector(n)
+        fits = [(sum(((r - x) * s) ** 2 for r, x, s in zip(left, item, scale, strict=True)), left, i) for i, (left, _) in enumerate(bins) if all(a >= b for a, b in zip(left, item, strict=True))]
+        i = min(fits)[2] if fits else len(bins)
+        if not fits:
+            bins.append((capacity.full(), []))
+        bins[i] = (tuple(r - x for r, x in zip(bins[i][0], item, strict=True)), [*bins[i][1], n])
+    made = defaultdict(list)
+    for length, low, high, first, places, _ in packing.plan(dict(Counter(lengths)), capacity):
+        for rank in range(low, high):
+            made[first + (rank - low) // places].append(length)
+    assert Counter(tuple(x) for x in made.values()) == Counter(tuple(x) for _, x in bins)
+
+
+def test_repeated_rows_and_odd_columns_are_packed(spark):
+    rows = spark.createDataFrame([(1, "a b", 7, 8)] * 3 + [(None, None, 0, 0)], "doc_id long, text string, length int, sequence_id int")
+    got = packing.packed(rows, BPE).collect()
+    assert len(got) == 4 and len({(r.sequence_id, r.offset) for r in got}) == 4
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_stretches_that_cancel_in_sums_of_powers_are_told_apart(spark, n):
+    x = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    text = f" {x} {x.translate({97: 98, 98: 97})}"
+    docs = spark.createDataFrame([(1, text)] * 2, "doc_id long, text string")
+    assert all(r.lossless for r in ps.digests(docs, PIECES).collect())
+    assert [r.text for r in ps.decoded(ps.encoded(docs, PIECES), PIECES).collect()] == [text] * 2
+
+
 def test_pieces_come_back(docs, rows, empty):
     encoded = ps.encoded(docs, PIECES)
     assert Counter(map(tuple, ps.decoded(encoded, PIECES).collect())) == Counter((d, t or "") for d, t, *_ in rows)
