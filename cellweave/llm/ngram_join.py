@@ -5,8 +5,9 @@ rarer ones first; two sets as alike as the threshold asks share one of the first
 classes that meet in such a prefix are compared. First each class is compared with one other: the one that most of a
 sample of its shingles names, of whose own shingles the fewest come before. That links the bulk of a large group to
 few texts. Then, at every prefix shingle whose classes are in several components, all pairs of classes of different
-components are compared that can still be alike by size and place; of very mixed shingles only those with some
-pivots, more of them from round to round, until no such pair is left.
+components are compared that can still be alike by size and place. Classes at very mixed shingles come again with 16
+bits of each of their shingles, which bound an overlap almost exactly: a class is compared with the likeliest one of
+all other components, then with more of them from round to round, until no such pair is left.
 
 A comparison is vertical: the global order is cut into fragments, partial overlaps are counted for each fragment
 on its own, and summed for each pair. Overlaps are counted on 64-bit hashes of the shingles; prefixes, which only
@@ -39,8 +40,8 @@ PART_BYTES = 64 << 20
 FEW_TEXTS = 200_000
 #: The first round reads every so many-th shingle.
 SAMPLE = 4
-#: Of a shingle's classes outside its largest component, up to so many are compared with all others at once; eight times more from round to round.
-MIXED = 2048
+#: A shingle is mixed if it has more pairs than these of a class outside its largest component and any other class.
+MIXED = 4096
 CHUNK_BYTES = 1 << 19
 #: Bytes of prefixes that a task deals out at once.
 DEAL_BYTES = 4 << 20
@@ -151,32 +152,55 @@ class Members:
         most = np.minimum(self.most[u], self.most[v])
         return (self.root[u] != self.root[v]) & (100 * most >= self.percent * (self.n[u] + self.n[v] - most))
 
-    def pairs(self, mixed: int) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Pairs of different components that can be alike, and whether these are all; else those of some pivots."""
+    def alive(self) -> tuple[np.ndarray, np.ndarray]:
+        """Members that can be alike with any other, and those of them outside the largest component."""
         alive = np.flatnonzero((100 + self.percent) * self.most >= self.percent * (self.n + self.n.min()))
         if not len(alive):
-            return alive, alive, True
+            return alive, alive
         _, code, count = np.unique(self.root[alive], return_inverse=True, return_counts=True)
-        minor = alive[code != count.argmax()]
-        if all_ := len(minor) <= mixed:
-            chosen, seen = minor, np.zeros(len(self.n), bool)
-        else:
-            chosen, seen = alive[np.lexsort((self.ids[alive], -self.most[alive]))[: max(1, mixed // 256)]], np.zeros(len(self.n), bool)
+        return alive, alive[code != count.argmax()]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Pairs of different components that can be alike, and whether these are all: a mixed shingle gives none."""
+        alive, minor = self.alive()
+        if len(minor) * len(alive) > MIXED:
+            return alive[:0], alive[:0], False
+        left, right = np.repeat(minor, len(alive)), np.tile(alive, len(minor))
+        outside = np.zeros(len(self.n), bool)
+        outside[minor] = True
+        some = self.possible(left, right) & (~outside[right] | (left < right))
+        return left[some], right[some], True
+
+    def likeliest(self, thin: list[np.ndarray], top: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        """For each class outside the largest component, the ``top`` classes of other components that can be alike and
+        share the most of ``thin`` (16 bits of each shingle), and whether these are all there are."""
+        alive, minor = self.alive()
+        seen, table, all_ = np.zeros(len(self.n), bool), np.zeros(1 << 16, bool), True
         left, right = [alive[:0]], [alive[:0]]
-        for u in chosen.tolist():
+        for u in minor.tolist():
             seen[u] = True  # what has been paired with u
             v = alive[~seen[alive]]
             v = v[self.possible(np.full(len(v), u), v)]
+            if not len(v):
+                continue
+            table[thin[u]] = True
+            size = np.array([len(thin[i]) for i in v.tolist()])
+            most = np.add.reduceat(table[np.concatenate([thin[i] for i in v.tolist()])].astype(np.int64), np.cumsum(size) - size)
+            table[thin[u]] = False
+            good = 100 * most >= self.percent * (self.n[u] + self.n[v] - most)
+            v, most = v[good], most[good]
+            all_ &= len(v) <= top
+            v = v[np.lexsort((self.ids[v], -most))[:top]]
             left.append(np.full(len(v), u))
             right.append(v)
-        return np.concatenate(left), np.concatenate(right), bool(all_)
+        return np.concatenate(left), np.concatenate(right), all_
 
 
 CANDIDATES = "a long, b long, na long, nb long, votes long"
 
 
 def _candidates(classes: DataFrame, parts: int, percent: int, round_: int) -> DataFrame:
-    """``a, b, na, nb, votes``: pairs of ``classes`` (``id, n, prefix, root``) to compare, each once from each part of the shingles.
+    """``a, b, na, nb, votes``: pairs of ``classes`` (``id, n, prefix, root, thin``) to compare, each once from each part of the shingles.
 
     In round 0 ``a`` is a class and ``b`` the pivot of ``votes`` of its shingles; later ``a < b``, and ``b`` is null where
     the class ``a`` has a shingle at which pairs are left for another round.
@@ -196,6 +220,7 @@ def _candidates(classes: DataFrame, parts: int, percent: int, round_: int) -> Da
     def dealt_out(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         tokens = [_wide(x) for batch in batches for x in batch.column("prefix").to_pylist()]
         ids, n, root = (np.concatenate([batch.column(c).to_numpy() for batch in batches]) for c in ("id", "n", "root"))
+        thin = [x for batch in batches for x in batch.column("thin").to_pylist()]
         size = np.array([len(t) for t in tokens], np.int64)
         flat, row = np.concatenate([np.zeros(0, np.uint64), *tokens]), np.repeat(np.arange(len(ids)), size)
         at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
@@ -209,7 +234,7 @@ def _candidates(classes: DataFrame, parts: int, percent: int, round_: int) -> Da
         out = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             own, place = np.unique(row[a:b], return_inverse=True)
-            out.append((int(part[a]), pack_arrays(np.diff(flat[a:b], prepend=np.uint64(0)), place.astype(np.uint32), at[a:b], ids[own], n[own].astype(np.uint32), root[own] - ids[own])))
+            out.append((int(part[a]), pack_arrays(np.diff(flat[a:b], prepend=np.uint64(0)), place.astype(np.uint32), at[a:b], ids[own], n[own].astype(np.uint32), root[own] - ids[own], np.frombuffer(b"".join(thin[i] or b"" for i in own.tolist()), np.uint16))))
         return pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in out], pa.int32()), "payload": pa.array([x for _, x in out], pa.binary())})
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
@@ -223,7 +248,10 @@ def _candidates(classes: DataFrame, parts: int, percent: int, round_: int) -> Da
         at = np.concatenate([np.zeros(0, np.int64), *(g[2].astype(np.int64) for g in got)])[shared]
         ids, n, moved = (np.concatenate([np.zeros(0, np.int64), *(g[k].astype(np.int64) for g in got)])[place] for k in (3, 4, 5))
         token, root = token[shared], ids + moved
-        return (nominated if not round_ else remaining)(token, ids, n, at, root)
+        if not round_:
+            return nominated(token, ids, n, at, root)
+        thin = [x for g in got if round_ > 1 for x in np.split(g[6], np.cumsum(g[4].astype(np.int64))[:-1])]
+        return remaining(token, ids, n, at, root, [thin[i] for i in place.tolist()] if round_ > 1 else [])
 
     def nominated(token: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray) -> pa.Table:
         order = np.lexsort((ids, at, token))
@@ -234,13 +262,14 @@ def _candidates(classes: DataFrame, parts: int, percent: int, round_: int) -> Da
         some = np.flatnonzero(members.possible(np.arange(len(ids)), pivot))
         return told(ids[some], ids[pivot[some]], n[some], n[pivot[some]])
 
-    def remaining(token: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray) -> pa.Table:
+    def remaining(token: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, thin: list[np.ndarray]) -> pa.Table:
         head = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
         ends = np.append(head[1:], len(token))
         several = np.minimum.reduceat(root, head) != np.maximum.reduceat(root, head) if len(head) else head
         left, right, open_, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for a, b in zip(head[several].tolist(), ends[several].tolist(), strict=True) if len(head) else []:
-            u, v, all_ = Members(ids[a:b], n[a:b], at[a:b], root[a:b], percent).pairs(MIXED * 8 ** (round_ - 1))
+            members = Members(ids[a:b], n[a:b], at[a:b], root[a:b], percent)
+            u, v, all_ = members.pairs() if round_ == 1 else members.likeliest(thin[a:b], 4 ** (round_ - 2))
             left.append(u + a)
             right.append(v + a)
             size += len(u)
@@ -334,6 +363,21 @@ def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
     return total.join(pairs, ["a", "b"]).filter(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
+def _thin(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """``id, thin``: the lower 16 bits of each shingle of the documents in ``ids``, each document once."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in text_chunks(batch.column("text"), CHUNK_BYTES):
+                out = [(s & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for _, s in _sets(part, size)]
+                yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id").slice(first, len(part)), "thin": pa.array(out, pa.binary())})
+
+    few = ids.limit(FEW_TEXTS + 1).count() <= FEW_TEXTS
+    wanted = ids.select(F.col("id").alias("doc_id"))
+    rows = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(made, "id long, thin binary")
+    return rows.groupBy("id").agg(F.first("thin").alias("thin"))
+
+
 def _with_root(rows: DataFrame, roots: DataFrame | None, key: str, name: str) -> DataFrame:
     if roots is None:
         return rows.withColumn(name, F.col(key))
@@ -344,9 +388,11 @@ def _with_root(rows: DataFrame, roots: DataFrame | None, key: str, name: str) ->
 def _compared(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``id, root`` of the ``classes`` (``id, n, bins, prefix``) that have links; the root names the component."""
     parts = block_count(docs, PART_BYTES)
-    roots, tested, open_, round_ = None, None, classes, 0
+    roots, tested, open_, thin, round_ = None, None, classes, None, 0
     while True:
-        found = _candidates(_with_root(open_.select("id", "n", "prefix"), roots, "id", "root"), parts, percent, round_)
+        rows = _with_root(open_.select("id", "n", "prefix"), roots, "id", "root")
+        rows = rows.join(thin, "id") if thin is not None else rows.withColumn("thin", F.lit(None).cast("binary"))
+        found = _candidates(rows, parts, percent, round_)
         if round_ == 0:
             votes = found.groupBy("a", "b", "na", "nb").agg(F.sum("votes").alias("votes"))
             best = votes.groupBy("a").agg(F.max(F.struct("votes", (-F.col("b")).alias("_b"), "b", "na", "nb")).alias("best"))
@@ -371,7 +417,9 @@ def _compared(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> D
         if left is not None:
             if left.isEmpty():
                 return roots
-            open_ = open_.join(left, "id", "left_semi")
+            open_ = written(open_.join(left, "id", "left_semi"), "open")
+            if thin is None:
+                thin = written(_thin(docs, left, size), "thin")
         round_ += 1
 
 

@@ -165,6 +165,24 @@ def test_near_misses_in_one_large_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked(rows, 4, 85)
 
 
+@pytest.mark.parametrize("mixed", [0, 30])
+def test_very_mixed_shingles_lose_no_link(spark, monkeypatch, mixed):
+    """Groups of near copies of which only some are alike enough, with the mixed way for nearly all shingles."""
+    monkeypatch.setattr(ngram_join, "MIXED", mixed)
+    rng, rows = np.random.default_rng(11), []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(60 + 20 * group)]
+        for d in range(40):
+            words = base.copy()
+            for j in rng.choice(len(base), int(rng.integers(0, 5)), replace=False):
+                words[j] = f"own{rng.integers(0, 60)}"
+            rows.append((100 * group + d, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size, percent in ((4, 85), (5, 80)):
+        got = ngram_join.jaccard_components(docs, size, percent).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked(rows, size, percent)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100)]
     roots = {}
