@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import pickle
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from cellweave.functions.tables import table, written  # noqa: F401
 
 # Python workers live on from task to task: large arrays are to go back to the system as they are freed, small ones
 # to be used again without new pages. Fixed values of the C library: the two settings' numbers.
@@ -26,28 +26,6 @@ BLOCK_BYTES = 8 << 20
 NULL_ID = (1 << 63) - 1
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
-    if there := spark.conf.get("spark.checkpoint.dir", None):
-        return there
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cellweave-"))
-    return context.getCheckpointDir()
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and read again if an executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only ``doc_id`` (long) and ``text`` (string), whatever else the table holds."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))

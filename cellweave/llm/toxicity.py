@@ -167,7 +167,8 @@ def _unpacked(data: bytes) -> np.ndarray:
 def log_ratios(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
     """``doc_id, n_grams, llr`` (the sum over the text) ``, peak`` (over its worst stretch) for each row of ``docs``; null texts are empty and have nought of each."""
     docs = id_and_text(docs)
-    blocks = parts = block_count(docs, BLOCK_BYTES)
+    blocks = block_count(docs, BLOCK_BYTES)
+    parts = max(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a short table spreads too
     rows = dealt(docs, blocks)
     message = "block int, part int, payload binary"
 
