@@ -400,8 +400,16 @@ def candidate_pairs_bbox(s: Scene) -> DataFrame:
 
 @query()
 def synthesised_cells(s: Scene) -> DataFrame:
-    seeds, zone = _zone(s)
-    return ol.synthesised(seeds, written(zone, "zone"), 3.0, 1)[0]
+    """Cells grown around nuclei that no whole cell claims; their ids follow those of the matches."""
+    return me.all_cells(s.nuclei, s.cells, (s.height, WIDTH))[0].filter("match_source = 'watershed_synth'")
+
+
+# an outline through the midpoints of a square's sides takes 1/8 of it for a corner, 1/2 for two on a side, 7/8 for three
+@query(sql("""SELECT label, sum(CASE n WHEN 1 THEN 0.125 WHEN 2 THEN CASE WHEN across THEN 0.25 ELSE 0.5 END WHEN 3 THEN 0.875 ELSE 1.0 END) area FROM (
+  SELECT label, y, x, count(*) n, count(*) = 2 AND min(o) + max(o) = 3 across FROM (SELECT label, r - dy y, c - dx x, 2*dy + dx o FROM wc CROSS JOIN (SELECT unnest([0, 1]) dy) CROSS JOIN (SELECT unnest([0, 1]) dx)) GROUP BY 1, 2, 3) GROUP BY 1"""))
+def outline_areas(s: Scene) -> DataFrame:
+    """Areas inside the untouched outlines; the scene's labels are in one piece and without holes."""
+    return ol.outlines(s.cells, 0.0).select("label", "area")
 
 
 @query()
@@ -527,10 +535,14 @@ def measurements_all(s: Scene) -> DataFrame:
 
 @query()
 def geojson_features(s: Scene) -> DataFrame:
-    cells = cells_of(s)
-    rings = ol.outlines(s.cells).select(F.col("label").alias("whole_cell_label"), "ring").join(cells.select("cell_id", "whole_cell_label"), "whole_cell_label")
+    """All cells, grown ones with the outlines of what they have grown over, and their measurements."""
+    cells, grown = me.all_cells(s.nuclei, s.cells, (s.height, WIDTH))
+    cells = written(cells, "all-cells")
+    by_cell = ol.outlines(s.cells).select(F.col("label").alias("whole_cell_label"), "ring").join(cells.select("cell_id", "whole_cell_label"), "whole_cell_label")
+    by_growth = ol.outlines(grown).select(F.col("label").alias("nucleus_label"), "ring").join(cells.filter("match_source = 'watershed_synth'").select("cell_id", "nucleus_label"), "nucleus_label")
+    rings = by_cell.select("cell_id", "ring").unionByName(by_growth.select("cell_id", "ring"))
     nuclei = ol.outlines(s.nuclei).select(F.col("label").alias("nucleus_label"), "ring").join(cells.select("cell_id", "nucleus_label"), "nucleus_label")
-    summary = cp.compartment_intensity(pixels_of(s, cells), cells, s.image)
+    summary = cp.compartment_intensity(cp.cell_pixels(cells, s.nuclei, s.cells, grown), cells, s.image)
     maps = cp.as_map(cp.keyed(summary, s.spark.createDataFrame(CHANNELS, "ch int, name string")))
     return export.features(cells, rings, nuclei, maps)
 
