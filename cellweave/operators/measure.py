@@ -169,6 +169,19 @@ def _percentiles(rows: DataFrame, channels: DataFrame, part: Column) -> DataFram
     return named.select("cell_id", "ch", F.concat_ws(": ", "name", part, F.lit("Percentile"), F.col("p").cast("string")).alias("key"), "value")
 
 
+def on_grid(nuclei: DataFrame | None, whole: DataFrame | None, image: DataFrame | None, size: tuple[int, int], options: Options = Options()) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None, tuple[int, int]]:
+    """Masks and image on the coarser grid that ``options`` asks for, and its size; pixels outside the grid are an error."""
+    for name, pixels in (("nuclear mask", nuclei), ("whole-cell mask", whole)):
+        if pixels is not None:
+            check_inside(pixels, size, name)
+    step = ra.step_of(options.downsample_factor)
+    if step < 2 or min(size) < step:
+        return nuclei, whole, image, size
+    coarse = [p if p is None else written(ra.downsample_mask(p, size, options.downsample_factor), "mask") for p in (nuclei, whole)]
+    image = None if image is None else written(ra.downsample_image(image, size, options.downsample_factor), "image")
+    return *coarse, image, (size[0] // step, size[1] // step)
+
+
 def run(nuclei: DataFrame | None, whole: DataFrame | None, image: DataFrame | None, channels: DataFrame | None, size: tuple[int, int], options: Options = Options()) -> tuple[DataFrame, DataFrame | None]:
     """Cells and their measurements (``cell_id, key, value``; none without an image or where switched off) from masks on one grid.
 
@@ -176,15 +189,7 @@ def run(nuclei: DataFrame | None, whole: DataFrame | None, image: DataFrame | No
     """
     if nuclei is None and whole is None:
         raise ValueError("at least one mask is needed")
-    masks = {"nuclear mask": nuclei, "whole-cell mask": whole}
-    for name, pixels in masks.items():
-        if pixels is not None:
-            check_inside(pixels, size, name)
-    step = ra.step_of(options.downsample_factor)
-    nuclei, whole = (p if p is None or step < 2 else written(ra.downsample_mask(p, size, options.downsample_factor), "mask") for p in masks.values())
-    if step >= 2 and min(size) >= step:
-        image = None if image is None else written(ra.downsample_image(image, size, options.downsample_factor), "image")
-        size = (size[0] // step, size[1] // step)
+    nuclei, whole, image, size = on_grid(nuclei, whole, image, size, options)
     cells, grown = all_cells(nuclei, whole, size, options)
     cells = written(cells, "cells")
     if image is None or not options.measurements:

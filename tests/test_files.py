@@ -10,9 +10,9 @@ import zlib
 import numpy as np
 import pytest
 
-from cellweave.plans import outline_store
+from cellweave.plans import job, outline_store
 from cellweave.operators import labels as lb
-from cellweave.sources import boundaries, export, slides, tiff, zarr
+from cellweave.sources import boundaries, export, masks, slides, tiff, zarr
 from pyspark.sql import functions as F
 
 
@@ -208,3 +208,40 @@ def test_slides_are_measured_together(spark):
     assert sorted(map(tuple, back.collect())) == [("a", 1, 1.0, 1), ("b", 1, 0.0, 0), ("b", 2, 3.0, 3)]
     with pytest.raises(ValueError, match="names"):
         slides.Stack((slides.Slide("a", (1, 1), 1),) * 2)
+
+
+def test_a_job_from_files_to_files(spark, tmp_path):
+    wc, nuc = np.zeros((40, 40), np.uint16), np.zeros((40, 40), np.uint16)
+    wc[5:15, 5:15], wc[20:30, 20:30] = 3, 4
+    nuc[8:12, 8:12], nuc[33:36, 5:8] = 7, 9
+    image = np.arange(2 * 1600, dtype=np.uint16).reshape(2, 40, 40)
+    for name, pages in (("wc", [wc]), ("nuc", [nuc]), ("image", list(image)), ("small", [wc[:20]])):
+        tiff.save_tiff(tmp_path / f"{name}.tif", pages)
+    at = lambda name: str(tmp_path / name)
+    made = job.Job(at("nuc.tif"), at("wc.tif"), tiff_file=at("image.tif"), output_file=at("out.geojson"), output_mask=at("out.tif"), gzip=True, geometry_checkpoint_dir=at("store"), geometry_batch_size=1)
+    result = job.run(spark, made)
+    assert sorted((r.cell_id, r.match_source) for r in result.cells.collect()) == [(1, "overlap_1to1"), (2, "watershed_synth")]
+    with gzip.open(tmp_path / "out.geojson.gz", "rt") as f:
+        found = json.load(f)["features"]
+    assert [x["id"] for x in found] == ["annotation-whole-image", "cell-1", "cell-2"] and all("nucleusGeometry" in x for x in found[1:])
+    assert found[1]["properties"]["measurements"]["Cell: Area µm^2"] == 25.0 and "Channel 2: Cytoplasm: Median" in found[1]["properties"]["measurements"]
+    mask, size = masks.load_mask(spark, at("out.tif"))
+    assert size == (40, 40) and {r.label: r["count"] for r in mask.groupBy("label").count().collect()}[1] == 100
+    alone = job.run(spark, job.Job(whole_cell_mask=at("wc.tif"), simplify_rois=False, constrain_overlaps=False))
+    assert alone.measurements is None and alone.features.count() == 2 == alone.cells.count()
+    with pytest.raises(ValueError, match="differ in size"):
+        job.run(spark, job.Job(at("nuc.tif"), at("small.tif")))
+    for wrong, message in (({}, "mask"), ({"nuclear_mask": "x", "tolerance": -1.0}, "tolerance"), ({"nuclear_mask": "x", "geometry_batch_size": 0}, "batch")):
+        with pytest.raises(ValueError, match=message):
+            job.Job(**wrong)
+    with pytest.raises(ValueError, match="no mask"):
+        masks.load_mask(spark, "labels.png")
+
+
+def test_a_store_with_boundaries(spark, tmp_path):
+    there = tmp_path / "cells.zarr" / "images" / "slide" / "0"
+    there.mkdir(parents=True)
+    (there / ".zarray").write_text(json.dumps({"shape": [1, 9, 8], "chunks": [1, 9, 8], "dtype": "|u1", "compressor": None, "fill_value": 0}))
+    spark.createDataFrame([(boundaries.well_known([RING]),), (boundaries.well_known([HOLE]),)], "geometry binary").coalesce(1).write.parquet(str(tmp_path / "cells.zarr" / "shapes"))
+    pixels, size = masks.load_mask(spark, str(tmp_path / "cells.zarr"), "shapes")
+    assert size == (9, 8) and {r.label: r["count"] for r in pixels.groupBy("label").count().collect()} == {1: 12, 2: 4}
