@@ -8,6 +8,7 @@ by it.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import text_chunks
-from .words import joined, run_hashes, word_bounds, word_codes, word_hashes
+from .words import hashed, joined, run_hashes, word_bounds, word_codes
 
 CHUNK_BYTES = 1 << 19
 #: Distinct words of which a task holds counts before it sends them on.
@@ -66,19 +67,29 @@ class Reference:
 
 
 class Texts:
-    """Arrays over some texts: bytes, words (A-Z lower-cased hashes too), and the text of each."""
+    """Arrays over some texts: bytes, words (their hashes, and those with A-Z lower-cased), and the text of each."""
 
     def __init__(self, texts: list[bytes]):
         self.data, self.ends = joined(texts)
         self.raw = np.frombuffer(self.data, np.uint8)
         self.start, self.end = word_bounds(self.raw)
         self.doc = np.searchsorted(self.ends, self.start, "right")
-        self.hashes = word_hashes(self.raw, self.start, self.end)
         self.n = np.bincount(self.doc, minlength=len(texts))
         self.size = len(texts)
 
+    @functools.cached_property
+    def words(self) -> tuple[np.ndarray, list[bytes]]:
+        """A number for each word, and the distinct words."""
+        code, distinct = word_codes(self.raw, self.start, self.end)
+        return code, distinct.to_pylist()
+
+    def hashes(self) -> np.ndarray:
+        code, distinct = self.words
+        return hashed(distinct)[code]
+
     def folded(self) -> np.ndarray:
-        return word_hashes(np.frombuffer(self.data.translate(FOLD), np.uint8), self.start, self.end)
+        code, distinct = self.words
+        return hashed([w.translate(FOLD) for w in distinct])[code]
 
     def class_counts(self) -> np.ndarray:
         """Code points of each class, for each text; the line feed put behind each text isn't counted."""
@@ -122,9 +133,10 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> list[Reference]:
             return pa.RecordBatch.from_pydict({"lang": pa.array([x for x, _ in held], pa.string()), "word": pa.array(words, pa.string()), "n": pa.array(list(held.values()), pa.int64())})
 
         for lang, t in by_lang(batches):
-            code, distinct = word_codes(np.frombuffer(t.data.translate(FOLD), np.uint8), t.start, t.end)
-            for word, n in zip(distinct.to_pylist(), np.bincount(code, minlength=len(distinct)).tolist(), strict=True):
-                held[lang, word] = held.get((lang, word), 0) + n
+            code, distinct = t.words
+            for word, n in zip(distinct, np.bincount(code, minlength=len(distinct)).tolist(), strict=True):
+                key = lang, word.translate(FOLD)
+                held[key] = held.get(key, 0) + n
             if len(held) > HELD_WORDS:
                 yield out()
                 held.clear()
@@ -227,7 +239,7 @@ def _judge(texts: list[bytes], known: list[Reference], rules: Rules) -> dict[str
     lead = np.zeros(len(t.raw) + 1, np.int64)
     np.cumsum(LEADS[t.raw], out=lead[1:])
     word_chars = np.bincount(t.doc, lead[t.end] - lead[t.start], minlength=t.size).astype(np.int64)
-    repeated = _repeated(t.hashes, t.doc, rules.repeat_window, t.size)
+    repeated = _repeated(t.hashes(), t.doc, rules.repeat_window, t.size)
     classes = t.class_counts()
     failed = (t.n < rules.min_words) | (100 * repeated > rules.max_repeat_percent * t.n)
     chars = classes.sum(axis=1)

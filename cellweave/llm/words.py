@@ -41,7 +41,11 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     if not len(start):
         return np.zeros(0, np.uint64)
     code, distinct = word_codes(data, start, end)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))[code]
+    return hashed(distinct.to_pylist())[code]
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def word_marks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
