@@ -36,8 +36,8 @@ FRAGMENTS = 3
 BINS = 128
 #: Text bytes for each part into which prefix shingles are dealt.
 PART_BYTES = 64 << 20
-#: If no more texts than these are to be compared, their ids (8 bytes each) are broadcast and only they are dealt; else all are.
-FEW_TEXTS = 200_000
+#: Tables of ids and components (16 bytes a row) of no more rows than these are broadcast; larger ones are joined by a shuffle.
+FEW = 200_000
 #: The first round reads every so many-th shingle.
 SAMPLE = 4
 #: A shingle is mixed if it has more pairs than these of a class outside its largest component and any other class.
@@ -300,6 +300,11 @@ def _candidates(classes: DataFrame, parts: int, percent: int, round_: int) -> Da
     return classes.mapInArrow(deal, "part int, payload binary").groupBy("part").applyInArrow(meet, CANDIDATES)
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows`` to broadcast, if they are few."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     first = F.col("a") < F.col("b")
     return pairs.select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a", "b", "a"), ("b", "a", "b"), ("na", "nb", "na"), ("nb", "na", "nb")))).distinct()
@@ -316,7 +321,9 @@ def _close(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
             chosen = pa.array(100 * most >= percent * (both - most))
             yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(chosen) for c in ("a", "b", "na", "nb")})
 
-    left, right = (bins.select(F.col("id").alias(x), F.col("bins").alias(y)) for x, y in (("a", "left"), ("b", "right")))
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "compared")
+    own = written(bins.select("id", "bins").join(_small(ids), "id", "left_semi"), "bins")
+    left, right = (own.select(F.col("id").alias(x), F.col("bins").alias(y)) for x, y in (("a", "left"), ("b", "right")))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "left", "right").mapInArrow(possible, "a long, b long, na long, nb long")
 
 
@@ -354,9 +361,7 @@ def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
 
     sides = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("other")))
     wanted = written(sides.withColumn("block", block_of(blocks)), "wanted")
-    ids = wanted.select("doc_id").distinct()
-    if ids.limit(FEW_TEXTS + 1).count() <= FEW_TEXTS:
-        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    docs = docs.join(_small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")  # no others are dealt
     cuts = dealt(docs, blocks).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(cut, "a long, b long, fragment int, hashes binary")
     met = cuts.groupBy("a", "b", "fragment").agg(F.collect_list("hashes").alias("sides")).filter(F.size("sides") == 2)
     total = met.select("a", "b", "sides").mapInArrow(overlaps, "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("o"))
@@ -372,9 +377,7 @@ def _thin(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 out = [(s & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for _, s in _sets(part, size)]
                 yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id").slice(first, len(part)), "thin": pa.array(out, pa.binary())})
 
-    few = ids.limit(FEW_TEXTS + 1).count() <= FEW_TEXTS
-    wanted = ids.select(F.col("id").alias("doc_id"))
-    rows = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(made, "id long, thin binary")
+    rows = docs.join(_small(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(made, "id long, thin binary")
     return rows.groupBy("id").agg(F.first("thin").alias("thin"))
 
 
@@ -382,7 +385,7 @@ def _with_root(rows: DataFrame, roots: DataFrame | None, key: str, name: str) ->
     if roots is None:
         return rows.withColumn(name, F.col(key))
     moved = roots.select(F.col("id").alias(key), F.col("root").alias("_root"))
-    return rows.join(moved, key, "left").withColumn(name, F.coalesce("_root", key)).drop("_root")
+    return rows.join(_small(moved), key, "left").withColumn(name, F.coalesce("_root", key)).drop("_root")
 
 
 def _compared(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -417,7 +420,7 @@ def _compared(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> D
         if left is not None:
             if left.isEmpty():
                 return roots
-            open_ = written(open_.join(left, "id", "left_semi"), "open")
+            open_ = written(open_.join(_small(left), "id", "left_semi"), "open")
             if thin is None:
                 thin = written(_thin(docs, left, size), "thin")
         round_ += 1
@@ -438,7 +441,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     table = written(shingle_sets(docs, size, percent, rarity_levels(docs, size)), "sets")
     same = table.filter("doc_id is not null and digest is not null")
     classes = written(same.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
-    first = same.select(F.col("doc_id").alias("id"), "n", "bins", "prefix").join(classes.select("id"), "id", "left_semi")
+    first = same.select(F.col("doc_id").alias("id"), "n", "bins", "prefix").join(_small(classes.select("id")), "id", "left_semi")
     roots = _compared(written(first, "representatives"), known, size, percent)
     rows = table.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(classes.select("digest", "id"), "digest", "left")
     low = written(roots.join(roots.groupBy("root").agg(F.min("id").alias("low")), "root").select("id", "low"), "low")
