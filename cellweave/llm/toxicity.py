@@ -20,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import block_count, block_of, dealt, id_and_text, planes, unpacked, unplaned, written
+from .common import block_count, block_of, dealt, id_and_text, pack_arrays, planes, unpack_arrays, unpacked, unplaned, written
 
 ORDER = 6
 #: Bytes of the stretch of a text that is compared on its own.
@@ -102,14 +102,27 @@ def class_counts(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Data
                 grams.append(value)
                 toxic = labels[first + owner]
                 classes.append(np.stack([np.bincount(place, toxic, len(value)), np.bincount(place, 1 - toxic, len(value))], axis=1).astype(np.int64))
-        value, place = np.unique(np.concatenate(grams), return_inverse=True)
-        n = np.zeros((len(value), 2), np.int64)
-        np.add.at(n, place, np.concatenate(classes))
+        value, n = summed(np.concatenate(grams), np.concatenate(classes))
+        part = _part(value >> np.uint64(8), parts)
+        turn = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[turn], np.arange(parts + 1)).tolist()
+        out = [(p, turn[a:b]) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        packed = [pack_arrays(np.diff(value[at], prepend=np.uint64(0)), *(n[at, k].astype(np.uint32) for k in (0, 1))) for _, at in out]
+        return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "payload": pa.array(packed, pa.binary())})
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        got = [unpack_arrays(x) for x in group.column("payload").to_pylist()]
+        value, n = summed(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), np.concatenate([np.stack(g[1:], axis=1).astype(np.int64) for g in got]))
         return pa.table({"gram": value.view(np.int64), "toxic": n[:, 0], "ordinary": n[:, 1]})
 
+    def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        value, place = np.unique(keys, return_inverse=True)
+        return value, np.stack([np.bincount(place, n[:, k], len(value)) for k in (0, 1)], axis=1).astype(np.int64)
+
+    parts = _parts(docs, blocks)
     known = labels.withColumn("block", block_of(blocks))
-    counts = dealt(docs, blocks).groupBy("block").cogroup(known.groupBy("block")).applyInArrow(count, "gram long, toxic long, ordinary long")
-    return counts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    counts = dealt(docs, blocks).groupBy("block").cogroup(known.groupBy("block")).applyInArrow(count, "part int, payload binary")
+    return counts.groupBy("part").applyInArrow(merge, "gram long, toxic long, ordinary long")
 
 
 def _discount(once: int | None, twice: int | None) -> float:
@@ -168,7 +181,7 @@ def log_ratios(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFra
     """``doc_id, n_grams, llr`` (the sum over the text) ``, peak`` (over its worst stretch) for each row of ``docs``; null texts are empty and have nought of each."""
     docs = id_and_text(docs)
     blocks = block_count(docs, BLOCK_BYTES)
-    parts = max(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a short table spreads too
+    parts = _parts(docs, blocks)
     rows = dealt(docs, blocks)
     message = "block int, part int, payload binary"
 
@@ -258,6 +271,11 @@ class Lookup:
         return out
 
 
+def _parts(docs: DataFrame, blocks: int) -> int:
+    """As many parts as blocks, but no fewer than shuffle partitions: a short table spreads too."""
+    return max(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _part(context: np.ndarray, parts: int) -> np.ndarray:
     return ((context * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)).astype(np.uint32)
 
