@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .common import block_count, block_of, dealt, id_and_text, pack_arrays, text_chunks, unpack_arrays, unpacked, written
@@ -41,7 +40,7 @@ FEW = 200_000
 #: The first round reads every so many-th shingle.
 SAMPLE = 4
 #: A shingle is mixed if it has more pairs than these of a class outside its largest component and any other class.
-MIXED = 4096
+MIXED = 16_384
 CHUNK_BYTES = 1 << 19
 #: Bytes of prefixes that a task deals out at once.
 DEAL_BYTES = 4 << 20
@@ -91,13 +90,13 @@ def rarity_levels(docs: DataFrame, size: int) -> bytes:
             for _, part in text_chunks(batch.column("text"), CHUNK_BYTES):
                 np.add.at(total, (shingle_hashes(part, size)[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         if total.any():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SKETCH_SLICES), pa.int32()), "counts": pa.array([zstandard.compress(x.tobytes(), 1) for x in np.split(total, SKETCH_SLICES)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SKETCH_SLICES), pa.int32()), "counts": pa.array([pack_arrays(x) for x in np.split(total, SKETCH_SLICES)], pa.binary())})
 
     def levels(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << SKETCH_BITS) // SKETCH_SLICES, np.int64)
         for batch in group:
             for x in batch.column("counts").to_pylist():
-                total += np.frombuffer(zstandard.decompress(x), np.uint32)
+                total += unpack_arrays(x)[0]
         digits = np.ceil(np.log2(total + 1)).astype(np.uint8)
         yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([zlib.compress(digits.tobytes(), 1)], pa.binary())})
 
