@@ -17,7 +17,7 @@ from cellweave.functions.tables import table, written  # noqa: F401
 # to be used again without new pages. Fixed values of the C library: the two settings' numbers.
 M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
 pa.set_memory_pool(pa.system_memory_pool())
-for _setting, _bytes in ((M_MMAP_THRESHOLD, 16 << 20), (M_TRIM_THRESHOLD, 64 << 20)):
+for _setting, _bytes in ((M_MMAP_THRESHOLD, 4 << 20), (M_TRIM_THRESHOLD, 16 << 20)):
     getattr(ctypes.CDLL(None), "mallopt", lambda *_: 0)(_setting, _bytes)
 
 #: Text bytes that one block of documents should hold; the number of blocks follows the input.
