@@ -321,7 +321,7 @@ def _close(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(chosen) for c in ("a", "b", "na", "nb")})
 
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "compared")
-    own = written(bins.select("id", "bins").join(_small(ids), "id", "left_semi"), "bins")
+    own = written(bins.select("id", "bins").join(_small(ids), "id", "left_semi").dropDuplicates(["id"]), "bins")  # repeated rows are one
     left, right = (own.select(F.col("id").alias(x), F.col("bins").alias(y)) for x, y in (("a", "left"), ("b", "right")))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "left", "right").mapInArrow(possible, "a long, b long, na long, nb long")
 

@@ -165,6 +165,13 @@ def test_near_misses_in_one_large_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked(rows, 4, 85)
 
 
+def test_repeated_rows_keep_their_links(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(0, text), (0, text), (1, text + " tail"), (1, text + " tail"), (None, text)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(0, 0), (0, 0), (1, 0), (1, 0)]
+
+
 @pytest.mark.parametrize("mixed", [0, 30])
 def test_very_mixed_shingles_lose_no_link(spark, monkeypatch, mixed):
     """Groups of near copies of which only some are alike enough, with the mixed way for nearly all shingles."""
