@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bwt_dedup, host_reputation, ngram_join, oracles, packing, piece_sampling, quality, substring_dedup, syncmers, token_counts, toxicity
+from . import bwt_dedup, host_reputation, ngram_join, oracles, packing, piece_sampling, quality, substring_dedup, syncmers, token_counts, toxicity, vector_codes, warc, whitening
 from .common import table
 
 
@@ -60,6 +60,18 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge(pages, host_reputation.labelled_outcomes(pages, table(spark, sf_dir, "labels")))
 
 
+def op11_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vantage_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_distribution_rules": op1_distribution_rules,
     "op2_sampled_pieces": op2_sampled_pieces,
@@ -71,7 +83,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_url_reputation": op10_url_reputation,
+    "op11_tiled_whitening": op11_tiled_whitening,
+    "op12_vantage_codes": op12_vantage_codes,
+    "op13_warc_index": op13_warc_index,
 }
 
 #: The others tokenise, sample, hash or train, which SQL can't; the tests hold them against brute force.
-ORACLES: dict[str, str] = {"op3_merged_bwt": oracles.OP3, "op5_superkmer_dedup": oracles.OP5, "op7_ngram_jaccard": oracles.OP7, "op10_url_reputation": oracles.OP10}
+ORACLES: dict[str, str] = {"op3_merged_bwt": oracles.OP3, "op5_superkmer_dedup": oracles.OP5, "op7_ngram_jaccard": oracles.OP7, "op10_url_reputation": oracles.OP10, "op12_vantage_codes": oracles.OP12, "op13_warc_index": oracles.OP13}

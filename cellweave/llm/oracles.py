@@ -63,3 +63,33 @@ a AS (SELECT x.host, coalesce(h.rate, m.rate, s.rate, (SELECT (sum(good) + 1)/(s
 b AS (SELECT host, rate, rate + 1.645*sqrt(rate*(1 - rate)/(n + kh.k + 1)) bound FROM a CROSS JOIN kh),
 r AS (SELECT u.*, rate, bound, CASE {_RULE} END m FROM u LEFT JOIN b USING (host))
 SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, CASE WHEN bound < 0.8 THEN 'block' ELSE 'allow' END) verdict, round(rate, 6) rate, round(bound, 6) bound FROM r"""
+
+
+_FINITE = "embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+_D2 = " + ".join(f"(p.v[{k}] - e.v[{k}]) * (p.v[{k}] - e.v[{k}])" for k in range(1, 5))
+
+
+def _round(n: int) -> str:
+    """The nearest entries of codebooks c<n>, and the codebooks after them."""
+    floors = ", ".join(f"CAST((sum(p.v[{k}]) - ((sum(p.v[{k}]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)" for k in range(1, 5))
+    return f"""
+a{n} AS MATERIALIZED (SELECT p.vec_id, p.part, min({{d: {_D2}, entry: e.entry}}) m FROM p JOIN c{n} e ON e.part = p.part GROUP BY 1, 2),
+c{n + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(u.v, c.v) v FROM c{n} c LEFT JOIN (SELECT a.part, a.m.entry entry, [{floors}] v FROM a{n} a JOIN p ON p.vec_id = a.vec_id AND p.part = a.part GROUP BY 1, 2) u ON u.part = c.part AND u.entry = c.entry)"""
+
+
+OP12 = f"""
+WITH x AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) x FROM embeddings WHERE {_FINITE}),
+p AS MATERIALIZED (SELECT vec_id, part, x[part*4 + 1:part*4 + 4] v FROM x CROSS JOIN (SELECT unnest(range(16)) part)),
+c0 AS MATERIALIZED (SELECT part, k - 1 entry, v FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) k FROM x) USING (vec_id) WHERE k <= 64),
+{_round(0)}, {_round(1)},
+f AS (SELECT p.vec_id, p.part, min({{d: {_D2}, entry: e.entry}}) m FROM p JOIN c2 e ON e.part = p.part GROUP BY 1, 2),
+t AS (SELECT vec_id, string_agg(format('{{:02x}}', m.entry), '' ORDER BY part) code, CAST(sum(m.d) AS BIGINT) error FROM f GROUP BY 1),
+g AS (SELECT label, CAST(sum(error) AS BIGINT) label_error FROM t JOIN x USING (vec_id) GROUP BY 1)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM c2) codebooks_sha256 FROM t JOIN x USING (vec_id) JOIN g ON g.label IS NOT DISTINCT FROM x.label"""
+
+# a SHA-1 is eight groups of five hex digits, each of them four base32 digits
+_DIGIT = " || ".join(f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(CAST('0x' || h[{5 * g + 1}:{5 * g + 5}] AS INT) >> {s}) % 32 + 1]" for g in range(8) for s in (15, 10, 5, 0))
+OP13 = f"""
+WITH t AS (SELECT page_id, coalesce(html, '') b, sha1(coalesce(html, '')) h FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY b) last FROM t)
+SELECT page_id, CAST(strlen(b) AS BIGINT) payload_bytes, {_DIGIT} payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END record_type, CASE WHEN page_id <> last THEN last END refers_to FROM r"""
