@@ -45,8 +45,10 @@ def sf_dir(spark, tmp_path_factory):
 
 def test_every_query_returns_each_row_once(spark, sf_dir):
     want = Counter(r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
-    assert [n.split("_")[0] for n in catalog.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in catalog.QUERIES] == [f"op{n}" for n in range(1, 14)]
     for name, f in catalog.QUERIES.items():
+        if int(name[2:].split("_")[0]) > 10:
+            continue  # vectors and archives have tests of their own
         got = f(spark, sf_dir)
         if name.startswith("op10_"):
             assert sorted(r.page_id for r in got.collect()) == list(range(100))
