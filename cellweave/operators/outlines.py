@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from cellweave.functions import polygons as pg
 from cellweave.functions.tables import written
 
 from .labels import label_stats
@@ -42,28 +43,59 @@ def area(ring: np.ndarray) -> float:
     return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
 
 
-def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas and Peucker's choice of vertices, from the first one and the one farthest from it; at least three stay."""
+def kept(ring: np.ndarray, tolerance: float) -> set[int]:
+    """The places that Douglas and Peucker's rule keeps, from the first one and the one farthest from it."""
     n = len(ring)
-    if tolerance <= 0 or n <= 4:
-        return ring
     far = int(np.argmax(((ring - ring[0]) ** 2).sum(axis=1)))
-    closed, keep = np.vstack([ring, ring[:1]]), {0, far, n}
+    closed, keep = np.vstack([ring, ring[:1]]), {0, far}
     stack = [(0, far), (far, n)]
     while stack:
         a, b = stack.pop()
         if b - a < 2:
             continue
-        p, q, inner = closed[a], closed[b], closed[a + 1 : b]
-        d = q - p
-        length = float(np.hypot(*d))
-        off = np.hypot(*(inner - p).T) if length == 0 else np.abs(d[0] * (inner[:, 1] - p[1]) - d[1] * (inner[:, 0] - p[0])) / length
-        k = int(np.argmax(off))
-        if off[k] > tolerance:
-            keep.add(a + 1 + k)
-            stack += [(a, a + 1 + k), (a + 1 + k, b)]
-    out = ring[sorted(keep - {n})]
-    return out if len(out) >= 3 else ring
+        k, off = _farthest(closed, a, b)
+        if off > tolerance:
+            keep.add(k)
+            stack += [(a, k), (k, b)]
+    return keep
+
+
+def _farthest(closed: np.ndarray, a: int, b: int) -> tuple[int, float]:
+    """The place between a and b that is farthest from the line through them, and its distance."""
+    p, q, inner = closed[a], closed[b], closed[a + 1 : b]
+    d = q - p
+    length = float(np.hypot(*d))
+    off = np.hypot(*(inner - p).T) if length == 0 else np.abs(d[0] * (inner[:, 1] - p[1]) - d[1] * (inner[:, 0] - p[0])) / length
+    k = int(np.argmax(off))
+    return a + 1 + k, float(off[k])
+
+
+def simplified_rings(rings_: list[np.ndarray], tolerance: float) -> list[np.ndarray]:
+    """The rings of a polygon with fewer corners, three at least; they neither cross themselves nor one another unless they did before.
+
+    Where sides that Douglas and Peucker's rule has made meet others, the corner farthest from each is put back, until
+    none meets another.
+    """
+    keep = [kept(r, tolerance) if tolerance > 0 and len(r) > 4 else set(range(len(r))) for r in rings_]
+    closed = [np.vstack([r, r[:1]]) for r in rings_]
+    while True:
+        places = [sorted(k) if len(k) >= 3 else list(range(len(r))) for k, r in zip(keep, rings_, strict=True)]
+        keep = [set(p) for p in places]
+        made = [r[p] for p, r in zip(places, rings_, strict=True)]
+        if all(len(m) == len(r) for m, r in zip(made, rings_, strict=True)):
+            return made
+        back = 0
+        for k, i in pg.crossed(made):
+            a, b = places[k][i], places[k][i + 1] if i + 1 < len(places[k]) else len(rings_[k])
+            if b - a > 1:
+                keep[k].add(_farthest(closed[k], a, b)[0])
+                back += 1
+        if not back:
+            return made
+
+
+def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
+    return simplified_rings([ring], tolerance)[0]
 
 
 def outlines(pixels: DataFrame, tolerance: float = 0.5) -> DataFrame:

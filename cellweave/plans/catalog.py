@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cellweave.functions.tables import written
-from cellweave.operators import clipping as cl, compartments as cp, labels as lb, matching as mt, measure as me, morphology as mo, neighbours as nb, outlines as ol, raster as ra, shape as sh
+from cellweave.operators import clipping as cl, compartments as cp, labels as lb, matching as mt, measure as me, morphology as mo, neighbours as nb, outlines as ol, overlay as ov, raster as ra, shape as sh
 from cellweave.sources import boundaries as bd, export
 from cellweave.sources.scenes import WIDTH, Scene
 
@@ -482,6 +482,49 @@ def boundary_outlines(s: Scene) -> DataFrame:
     return rows.select("label", F.size("ring").alias("vertices"), F.round("area", 6).alias("area"))
 
 
+# in x + y and x - y a diamond is an upright square; the scene's pairs that overlap have no cell in common
+_DIAMONDS = """
+di AS (SELECT CAST(label AS BIGINT) label, cx + cy u, cx - cy v, rad + CAST('0.3' AS DOUBLE) h, CAST(FLOOR((label - 1)/10) AS BIGINT) gr FROM wcd),
+both_ AS (SELECT a.label i, b.label j, a.h hi, b.h hj, a.gr, b.gr gr2, (least(a.u + a.h, b.u + b.h) - greatest(a.u - a.h, b.u - b.h)) du, (least(a.v + a.h, b.v + b.h) - greatest(a.v - a.h, b.v - b.h)) dv FROM di a JOIN di b ON a.label < b.label),
+meets AS (SELECT i, j, du*dv/2 area, CASE WHEN hi >= hj THEN i ELSE j END loser, gr, gr2 FROM both_ WHERE du > 1e-9 AND dv > 1e-9)"""
+
+
+@query(sql("SELECT i, j, round(area, 6) area FROM meets", _DIAMONDS))
+def polygon_overlaps(s: Scene) -> DataFrame:
+    """Pairs of boundary polygons that share an area."""
+    return ov.overlaps(ov.boundary_shapes(_diamonds(s), 0.0)).withColumn("area", F.round("area", 6))
+
+
+@query(sql("SELECT label, round(2*h*h - coalesce(lost, 0), 6) area FROM di LEFT JOIN (SELECT loser, sum(area) lost FROM meets GROUP BY 1) ON loser = label", _DIAMONDS))
+def trimmed_polygons(s: Scene) -> DataFrame:
+    """Boundary polygons after trimming: no two share an area."""
+    return ov.trimmed(ov.boundary_shapes(_diamonds(s), 0.0), 64.0).select("label", F.round("area", 6).alias("area"))
+
+
+@query(sql("SELECT gr label, round(sum(2*h*h) - coalesce((SELECT sum(area) FROM meets WHERE meets.gr = di.gr AND gr2 = di.gr), 0), 6) area FROM di GROUP BY gr", _DIAMONDS))
+def united_polygons(s: Scene) -> DataFrame:
+    """What the boundary polygons of each row of the scene cover together."""
+    rows = _diamonds(s).select(F.floor((F.col("label") - 1) / 10).alias("label"), "geometry")
+    return ov.united(rows, 64.0).select("label", F.round("area", 6).alias("area"))
+
+
+@query(sql("SELECT CAST(label AS BIGINT) label, CAST(4 AS INT) vertices, CAST((rad + 1)*(rad + 1) AS DOUBLE) area FROM wcd"))
+def repaired_boundaries(s: Scene) -> DataFrame:
+    """Bow ties, a larger side at the right, made valid: the larger triangle stays."""
+    x, y, a, b = "cx", "cy", F.col("rad"), F.col("rad") + 1
+    corners = [(F.col(x) - a, F.col(y) - a), (F.col(x) + b, F.col(y) + b), (F.col(x) + b, F.col(y) - b), (F.col(x) - a, F.col(y) + a), (F.col(x) - a, F.col(y) - a)]
+    ring = F.array(*[F.struct(p.cast("double").alias("x"), q.cast("double").alias("y")) for p, q in corners])
+    shapes = ov.shapes_of(s.cell_disks.select(F.col("label").cast("long").alias("label"), ring.alias("ring")))
+    return ov.rings_of(shapes).join(shapes.select("label", "area"), "label").select("label", F.size(F.get("rings", F.lit(0))).alias("vertices"), "area")
+
+
+@query()
+def final_outlines(s: Scene) -> DataFrame:
+    """Simplified outlines of the overlapping disks after trimming, with their holes."""
+    shapes = ov.trimmed(ov.shapes_of(ol.outlines(s.disk_pixels(s.cell_disks))))
+    return ov.rings_of(shapes).join(shapes.select("label", "area"), "label").select("label", F.size("rings").alias("rings"), "area")
+
+
 # nuclei without a cell, in order, after the matches; one whose pixels all belong to matched cells keeps its id unused
 _ALL = """
 spare AS (SELECT label, area, (SELECT count(*) FROM cells) + row_number() OVER (ORDER BY label) cell_id FROM nst WHERE label NOT IN (SELECT nuc FROM pairs)),

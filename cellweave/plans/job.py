@@ -7,9 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cellweave.functions.tables import written
-from cellweave.operators import clipping as cl, compartments as cp, measure as me, outlines as ol
-from cellweave.sources import export, tiff
-from cellweave.sources.masks import load_mask
+from cellweave.operators import compartments as cp, measure as me, outlines as ol, overlay as ov, raster as ra
+from cellweave.sources import boundaries as bd, export, tiff
+from cellweave.sources.masks import load_boundaries, load_mask
 
 from . import outline_store
 
@@ -45,7 +45,7 @@ class Job:
 
 @dataclass(frozen=True)
 class Result:
-    """``cells``; ``measurements`` (``cell_id, key, value``, if asked for); ``shapes`` (``label, r, c``, by cell); ``features``."""
+    """``cells``; ``measurements`` (``cell_id, key, value``, if asked for); ``shapes`` (``overlay.SHAPES``, by cell); ``features``."""
 
     cells: DataFrame
     measurements: DataFrame | None
@@ -75,21 +75,41 @@ def run(spark: SparkSession, job: Job) -> Result:
     if image is not None:
         long = written(me.measure(cells, nuclei, whole, image, channels, size, job.options, grown), "all-measurements")
         maps = cp.as_map(long)
-    shapes = cp.cell_pixels(cells, nuclei, whole, grown).select(F.col("cell_id").alias("label"), "r", "c")
-    kernels = nuclei.join(cells.filter("nucleus_label is not null").select("cell_id", F.col("nucleus_label").alias("label")), "label").select(F.col("cell_id").alias("label"), "r", "c")
+    tolerance = job.tolerance if job.simplify_rois else 0.0
+    shapes = _cell_shapes(spark, job, cells, cp.cell_pixels(cells, nuclei, whole, grown), tolerance)
+    kernels = _by_cell(cells, "nucleus_label", ol.outlines(nuclei, tolerance))
+    kernels = written(ov.shapes_of(kernels), "kernels")
     if job.constrain_overlaps:
-        shapes = cl.trimmed(shapes)
-        kernels = cl.clipped_nuclei(kernels, shapes)
+        shapes = ov.trimmed(shapes)
     shapes = written(shapes, "final-shapes")
-    tolerance = job.tolerance if job.simplify_rois else 0.0
-    if job.geometry_checkpoint_dir:
-        rings = outline_store.outlines(shapes, job.geometry_checkpoint_dir, tolerance, job.geometry_batch_size, job.resume_geometry)
-    else:
-        rings = ol.outlines(shapes, tolerance)
-    by_cell = lambda rows: rows.select(F.col("label").alias("cell_id"), "ring")
-    features = written(export.features(cells, by_cell(rings), by_cell(ol.outlines(kernels, tolerance)), maps), "features")
+    if job.constrain_overlaps:
+        kernels = ov.clipped(kernels, shapes)
+    by_cell = lambda rows: ov.rings_of(rows).withColumnRenamed("label", "cell_id")
+    features = written(export.features(cells, by_cell(shapes), by_cell(kernels), maps), "features")
     if job.output_file:
         export.write_geojson(features, size, job.output_file, job.pretty_json, job.gzip)
     if job.output_mask:
-        tiff.write_mask(shapes.select("r", "c", "label"), size, job.output_mask)
+        tiff.write_mask(bd.painted(bd.rings(shapes.select("label", "geometry")), size), size, job.output_mask)
     return Result(cells, long, shapes, features, size)
+
+
+def _by_cell(cells: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    """Rows of labels under the ids of the cells that have them."""
+    ids = cells.filter(F.col(key).isNotNull()).select("cell_id", F.col(key).alias("label"))
+    return rows.join(ids, "label").drop("label").withColumnRenamed("cell_id", "label")
+
+
+def _cell_shapes(spark: SparkSession, job: Job, cells: DataFrame, pixels: DataFrame, tolerance: float) -> DataFrame:
+    """The polygons of all cells before any is trimmed: a whole-cell mask's own boundary polygons where it has them, outlines of pixels else."""
+    given = load_boundaries(spark, job.whole_cell_mask, job.parquet_path) if job.whole_cell_mask and ra.step_of(job.options.downsample_factor) < 2 else None
+    own = None
+    if given is not None:
+        own = ov.boundary_shapes(_by_cell(cells, "whole_cell_label", given), tolerance)
+        pixels = pixels.join(cells.filter("whole_cell_label is null").select("cell_id"), "cell_id", "left_semi")
+    pixels = written(pixels.select(F.col("cell_id").alias("label"), "r", "c"), "shapes")
+    if job.geometry_checkpoint_dir:
+        outlines = outline_store.outlines(pixels, job.geometry_checkpoint_dir, tolerance, job.geometry_batch_size, job.resume_geometry)
+    else:
+        outlines = ol.outlines(pixels, tolerance)
+    traced = ov.shapes_of(outlines)
+    return traced if own is None else traced.unionByName(own)

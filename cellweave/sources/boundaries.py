@@ -55,6 +55,11 @@ def well_known(rings: list[list[tuple[float, float]]]) -> bytes:
     return struct.pack("<BII", 1, POLYGON, len(rings)) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *p) for p in r) for r in rings)
 
 
+def multi(polygons_: list[list[list[tuple[float, float]]]]) -> bytes:
+    """A multipolygon."""
+    return struct.pack("<BII", 1, MULTIPOLYGON, len(polygons_)) + b"".join(map(well_known, polygons_))
+
+
 def read_boundaries(spark: SparkSession, path: str, column: str = "geometry") -> DataFrame:
     """``label, geometry`` of a Parquet table; labels count its rows from 1 in the order of the files."""
     rows = spark.read.parquet(path).select(F.col(column).alias("geometry"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))

@@ -8,18 +8,24 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def _polygon(ring: Column) -> Column:
-    return F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(ring, lambda p: F.array(p["x"], p["y"]))).alias("coordinates"))
+def _polygon(rings: Column) -> Column:
+    return F.struct(F.lit("Polygon").alias("type"), F.transform(rings, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))).alias("coordinates"))
+
+
+def _rings(table: DataFrame) -> Column:
+    """The rings of each polygon; a table of outlines has one ``ring`` without holes."""
+    return F.col("rings") if "rings" in table.columns else F.array("ring")
 
 
 def features(cells: DataFrame, cell_rings: DataFrame, nucleus_rings: DataFrame | None = None, measurements: DataFrame | None = None) -> DataFrame:
     """``cell_id, feature`` (JSON): one for each cell that has an outline.
 
-    ``cell_rings`` and ``nucleus_rings`` hold ``cell_id, ring``; ``measurements`` holds ``cell_id, measurements``.
+    ``cell_rings`` and ``nucleus_rings`` hold ``cell_id`` and ``ring``, or ``rings`` with the holes behind the outer one;
+    ``measurements`` holds ``cell_id, measurements``.
     A cell without a nucleus outline has no such member; missing labels are null.
     """
-    rows = cells.join(cell_rings.select("cell_id", F.col("ring").alias("_cell")), "cell_id")
-    rows = rows.join(nucleus_rings.select("cell_id", F.col("ring").alias("_nucleus")), "cell_id", "left") if nucleus_rings is not None else rows.withColumn("_nucleus", F.lit(None).cast("array<struct<x:double,y:double>>"))
+    rows = cells.join(cell_rings.select("cell_id", _rings(cell_rings).alias("_cell")), "cell_id")
+    rows = rows.join(nucleus_rings.select("cell_id", _rings(nucleus_rings).alias("_nucleus")), "cell_id", "left") if nucleus_rings is not None else rows.withColumn("_nucleus", F.lit(None).cast("array<array<struct<x:double,y:double>>>"))
     properties = [F.lit("cell").alias("objectType"), F.col("cell_id").alias("id"), F.col("nucleus_label"), F.col("whole_cell_label"), F.col("match_source")]
     if measurements is not None:
         rows = rows.join(measurements, "cell_id", "left")

@@ -18,7 +18,15 @@ def load_mask(spark: SparkSession, path: str, boundary_table: str | None = None)
         return spark.read.format("labelmask").load(path), tiff.inspect(path)["shape"][1:]
     if "." in path.rstrip("/").rpartition("/")[2] and not path.rstrip("/").endswith(".zarr"):
         raise ValueError(f"{path} is no mask: a .tif or .tiff file, or a directory of chunked arrays")
-    if boundary_table is None:
+    found = load_boundaries(spark, path, boundary_table)
+    if found is None:
         return zarr.read_mask(spark, path)
     size = zarr.image_size(spark, path)
-    return boundaries.burned(boundaries.rings(boundaries.read_boundaries(spark, f"{path.rstrip('/')}/{boundary_table}")), size), size
+    return boundaries.burned(boundaries.rings(found), size), size
+
+
+def load_boundaries(spark: SparkSession, path: str, boundary_table: str | None) -> DataFrame | None:
+    """``label, geometry`` of the boundary table that ``load_mask`` burns; None where it reads pixels."""
+    if boundary_table is None or path.lower().endswith((".tif", ".tiff")):
+        return None
+    return boundaries.read_boundaries(spark, f"{path.rstrip('/')}/{boundary_table}")
