@@ -17,12 +17,18 @@ _ADDRESS = r"^(\d+\.\d+\.\d+\.\d+|\[.*)$"
 LEAST, MOST = 2.0, 1000.0
 
 
+def _rest(url: Column) -> Column:
+    """What stands behind the first ``://``; empty where there is none."""
+    at = F.locate("://", url)
+    return F.when(at > 0, F.substr(url, at + F.lit(3))).otherwise(F.lit(""))
+
+
 def host_of(url: Column) -> Column:
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.regexp_extract(_rest(url), r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    return F.regexp_extract(_rest(url), r"^[^/?#]*(/[^?#]*)", 1)
 
 
 def _name(host: Column) -> Column:

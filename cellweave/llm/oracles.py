@@ -49,7 +49,9 @@ def _level(name: str, rows: str, parent: str, key: str, weight: str) -> str:
 _RULE = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{{h + p!r}, {v!r}}}".replace("{'", "{rule: '").replace("', '", "', verdict: '") for h, p, v in sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r)))
 _TWO = ", ".join(f"'{x}'" for x in SUFFIXES)
 OP10 = f"""
-WITH u0 AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_LOWER}) host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) path FROM pages),
+WITH v AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END rest FROM pages),
+w AS (SELECT page_id, string_split(string_split(rest, '#')[1], '?')[1] cut FROM v),
+u0 AS (SELECT page_id, translate(string_split(cut, '/')[1], {_LOWER}) host, CASE WHEN contains(cut, '/') THEN substr(cut, strpos(cut, '/')) ELSE '' END path FROM w),
 u1 AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') nam, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') l FROM u0),
 u2 AS (SELECT *, array_to_string(l[-2:], '.') two, regexp_matches(nam, '^([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+|\\[.*)$') num FROM u1),
 u AS (SELECT page_id, host, path, CASE WHEN num THEN nam WHEN two IN ({_TWO}) THEN array_to_string(l[-3:], '.') ELSE two END dom, CASE WHEN num THEN 'address' WHEN two IN ({_TWO}) AND nam <> two THEN two ELSE l[-1] END suf FROM u2),

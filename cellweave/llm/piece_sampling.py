@@ -39,7 +39,10 @@ class Sampling:
 
 
 class Pieces:
-    """A trie of the pieces as hashes of prefixes, their ranks, and the bytes that each id stands for."""
+    """A trie of the pieces, their ranks, and the bytes that each id stands for.
+
+    Each node is told by the node before it and its character, as one number.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
@@ -48,7 +51,8 @@ class Pieces:
         self.first_byte = next(i for i in range(model.get_piece_size()) if model.is_byte(i))
         self.ranks = np.zeros(model.get_piece_size())
         surface: list[bytes] = []
-        nodes: dict[int, int] = {}  # hash of a prefix: id of the piece that it is, or -1
+        nodes: dict[int, int] = {}  # the node before and a character: number of the node
+        piece_at: dict[int, int] = {}
         singles = set()
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
@@ -60,19 +64,19 @@ class Pieces:
                 continue
             surface.append(piece.replace(chr(BLANK), " ").encode())
             self.ranks[i] = -model.get_score(i)
-            h = 0
-            for at, c in enumerate(piece):
-                h = (h * int(STEP) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-                nodes.setdefault(h, -1)
-                if at + 1 == len(piece):
-                    nodes[h] = i
+            node = 0
+            for c in piece:
+                node = nodes.setdefault(node << 21 | ord(c), len(nodes) + 1)
+            if piece:
+                piece_at[node] = i
             if len(piece) == 1:
                 singles.add(ord(piece))
         self.longest = max(len(model.id_to_piece(i)) for i in range(model.get_piece_size()) if self.ranks[i] or not model.is_byte(i))
         raw = np.fromiter(nodes, np.uint64, len(nodes))
         order = np.argsort(mixed(raw))
         self.keys = mixed(raw)[order]
-        self.ids = np.fromiter(nodes.values(), np.int64, len(nodes))[order]
+        self.nodes = np.fromiter(nodes.values(), np.int64, len(nodes))[order]
+        self.ids = np.array([piece_at.get(n, -1) for n in self.nodes.tolist()], np.int64)
         self.shift = np.uint64(64 - 20)
         # where the search for a key begins: at the first key with its upper 20 bits
         self.begin = np.searchsorted(self.keys >> self.shift, np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int64)
@@ -83,13 +87,13 @@ class Pieces:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(surface), np.uint8)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Place of each prefix among the trie's nodes, -1 for none."""
-        hashes = mixed(hashes)
-        at, out = self.begin[(hashes >> self.shift).astype(np.int64)], np.full(len(hashes), -1)
+    def find(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The place in ``ids`` and ``nodes`` of each node's child by a character, -1 for none."""
+        wanted = mixed((nodes << 21 | chars).astype(np.uint64))
+        at, out = self.begin[(wanted >> self.shift).astype(np.int64)], np.full(len(wanted), -1)
         for _ in range(self.deepest):
             now = np.minimum(at, len(self.keys) - 1)
-            out = np.where(self.keys[now] == hashes, now, out)
+            out = np.where(self.keys[now] == wanted, now, out)
             at = at + 1
         return out
 
@@ -128,10 +132,9 @@ def sample(texts: list[str], keys: np.ndarray, pieces: Pieces, how: Sampling) ->
     at_node = np.repeat(node0 - (np.cumsum(k_size) - k_size), k_size) + np.arange(len(chars))
     left = np.repeat(np.cumsum(k_size), k_size) - np.arange(len(chars))  # characters to the end of the stretch
     e_from, e_to, e_id = [], [], []
-    active, hashes = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
+    active, inner = np.arange(len(chars)), np.zeros(len(chars), np.int64)
     for n in range(1, pieces.longest + 1):
-        hashes = hashes * STEP + (chars[active + n - 1] + 1).astype(np.uint64)
-        node = pieces.find(hashes)
+        node = pieces.find(inner, chars[active + n - 1])
         ids = np.where(node >= 0, pieces.ids[node], -1)
         if n == 1:
             ids = np.where(chars == ODD, -2, ids)  # written by byte pieces
@@ -140,7 +143,7 @@ def sample(texts: list[str], keys: np.ndarray, pieces: Pieces, how: Sampling) ->
         e_to.append(at_node[active[hit]] + n)
         e_id.append(ids[hit])
         on = (node >= 0) & (left[active] > n)
-        active, hashes = active[on], hashes[on]
+        active, inner = active[on], pieces.nodes[node[on]]
         if not len(active):
             break
     e_from, e_to, e_id = np.concatenate(e_from), np.concatenate(e_to), np.concatenate(e_id)
@@ -162,14 +165,16 @@ def sample(texts: list[str], keys: np.ndarray, pieces: Pieces, how: Sampling) ->
         ends = np.cumsum(count)
         edges = np.arange(ends[-1]) + np.repeat(first_edge[own] - (ends - count), count)
         alpha[node_of[own]] = np.logaddexp.reduceat(alpha[e_from[edges]] + weight[edges], ends - count)
-    # backward sampling: each node's edges, as shares of its weight summed up
+    # backward sampling: each node's own edges, as shares of its weight summed up, in whole numbers of 2^-53
     share = np.exp(alpha[e_from] + weight - alpha[e_to])
-    total = np.cumsum(share)
-    rank = np.repeat(np.arange(len(head)), n_edges)
-    upto = rank + np.minimum(total - np.repeat(total[head] - share[head], n_edges), 1.0)
-    upto[np.append(head[1:], len(e_to)) - 1] = np.arange(1, len(head) + 1)
-    rank_of = np.full(n_nodes, -1)
-    rank_of[node_of] = np.arange(len(head))
+    upto, so_far, open_ = np.empty(len(e_to), np.int64), np.zeros(len(head)), np.arange(len(head))
+    for k in range(int(n_edges.max())):
+        open_ = open_[n_edges[open_] > k]
+        so_far[open_] += share[head[open_] + k]
+        upto[head[open_] + k] = np.minimum(so_far[open_], 1.0) * 2.0**53
+    upto[np.append(head[1:], len(e_to)) - 1] = 1 << 53
+    edge_of = np.full(n_nodes, -1)
+    edge_of[node_of] = head
     seed = mixed(keys.astype(np.uint64) * SPREAD + np.uint64(how.seed & 0xFFFFFFFFFFFFFFFF))
     turn = np.argsort(kind_of, kind="stable")  # alike stretches together: their edges are read once
     node, origin = (node0[kind_of] + size)[turn], node0[kind_of][turn]
@@ -177,8 +182,12 @@ def sample(texts: list[str], keys: np.ndarray, pieces: Pieces, how: Sampling) ->
     out_at, out_id = [], []
     while len(node):
         at = base + (node - origin)  # behind the piece to come, in the batch
-        u = (mixed(seed[owner] + (place[at - 1] + 1).astype(np.uint64) * STEP) >> np.uint64(11)).astype(float) * 2.0**-53
-        edge = np.minimum(np.searchsorted(upto, rank_of[node] + u, "right"), len(upto) - 1)
+        u = (mixed(seed[owner] + (place[at - 1] + 1).astype(np.uint64) * STEP) >> np.uint64(11)).astype(np.int64)
+        edge = edge_of[node]
+        over = np.flatnonzero(u >= upto[edge])
+        while len(over):
+            edge[over] += 1
+            over = over[u[over] >= upto[edge[over]]]
         node = e_from[edge]
         out_at.append(base + (node - origin))
         out_id.append(e_id[edge])
@@ -226,7 +235,9 @@ def _batches(batch: pa.RecordBatch, model_path: str, how: Sampling) -> Iterator[
 def encoded(docs: DataFrame, model_path: str, how: Sampling = Sampling()) -> DataFrame:
     """``doc_id, ids`` (array of int) for each row of ``docs``: one sampled segmentation of its whole text.
 
-    Null and empty texts have no pieces. Rows with a null id share a key. No dummy blank is put before a text.
+    Null and empty texts have no pieces. Rows with a null id share a key; rows that repeat id and text have equal
+    pieces. An empty table gives no rows. No dummy blank is put before a text. A very long text takes one step of
+    numpy for each character of its longest stretch without a blank, and memory in proportion to its length.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +263,7 @@ def decoded(rows: DataFrame, model_path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, model_path: str, how: Sampling = Sampling()) -> DataFrame:
-    """``doc_id, n_bytes, n_pieces, ids_crc32`` (of little-endian unsigned 32-bit ids) and whether decoding gives the text back."""
+    """``doc_id, n_bytes, n_pieces, ids_crc32`` (of little-endian unsigned 32-bit ids) and whether decoding gives the text back; rows as in ``encoded``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model_path)

@@ -303,7 +303,7 @@ def test_only_rows_that_calibrate_are_held_back(spark, monkeypatch):
     assert toxicity.scores(docs, labels).count() == 400 and seen == [393]
 
 
-URLS = ["http://a.example.com/fr/1?x=/de/", "https://A.B.example.ORG/es/2#t", "http://example.org/en/1", "http://example.org/en/2", "ftp://shop.example.net", "no scheme/fr/", None, "", "http://bad.example.net/q", "x://com/de/1", "http://notexample.org/es/1", "http://com/fr"]
+URLS = ["http://a.example.com/fr/1?x=/de/", "https://A.B.example.ORG/es/2#t", "http://example.org/en/1", "http://example.org/en/2", "ftp://shop.example.net", "no scheme/fr/", None, "", "http://bad.example.net/q", "x://com/de/1", "http://notexample.org/es/1", "http://com/fr", "http://h.com?u=http://c.com/fr/x", "http://h.com#a://b/de/1", "http://a.com/fr/y?u=x://org/", "a://b://org/es/", "http://h\n.org/e\ns/?"]
 
 
 def plain(url):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -135,3 +136,27 @@ def test_segmentations_are_drawn_by_their_weight():
     weight = np.array([np.prod([(pieces.ranks[i] + how.offset) ** -how.alpha for i in w]) for w in every])
     drawn = Counter(tuple(x.tolist()) for x in ps.sample([" there"] * n, np.arange(n), pieces, how))
     assert max(abs(drawn[w] / n - p) for w, p in zip(every, weight / weight.sum(), strict=True)) < 0.015 and set(drawn) <= set(every)
+
+
+def test_a_sample_does_not_depend_on_the_texts_around_it():
+    pieces, how, rng = ps.pieces_of(PIECES), ps.Sampling(), random.Random(6)
+    key = 922257969  # a draw close to the border of two ways
+    alone = [x.tolist() for x in (ps.sample([" there"], np.array([key]), pieces, how)[0], ps.sample(["a then there"], np.array([7]), pieces, how)[0])]
+    long = " ".join(rng.choice(["the", "river", "there", "quiet"]) + str(rng.randrange(10**6)) for _ in range(170_000))
+    batched = ps.sample([long, " there", "x" * 40, "a then there"], np.array([1, key, 2, 7]), pieces, how)
+    assert len(long) > 1_900_000 and [batched[1].tolist(), batched[3].tolist()] == alone
+    texts, keys = [" ".join(rng.choice(["there", "signals", "windows"]) for _ in range(3)) for _ in range(200)], np.arange(200)
+    together = ps.sample(texts, keys, pieces, how)
+    assert all((ps.sample([t], keys[k : k + 1], pieces, how)[0] == together[k]).all() for k, t in enumerate(texts))
+    assert {len(x) for x in together} != {len(together[0])}
+
+
+def test_the_trie_tells_every_prefix():
+    pieces = ps.pieces_of(PIECES)
+    for i in np.flatnonzero(pieces.ranks)[::97].tolist():
+        node = 0
+        for c in pieces.decode(np.array([i])).decode().replace(" ", chr(ps.BLANK)):
+            place = int(pieces.find(np.array([node]), np.array([ord(c)]))[0])
+            node = int(pieces.nodes[place])
+        assert place >= 0 and pieces.ids[place] == i
+    assert pieces.find(np.array([0, 1]), np.array([0x10FFFF, 0x10FFFF])).tolist() == [-1, -1]
