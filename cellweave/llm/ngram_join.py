@@ -31,6 +31,8 @@ from .words import joined, run_hashes, word_bounds, word_hashes
 #: Buckets of the sketch that tells frequent shingles from rare ones; a fixed size, whatever the corpus.
 SKETCH_BITS, SKETCH_SLICES = 22, 16
 FRAGMENTS = 3
+#: Partners that a document meets at once.
+PARTNERS = 64
 #: Equal ranges of hashes in which a set's shingles are counted, for a bound of overlaps.
 BINS = 128
 #: Text bytes for each part into which prefix shingles are dealt.
@@ -326,44 +328,61 @@ def _close(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "left", "right").mapInArrow(possible, "a long, b long, na long, nb long")
 
 
+def _meetings(pairs: DataFrame) -> DataFrame:
+    """``hub, slot, other`` of each of ``pairs``: the side with more partners is the hub, whose partners are dealt to slots of about PARTNERS."""
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    degrees = written(sides, "degrees")
+    for x in "ab":
+        pairs = pairs.join(degrees.select(F.col("id").alias(x), F.col("n").alias(f"d{x}")), x)
+    first = F.col("da") >= F.col("db")
+    slots = F.ceil(F.greatest("da", "db") / F.lit(PARTNERS))
+    return pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), slots.alias("_s")).select("hub", F.pmod(F.xxhash64("other"), F.col("_s")).cast("long").alias("slot"), "other")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (``a, b, na, nb``) whose sets are as alike as asked.
 
-    Every side of a pair sends the fragments of its set to the pair; the overlap of each fragment is counted where its
-    two sides meet, and the counts are summed.
+    A document that has many partners meets them in slots: it sends the fragments of its set once for each slot of
+    partners, and a partner sends its own once for each such document. The overlap of each fragment is counted where
+    they meet, and the counts are summed for each pair.
     """
     blocks = block_count(docs)
 
     def cut(key: tuple, group: pa.Table, wanted: pa.Table) -> pa.Table:
-        partners: dict[int, list[int]] = {}
-        for i, other in zip(wanted.column("doc_id").to_pylist(), wanted.column("other").to_pylist(), strict=True) if wanted.num_rows else []:
-            partners.setdefault(i, []).append(other)
-        a, b, c, d = [], [], [], []
-        for own, texts in unpacked(group.column("payload")) if partners and group.num_rows else []:
-            chosen = [(d, partners.pop(d), t) for d, t in zip(own, texts, strict=True) if d in partners]  # repeated rows count once
+        meetings: dict[int, list[tuple[int, int]]] = {}
+        for i, hub, slot in zip(*(wanted.column(c).to_pylist() for c in ("doc_id", "hub", "slot")), strict=True) if wanted.num_rows else []:
+            meetings.setdefault(i, []).append((hub, slot))
+        rows = []
+        for own, texts in unpacked(group.column("payload")) if meetings and group.num_rows else []:
+            chosen = [(d, meetings.pop(d), t) for d, t in zip(own, texts, strict=True) if d in meetings]  # repeated rows count once
             for first, part in _chunked([t for _, _, t in chosen]):
                 for row, s in _sets(part, size):
                     bounds = np.searchsorted(s, np.arange(1, FRAGMENTS).astype(np.uint64) * np.uint64((1 << 64) // FRAGMENTS))
-                    i, others, _ = chosen[first + row]
-                    for f, x in enumerate(np.split(s, bounds)):
-                        for other in others if len(x) else []:
-                            a.append(min(i, other))
-                            b.append(max(i, other))
-                            c.append(f)
-                            d.append(x.tobytes())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "fragment": pa.array(c, pa.int32()), "hashes": pa.array(d, pa.binary())})
+                    i, places, _ = chosen[first + row]
+                    rows += [(hub, slot, f, i, x.tobytes()) for f, x in enumerate(np.split(s, bounds)) if len(x) for hub, slot in places]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        kinds = {"hub": pa.int64(), "slot": pa.int64(), "fragment": pa.int32(), "id": pa.int64(), "hashes": pa.binary()}
+        return pa.table({c: pa.array(x, k) for x, (c, k) in zip(columns, kinds.items(), strict=True)})
 
     def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in batch.column("sides").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "overlap": pa.array(n, pa.int64())})
-
-    sides = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("other")))
-    wanted = written(sides.withColumn("block", block_of(blocks)), "wanted")
+            a, b, n = [], [], []
+            for hub, sides in zip(batch.column("hub").to_pylist(), batch.column("sides"), strict=True):
+                sides = {side["id"].as_py(): np.frombuffer(side["hashes"].as_buffer(), np.uint64) for side in sides.values}
+                if (own := sides.pop(hub, None)) is not None:
+                    for other, x in sides.items():
+                        a.append(min(hub, other))
+                        b.append(max(hub, other))
+                        n.append(len(np.intersect1d(own, x, assume_unique=True)))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "overlap": pa.array(n, pa.int64())})
+
+    meet = written(_meetings(pairs), "meetings")
+    senders = meet.select(F.col("other").alias("doc_id"), "hub", "slot").unionByName(meet.select(F.col("hub").alias("doc_id"), "hub", "slot").distinct())
+    wanted = written(senders.withColumn("block", block_of(blocks)), "wanted")
     docs = docs.join(_small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")  # no others are dealt
-    cuts = dealt(docs, blocks).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(cut, "a long, b long, fragment int, hashes binary")
-    met = cuts.groupBy("a", "b", "fragment").agg(F.collect_list("hashes").alias("sides")).filter(F.size("sides") == 2)
-    total = met.select("a", "b", "sides").mapInArrow(overlaps, "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("o"))
+    cuts = dealt(docs, blocks).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(cut, "hub long, slot long, fragment int, id long, hashes binary")
+    met = cuts.groupBy("hub", "slot", "fragment").agg(F.collect_list(F.struct("id", "hashes")).alias("sides")).filter(F.size("sides") > 1)
+    total = met.select("hub", "sides").mapInArrow(overlaps, "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("o"))
     return total.join(pairs, ["a", "b"]).filter(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
