@@ -43,7 +43,7 @@ class Options:
 
     def __post_init__(self) -> None:
         for name, good in (
-            ("dist_threshold", self.dist_threshold >= 0),
+            ("dist_threshold", self.dist_threshold > 0),
             ("estimate_cell_boundary_dist", self.estimate_cell_boundary_dist > 0),
             ("neighbours", self.neighbours >= 0),
             ("pixel_size_microns", self.pixel_size_microns > 0),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -112,30 +115,101 @@ def outlines(pixels: DataFrame, tolerance: float = 0.5) -> DataFrame:
     return pixels.filter("label <> 0").select("label", "r", "c").groupBy("label").applyInPandas(trace, f"label bigint, ring {RING}, area double")
 
 
-def flooded(seeds: DataFrame, zone: DataFrame, radius: int) -> DataFrame:
-    """``r, c, label``: the zone's places that seeds (``r, c, label``) reach, growing over side neighbours, nearest first.
+def squared_distance(seed: np.ndarray, radius: int) -> np.ndarray:
+    """The squared distance of each place to the nearest seed, right up to ``radius``: first along columns, then the best of each row."""
+    far = 2 * radius + 2
+    along = np.where(seed, 0, far)
+    for k in range(1, along.shape[0]):
+        along[k] = np.minimum(along[k], along[k - 1] + 1)
+    for k in range(along.shape[0] - 2, -1, -1):
+        along[k] = np.minimum(along[k], along[k + 1] + 1)
+    square = np.minimum(along, far).astype(np.int64) ** 2
+    out = square.copy()
+    for k in range(1, radius + 1):
+        np.minimum(out[:, k:], square[:, :-k] + k * k, out=out[:, k:])
+        np.minimum(out[:, :-k], square[:, k:] + k * k, out=out[:, :-k])
+    return out
+
+
+def flood(seeds: np.ndarray, zone: np.ndarray, radius: int) -> tuple[np.ndarray, int]:
+    """Labels of a zone flooded from labelled seeds, and the steps of the longest way.
 
-    Places are taken in levels of their distance to the nearest seed; a place between two grown labels goes to the
-    lower one. Rounds go on until nothing is left to reach; each is a join of the open places with the last front.
+    Places are taken by their squared distance to the nearest seed (inside the zone or not), equally far ones in the
+    order in which they were reached; seeds start in the order of rows and columns, and a place reaches those above,
+    left, right and below. A place belongs to the one that reaches it first.
+    """
+    height, width = seeds.shape
+    step = width + 2
+    value = np.pad(squared_distance(seeds > 0, radius), 1).ravel().tolist()
+    start = np.pad(np.where(zone, seeds, 0), 1).ravel()
+    label, free = start.tolist(), np.pad(zone, 1).ravel().tolist()
+    queue = [(value[k], age, k, 0) for age, k in enumerate(np.flatnonzero(start).tolist())]
+    age, deepest = len(queue), 0
+    heapq.heapify(queue)
+    while queue:
+        _, _, k, steps = heapq.heappop(queue)
+        for n in (k - step, k - 1, k + 1, k + step):
+            if free[n] and not label[n]:
+                label[n] = label[k]
+                deepest = max(deepest, steps + 1)
+                heapq.heappush(queue, (value[n], age, n, steps + 1))
+                age += 1
+    return np.array(label, np.int64).reshape(height + 2, step)[1:-1, 1:-1], deepest
+
+
+def _tile_flood(radius: int, tile: int, halo: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Floods one tile's window (``r, c, label``; 0 for places of the zone): its own places, or one row without any if the halo may be too narrow."""
+
+    def flooded_tile(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        ty, tx = key
+        r, c, label = (group[x].to_numpy() for x in ("r", "c", "label"))
+        core = (label == 0) & (r // tile == ty) & (c // tile == tx)
+        if not core.any():
+            return pd.DataFrame({x: np.zeros(0, np.int64) for x in ("r", "c", "label", "ty", "tx")})
+        top, left, side = ty * tile - halo, tx * tile - halo, tile + 2 * halo
+        seed, free = np.zeros((side, side), np.int64), np.zeros((side, side), bool)
+        seed[r[label > 0] - top, c[label > 0] - left] = label[label > 0]
+        free[r[label == 0] - top, c[label == 0] - left] = True
+        found, deepest = flood(seed, free, radius)
+        inner = np.zeros_like(free)
+        inner[halo : halo + tile, halo : halo + tile] = True
+        missed = free & (found == 0)
+        if (missed & inner).any():  # a way may come in from outside
+            rim = missed.copy()
+            rim[1:-1, 1:-1] = False
+            deepest = side if (flood(rim.astype(np.int64), missed, 1)[0][inner] > 0).any() else deepest
+        if 2 * deepest > halo:
+            return pd.DataFrame({"r": [None], "c": [None], "label": [None], "ty": [ty], "tx": [tx]}).astype("Int64")
+        got = found[r[core] - top, c[core] - left]
+        return pd.DataFrame({"r": r[core][got > 0], "c": c[core][got > 0], "label": got[got > 0], "ty": ty, "tx": tx})
+
+    return flooded_tile
+
+
+def flooded(seeds: DataFrame, zone: DataFrame, radius: int, tile: int = 256, halo: int | None = None) -> DataFrame:
+    """``r, c, label``: the zone's places that seeds (``r, c, label``) reach, growing over side neighbours, nearest first, as in ``flood``.
+
+    Tiles are flooded on their own, each with a halo from its neighbours of which it tells nothing. What a place gets
+    follows from the ways that lead to it; where the longest way in a tile's window has more than half as many steps
+    as the halo is wide, or a way from outside may reach a place of the tile that none inside does, the tile is
+    flooded again with twice the halo, so that tiles of any size agree.
     """
-    reach = [(a, b, a * a + b * b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
-    spots = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(d).alias("d")) for a, b, d in reach]))
-    near = seeds.select("r", "c", spots.alias("o")).groupBy((F.col("r") + F.col("o.a")).alias("r"), (F.col("c") + F.col("o.b")).alias("c")).agg(F.min("o.d").alias("level"))
-    front = written(seeds.join(zone, ["r", "c"], "left_semi").select("r", "c", "label"), "front")
-    open_ = written(zone.join(near, ["r", "c"]).join(front, ["r", "c"], "left_anti"), "open")
-    done = front
-    sides = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]))
-    for level in sorted({d for _, _, d in reach} - {0}) + [None]:
-        front = done
-        while True:
-            touched = front.select("label", "r", "c", sides.alias("o")).groupBy((F.col("r") + F.col("o.a")).alias("r"), (F.col("c") + F.col("o.b")).alias("c")).agg(F.min("label").alias("label"))
-            now = open_ if level is None else open_.filter(F.col("level") <= level)
-            front = written(now.join(touched, ["r", "c"]).select("r", "c", "label"), "front")
-            if front.isEmpty():
-                break
-            done = done.unionByName(front)
-            open_ = written(open_.join(front, ["r", "c"], "left_anti"), "open")
-    return done
+    halo = max(2 * radius, 8 * radius + 8 if halo is None else halo)
+    rows = seeds.select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("label").cast("long").alias("label"))
+    rows = written(rows.unionByName(zone.select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.lit(0).cast("long").alias("label"))), "flood")
+    own, todo = None, None
+    while True:
+        near = lambda x, halo=halo: F.explode(F.sequence(F.floor((F.col(x) - halo) / tile), F.floor((F.col(x) + halo) / tile)))
+        dealt = rows.withColumn("ty", near("r")).withColumn("tx", near("c"))
+        if todo is not None:
+            dealt = dealt.join(todo, ["ty", "tx"], "left_semi")
+        made = written(dealt.groupBy("ty", "tx").applyInPandas(_tile_flood(radius, tile, halo), "r int, c int, label long, ty long, tx long"), "flooded")
+        done = made.filter("label is not null").select("r", "c", "label")
+        own = done if own is None else own.unionByName(done)
+        todo = made.filter("label is null").select("ty", "tx")
+        if todo.isEmpty():
+            return own
+        halo *= 2
 
 
 def synthesised(seeds: DataFrame, zone: DataFrame, distance: float, first_id: int) -> tuple[DataFrame, DataFrame]:

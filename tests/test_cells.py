@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
@@ -206,6 +208,39 @@ def test_growing_cells_around_nuclei(spark):
     assert [c.cell_id for c in cells.collect()] == [6]
 
 
+def plain_flood(seeds, zone, radius):
+    """One queue over the whole image: by distance to the nearest seed, then by the order of reaching."""
+    value = {p: min(((p[0] - s[0]) ** 2 + (p[1] - s[1]) ** 2 for s in seeds), default=0) for p in zone}
+    label = {p: k for p, k in seeds.items() if p in zone}
+    queue = [(value[p], age, p) for age, p in enumerate(sorted(label))]
+    age = len(queue)
+    while queue:
+        entry = min(queue)
+        queue.remove(entry)
+        r, c = entry[2]
+        for p in ((r - 1, c), (r, c - 1), (r, c + 1), (r + 1, c)):
+            if p in zone and p not in label:
+                label[p] = label[r, c]
+                queue.append((value[p], age, p))
+                age += 1
+    return label
+
+
+@pytest.mark.parametrize(("tile", "halo", "seed"), [(256, None, 1), (16, None, 2), (8, 4, 3), (5, 2, 4)])
+def test_floods_by_tiles_are_one_flood(spark, tile, halo, seed):
+    rng, radius = random.Random(seed), 4
+    seeds = {}
+    for k in range(1, 40):
+        y, x = rng.randrange(50), rng.randrange(50)
+        seeds |= {(y + a, x + b): k for a in range(rng.choice([1, 2, 3])) for b in range(rng.choice([1, 2]))}
+    walls = {(rng.randrange(52), x) for x in range(0, 52, 1) for _ in range(12)}
+    zone = {(r, c) for r in range(52) for c in range(52) if (r, c) not in walls and any((r - y) ** 2 + (c - x) ** 2 <= radius * radius for y, x in seeds)}
+    table = spark.createDataFrame([(r, c, k) for (r, c), k in seeds.items()], "r int, c int, label long")
+    got = ol.flooded(table, spark.createDataFrame(sorted(zone), "r int, c int"), radius, tile, halo)
+    assert sorted((r.r, r.c, r.label) for r in got.collect()) == sorted((r, c, k) for (r, c), k in plain_flood(seeds, zone, radius).items())
+    assert ol.flooded(table.limit(0), spark.createDataFrame(sorted(zone), "r int, c int"), radius).collect() == []
+
+
 def test_candidate_pairs(spark):
     boxes = spark.createDataFrame([(1, 0, 5, 0, 5), (2, 5, 9, 5, 9), (3, 200, 300, 0, 5), (4, 0, 250, 3, 4)], "id long, row_min long, row_max long, col_min long, col_max long")
     assert sorted(map(tuple, ra.candidate_pairs(boxes).collect())) == [(1, 2), (1, 4), (3, 4)]
@@ -296,7 +331,7 @@ def test_a_whole_run(spark):
     assert me.run(None, mask(spark, wc), None, None, (6, 12))[1] is None
 
 
-@pytest.mark.parametrize("wrong", [{"neighbours": -1}, {"downsample_factor": 0.0}, {"performance_mode": "quick"}, {"pixel_size_microns": 0.0}, {"estimate_cell_boundary_dist": 0.0}, {"dist_threshold": -1.0}])
+@pytest.mark.parametrize("wrong", [{"neighbours": -1}, {"downsample_factor": 0.0}, {"performance_mode": "quick"}, {"pixel_size_microns": 0.0}, {"estimate_cell_boundary_dist": 0.0}, {"dist_threshold": -1.0}, {"dist_threshold": 0.0}])
 def test_options_are_checked(wrong):
     with pytest.raises(ValueError, match=next(iter(wrong))):
         me.Options(**wrong)
