@@ -1,9 +1,10 @@
 """TIFF label masks and multi-channel images as Spark data sources; a partition reads some strips or tiles of one page.
 
-Uncompressed and deflate data, with or without horizontal differencing, classic and large files. Filters on ``r``,
-``c`` and ``ch`` reach the reader: strips, tiles and pages beyond them are not read. Register with
-``register(spark)``, then ``spark.read.format("labelmask").load(path)`` gives ``r, c, label`` without background and
-``spark.read.format("cyximage").load(path)`` gives ``ch, r, c, v``.
+Uncompressed, deflate, LZW, PackBits and zstd data, with or without horizontal differencing, classic and large files. Register with ``register(spark)``,
+then ``spark.read.format("labelmask").load(path)`` gives ``r, c, label`` without background and
+``spark.read.format("cyximage").load(path)`` gives ``ch, r, c, v``. ``windowed`` reads a window of either: strips,
+tiles and pages outside are not read. Windows are options of a relation of their own, as Spark keeps what a filter has
+pushed into a Python source for all later scans of the same relation, which would then lose rows.
 """
 
 from __future__ import annotations
@@ -18,15 +19,18 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+import zstandard
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from cellweave.functions import codecs as cd
 
 #: Fixed values of the TIFF format: bytes of each field type, and the tags that are read.
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
 TYPE_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 WIDTH, LENGTH, BITS, COMPRESSION, DESCRIPTION, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 270, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 284, 317, 322, 323, 324, 325, 339
-NONE, DEFLATE = (1,), (8, 32946)
+NONE, LZW, DEFLATE, PACKBITS, ZSTD = (1,), (5,), (8, 32946), (32773,), (50000,)
 #: Where a stack written by ImageJ keeps its labels, and under which name.
 IJ_COUNTS, IJ_DATA, IJ_LABELS = 50838, 50839, b"labl"
 #: Bytes of pixels that one partition reads.
@@ -79,6 +83,12 @@ class Page:
         """(rows, columns, samples in the segment)"""
         if self.one(COMPRESSION, 1) in DEFLATE:
             raw = zlib.decompress(raw)
+        elif self.one(COMPRESSION, 1) in LZW:
+            raw = cd.lzw(raw)
+        elif self.one(COMPRESSION, 1) in PACKBITS:
+            raw = cd.packbits(raw)
+        elif self.one(COMPRESSION, 1) in ZSTD:
+            raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
         elif self.one(COMPRESSION, 1) not in NONE:
             raise ValueError(f"TIFF compression {self.one(COMPRESSION)} is not supported")
         deep = self.samples if self.one(PLANAR, 1) == 1 else 1
@@ -215,32 +225,25 @@ class Part(InputPartition):
         self.page, self.segments = page, segments
 
 
-def narrowed(bounds: dict[str, tuple[float, float]], f: Filter) -> None:
-    """Brings what a filter says about a column into ``bounds``; other filters leave them as they are."""
-    name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-    if name is None or isinstance(f, In) and not f.value:
-        return
-    low, high = bounds.get(name, (-np.inf, np.inf))
-    if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-        low = max(low, f.value)
-    if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-        high = min(high, f.value)
-    if isinstance(f, In):
-        low, high = max(low, min(f.value)), min(high, max(f.value))
-    bounds[name] = (low, high)
+def bounds_of(options: dict[str, str]) -> dict[str, tuple[int, int]]:
+    """The window that options ``ch``, ``r`` and ``c`` ask for, each as ``first:last``."""
+    return {x: tuple(map(int, options[x].split(":"))) for x in ("ch", "r", "c") if options.get(x)}
+
+
+def windowed(reader: DataFrameReader, path: str | None = None, **window: tuple[int, int] | None) -> DataFrame:
+    """The rows of a source between the first and last ``ch``, ``r`` and ``c`` (included) that are given; no more is read than holds them."""
+    given = {x: span for x, span in window.items() if span is not None}
+    rows = reader.options(**{x: f"{a}:{b}" for x, (a, b) in given.items()}).load(path)
+    for x, (a, b) in given.items():
+        rows = rows.filter(F.col(x).between(a, b))
+    return rows
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
+    def __init__(self, path: str, bounds: dict[str, tuple[int, int]] | None = None):
         self.path = path
         self.found = pages(path)
-        self.bounds: dict[str, tuple[float, float]] = {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        """Notes what can be left out; Spark still applies every filter to the rows."""
-        for f in filters:
-            narrowed(self.bounds, f)
-            yield f
+        self.bounds = bounds or {}
 
     def within(self, name: str, first: int, last: int) -> bool:
         low, high = self.bounds.get(name, (-np.inf, np.inf))
@@ -265,7 +268,9 @@ class _Reader(DataSourceReader):
                 out.append(Part(i, held))
         return out
 
-    def blocks(self, part: Part) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    def blocks(self, part: Part | None) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        if part is None:  # what Spark asks for where there are no partitions
+            return
         page = self.found[part.page]
         h, w = page.shape
         with open(self.path, "rb") as f:
@@ -308,7 +313,7 @@ class MaskSource(DataSource):
         path = self.options["path"]
         if not path.lower().endswith((".tif", ".tiff")):
             raise ValueError("a label mask is a .tif or .tiff file")
-        found = MaskReader(path)
+        found = MaskReader(path, bounds_of(self.options))
         page = found.found[0]
         if page.samples != 1:
             raise ValueError("a label mask is a 2D image")
@@ -328,11 +333,10 @@ class ImageSource(DataSource):
         return "ch int, r int, c int, v double"
 
     def reader(self, schema) -> DataSourceReader:
-        return ImageReader(self.options["path"])
+        return ImageReader(self.options["path"], bounds_of(self.options))
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MaskSource)
     spark.dataSource.register(ImageSource)
 
