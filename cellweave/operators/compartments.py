@@ -67,6 +67,11 @@ def _statistics(v: Column, median: bool, whole_numbers: bool) -> list[Column]:
     return out + ([F.percentile(v, F.lit(0.5)).alias("median")] if median else [])
 
 
+def summary(v: Column, spread: Column, image: DataFrame) -> list[Column]:
+    """``n, mean, min, max`` of the values, and the deviation ``std`` of those in ``spread``."""
+    return [*_statistics(v, False, True)[:4], _std(spread, _whole_numbers(image)).alias("std")]
+
+
 def _whole_numbers(image: DataFrame) -> bool:
     return image.schema["v"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
 

@@ -104,11 +104,48 @@ def all_cells(nuclei: DataFrame | None, whole: DataFrame | None, size: tuple[int
     return matched.drop("by_distance").unionByName(grown_cells), grown
 
 
-def _named(rows: DataFrame, channels: DataFrame, middle: Column, values: dict[str, Column]) -> DataFrame:
-    """``cell_id, ch, key, value``: keys are channel, ``middle`` and the name of each value, joined by colons."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("double").alias("value")) for k, v in values.items()]))
-    rows = rows.join(F.broadcast(channels), "ch").select("cell_id", "ch", "name", middle.alias("_m"), pairs.alias("_p"))
-    return rows.select("cell_id", "ch", F.concat_ws(": ", "name", "_m", F.col("_p.k")).alias("key"), F.col("_p.value").alias("value"))
+def _tagged(pixels: DataFrame, cells: DataFrame, size: tuple[int, int], options: Options) -> DataFrame:
+    """``cell_id, r, c, tag, kind, ranked``: every place of every family of a cell, and the name of what is measured there.
+
+    ``kind`` is 0 for compartments, 1 for rings, 2 for environments; ``ranked`` marks places whose percentiles are asked for.
+    """
+    part, row = F.initcap("compartment"), ["cell_id", "r", "c"]
+    told = lambda rows, tag, kind, ranked=F.lit(False): rows.select(*row, tag.alias("tag"), F.lit(kind).alias("kind"), ranked.alias("ranked"))
+    least = SMALL_CELL if options.performance_mode == "fast_small_cells" else 0
+    big = pixels.groupBy("cell_id").agg((F.count(F.lit(1)) >= least).alias("_big"))
+    own = written(cp.compartments(pixels, cells).join(big, "cell_id"), "compartments")
+    out = told(own, part, 0, F.col("_big") & F.lit(bool(options.percentiles)))
+    if options.erosion_steps:
+        by = ["cell_id", "compartment"]
+        places = written(mo.inward(own.filter("compartment in ('CELL', 'NUCLEUS')").drop("_big"), by), "inward")
+        rows = mo.binned(places, mo.erosion_rings(places, by), by)
+        out = out.unionByName(told(rows, F.concat(part, F.lit(": ErosionBin_"), F.col("bin").cast("string")), 1))
+    if options.expansion_steps or options.environment_expansion:
+        around = written(mo.outward(pixels, ["cell_id"], mo.reach_px(options.pixel), size), "outward")
+        if options.expansion_steps:
+            rows = mo.binned(around, mo.expansion_rings(around, ["cell_id"]), ["cell_id"])
+            out = out.unionByName(told(rows, F.concat(F.lit("Cell: ExpansionBin_"), F.col("bin").cast("string")), 1))
+        if options.environment_expansion:
+            out = out.unionByName(told(around, F.lit("Cell: Environment_20um"), 2))
+    return out
+
+
+def _intensities(tagged: DataFrame, image: DataFrame, channels: DataFrame, options: Options) -> DataFrame:
+    """``cell_id, ch, key, value`` of all families: the image is read once and meets each place once, whatever lies there."""
+    exact = options.performance_mode == "exact"
+    places = tagged.groupBy("r", "c").agg(F.collect_list(F.struct("cell_id", "tag", "kind", "ranked")).alias("_t"))
+    rows = image.join(places, ["r", "c"]).select("ch", "v", F.inline("_t"))
+    v, ring = F.col("v"), F.col("kind") == 1
+    at = F.array(*[F.lit(p / 100.0) for p in [50.0, *options.percentiles]])
+    sorted_ = v if exact else F.when((F.col("kind") > 0) | F.col("ranked"), v)
+    found = rows.groupBy("cell_id", "tag", "kind", "ranked", "ch").agg(*cp.summary(v, F.when(~ring, v), image), F.percentile(sorted_, at).alias("q")).filter("n > 0")
+    of = lambda key, value, when: F.when(when, F.struct(F.lit(key).alias("k"), value.cast("double").alias("value")))
+    middle = F.get("q", F.lit(0))
+    wanted = {"mean": F.lit(True), "median": F.lit(exact) | (F.col("kind") > 0)}  # the others but for rings
+    pairs = [of(k, middle if c == "median" else F.col(c), wanted.get(c, ~ring)) for k, c in cp.STATISTICS.items()]
+    pairs += [of(f"Percentile: {p}", F.get("q", F.lit(i + 1)), F.col("ranked")) for i, p in enumerate(options.percentiles)]
+    named = found.join(F.broadcast(channels), "ch").select("cell_id", "ch", "name", "tag", F.explode(F.array_compact(F.array(*pairs))).alias("_p"))
+    return named.select("cell_id", "ch", F.concat_ws(": ", "name", "tag", F.col("_p.k")).alias("key"), F.col("_p.value").alias("value"))
 
 
 def _shape(pixels: DataFrame, pixel: float) -> DataFrame:
@@ -132,30 +169,7 @@ def measure(cells: DataFrame, nuclei: DataFrame, whole: DataFrame, image: DataFr
     pixels has no rows; an empty table gives an empty one.
     """
     pixels = written(cp.cell_pixels(cells, nuclei, whole, grown), "pixels")
-    exact = options.performance_mode == "exact"
-    part = F.initcap("compartment")
-    statistics = {k: F.col(c) for k, c in cp.STATISTICS.items() if exact or c != "median"}
-    families = [_named(cp.compartment_intensity(pixels, cells, image, options.performance_mode), channels, part, statistics)]
-    if options.percentiles:
-        least = SMALL_CELL if options.performance_mode == "fast_small_cells" else 0
-        rows = cp.compartment_percentiles(pixels, cells, image, options.percentiles, least)
-        families.append(_percentiles(rows, channels, part))
-    ring = {"Mean": F.col("mean"), "Median": F.col("median")}
-    if options.erosion_steps:
-        by = ["cell_id", "compartment"]
-        places = written(mo.inward(cp.compartments(pixels, cells).filter("compartment in ('CELL', 'NUCLEUS')"), by), "inward")
-        rows = cp.intensity(mo.binned(places, mo.erosion_rings(places, by), by), image, [*by, "bin"])
-        families.append(_named(rows, channels, F.concat(part, F.lit(": ErosionBin_"), F.col("bin").cast("string")), ring))
-    if options.expansion_steps or options.environment_expansion:
-        around = written(mo.outward(pixels, ["cell_id"], mo.reach_px(options.pixel), size), "outward")
-        if options.expansion_steps:
-            rows = cp.intensity(mo.binned(around, mo.expansion_rings(around, ["cell_id"]), ["cell_id"]), image, ["cell_id", "bin"])
-            families.append(_named(rows, channels, F.concat(F.lit("Cell: ExpansionBin_"), F.col("bin").cast("string")), ring))
-        if options.environment_expansion:
-            families.append(_named(cp.intensity(around, image, ["cell_id"]), channels, F.lit("Cell: Environment_20um"), {k: F.col(c) for k, c in cp.STATISTICS.items()}))
-    rows = families[0]
-    for more in families[1:]:
-        rows = rows.unionByName(more)
+    rows = _intensities(_tagged(pixels, cells, size, options), image, channels, options)
     long = rows.groupBy("cell_id", "key").agg(F.max_by("value", "ch").alias("value")).unionByName(_shape(pixels, options.pixel))
     if not options.neighbours:
         return long
@@ -164,11 +178,6 @@ def measure(cells: DataFrame, nuclei: DataFrame, whole: DataFrame, image: DataFr
     return long.unionByName(nb.neighbour_means(near, long))
 
 
-def _percentiles(rows: DataFrame, channels: DataFrame, part: Column) -> DataFrame:
-    named = rows.join(F.broadcast(channels), "ch")
-    return named.select("cell_id", "ch", F.concat_ws(": ", "name", part, F.lit("Percentile"), F.col("p").cast("string")).alias("key"), "value")
-
-
 def on_grid(nuclei: DataFrame | None, whole: DataFrame | None, image: DataFrame | None, size: tuple[int, int], options: Options = Options()) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None, tuple[int, int]]:
     """Masks and image on the coarser grid that ``options`` asks for, and its size; pixels outside the grid are an error."""
     for name, pixels in (("nuclear mask", nuclei), ("whole-cell mask", whole)):
