@@ -26,6 +26,14 @@ BLOCK_BYTES = 8 << 20
 NULL_ID = (1 << 63) - 1
 
 
+def free_name(docs: DataFrame, wanted: str) -> str:
+    """A column name that ``docs`` doesn't have, in any case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only ``doc_id`` (long) and ``text`` (string), whatever else the table holds."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))

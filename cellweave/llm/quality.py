@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import text_chunks
+from .common import free_name, text_chunks, written
 from .words import hashed, joined, run_hashes, word_bounds, word_codes
 
 CHUNK_BYTES = 1 << 19
@@ -112,8 +112,9 @@ def _distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def references(docs: DataFrame, rules: Rules = Rules()) -> list[Reference]:
     """One reference for each value of ``lang`` with enough words; rows with a null language or text don't count.
 
-    Two passes over all texts: one counts every word by language, of which the most common reach the driver (of equal
-    counts the least by its bytes); the other sums character classes and words. No cut into tasks changes either.
+    Two passes over all texts: one sums character classes and words by language; the other counts every word, and of
+    languages with enough of them the most common reach the driver (of equal counts the least by its bytes): so many
+    rows for each ``reference_words`` words of the input at most. No cut into tasks changes either.
     """
     docs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
 
@@ -150,18 +151,18 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> list[Reference]:
         if sums:
             yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "sums": pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))})
 
-    counts = docs.mapInArrow(by_word, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    summed = docs.mapInArrow(by_class, "lang string, sums array<bigint>").select("lang", F.posexplode("sums").alias("i", "n"))
+    sums = written(summed.groupBy("lang", "i").agg(F.sum("n").alias("n")), "sums")
+    enough = sums.filter((F.col("i") == 8) & (F.col("n") >= rules.reference_words)).select("lang")
+    counts = docs.mapInArrow(by_word, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).join(enough, "lang", "left_semi")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))  # each task sends its first ones only
     common: dict[str, list] = {}
     for row in sorted(counts.withColumn("i", place).filter(F.col("i") <= rules.common_words).collect(), key=lambda x: (x["lang"], x["i"])):
         common.setdefault(row["lang"], []).append(row)
-    summed = docs.mapInArrow(by_class, "lang string, sums array<bigint>").select("lang", F.posexplode("sums").alias("i", "n"))
-    total = {(x["lang"], x["i"]): x["n"] for x in summed.groupBy("lang", "i").agg(F.sum("n").alias("n")).collect()}
+    total = {(x["lang"], x["i"]): x["n"] for x in sums.join(enough, "lang", "left_semi").collect()}
     out = []
     for lang, top in common.items():
         classes, n_words = np.array([total[lang, i] for i in range(8)], float), total[lang, 8]
-        if n_words < rules.reference_words:
-            continue
         n = np.array([x["n"] for x in top], float)
         shares = np.append(n, n_words - n.sum()) / n_words
         out.append(Reference(lang, classes / classes.sum(), dict(zip(hashes_of([x["word"] for x in top]).tolist(), range(len(top)), strict=True)), shares))
@@ -221,17 +222,18 @@ def judged(docs: DataFrame, known: list[Reference], rules: Rules = Rules()) -> D
     keep = [c for c in docs.columns if c not in names]
 
     plain = "text" in keep and docs.schema["text"].dataType.simpleString() == "string"  # then it travels once
+    text = "text" if plain else free_name(docs, "_text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: list[dict] = [_judge(part, known, rules) for _, part in text_chunks(batch.column("text" if plain else "_text"), CHUNK_BYTES)]
+            made: list[dict] = [_judge(part, known, rules) for _, part in text_chunks(batch.column(text), CHUNK_BYTES)]
             kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
             columns = {c: batch.column(c) for c in keep}
             columns |= {n: pa.array([v for m in made for v in m[n]], kinds[k]) for n, k in COLUMNS}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields] + [f"{n} {k}" for n, k in COLUMNS])
-    return docs.select(*keep, *([] if plain else [F.col("text").cast("string").alias("_text")])).mapInArrow(rows, schema)
+    return docs.select(*keep, *([] if plain else [F.col("text").cast("string").alias(text)])).mapInArrow(rows, schema)
 
 
 def _judge(texts: list[bytes], known: list[Reference], rules: Rules) -> dict[str, list]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import block_count
+from .common import block_count, free_name
 
 WORDS, INNER = 5, 2
 #: Text bytes in one range of ids, within which a document's successor is found.
@@ -27,19 +27,21 @@ def with_anchors(docs: DataFrame, words: int = WORDS, inner: int = INNER) -> Dat
     """
     width = words - inner + 1
     words_ = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), _WHITE), lambda w: w != "")
-    rows = docs.withColumn("_w", F.transform(words_, lambda w: F.xxhash64(w)))
-    pairs = F.col("_w")
+    own = free_name(docs, "_w")
+    inner_ = free_name(docs, "_s")
+    rows = docs.withColumn(own, F.transform(words_, lambda w: F.xxhash64(w)))
+    pairs = F.col(own)
     for i in range(1, inner):
-        shifted = F.slice("_w", i + 1, F.greatest(F.size("_w") - i, F.lit(0)))
+        shifted = F.slice(own, i + 1, F.greatest(F.size(own) - i, F.lit(0)))
         pairs = F.zip_with(F.slice(pairs, 1, F.greatest(F.size(shifted), F.lit(0))), shifted, lambda a, b: F.xxhash64(a, b))
-    rows = rows.withColumn("_s", pairs)
-    places = F.when(F.size("_w") >= words, F.sequence(F.lit(0), F.size("_w") - words)).otherwise(F.array().cast("array<int>"))
-    first, last = lambda i: F.get("_s", i), lambda i: F.get("_s", i + width - 1)
-    edge = lambda i: F.array_min(F.slice("_s", i + 1, width)) == F.least(first(i), last(i))
-    hashed = lambda i: F.xxhash64(*[F.get("_w", i + j) for j in range(words)])
+    rows = rows.withColumn(inner_, pairs)
+    places = F.when(F.size(own) >= words, F.sequence(F.lit(0), F.size(own) - words)).otherwise(F.array().cast("array<int>"))
+    first, last = lambda i: F.get(inner_, i), lambda i: F.get(inner_, i + width - 1)
+    edge = lambda i: F.array_min(F.slice(inner_, i + 1, width)) == F.least(first(i), last(i))
+    hashed = lambda i: F.xxhash64(*[F.get(own, i + j) for j in range(words)])
     found = F.transform(F.filter(places, edge), lambda i: F.struct(i.alias("at"), hashed(i).alias("hash")))
-    short = F.when(F.size("_w") > 0, F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.array_join(F.transform("_w", lambda h: F.hex(h)), ",")).alias("hash")))).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
-    return rows.withColumn("anchors", F.when(F.size("_w") >= words, found).otherwise(short)).drop("_w", "_s")
+    short = F.when(F.size(own) > 0, F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.array_join(F.transform(own, lambda h: F.hex(h)), ",")).alias("hash")))).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
+    return rows.withColumn("anchors", F.when(F.size(own) >= words, found).otherwise(short)).drop(own, inner_)
 
 
 def hash_set(anchors: Column) -> Column:

@@ -178,7 +178,10 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def log_ratios(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """``doc_id, n_grams, llr`` (the sum over the text) ``, peak`` (over its worst stretch) for each row of ``docs``; null texts are empty and have nought of each."""
+    """``doc_id, n_grams, llr`` (the sum over the text) ``, peak`` (over its worst stretch) for each row of ``docs``; null texts are empty and have nought of each.
+
+    Each n-gram's log-ratio travels in 16 bits, so to three digits; one that rounds to nought counts as nought.
+    """
     docs = id_and_text(docs)
     blocks = block_count(docs, BLOCK_BYTES)
     parts = _parts(docs, blocks)

@@ -6,33 +6,36 @@ columns of ``documents``. Between stages the rows are a written table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cellweave.llm import ngram_join, packing, quality, substring_dedup, toxicity
 from cellweave.llm.catalog import tokenizer_path
-from cellweave.llm.common import table, written
+from cellweave.llm.common import free_name, table, written
 
 #: Word shingles and likeness, in percent, from which two documents are near duplicates.
 SHINGLE_WORDS, LIKENESS = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below one half stay. Rows are told apart by id and text, so null and repeated ids do no harm.
+    """Documents scored below one half stay. Rows are told apart by a 64-bit hash of id and text, so null and repeated ids do no harm.
 
-    Repeated rows share a score, a null text is scored as an empty one, and an empty table stays empty.
+    Repeated rows share a score, a null text is scored as an empty one, very long texts are scored whole, and an empty
+    table stays empty.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    key = free_name(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     labels = toxicity.training_labels(table(spark, sf_dir, "labels"))
-    learnt = keyed.select("doc_id", "_key").join(labels, "doc_id").select(F.col("_key").alias("doc_id"), "label")
-    scored = toxicity.scores(keyed.select(F.col("_key").alias("doc_id"), "text"), learnt)
-    toxic = scored.filter("score >= 0.5").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(toxic, "_key", "left_anti").select(docs.columns)
+    learnt = keyed.select("doc_id", key).join(labels, "doc_id").select(F.col(key).alias("doc_id"), "label")
+    scored = toxicity.scores(keyed.select(F.col(key).alias("doc_id"), "text"), learnt)
+    toxic = scored.filter("score >= 0.5").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(toxic, key, "left_anti").select(docs.columns)
 
 
 def drop_unlike_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, judged against what ``docs`` of their languages look like together.
 
-    Null texts and those of under twenty words go, repeated rows share a verdict, and an empty table stays empty.
+    Null texts and those of under twenty words go, very long ones are judged whole, repeated rows share a verdict, and
+    an empty table stays empty.
     """
     names = {n: f"_d{i}" for i, n in enumerate(n for n, _ in quality.COLUMNS) if n in docs.columns}
     rows = quality.quality(docs.withColumnsRenamed(names)).filter("kept")
@@ -40,12 +43,18 @@ def drop_unlike_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; of rows with one id, one. Null ids stay."""
+    """The document with the smallest id of each group of near duplicates; of rows with one id that with the least text. Null ids stay.
+
+    A null text comes before all others; rows of one id and text are told apart by a hash of all columns. Texts are
+    compared whole, and an empty table stays empty.
+    """
     groups = written(ngram_join.jaccard_components(docs, SHINGLE_WORDS, LIKENESS), "groups")
     stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
     known = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").select(docs.columns)
     if not groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        known = known.dropDuplicates(["doc_id"])
+        place = free_name(docs, "_place")
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns)))
+        known = known.withColumn(place, first).filter(F.col(place) == 1).drop(place)
     return known.unionByName(docs.filter("doc_id is null"))
 
 
@@ -60,7 +69,7 @@ def drop_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces of sequences; a null text is one piece of the end token, an empty table gives none."""
+    """All documents as pieces of sequences; a null text is one piece of the end token, a very long one as many pieces as it needs, an empty table gives none."""
     return packing.packed(docs, tokenizer_path("byte_bpe_50k.json"))
 
 

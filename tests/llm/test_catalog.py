@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from cellweave.llm import catalog, quality
+from cellweave.llm import catalog, quality, syncmers
 from conftest import DOCS, sentence
 
 
@@ -101,3 +101,28 @@ def test_stages_take_empty_tables_and_long_texts(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES[1:]:
         rows = stage(spark, rows, sf_dir).cache()
         assert rows.filter("doc_id = 5000").count() >= 1, name
+
+
+def test_columns_with_the_names_of_the_operators_own(spark, sf_dir):
+    names = ["_key", "_text", "_w", "_s", "_place", "_KEY_", "score", "kept", "block", "hashes"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").drop("score", "kept", "block").filter("doc_id % 3 = 0")
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert rows and all(r[n] == f"{n}{'?' if r.doc_id is None else r.doc_id}" for r in rows for n in names), name
+    anchored = syncmers.with_anchors(docs)
+    assert anchored.columns == [*docs.columns, "anchors"] and anchored.filter("doc_id = 3").first()["_w"] == "_w3"
+    binary = quality.judged(docs.withColumn("text", F.col("text").cast("binary")), [])
+    assert binary.filter("doc_id = 3").first()["_text"] == "_text3"
+
+
+def test_of_rows_with_one_id_the_least_text_stays(spark, sf_dir):
+    rng = random.Random(8)
+    texts = sorted(sentence(rng, 40) for _ in range(3))
+    rows = spark.createDataFrame([(7, texts[1], "a"), (7, texts[0], "b"), (7, texts[2], "c"), (7, texts[0], "d"), (8, texts[2] + " x", None)], "doc_id long, text string, source string")
+    for n in (1, 5):
+        got = corpus_pipeline.keep_one_of_each_group(spark, rows.repartition(n), sf_dir).filter("doc_id = 7").collect()
+        assert [r.text for r in got] == [texts[0]]
