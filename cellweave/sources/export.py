@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import gzip
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .parts import Parts
+
 
 def _polygon(rings: Column) -> Column:
     return F.struct(F.lit("Polygon").alias("type"), F.transform(rings, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))).alias("coordinates"))
@@ -44,19 +48,22 @@ def annotation(size: tuple[int, int]) -> dict:
 
 
 def write_geojson(rows: DataFrame, size: tuple[int, int], path: str, pretty: bool = False, compressed: bool = False) -> int:
-    """One file: the annotation, then ``features`` by ascending cell. Rows are sorted by Spark and streamed one partition
-    at a time; ``.gz`` is added to the name of a compressed file. Returns the number of cells."""
+    """One file: the annotation, then ``features`` by ascending cell. Tasks write the features of their cells, and the
+    pieces are then put together; ``.gz`` is added to the name of a compressed file. Returns the number of cells."""
     if compressed and not path.endswith(".gz"):
         path += ".gz"
-    n = 0
     shown = lambda x: json.dumps(json.loads(x), indent=2, ensure_ascii=False) if pretty else x
-    with (gzip.open(path, "wt", encoding="utf-8") if compressed else open(path, "w", encoding="utf-8")) as f:
-        f.write('{"type":"FeatureCollection","features":[' + shown(json.dumps(annotation(size), separators=(",", ":"))))
-        for r in rows.orderBy("cell_id").select("feature").toLocalIterator():
-            f.write("," + ("\n" if pretty else "") + shown(r["feature"]))
-            n += 1
-        f.write("]}")
-    return n
+    between = "," + ("\n" if pretty else "")
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, int]]:
+        for batch in batches:
+            yield 0, "".join(between + shown(x) for x in batch.column("feature").to_pylist()).encode(), batch.num_rows
+
+    made = Parts(rows.orderBy("cell_id").select("feature"), texts, compressed)
+    head = '{"type":"FeatureCollection","features":[' + shown(json.dumps(annotation(size), separators=(",", ":")))
+    packed = (lambda text: gzip.compress(text.encode(), mtime=0)) if compressed else str.encode
+    made.join(path, [packed(head), *made.pieces, packed("]}")])
+    return sum(p.n for p in made.pieces)
 
 
 def write_features(rows: DataFrame, path: str, compressed: bool = False) -> None:

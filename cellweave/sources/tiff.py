@@ -25,6 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cellweave.functions import codecs as cd
 
+from .parts import Parts
+
 #: Fixed values of the TIFF format: bytes of each field type, and the tags that are read.
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
 TYPE_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
@@ -197,6 +199,75 @@ def is_json(found: list[Page]) -> bool:
         return False
 
 
+def _stack_counts(description: str) -> dict[str, int]:
+    """The whole numbers of an ImageJ description, by name."""
+    if not description.startswith("ImageJ="):
+        return {}
+    return {k: int(v) for k, _, v in (line.partition("=") for line in description.splitlines()) if v.isdigit()}
+
+
+def leading_axes(found: list[Page]) -> tuple[str, tuple[int, ...]] | None:
+    """Letters and sizes of the axes before a page's rows and columns, as the first page's description tells them.
+
+    OME tells them by the order and the sizes of its first image, ImageJ by the numbers of channels, slices and frames,
+    and a JSON description by ``shape`` (with ``axes``, or without names). None where there is no such description.
+    """
+    first = found[0]
+    try:
+        pixels = next((e for e in ElementTree.fromstring(first.description).iter() if e.tag.rpartition("}")[2] == "Pixels"), None)
+    except ElementTree.ParseError:
+        pixels = None
+    if pixels is not None and pixels.get("DimensionOrder", "").startswith("XY"):
+        inside = first.samples if first.samples > 1 else 1
+        sizes = {x: int(pixels.get(f"Size{x}", 1)) for x in "ZCT"} | {"C": max(1, int(pixels.get("SizeC", 1)) // inside)}
+        letters = pixels.get("DimensionOrder")[:1:-1]
+        return letters, tuple(sizes[x] for x in letters)
+    counts = _stack_counts(first.description)
+    if counts:
+        sizes = {"T": counts.get("frames", 1), "Z": counts.get("slices", 1), "C": counts.get("channels", 1)}
+        n = counts.get("images", 1)
+        if n != sizes["T"] * sizes["Z"] * sizes["C"]:  # a plain stack
+            return "I", (n,)
+        return "TZC", tuple(sizes[x] for x in "TZC")
+    try:
+        told = json.loads(first.description)
+        shape = tuple(map(int, told["shape"]))
+    except (ValueError, TypeError, KeyError):
+        return None
+    inner = (*first.shape, *([first.samples] if first.samples > 1 else []))
+    if shape[len(shape) - len(inner) :] != inner or len(shape) == len(inner):
+        return None
+    names = str(told.get("axes", ""))
+    lead = shape[: len(shape) - len(inner)]
+    return (names[: len(lead)] if len(names) == len(shape) else "?" * len(lead)), lead
+
+
+def series(found: list[Page]) -> list[Page]:
+    """The pages of the first image, one for each plane: of a stack that is one long run of bytes behind a single directory, pages of its planes."""
+    told = leading_axes(found)
+    n = int(np.prod(told[1])) if told else len(found)
+    if told and len(found) == 1 < n and found[0].one(COMPRESSION, 1) in NONE and TILE_OFFSETS not in found[0].tags:
+        page = found[0]
+        h, w = page.shape
+        plane = h * w * page.samples * page.dtype.itemsize
+        start = int(page.tags[STRIP_OFFSETS][0])
+        return [Page(page.order, page.tags | {STRIP_OFFSETS: (start + k * plane,), STRIP_COUNTS: (plane,), ROWS_PER_STRIP: (h,)}) for k in range(n)]
+    return found
+
+
+def check_axes(found: list[Page]) -> None:
+    """Planes are channels: another axis of more than one place, or fewer pages than planes, is an error."""
+    told = leading_axes(found)
+    if told is None or is_json(found):
+        return
+    for letter, n in zip(*told, strict=True):
+        if letter in "ZT" and n != 1:
+            raise ValueError(f"axis {letter} has {n} places: no image of channels, rows and columns")
+    full = [p for p in found if p.shape == found[0].shape]
+    if len(full) < int(np.prod(told[1])):
+        raise ValueError(f"{int(np.prod(told[1]))} planes are described, but there are {len(full)}")
+
+
 @dataclass(frozen=True)
 class Channel:
     page: int
@@ -206,7 +277,10 @@ class Channel:
 
 def channels(found: list[Page]) -> list[Channel]:
     """Channels in order: pages of the first one's size (all of them in a file described in JSON), and their samples."""
+    check_axes(found)
     full = [i for i, p in enumerate(found) if is_json(found) or p.shape == found[0].shape]
+    if (told := leading_axes(found)) and not is_json(found):
+        full = full[: int(np.prod(told[1]))]  # pages of other images, such as labels or thumbnails, stand behind
     spots = [(i, s) for i in full for s in range(found[i].samples)]
     names = ome_names(found[0].description) or json_names(found) or stack_names(found[0])
     if len(names) != len(spots):
@@ -216,7 +290,7 @@ def channels(found: list[Page]) -> list[Channel]:
 
 def inspect(path: str) -> dict:
     """Size and channel names, from the directories alone."""
-    found = pages(path)
+    found = series(pages(path))
     return {"shape": (len(channels(found)), *found[0].shape), "names": [c.name for c in channels(found)]}
 
 
@@ -242,7 +316,7 @@ def windowed(reader: DataFrameReader, path: str | None = None, **window: tuple[i
 class _Reader(DataSourceReader):
     def __init__(self, path: str, bounds: dict[str, tuple[int, int]] | None = None):
         self.path = path
-        self.found = pages(path)
+        self.found = series(pages(path))
         self.bounds = bounds or {}
 
     def within(self, name: str, first: int, last: int) -> bool:
@@ -355,8 +429,8 @@ def mask_kind(largest: int) -> str:
 
 
 def write_mask(pixels: DataFrame, size: tuple[int, int], path: str, strip_rows: int = 64) -> int:
-    """``r, c, label`` as an uncompressed TIFF; a large file (64-bit places) from 4 GiB on. Strips are made by Spark
-    and streamed in order, so that only one is in memory here. Returns the number of strips."""
+    """``r, c, label`` as an uncompressed TIFF; a large file (64-bit places) from 4 GiB on. Tasks write the strips that
+    hold labels, and the file is then put together from them. Returns the number of strips."""
     h, w = size
     largest = pixels.agg(F.max("label")).first()[0] or 0
     kind = mask_kind(largest)
@@ -367,9 +441,13 @@ def write_mask(pixels: DataFrame, size: tuple[int, int], path: str, strip_rows:
         k = int(rows["strip"].iloc[0])
         out = np.zeros((min(strip_rows, h - k * strip_rows), w), f"<{kind}")
         out[rows["r"].to_numpy() - k * strip_rows, rows["c"].to_numpy()] = rows["label"].to_numpy()
-        return pd.DataFrame({"strip": [k], "data": [zlib.compress(out.tobytes(), 1)]})
+        return pd.DataFrame({"strip": [k], "data": [out.tobytes()]})
+
+    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, int]]:
+        for batch in batches:
+            yield from ((k.as_py(), data.as_py(), 1) for k, data in zip(batch.column("strip"), batch.column("data"), strict=True))
 
-    made = pixels.select("r", "c", "label", F.floor(F.col("r") / strip_rows).cast("int").alias("strip")).groupBy("strip").applyInPandas(strip, "strip int, data binary").orderBy("strip")
+    made = pixels.select("r", "c", "label", F.floor(F.col("r") / strip_rows).cast("int").alias("strip")).groupBy("strip").applyInPandas(strip, "strip int, data binary")
     item, n = int(kind[1]), -(-h // strip_rows)
     counts = [min(strip_rows, h - k * strip_rows) * w * item for k in range(n)]
     large = sum(counts) >= (1 << 32) - (1 << 20)
@@ -387,16 +465,10 @@ def write_mask(pixels: DataFrame, size: tuple[int, int], path: str, strip_rows:
         if len(body) > width:
             body, extra = struct.pack("<" + pointer, after + len(extra)), extra + body
         entries += struct.pack("<HH" + pointer, tag, k, len(values)) + body.ljust(width, b"\0")
-    with open(path, "wb") as f:
-        f.write(head + struct.pack("<Q" if large else "<H", len(fields)) + entries + struct.pack("<" + pointer, 0) + extra)
-        written = 0
-        for r in made.toLocalIterator():
-            for k in range(written, r["strip"]):
-                f.write(bytes(counts[k]))
-            f.write(zlib.decompress(r["data"]))
-            written = r["strip"] + 1
-        for k in range(written, n):
-            f.write(bytes(counts[k]))
+    parts = Parts(made, strips)
+    there = {p.key: p for p in parts.pieces}
+    top = head + struct.pack("<Q" if large else "<H", len(fields)) + entries + struct.pack("<" + pointer, 0) + extra
+    parts.join(path, [top, *(there.get(k, counts[k]) for k in range(n))])
     return n
 
 

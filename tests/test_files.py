@@ -185,6 +185,50 @@ def test_windows_reach_the_reader(spark, tmp_path):
     assert image.filter("r < 3").count() == 180 and image.count() == a.size and image.filter("r < 3").unionByName(image).count() == a.size + 180
 
 
+def test_axes_of_descriptions(spark, tmp_path):
+    a = np.arange(3 * 5 * 7, dtype=np.uint16).reshape(3, 5, 7)
+    ome = '<OME xmlns="x"><Image><Pixels DimensionOrder="XYCZT" SizeX="7" SizeY="5" SizeC="{c}" SizeZ="{z}" SizeT="1"><Channel Name="A"/><Channel Name="B"/><Channel Name="D"/></Pixels></Image></OME>'
+    tiff.register(spark)
+    read = lambda name: {(r.ch, r.r, r.c): r.v for r in spark.read.format("cyximage").load(str(tmp_path / name)).collect()}
+    whole = {(k + 1, r, c): float(v) for (k, r, c), v in np.ndenumerate(a)}
+    tiff.save_tiff(tmp_path / "ome.tif", [*a, a[0]], [ome.format(c=3, z=1), "", "", ""])  # a fourth page of the same size is another image
+    assert tiff.inspect(str(tmp_path / "ome.tif")) == {"shape": (3, 5, 7), "names": ["A", "B", "D"]} and read("ome.tif") == whole
+    tiff.save_tiff(tmp_path / "deep.tif", list(a), [ome.format(c=1, z=3), "", ""])
+    with pytest.raises(ValueError, match="axis Z has 3"):
+        tiff.inspect(str(tmp_path / "deep.tif"))
+    tiff.save_tiff(tmp_path / "short.tif", list(a[:2]), [ome.format(c=3, z=1), ""])
+    with pytest.raises(ValueError, match="3 planes"):
+        tiff.inspect(str(tmp_path / "short.tif"))
+    # one directory before a long run of planes, by ImageJ's description or a shape
+    for k, text in enumerate(("ImageJ=1.53\nimages=3\nchannels=3\n", "ImageJ=1.53\nimages=3\n", '{"shape": [3, 5, 7]}', '{"shape": [3, 5, 7], "axes": "CYX"}')):
+        tiff.save_tiff(tmp_path / f"{k}.tif", [a.reshape(15, 7)], [text])
+        raw = bytearray((tmp_path / f"{k}.tif").read_bytes())
+        for i in range(11):  # rows, rows of a strip and bytes of a strip are those of one plane
+            at = 10 + 12 * i
+            tag = struct.unpack_from("<H", raw, at)[0]
+            raw[at + 8 : at + 12] = struct.pack("<I", {257: 5, 278: 5, 279: 70}.get(tag, struct.unpack_from("<I", raw, at + 8)[0]))
+        (tmp_path / f"{k}.tif").write_bytes(raw)
+        assert tiff.inspect(str(tmp_path / f"{k}.tif"))["shape"] == (3, 5, 7) and read(f"{k}.tif") == whole
+    page = tiff.Page("<", {256: (7,), 257: (5,), 270: tuple(b"ImageJ=1\nimages=6\nchannels=3\nslices=2\n\0")})
+    assert tiff.leading_axes([page]) == ("TZC", (1, 2, 3)) and tiff.leading_axes([tiff.Page("<", page.tags | {270: tuple(b"text\0")})]) is None
+    with pytest.raises(ValueError, match="axis Z"):
+        tiff.check_axes([page])
+
+
+def test_files_of_many_pieces(spark, tmp_path):
+    pixels = spark.createDataFrame([(r, r % 9, r + 1) for r in range(0, 200, 3)], "r int, c int, label long").repartition(7)
+    assert tiff.write_mask(pixels, (300, 9), str(tmp_path / "m.tif"), 16) == 19
+    tiff.register(spark)
+    assert {(x.r, x.c, x.label) for x in spark.read.format("labelmask").load(str(tmp_path / "m.tif")).collect()} == {(r, r % 9, r + 1) for r in range(0, 200, 3)}
+    assert tiff.write_mask(pixels.limit(0), (20, 9), str(tmp_path / "e.tif"), 16) == 2 and tiff.inspect(str(tmp_path / "e.tif"))["shape"] == (1, 20, 9)
+    rows = spark.range(100).select(F.col("id").alias("cell_id"), F.format_string('{"id":%d}', F.col("id")).alias("feature")).repartition(9)
+    for name, compressed in (("f.geojson", False), ("f.geojson.gz", True)):
+        assert export.write_geojson(rows, (5, 5), str(tmp_path / name), compressed=compressed) == 100
+        with (gzip.open if compressed else open)(tmp_path / name, "rt") as f:
+            assert [x["id"] for x in json.load(f)["features"][1:]] == list(range(100))
+    assert export.write_geojson(rows.limit(0), (5, 5), str(tmp_path / "g.geojson")) == 0 and len(json.loads((tmp_path / "g.geojson").read_text())["features"]) == 1
+
+
 def test_labels_of_a_stack():
     for order, magic, kind, text in ((">", b"IJIJ", b"labl", "utf-16-be"), ("<", b"JIJI", b"lbal", "utf-16-le")):
         names = ["DNA", "CD3"]
