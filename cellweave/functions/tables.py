@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,8 @@ def numbered(df: DataFrame, order: list[Column], name: str, first: int = 1) -> D
     """
     marked = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
     part = F.shiftright("_at", 33)
-    sizes = {r["p"]: r["n"] for r in marked.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, total = [], first
-    for p in sorted(sizes):
-        offsets.append((p, total))
-        total += sizes[p]
-    if not offsets:
-        return marked.withColumn(name, F.col("_at")).drop("_at")
-    before = F.create_map(*[F.lit(x) for pair in offsets for x in pair])
-    return marked.withColumn(name, before[part] + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
+    sizes = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    begin = written(sizes.select("_part", (F.coalesce(before, F.lit(0)) + first).alias("_begin")), "begins")
+    placed = marked.withColumn("_part", part).join(F.broadcast(begin), "_part")
+    return placed.withColumn(name, F.col("_begin") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_begin")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from cellweave.functions import polygons as pg
 from cellweave.functions.tables import written
 
+from .clipping import pieces
 from .labels import label_stats
 
 RING = "array<struct<x:double,y:double>>"
@@ -21,6 +22,10 @@ SEGMENTS = {1: ["lt"], 2: ["tr"], 3: ["lr"], 4: ["rb"], 5: ["lt", "rb"], 6: ["tb
 SIDE = {"t": (0.0, 0.5), "r": (0.5, 1.0), "b": (1.0, 0.5), "l": (0.5, 0.0)}
 
 
+#: A label's box may have so many times its pixels before its pieces are traced one by one.
+SPARSE = 64
+
+
 def rings(mask: np.ndarray) -> list[np.ndarray]:
     """Closed outlines ``(n, 2)`` of ``x, y`` between true and false pixels, through the midpoints of pixel centres."""
     m = np.pad(mask.astype(np.uint8), 1)
@@ -104,11 +109,20 @@ def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
 def outlines(pixels: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """``label, ring, area``: the largest outline of each label, closed, without holes; in single precision like stored ones."""
 
-    def trace(rows: pd.DataFrame) -> pd.DataFrame:
-        r, c = rows["r"].to_numpy(), rows["c"].to_numpy()
+    def largest(r: np.ndarray, c: np.ndarray) -> np.ndarray:
         mask = np.zeros((r.max() - r.min() + 1, c.max() - c.min() + 1), bool)
         mask[r - r.min(), c - c.min()] = True
-        ring = simplified(max(rings(mask), key=area), tolerance) + [c.min(), r.min()]
+        return max(rings(mask), key=area) + [c.min(), r.min()]
+
+    def trace(rows: pd.DataFrame) -> pd.DataFrame:
+        r, c = rows["r"].to_numpy(), rows["c"].to_numpy()
+        if (int(r.max()) - int(r.min()) + 1) * (int(c.max()) - int(c.min()) + 1) > SPARSE * len(r) + 65_536:  # far pieces: each in a box of its own
+            found = pieces(r, c)
+            ring = max((largest(r[found == k], c[found == k]) for k in range(found.max() + 1)), key=area)
+        else:
+            ring = largest(r, c)
+        low = ring.min(axis=0)
+        ring = simplified(ring - low, tolerance) + low
         ring = np.vstack([ring, ring[:1]]).astype(np.float32).astype(float)
         return pd.DataFrame({"label": [int(rows["label"].iloc[0])], "ring": [[{"x": x, "y": y} for x, y in ring.tolist()]], "area": [area(ring[:-1])]})
 

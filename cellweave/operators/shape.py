@@ -53,7 +53,8 @@ def ratio(part: Column, whole: Column) -> Column:
 def solidity(pixels: DataFrame) -> DataFrame:
     """``cell_id, solidity``: pixels over those whose centre lies in the convex hull of all pixels' edge midpoints.
 
-    Only the first and last column of each row of a cell are sent to the hull.
+    Only the first and last column of each row of a cell are sent to the hull, and pixels in it are counted by row, so
+    that a cell of far pieces needs no more memory than it has rows.
     """
     rows = pixels.groupBy("cell_id", "r").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n"))
     return rows.groupBy("cell_id").applyInPandas(_solidity, "cell_id long, solidity double")
@@ -62,13 +63,18 @@ def solidity(pixels: DataFrame) -> DataFrame:
 def _solidity(rows: pd.DataFrame) -> pd.DataFrame:
     r, c0, c1 = (rows[x].to_numpy(float) for x in ("r", "c0", "c1"))
     points = np.concatenate([np.stack([r + dr, c + dc], axis=1) for c in (c0, c1) for dr, dc in ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5))])
-    hull = convex_hull(points)
-    ys, xs = np.arange(r.min(), r.max() + 1), np.arange(c0.min(), c1.max() + 1)
-    yy, xx = np.meshgrid(ys, xs, indexing="ij")
-    inside = np.ones(yy.shape, bool)
-    for (ay, ax), (by, bx) in zip(hull, np.roll(hull, -1, axis=0), strict=True):
-        inside &= (bx - ax) * (yy - ay) - (by - ay) * (xx - ax) >= -1e-9
-    return pd.DataFrame({"cell_id": [int(rows["cell_id"].iloc[0])], "solidity": [float(rows["n"].sum() / max(inside.sum(), 1))]})
+    hull = convex_hull(points - [r.min(), c0.min()])
+    ys = np.arange(r.max() - r.min() + 1)
+    low, high = np.full(len(ys), -np.inf), np.full(len(ys), np.inf)
+    for (ay, ax), (by, bx) in zip(hull, np.roll(hull, -1, axis=0), strict=True):  # a side bounds each row on one side
+        if by > ay:
+            high = np.minimum(high, ax + ((bx - ax) * (ys - ay) + 1e-9) / (by - ay))
+        elif by < ay:
+            low = np.maximum(low, ax + ((bx - ax) * (ys - ay) + 1e-9) / (by - ay))
+        else:
+            high = np.where((bx - ax) * (ys - ay) < -1e-9, -np.inf, high)
+    inside = np.maximum(np.floor(high) - np.ceil(low) + 1, 0).sum()
+    return pd.DataFrame({"cell_id": [int(rows["cell_id"].iloc[0])], "solidity": [float(rows["n"].sum() / max(inside, 1))]})
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:

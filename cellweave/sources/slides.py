@@ -7,8 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cellweave.operators.measure import NEIGHBOUR_MICRONS, Options
+from cellweave.operators.morphology import reach_px
+
 #: Free rows between two slides; no radius or reach of an operator may be larger.
 GAP = 256
+#: Rows are numbered by 32 bits; rings beyond a slide have to fit too.
+MOST_ROWS = (1 << 31) - (1 << 20)
 
 
 @dataclass(frozen=True)
@@ -31,6 +36,16 @@ class Stack:
         names = [s.image_id for s in self.slides]
         if len(set(names)) != len(names):
             raise ValueError("slides need names of their own")
+        if self.size[0] > MOST_ROWS:
+            raise ValueError(f"{len(names)} slides fill {self.size[0]} rows, of {MOST_ROWS} that there are: take fewer at once")
+
+    def check(self, options: Options) -> None:
+        """Nothing that ``options`` ask for may reach from one slide into the next."""
+        pixel = options.pixel
+        reach = {"dist_threshold": options.dist_threshold, "estimate_cell_boundary_dist": options.estimate_cell_boundary_dist, "expansion": reach_px(pixel), "neighbours": NEIGHBOUR_MICRONS / pixel if options.neighbours else 0.0}
+        for name, far in reach.items():
+            if far >= self.gap:
+                raise ValueError(f"{name} reaches {far:g} rows, and slides lie {self.gap} apart")
 
     @property
     def size(self) -> tuple[int, int]:

@@ -9,6 +9,7 @@ import pytest
 
 from cellweave.operators import clipping as cl, compartments as cp, labels as lb, matching as mt, measure as me, morphology as mo, neighbours as nb, outlines as ol, raster as ra, shape as sh
 from cellweave.functions.tables import numbered
+from cellweave.sources import slides
 from pyspark.sql import functions as F
 
 MASK = "r int, c int, label long"
@@ -359,3 +360,44 @@ def test_two_channels_of_one_name(spark):
     channels = spark.createDataFrame([(1, "X"), (2, "X")], "ch int, name string")
     long = me.measure(lb.single_mask_cells(wc, "wc_only"), wc.limit(0), wc, both, channels, (1, 2), me.Options(erosion_steps=False, expansion_steps=False))
     assert [r.value for r in long.filter("key = 'X: Cell: Mean'").collect()] == [5.0]
+
+
+def test_far_pieces_need_no_common_box(spark):
+    rows = [(1, r, c) for r in range(4) for c in range(6)] + [(1, 2_000_000 + r, 3_000_000 + c) for r in range(5) for c in range(7)] + [(1, 10, 10)]
+    pixels = spark.createDataFrame(rows, "label long, r int, c int")
+    kept = cl.largest_pieces(pixels).collect()
+    assert len(kept) == 35 and min(x.r for x in kept) == 2_000_000
+    outline = ol.outlines(pixels, 0.0).first()
+    assert outline.area == 34.5  # a rectangle of pixels without half a pixel at its corners
+    near = ol.outlines(spark.createDataFrame([(1, 2_000_000 + r, 3_000_000 + c) for r in range(5) for c in range(7)], "label long, r int, c int"), 0.0).first()
+    assert sorted(map(tuple, near.ring[:-1])) == sorted(map(tuple, outline.ring[:-1]))
+    solid = sh.solidity(pixels.withColumnRenamed("label", "cell_id")).first()["solidity"]
+    assert 0 < solid < 1e-4
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_pieces_of_runs(seed):
+    rng = np.random.default_rng(seed)
+    mask = rng.random((20, 25)) < 0.55
+    r, c = np.nonzero(mask)
+    turn = rng.permutation(len(r))
+    got, names = cl.pieces(r[turn], c[turn]), {}
+    for start in zip(r.tolist(), c.tolist(), strict=True):
+        stack = [start] if start not in names else []
+        number = len(set(names.values()))
+        while stack:
+            y, x = stack.pop()
+            if 0 <= y < 20 and 0 <= x < 25 and mask[y, x] and (y, x) not in names:
+                names[y, x] = number
+                stack += [(y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)]
+    assert got.tolist() == [names[p] for p in zip(r[turn].tolist(), c[turn].tolist(), strict=True)]
+
+
+def test_slides_lie_apart():
+    stack = slides.Stack((slides.Slide("a", (10, 10), 1), slides.Slide("b", (10, 10), 1)), gap=41)
+    stack.check(me.Options(dist_threshold=39.0))
+    for wrong in ({"dist_threshold": 41.0}, {"pixel_size_microns": 0.4}, {"estimate_cell_boundary_dist": 50.0}):
+        with pytest.raises(ValueError, match="reaches"):
+            stack.check(me.Options(**wrong))
+    with pytest.raises(ValueError, match="fewer"):
+        slides.Stack(tuple(slides.Slide(str(k), (21_006, 39_138), 1) for k in range(101_000)))
