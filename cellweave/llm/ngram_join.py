@@ -6,8 +6,9 @@ classes that meet in such a prefix are compared. First each class is compared wi
 sample of its shingles names, of whose own shingles the fewest come before. That links the bulk of a large group to
 few texts. Then, at every prefix shingle whose classes are in several components, all pairs of classes of different
 components are compared that can still be alike by size and place. Classes at very mixed shingles come again with 16
-bits of each of their shingles, which bound an overlap almost exactly: a class is compared with the likeliest one of
-all other components, then with more of them from round to round, until no such pair is left.
+bits of each of their shingles, which bound an overlap almost exactly: of those with which it shares some of its
+rarest shingles there, a class is compared with the likeliest one of all other components, then with more of them from
+round to round, until no such pair is left.
 
 A comparison is vertical: the global order is cut into fragments, partial overlaps are counted for each fragment
 on its own, and summed for each pair. Overlaps are counted on 64-bit hashes of the shingles; prefixes, which only
@@ -43,6 +44,8 @@ FEW = 200_000
 SAMPLE = 4
 #: A shingle is mixed if it has more pairs than these of a class outside its largest component and any other class.
 MIXED = 16_384
+#: So many of their rarest shingles two classes at a mixed shingle have to share before they are looked at.
+COMMON = 3
 CHUNK_BYTES = 1 << 19
 #: Bytes of prefixes that a task deals out at once.
 DEAL_BYTES = 4 << 20
@@ -172,15 +175,47 @@ class Members:
         some = self.possible(left, right) & (~outside[right] | (left < right))
         return left[some], right[some], True
 
+    def postings(self, alive: np.ndarray, thin: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``owner, value, start, least``: the first few of each class's distinct 16-bit shingles, those that fewest of these classes have first.
+
+        As many are taken as the class can lack of an alike one, and COMMON more; so two alike classes have COMMON of them
+        in common, or ``least`` of the class, where it has few. ``owner`` is sorted by value, and ``start`` tells where
+        each value's owners begin.
+        """
+        flat = np.unique(np.concatenate([thin[i].astype(np.int64) + (k << 16) for k, i in enumerate(alive.tolist())]))
+        owner, value = flat >> 16, flat & 0xFFFF
+        rare = np.bincount(value, minlength=1 << 16)[value]
+        order = np.lexsort((value, rare, owner))
+        owner, value = owner[order], value[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        lack = self.n[alive] - -(-self.percent * self.n[alive] // 100)
+        least = np.zeros(len(self.n), np.int64)
+        least[alive] = np.clip(np.bincount(owner, minlength=len(alive)) - lack, 1, COMMON)
+        some = place < (lack + COMMON)[owner]
+        owner, value = owner[some], value[some]
+        order = np.argsort(value, kind="stable")
+        return alive[owner[order]], value[order], np.searchsorted(value[order], np.arange((1 << 16) + 1)), least
+
     def likeliest(self, thin: list[np.ndarray], top: int) -> tuple[np.ndarray, np.ndarray, bool]:
         """For each class outside the largest component, the ``top`` classes of other components that can be alike and
-        share the most of ``thin`` (16 bits of each shingle), and whether these are all there are."""
+        share the most of ``thin`` (16 bits of each shingle), and whether these are all there are.
+
+        Only classes that share some of their rarest shingles here are looked at, so that many unlike ones that meet at
+        a common shingle cost little more than their number.
+        """
         alive, minor = self.alive()
         seen, table, all_ = np.zeros(len(self.n), bool), np.zeros(1 << 16, bool), True
         left, right = [alive[:0]], [alive[:0]]
+        if not len(minor):
+            return left[0], right[0], all_
+        owner, value, start, least = self.postings(alive, thin)
+        by_class = np.argsort(owner, kind="stable")
+        ends = np.searchsorted(owner[by_class], np.arange(len(self.n) + 1))
         for u in minor.tolist():
             seen[u] = True  # what has been paired with u
-            v = alive[~seen[alive]]
+            own = value[by_class[ends[u] : ends[u + 1]]].tolist()
+            v, times = np.unique(np.concatenate([owner[start[x] : start[x + 1]] for x in own]), return_counts=True)
+            v = v[(times >= least[u]) & ~seen[v]]
             v = v[self.possible(np.full(len(v), u), v)]
             if not len(v):
                 continue

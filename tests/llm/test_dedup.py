@@ -196,3 +196,53 @@ def test_components(spark):
     for r in components(spark.createDataFrame(chain, "a long, b long")).collect():
         roots.setdefault(r.root, set()).add(r.vertex)
     assert sorted(map(sorted, roots.values())) == [list(range(41)), [100, 101]]
+
+
+def likely_by_all_pairs(members, thin, top):
+    """Every class outside the largest component against every other."""
+    alive, minor = members.alive()
+    seen, out, all_ = set(), [], True
+    for u in minor.tolist():
+        seen.add(u)
+        own, found = set(thin[u].tolist()), []
+        for v in alive.tolist():
+            if v not in seen and members.possible(np.array([u]), np.array([v]))[0]:
+                most = sum(x in own for x in thin[v].tolist())
+                if 100 * most >= members.percent * (members.n[u] + members.n[v] - most):
+                    found.append((-most, members.ids[v], v))
+        all_ &= len(found) <= top
+        out += [(u, v) for _, _, v in sorted(found)[:top]]
+    return set(out), all_
+
+
+@pytest.mark.parametrize("bits", [0xFFFF, 0x3F])
+def test_likeliest_classes_at_a_mixed_shingle(bits):
+    """No alike pair is lost, whatever shingles the 16 bits throw together."""
+    rng = np.random.default_rng(bits)
+    for _ in range(25):
+        base, sets = [np.unique(rng.integers(0, 1 << 62, rng.integers(4, 60))) for _ in range(8)], []
+        for _ in range(40):
+            s = base[rng.integers(8)].copy()
+            some = rng.integers(0, len(s), rng.integers(0, max(1, len(s) // 8) + 1))
+            s[some] = rng.integers(0, 1 << 62, len(some))
+            sets.append(np.unique(s))
+        thin = [(s & bits).astype(np.uint16) for s in sets]
+        members = ngram_join.Members(rng.permutation(40), np.array([len(s) for s in sets]), np.array([rng.integers(0, max(1, len(s) // 7)) for s in sets]), rng.integers(0, 12, 40), 85)
+        every, _ = likely_by_all_pairs(members, thin, 40)
+        for top in (1, 40):
+            left, right, all_ = members.likeliest(thin, top)
+            got = set(zip(left.tolist(), right.tolist(), strict=True))
+            assert got <= every and (all_ or top == 1)
+            if all_:
+                overlap = {(u, v): len(np.intersect1d(sets[u], sets[v])) for u, v in every}
+                assert {p for p, o in overlap.items() if 100 * o >= 85 * (len(sets[p[0]]) + len(sets[p[1]]) - o)} <= got
+
+
+def test_unlike_classes_at_one_shingle_are_hardly_compared(monkeypatch):
+    rng, looked = np.random.default_rng(3), []
+    plain = ngram_join.Members.possible
+    monkeypatch.setattr(ngram_join.Members, "possible", lambda self, u, v: (looked.append(len(v)), plain(self, u, v))[1])
+    thin = [np.append(rng.integers(0, 1 << 16, 200), 7).astype(np.uint16) for _ in range(20_000)]
+    members = ngram_join.Members(np.arange(20_000), np.full(20_000, 201), np.zeros(20_000, int), np.arange(20_000), 85)
+    left, _, all_ = members.likeliest(thin, 1)
+    assert not len(left) and all_ and sum(looked) < 20 * 20_000
