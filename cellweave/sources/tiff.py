@@ -158,14 +158,13 @@ def ome_names(description: str) -> list[str]:
 
 
 def is_comet(description: str) -> bool:
-    """Whether the instrument described is a Comet by Lunaphore."""
+    """Whether the instrument described is a Comet by Lunaphore: one of its parts names both."""
     try:
         root = ElementTree.fromstring(description)
     except ElementTree.ParseError:
         return False
     parts = [e for e in root.iter() if e.tag.rpartition("}")[2] in ("Microscope", "Detector", "Objective")]
-    text = " ".join(str(v).lower() for e in parts for v in e.attrib.values())
-    return "lunaphore" in text and "comet" in text
+    return any("lunaphore" in (e.get("Manufacturer") or "").lower() and "comet" in (e.get("Model") or "").lower() for e in parts)
 
 
 def json_names(found: list[Page]) -> list[str]:
@@ -289,9 +288,11 @@ def channels(found: list[Page]) -> list[Channel]:
 
 
 def inspect(path: str) -> dict:
-    """Size and channel names, from the directories alone."""
+    """Size, channel names and kind (``json``, ``comet``, ``ome``, ``stack`` or ``plain``), from the directories alone."""
     found = series(pages(path))
-    return {"shape": (len(channels(found)), *found[0].shape), "names": [c.name for c in channels(found)]}
+    text = found[0].description
+    told = {"json": is_json(found), "comet": is_comet(text), "ome": "<OME" in text, "stack": text.startswith("ImageJ=")}
+    return {"shape": (len(channels(found)), *found[0].shape), "names": [c.name for c in channels(found)], "kind": next((k for k, yes in told.items() if yes), "plain")}
 
 
 class Part(InputPartition):
