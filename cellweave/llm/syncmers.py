@@ -61,18 +61,22 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def shared_passages(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``left_id, right_id, shift, n_anchors, first, last`` for the equal anchors of texts of ``left`` and ``right``, by their shift.
+    """``left_id, right_id, shift, n_anchors, first, last`` for the anchors of texts of ``right`` that stand in ``left`` too, by their shift.
 
-    Both have ``doc_id`` (not null, each once) and ``text``. ``shift`` is the place in the right text less that in the
-    left one, ``first`` and ``last`` the least and greatest place in the left one. An anchor that stands several
-    times in a text counts at each of its places, so the rows grow with the product of the places of an anchor.
+    Both have ``doc_id`` and ``text``. An anchor of the right text is matched with its first place in ``left``, in the
+    text of the least id that has it; so there are no more matches than anchors, however many texts share a passage,
+    and those that do name the same text. ``shift`` is the place in the right text less that in the left one, ``first``
+    and ``last`` the least and greatest place in the left one. Repeated rows of ``right`` count as often; null texts
+    have no anchors, null ids of ``left`` come after all others, and empty tables give no rows.
     """
 
     def spread(docs: DataFrame, side: str) -> DataFrame:
         rows = with_anchors(docs.select(F.col("doc_id").alias(f"{side}_id"), "text"))
         return rows.select(f"{side}_id", F.explode("anchors").alias("_a")).select(f"{side}_id", F.col("_a.at").alias(f"_{side}"), F.col("_a.hash").alias("_hash"))
 
-    pairs = spread(left, "left").join(spread(right, "right"), "_hash")
+    place = F.struct(F.col("left_id").isNull().alias("_none"), "left_id", "_left")
+    firsts = spread(left, "left").groupBy("_hash").agg(F.min(place).alias("_f")).select("_hash", "_f.left_id", "_f._left")
+    pairs = spread(right, "right").join(firsts, "_hash")
     return pairs.groupBy("left_id", "right_id", (F.col("_right") - F.col("_left")).alias("shift")).agg(
         F.count(F.lit(1)).alias("n_anchors"), F.min("_left").alias("first"), F.max("_left").alias("last")
     )
