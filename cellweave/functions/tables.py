@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
@@ -24,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def file_system(address: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address, and the path there, for tasks that read and write files of their own."""
+    if address.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + address.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(address) if "://" in address else (fs.LocalFileSystem(), address)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, and it outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

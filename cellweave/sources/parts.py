@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 
-from cellweave.functions.tables import shared_dir
+from cellweave.functions.tables import file_system, shared_dir
 
 #: Bytes that are copied at once.
 BUFFER = 8 << 20
@@ -42,7 +42,7 @@ class Parts:
         def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            there, path = fs.FileSystem.from_uri(folder)
+            there, path = file_system(folder)
             there.create_dir(path, recursive=True)
             name, told, at = uuid.uuid4().hex, [], 0
             with there.open_output_stream(f"{path}/{name}", compression=None) as out:
@@ -62,8 +62,8 @@ class Parts:
 
     def join(self, path: str, content: Iterable[bytes | Piece | int]) -> None:
         """Writes bytes, pieces and numbers of noughts to ``path`` (or an address that pyarrow knows), and drops the pieces' files."""
-        there, folder = fs.FileSystem.from_uri(self.folder)
-        target, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        there, folder = file_system(self.folder)
+        target, name = file_system(path)
         with target.open_output_stream(name, compression=None) as out:
             for x in content:
                 if isinstance(x, bytes):

@@ -12,16 +12,16 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cellweave.functions import codecs as cd
+from cellweave.functions.tables import file_system
 
 from .tiff import PARTITION_BYTES, bounds_of, channel_axis, windowed
 
@@ -71,6 +71,12 @@ def _files(spark: SparkSession, path: str):
     return jvm, there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark takes it, relative ones and those without a scheme too, as an address for tasks."""
+    _, there, system = _files(spark, path)
+    return system.makeQualified(there).toString()
+
+
 def _text(spark: SparkSession, path: str) -> dict | None:
     jvm, there, system = _files(spark, path)
     if not system.exists(there):
@@ -199,7 +205,7 @@ class _ChunkReader(DataSourceReader):
         """The place of the first pixel and the pixels of each chunk, None where it is not there."""
         if part is None:  # what Spark asks for where there are no partitions
             return
-        there, path = fs.FileSystem.from_uri(self.layout.path)
+        there, path = file_system(self.layout.path)
         size, index = tuple(h - a for a, h in zip(part.low, part.high, strict=True)), ("", None)
         for k in range(part.first, part.last):
             at = tuple(int(i) + a for i, a in zip(np.unravel_index(k, size), part.low, strict=True))
@@ -285,6 +291,7 @@ class ChunkedImage(DataSource):
 
 def _loaded(spark: SparkSession, source: type[DataSource], layout: Layout, axes: tuple[int | None, int, int], window: dict[str, tuple[int, int] | None]) -> DataFrame:
     spark.dataSource.register(source)
+    layout = replace(layout, path=qualified(spark, layout.path))
     return windowed(spark.read.format(source.name()).option("layout", json.dumps(asdict(layout))).option("axes", json.dumps(axes)), **window)
 
 

@@ -150,6 +150,14 @@ def test_absent_chunks_have_the_fill_value(spark, tmp_path):
     assert [r.v != r.v for r in zarr.read_image(spark, str(tmp_path / "nan"))[0].collect()] == [True] * 4
 
 
+def test_paths_of_any_form(spark, tmp_path):
+    a = np.arange(1, 13, dtype="<u2").reshape(3, 4)
+    store(tmp_path / "a b", a, (2, 2), 0)
+    for path in (str(tmp_path / "a b"), f"file://{tmp_path}/a b", f"file:{tmp_path}/a b/"):
+        assert zarr.read_mask(spark, path)[0].count() == 12
+    assert zarr.qualified(spark, "x/y").startswith("file:/") and zarr.qualified(spark, "x/y").endswith("/x/y")
+
+
 def test_only_chunks_of_the_window_are_opened(spark, tmp_path):
     a = np.arange(3 * 40 * 30, dtype="<i4").reshape(3, 40, 30)
     store(tmp_path / "image", a, (1, 10, 10), 0)
