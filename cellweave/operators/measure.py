@@ -143,7 +143,7 @@ def _intensities(tagged: DataFrame, image: DataFrame, channels: DataFrame, optio
     middle = F.get("q", F.lit(0))
     wanted = {"mean": F.lit(True), "median": F.lit(exact) | (F.col("kind") > 0)}  # the others but for rings
     pairs = [of(k, middle if c == "median" else F.col(c), wanted.get(c, ~ring)) for k, c in cp.STATISTICS.items()]
-    pairs += [of(f"Percentile: {p}", F.get("q", F.lit(i + 1)), F.col("ranked")) for i, p in enumerate(options.percentiles)]
+    pairs += [of(f"Percentile: {float(p)}", F.get("q", F.lit(i + 1)), F.col("ranked")) for i, p in enumerate(options.percentiles)]
     named = found.join(F.broadcast(channels), "ch").select("cell_id", "ch", "name", "tag", F.explode(F.array_compact(F.array(*pairs))).alias("_p"))
     return named.select("cell_id", "ch", F.concat_ws(": ", "name", "tag", F.col("_p.k")).alias("key"), F.col("_p.value").alias("value"))
 

@@ -288,11 +288,17 @@ def channels(found: list[Page]) -> list[Channel]:
 
 
 def inspect(path: str) -> dict:
-    """Size, channel names and kind (``json``, ``comet``, ``ome``, ``stack`` or ``plain``), from the directories alone."""
+    """Size and channel names, from the directories alone."""
     found = series(pages(path))
+    return {"shape": (len(channels(found)), *found[0].shape), "names": [c.name for c in channels(found)]}
+
+
+def kind_of(path: str) -> str:
+    """What describes a file: ``json``, ``comet``, ``ome``, ``stack`` or, where nothing does, ``plain``."""
+    found = pages(path)
     text = found[0].description
     told = {"json": is_json(found), "comet": is_comet(text), "ome": "<OME" in text, "stack": text.startswith("ImageJ=")}
-    return {"shape": (len(channels(found)), *found[0].shape), "names": [c.name for c in channels(found)], "kind": next((k for k, yes in told.items() if yes), "plain")}
+    return next((k for k, yes in told.items() if yes), "plain")
 
 
 class Part(InputPartition):
