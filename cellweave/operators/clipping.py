@@ -91,6 +91,11 @@ def trimmed(pixels: DataFrame) -> DataFrame:
     return calm.select("label", "r", "c").unionByName(busy.select("label", "r", "c"))
 
 
+def nuclei_inside(nuclei: DataFrame, cells: DataFrame) -> DataFrame:
+    """``label, r, c``: what of each nucleus lies inside the cell of the same label, in however many pieces."""
+    return nuclei.select("label", "r", "c").join(cells.select("label", "r", "c"), ["label", "r", "c"], "left_semi")
+
+
 def clipped_nuclei(nuclei: DataFrame, cells: DataFrame) -> DataFrame:
     """``label, r, c``: the largest piece of each nucleus inside the cell of the same label; nuclei without one are gone."""
-    return largest_pieces(nuclei.select("label", "r", "c").join(cells.select("label", "r", "c"), ["label", "r", "c"], "left_semi"))
+    return largest_pieces(nuclei_inside(nuclei, cells))
