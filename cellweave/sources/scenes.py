@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cellweave.functions.tables import table
 
 WIDTH, CELL = 160, 16
+#: Disks of one task: the table of suppliers is a small file, but each of its rows makes a hundred pixels.
+DISKS = 4096
 
 
 @dataclass(frozen=True)
@@ -23,11 +25,18 @@ class Scene:
     def centres(self) -> DataFrame:
         k = F.col("s_suppkey").cast("int")
         rows = table(self.spark, self.sf_dir, "supplier").select(k.alias("k"), (k % 10).alias("gc"), F.floor(k / 10).cast("int").alias("gr"))
+        if (parts := -(-self._extent[1] // DISKS)) > 1:
+            rows = rows.repartition(parts, "gr")
         return rows.select("k", "gr", (F.col("gr") * CELL + 8 + F.col("k") * 7 % 5 - 2).alias("cy"), (F.col("gc") * CELL + 8 + F.col("k") * 11 % 5 - 2).alias("cx"))
 
     @cached_property
+    def _extent(self) -> tuple[int, int]:
+        """The last row of the grid, and the number of its places."""
+        return tuple(table(self.spark, self.sf_dir, "supplier").agg(F.max(F.floor(F.col("s_suppkey").cast("int") / 10).cast("int")), F.count(F.lit(1))).first())
+
+    @property
     def height(self) -> int:
-        return (self.centres.agg(F.max("gr")).first()[0] + 1) * CELL
+        return (self._extent[0] + 1) * CELL
 
     @cached_property
     def cell_disks(self) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cellweave.plans import catalog
+from cellweave.sources import scenes
 
 
 def suppliers(spark, path, keys):
@@ -15,3 +16,11 @@ def test_a_nucleus_cut_in_two_counts_whole(spark, tmp_path):
     there = suppliers(spark, tmp_path, range(812, 817))
     found = {r.label: r.px for r in catalog.QUERIES["clipped_nuclei"](spark, there).collect()}
     assert found[814] == 2
+
+
+def test_disks_are_spread_over_tasks(spark, tmp_path):
+    scene = scenes.Scene(spark, suppliers(spark, tmp_path, range(3 * scenes.DISKS)))
+    assert scene.disk_pixels(scene.cell_disks).rdd.getNumPartitions() == 3
+    assert scene.height == (3 * scenes.DISKS // 10 + 1) * scenes.CELL
+    labels = scene.cells.select("label").distinct().count()
+    assert labels == sum(k % 17 != 5 for k in range(3 * scenes.DISKS))
