@@ -56,10 +56,10 @@ def largest_pieces(pixels: DataFrame) -> DataFrame:
 
 
 def overlapping(pixels: DataFrame) -> DataFrame:
-    """``i, j`` (i < j) of labels that share a place: a place lists the few labels over it."""
+    """``i, j, px`` (i < j) of labels that share places, and how many: a place lists the few labels over it."""
     over = pixels.groupBy("r", "c").agg(F.sort_array(F.collect_set("label")).alias("l")).filter(F.size("l") > 1)
     pairs = over.select(F.explode("l").alias("i"), "l").select("i", F.explode("l").alias("j")).filter("i < j")
-    return pairs.distinct()
+    return pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("px"))
 
 
 def trimmed(pixels: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def trimmed(pixels: DataFrame) -> DataFrame:
     so a round takes every pair that is the first one left for both of its cells. Cells that lose all are gone.
     """
     pixels = written(pixels.select("label", "r", "c").distinct(), "shapes")
-    open_ = written(overlapping(pixels), "pairs")
+    open_ = written(overlapping(pixels).select("i", "j"), "pairs")
     ends = open_.select(F.col("i").alias("label")).unionByName(open_.select(F.col("j").alias("label"))).distinct()
     calm = pixels.join(ends, "label", "left_anti")
     busy = written(pixels.join(ends, "label", "left_semi"), "busy")

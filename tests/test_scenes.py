@@ -24,3 +24,20 @@ def test_disks_are_spread_over_tasks(spark, tmp_path):
     assert scene.height == (3 * scenes.DISKS // 10 + 1) * scenes.CELL
     labels = scene.cells.select("label").distinct().count()
     assert labels == sum(k % 17 != 5 for k in range(3 * scenes.DISKS))
+
+
+def test_overlapping_cells_read_each_pixel_once(spark, tmp_path):
+    there = suppliers(spark, tmp_path, range(3, 65))
+    rows = catalog.QUERIES["overlapping_cells"](spark, there)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # pixels that a join sends whole to every task outgrow it
+    assert {(r.i, r.j): r.px for r in rows.collect()} == shared(spark, there)
+
+
+def shared(spark, there):
+    """Shared places by brute force."""
+    scene, over = scenes.Scene(spark, there), {}
+    for r in scene.disk_pixels(scene.cell_disks).collect():
+        over.setdefault((r.r, r.c), []).append(r.label)
+    pairs = [(i, j) for labels in over.values() for i in labels for j in labels if i < j]
+    return {p: pairs.count(p) for p in set(pairs)}
