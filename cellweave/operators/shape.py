@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cellweave.functions.groups import grouped
+
 #: The length that a border pixel adds, by the sum of its border neighbours' weights (2 a side, 10 a corner, 1 itself).
 PERIMETER_WEIGHTS = {1.0: (5, 7, 15, 17, 25, 27), math.sqrt(2): (21, 33), (1 + math.sqrt(2)) / 2: (13, 23)}
 
@@ -57,11 +59,17 @@ def solidity(pixels: DataFrame) -> DataFrame:
     that a cell of far pieces needs no more memory than it has rows.
     """
     rows = pixels.groupBy("cell_id", "r").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n"))
-    return rows.groupBy("cell_id").applyInPandas(_solidity, "cell_id long, solidity double")
+
+    def made(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        columns = [np.split(table[x].to_numpy(), starts[1:]) for x in ("r", "c0", "c1", "n")]
+        found = [_solidity(*own) for own in zip(*columns, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(table["cell_id"].to_numpy()[starts], pa.int64()), pa.array(found, pa.float64())], names=["cell_id", "solidity"])
+
+    return grouped(rows, ["cell_id"], made, "cell_id long, solidity double")
 
 
-def _solidity(rows: pd.DataFrame) -> pd.DataFrame:
-    r, c0, c1 = (rows[x].to_numpy(float) for x in ("r", "c0", "c1"))
+def _solidity(r: np.ndarray, c0: np.ndarray, c1: np.ndarray, n: np.ndarray) -> float:
+    r, c0, c1 = (x.astype(float) for x in (r, c0, c1))
     points = np.concatenate([np.stack([r + dr, c + dc], axis=1) for c in (c0, c1) for dr, dc in ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5))])
     hull = convex_hull(points - [r.min(), c0.min()])
     ys = np.arange(r.max() - r.min() + 1)
@@ -74,7 +82,7 @@ def _solidity(rows: pd.DataFrame) -> pd.DataFrame:
         else:
             high = np.where((bx - ax) * (ys - ay) < -1e-9, -np.inf, high)
     inside = np.maximum(np.floor(high) - np.ceil(low) + 1, 0).sum()
-    return pd.DataFrame({"cell_id": [int(rows["cell_id"].iloc[0])], "solidity": [float(rows["n"].sum() / max(inside, 1))]})
+    return float(n.sum() / max(inside, 1))
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
