@@ -7,9 +7,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cellweave.functions import polygons as pg
+from cellweave.functions.groups import grouped, spread
 from cellweave.functions.tables import written
 
 from .clipping import pieces
@@ -114,8 +116,7 @@ def outlines(pixels: DataFrame, tolerance: float = 0.5) -> DataFrame:
         mask[r - r.min(), c - c.min()] = True
         return max(rings(mask), key=area) + [c.min(), r.min()]
 
-    def trace(rows: pd.DataFrame) -> pd.DataFrame:
-        r, c = rows["r"].to_numpy(), rows["c"].to_numpy()
+    def trace(r: np.ndarray, c: np.ndarray) -> np.ndarray:
         if (int(r.max()) - int(r.min()) + 1) * (int(c.max()) - int(c.min()) + 1) > SPARSE * len(r) + 65_536:  # far pieces: each in a box of its own
             found = pieces(r, c)
             ring = max((largest(r[found == k], c[found == k]) for k in range(found.max() + 1)), key=area)
@@ -123,10 +124,17 @@ def outlines(pixels: DataFrame, tolerance: float = 0.5) -> DataFrame:
             ring = largest(r, c)
         low = ring.min(axis=0)
         ring = simplified(ring - low, tolerance) + low
-        ring = np.vstack([ring, ring[:1]]).astype(np.float32).astype(float)
-        return pd.DataFrame({"label": [int(rows["label"].iloc[0])], "ring": [[{"x": x, "y": y} for x, y in ring.tolist()]], "area": [area(ring[:-1])]})
+        return np.vstack([ring, ring[:1]]).astype(np.float32).astype(float)
 
-    return pixels.filter("label <> 0").select("label", "r", "c").groupBy("label").applyInPandas(trace, f"label bigint, ring {RING}, area double")
+    def made(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        found = [trace(r, c) for r, c in zip(*(np.split(table[x].to_numpy(), starts[1:]) for x in ("r", "c")), strict=True)]
+        corners = np.concatenate(found)
+        points = pa.StructArray.from_arrays([pa.array(corners[:, 0]), pa.array(corners[:, 1])], names=["x", "y"])
+        rings_ = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), points)
+        areas = pa.array([area(ring[:-1]) for ring in found], pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(table["label"].to_numpy()[starts], pa.int64()), rings_, areas], names=["label", "ring", "area"])
+
+    return grouped(pixels.filter("label <> 0").select("label", "r", "c"), ["label"], made, f"label bigint, ring {RING}, area double")
 
 
 def squared_distance(seed: np.ndarray, radius: int) -> np.ndarray:
@@ -217,7 +225,7 @@ def flooded(seeds: DataFrame, zone: DataFrame, radius: int, tile: int = 256, hal
         dealt = rows.withColumn("ty", near("r")).withColumn("tx", near("c"))
         if todo is not None:
             dealt = dealt.join(todo, ["ty", "tx"], "left_semi")
-        made = written(dealt.groupBy("ty", "tx").applyInPandas(_tile_flood(radius, tile, halo), "r int, c int, label long, ty long, tx long"), "flooded")
+        made = written(spread(dealt, "ty", "tx").groupBy("ty", "tx").applyInPandas(_tile_flood(radius, tile, halo), "r int, c int, label long, ty long, tx long"), "flooded")
         done = made.filter("label is not null").select("r", "c", "label")
         own = done if own is None else own.unionByName(done)
         todo = made.filter("label is null").select("ty", "tx")
