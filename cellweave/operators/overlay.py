@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 from cellweave.functions import polygons as pg
+from cellweave.functions.groups import spread
 from cellweave.functions.tables import written
 from cellweave.sources import boundaries as bd
 
@@ -185,6 +186,8 @@ def united(parts: DataFrame, square: float = 2048.0) -> DataFrame:
     """
 
     def unite(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) == 1 and "pieces" in rows:  # a label in one square is united already
+            return rows[["label", "geometry", "area", "pieces"]]
         found = pg.union([_rings(g) for g in rows["geometry"]])
         data = bd.multi([[pg.closed(r) for r in p] for p in found])
         return pd.DataFrame({"label": [int(rows["label"].iloc[0])], "geometry": [data], "area": [sum(map(pg.area, found))], "pieces": [len(found)]})
@@ -202,7 +205,8 @@ def united(parts: DataFrame, square: float = 2048.0) -> DataFrame:
 
     made = "label bigint, geometry binary, area double, pieces long"
     dealt = parts.select(F.col("label").cast("long").alias("label"), F.col("geometry").cast("binary").alias("geometry")).mapInArrow(placed, "label bigint, geometry binary, by long, bx long")
-    return dealt.groupBy("label", "by", "bx").applyInPandas(unite, made).groupBy("label").applyInPandas(unite, made)
+    within = spread(dealt, "label", "by", "bx").groupBy("label", "by", "bx").applyInPandas(unite, made)
+    return spread(within, "label").groupBy("label").applyInPandas(unite, made)
 
 
 def rings_of(shapes: DataFrame) -> DataFrame:
