@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
 
 CELL, NUCLEUS, CYTOPLASM, MEMBRANE = "CELL", "NUCLEUS", "CYTOPLASM", "MEMBRANE"
 STATISTICS = {"Mean": "mean", "Median": "median", "Min": "min", "Max": "max", "Std.Dev.": "std"}
@@ -39,7 +43,7 @@ def cell_pixels(cells: DataFrame, nuclei: DataFrame, whole: DataFrame, grown: Da
     return with_membrane(body.unionByName(alone))
 
 
-def _bounded(cells: DataFrame) -> DataFrame:
+def bounded(cells: DataFrame) -> DataFrame:
     """``cell_id, _b``: whether a cell has a boundary of its own."""
     synthesised = F.col("match_source") == "watershed_synth" if "match_source" in cells.columns else F.lit(False)
     return cells.select("cell_id", (F.col("whole_cell_label").isNotNull() | synthesised).alias("_b"))
@@ -48,62 +52,134 @@ def _bounded(cells: DataFrame) -> DataFrame:
 def compartments(pixels: DataFrame, cells: DataFrame) -> DataFrame:
     """``cell_id, compartment, r, c``. Cytoplasm needs boundary and nucleus pixels, membrane a boundary; empty ones have no rows."""
     of = lambda name, when: F.when(when, F.lit(name))
-    rows = pixels.withColumn("_n", F.max("is_nuc").over(Window.partitionBy("cell_id"))).join(_bounded(cells), "cell_id")
+    rows = pixels.withColumn("_n", F.max("is_nuc").over(Window.partitionBy("cell_id"))).join(bounded(cells), "cell_id")
     names = F.array(F.lit(CELL), of(NUCLEUS, F.col("is_nuc")), of(CYTOPLASM, F.col("_b") & F.col("_n") & ~F.col("is_nuc")), of(MEMBRANE, F.col("_b") & F.col("is_membrane")))
     return rows.select("cell_id", F.explode(F.array_compact(names)).alias("compartment"), "r", "c")
 
 
-def _std(v: Column, whole_numbers: bool) -> Column:
-    """Population deviation: exact sums for whole numbers, which no size of group overflows; else by Spark's own."""
-    if not whole_numbers:
-        return F.stddev_pop(v)
-    n, total = F.count(v).cast("decimal(19,0)"), F.sum(v.cast("decimal(19,0)"))
-    squares = F.sum((v.cast("decimal(19,0)") * v.cast("decimal(19,0)")).cast("decimal(28,0)"))
-    return F.sqrt((n * squares - total * total).cast("double")) / F.count(v)
+#: Sides of the squares of the image in which places meet it.
+SQUARE = 64
 
 
-def _statistics(v: Column, median: bool, whole_numbers: bool) -> list[Column]:
-    out = [F.count(v).alias("n"), (F.sum(v) / F.count(v)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), _std(v, whole_numbers).alias("std")]
-    return out + ([F.percentile(v, F.lit(0.5)).alias("median")] if median else [])
+def sampled(places: DataFrame, image: DataFrame, by: list[str]) -> DataFrame:
+    """``by, ch, vals``: the values under each group of ``places``, a row for each square of the image that it meets.
 
-
-def summary(v: Column, spread: Column, image: DataFrame) -> list[Column]:
-    """``n, mean, min, max`` of the values, and the deviation ``std`` of those in ``spread``."""
-    return [*_statistics(v, False, True)[:4], _std(spread, _whole_numbers(image)).alias("std")]
-
-
-def _whole_numbers(image: DataFrame) -> bool:
-    return image.schema["v"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    Places and image are dealt to squares, which meet in one task each. What lies outside the image has no values.
+    """
+    kind = image.schema["v"].dataType
+    known = ", ".join(f"{x} {places.schema[x].dataType.simpleString()}" for x in by)
+    channel = image.schema["ch"].dataType.simpleString()
+
+    def values(at: pa.Table, square: pa.Table) -> pa.Table:
+        parts = []
+        line = lambda t: t["r"].to_numpy().astype(np.int64) % SQUARE * SQUARE + t["c"].to_numpy() % SQUARE
+        wanted = line(at)
+        for ch in pc.unique(square["ch"]):
+            own = square.filter(pc.equal(square["ch"], ch))
+            row = np.full(SQUARE * SQUARE, -1)
+            row[line(own)] = np.arange(own.num_rows)
+            hit = row[wanted]
+            there = np.flatnonzero(hit >= 0)
+            found = at.select(by).take(pa.array(there)).append_column("vals", own["v"].take(pa.array(hit[there])))
+            lists = found.group_by(by).aggregate([("vals", "list")]).rename_columns({"vals_list": "vals"})
+            parts.append(lists.append_column("ch", pa.array([ch.as_py()] * lists.num_rows, square.schema.field("ch").type)).select([*by, "ch", "vals"]))
+        return pa.concat_tables(parts) if parts else pa.table({}, pa.schema([]))
+
+    def met(at: pa.Table, square: pa.Table) -> pa.Table:
+        if at.num_rows and square.num_rows:
+            return values(at, square)
+        fields = [at.schema.field(x) for x in by] + [square.schema.field("ch"), pa.field("vals", pa.list_(square.schema.field("v").type))]
+        return pa.schema(fields).empty_table()
+
+    square_of = [F.floor(F.col(x) / SQUARE).cast("int").alias(n) for x, n in (("r", "by_"), ("c", "bx_"))]
+    a = places.select(*by, "r", "c", *square_of).groupBy("by_", "bx_")
+    b = image.filter("v is not null").select("ch", "r", "c", "v", *square_of).groupBy("by_", "bx_")
+    return a.cogroup(b).applyInArrow(met, f"{known}, ch {channel}, vals array<{kind.simpleString()}>")
+
+
+def gathered(samples: DataFrame, by: list[str]) -> DataFrame:
+    """``by, vals``: all values of each group."""
+    return samples.groupBy(*by).agg(F.flatten(F.collect_list("vals")).alias("vals"))
+
+
+def _deviation(v: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Population deviation: exact sums for whole numbers, which no size of group overflows; else about the mean."""
+    if v.dtype.kind == "f":
+        off = v - np.repeat(v[starts], n)  # so that equal values have none
+        off -= np.repeat(np.add.reduceat(off, starts) / n, n)
+        return np.sqrt(np.add.reduceat(off * off, starts) / n)
+    largest = max(abs(int(v.min())), abs(int(v.max())))
+    if largest * largest * int(n.max()) ** 2 < 1 << 62:
+        total, squares = np.add.reduceat(v, starts), np.add.reduceat(v * v, starts)
+        return np.sqrt((n * squares - total * total).astype(float)) / n
+    whole = v.astype(object)
+    total, squares = np.add.reduceat(whole, starts), np.add.reduceat(whole * whole, starts)
+    return np.array([math.sqrt(float(k * q - s * s)) / k for k, q, s in zip(n.tolist(), squares, total, strict=True)])
+
+
+def statistics(groups: DataFrame, at: list[float]) -> DataFrame:
+    """The columns of ``gathered`` but ``vals``, and ``n, mean, min, max, std`` and ``q``, the percentiles ``at`` (0 to 1) with linear interpolation."""
+    kind = groups.schema["vals"].dataType.elementType.simpleString()
+    keys = [x for x in groups.columns if x != "vals"]
+    known = ", ".join(f"{x} {groups.schema[x].dataType.simpleString()}" for x in keys)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column("vals")), 0))
+            if not batch.num_rows:
+                continue
+            lists = batch.column("vals")
+            n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+            v = lists.flatten().to_numpy(zero_copy_only=False)
+            v = v.astype(np.float64 if v.dtype.kind == "f" else np.int64)
+            starts = np.cumsum(n) - n
+            v = v[np.lexsort((v, np.repeat(np.arange(len(n)), n)))]
+            columns = [n, np.add.reduceat(v, starts) / n, v[starts], v[starts + n - 1], _deviation(v, starts, n)]
+            q = np.empty((len(n), len(at)))
+            for k, p in enumerate(at):
+                place = (n - 1) * p
+                low, high = np.floor(place).astype(np.int64), np.ceil(place).astype(np.int64)
+                a, b = v[starts + low].astype(float), v[starts + high].astype(float)
+                q[:, k] = np.where(a == b, a, (high - place) * a + (place - low) * b)
+            arrays = [pa.array(x) for x in columns]
+            arrays[2:4] = [x.cast(lists.type.value_type) for x in arrays[2:4]]
+            arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * len(at), pa.int32()), pa.array(q.ravel())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keys), *arrays], names=[*keys, "n", "mean", "min", "max", "std", "q"])
+
+    return groups.mapInArrow(made, f"{known}, n long, mean double, min {kind}, max {kind}, std double, q array<double>")
+
+
+def _shown(found: DataFrame, by: list[str], mode: str) -> DataFrame:
+    median = [F.get("q", F.lit(0)).alias("median")] if mode == "exact" else []
+    return found.select(*by, "n", "mean", "min", "max", "std", *median)
 
 
 def intensity(places: DataFrame, image: DataFrame, by: list[str], mode: str = "exact") -> DataFrame:
     """``n, mean, min, max, std`` and, but for the fast modes, ``median`` of the image under each group of ``places``."""
-    rows = places.join(image, ["r", "c"])
-    return rows.groupBy(*by, "ch").agg(*_statistics(F.col("v"), mode == "exact", _whole_numbers(image)))
+    return _shown(statistics(gathered(sampled(places, image, by), [*by, "ch"]), [0.5]), [*by, "ch"], mode)
 
 
-def _of_compartments(pixels: DataFrame, cells: DataFrame, image: DataFrame, made: Callable[[Column], list[Column]]) -> DataFrame:
-    """``cell_id, ch, compartment`` and what ``made`` gives for the values of each: every pixel meets the image once."""
-    rows = pixels.join(_bounded(cells), "cell_id").join(image, ["r", "c"])
-    inside = {CELL: F.lit(True), NUCLEUS: F.col("is_nuc"), CYTOPLASM: F.col("_b") & ~F.col("is_nuc"), MEMBRANE: F.col("_b") & F.col("is_membrane")}
-    rows = rows.groupBy("cell_id", "ch").agg(*[F.struct(*made(F.when(when, F.col("v")))).alias(name) for name, when in inside.items()])
-    fields = [f.name for f in rows.schema[CELL].dataType.fields]
-    each = F.array(*[F.struct(F.lit(name).alias("compartment"), *[F.col(name)[f].alias(f) for f in fields]) for name in inside])
-    nucleus = F.col(NUCLEUS)["n"] > 0
-    rows = rows.select("cell_id", "ch", nucleus.alias("_n"), F.explode(each).alias("_e")).select("cell_id", "ch", "_n", "_e.*")
-    return rows.filter((F.col("n") > 0) & (F.col("_n") | (F.col("compartment") != CYTOPLASM))).drop("_n")
+def _of_compartments(pixels: DataFrame, cells: DataFrame, image: DataFrame, at: list[float]) -> DataFrame:
+    """``cell_id, ch, compartment`` and the ``statistics`` of each: every pixel meets the image once."""
+    rows = pixels.join(bounded(cells), "cell_id").select("cell_id", "r", "c", "is_nuc", "is_membrane", "_b")
+    rows = sampled(rows, image, ["cell_id", "is_nuc", "is_membrane", "_b"]).repartition("cell_id")
+    rows = rows.withColumn("_n", F.max("is_nuc").over(Window.partitionBy("cell_id", "ch")))
+    of = lambda name, when: F.when(when, F.lit(name))
+    names = F.array(F.lit(CELL), of(NUCLEUS, F.col("is_nuc")), of(CYTOPLASM, F.col("_b") & F.col("_n") & ~F.col("is_nuc")), of(MEMBRANE, F.col("_b") & F.col("is_membrane")))
+    rows = rows.select("cell_id", "ch", F.explode(F.array_compact(names)).alias("compartment"), "vals")
+    return statistics(gathered(rows, ["cell_id", "ch", "compartment"]), at)
 
 
 def compartment_intensity(pixels: DataFrame, cells: DataFrame, image: DataFrame, mode: str = "exact") -> DataFrame:
     """``cell_id, ch, compartment`` and the statistics of ``intensity``, from ``cell_pixels``."""
-    return _of_compartments(pixels, cells, image, lambda v: _statistics(v, mode == "exact", _whole_numbers(image)))
+    return _shown(_of_compartments(pixels, cells, image, [0.5]), ["cell_id", "ch", "compartment"], mode)
 
 
 def compartment_percentiles(pixels: DataFrame, cells: DataFrame, image: DataFrame, at: list[float], min_pixels: int = 0) -> DataFrame:
     """``cell_id, ch, compartment, p, value`` with linear interpolation; cells of fewer than ``min_pixels`` pixels have none."""
     if min_pixels:
         pixels = pixels.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("cell_id"))).filter(F.col("_size") >= min_pixels).drop("_size")
-    rows = _of_compartments(pixels, cells, image, lambda v: [F.count(v).alias("n"), F.percentile(v, F.array(*[F.lit(p / 100.0) for p in at])).alias("q")])
+    rows = _of_compartments(pixels, cells, image, [p / 100.0 for p in at])
     pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in at]).alias("p"), F.col("q").alias("value"))
     return rows.select("cell_id", "ch", "compartment", F.inline(pairs)).toDF("cell_id", "ch", "compartment", "p", "value")
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cellweave.functions.groups import grouped
 from cellweave.functions.tables import written
 
 from . import compartments as cp, labels as lb, matching as mt, morphology as mo, neighbours as nb, outlines as ol, raster as ra, shape as sh
@@ -104,41 +107,55 @@ def all_cells(nuclei: DataFrame | None, whole: DataFrame | None, size: tuple[int
     return matched.drop("by_distance").unionByName(grown_cells), grown
 
 
-def _tagged(pixels: DataFrame, cells: DataFrame, size: tuple[int, int], options: Options) -> DataFrame:
-    """``cell_id, r, c, tag, kind, ranked``: every place of every family of a cell, and the name of what is measured there.
+#: What is measured at a place, a bit each, with its kind: 0 for compartments, 1 for rings, 2 for environments.
+TAGS = [("Cell", 0), ("Nucleus", 0), ("Cytoplasm", 0), ("Membrane", 0)]
+TAGS += [(f"{part}: ErosionBin_{b}", 1) for part in ("Cell", "Nucleus") for b in range(1, mo.BINS + 1)]
+TAGS += [(f"Cell: ExpansionBin_{b}", 1) for b in range(1, mo.BINS + 1)] + [("Cell: Environment_20um", 2)]
+_EROSION, _EXPANSION, _ENVIRONMENT = 4, 4 + 2 * mo.BINS, 4 + 3 * mo.BINS
+#: The bit of cells that are large enough for percentiles.
+_RANKED = len(TAGS)
 
-    ``kind`` is 0 for compartments, 1 for rings, 2 for environments; ``ranked`` marks places whose percentiles are asked for.
-    """
-    part, row = F.initcap("compartment"), ["cell_id", "r", "c"]
-    told = lambda rows, tag, kind, ranked=F.lit(False): rows.select(*row, tag.alias("tag"), F.lit(kind).alias("kind"), ranked.alias("ranked"))
+
+def _tagged(pixels: DataFrame, cells: DataFrame, size: tuple[int, int], options: Options) -> DataFrame:
+    """``cell_id, r, c, tags``: every place of a cell once, with the bits of all that is measured there."""
+    reach = mo.reach_px(options.pixel)
     least = SMALL_CELL if options.performance_mode == "fast_small_cells" else 0
-    big = pixels.groupBy("cell_id").agg((F.count(F.lit(1)) >= least).alias("_big"))
-    own = written(cp.compartments(pixels, cells).join(big, "cell_id"), "compartments")
-    out = told(own, part, 0, F.col("_big") & F.lit(bool(options.percentiles)))
-    if options.erosion_steps:
-        by = ["cell_id", "compartment"]
-        places = written(mo.inward(own.filter("compartment in ('CELL', 'NUCLEUS')").drop("_big"), by), "inward")
-        rows = mo.binned(places, mo.erosion_rings(places, by), by)
-        out = out.unionByName(told(rows, F.concat(part, F.lit(": ErosionBin_"), F.col("bin").cast("string")), 1))
-    if options.expansion_steps or options.environment_expansion:
-        around = written(mo.outward(pixels, ["cell_id"], mo.reach_px(options.pixel), size), "outward")
-        if options.expansion_steps:
-            rows = mo.binned(around, mo.expansion_rings(around, ["cell_id"]), ["cell_id"])
-            out = out.unionByName(told(rows, F.concat(F.lit("Cell: ExpansionBin_"), F.col("bin").cast("string")), 1))
-        if options.environment_expansion:
-            out = out.unionByName(told(around, F.lit("Cell: Environment_20um"), 2))
-    return out
+
+    def families(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        g, (r, c) = mo.numbers(table, starts), (table[x].to_numpy().astype(np.int64) for x in ("r", "c"))
+        nucleus, membrane, bounded = (table[x].to_numpy() for x in ("is_nuc", "is_membrane", "_b"))
+        some = np.maximum.reduceat(nucleus, starts)[g]
+        big = np.bincount(g)[g] >= least if options.percentiles else np.zeros(len(g), bool)
+        tags = 1 + (nucleus.astype(np.int64) << 1) + ((bounded & some & ~nucleus).astype(np.int64) << 2) + ((bounded & membrane).astype(np.int64) << 3) + (big.astype(np.int64) << _RANKED)
+        if options.erosion_steps:
+            tags |= 1 << (_EROSION - 1 + mo.shells(g, mo.inner_depths(g, r, c), True))
+            if (k := np.flatnonzero(nucleus)).size:
+                tags[k] |= 1 << (_EROSION + mo.BINS - 1 + mo.shells(g[k], mo.inner_depths(g[k], r[k], c[k]), True))
+        parts = [(g, r, c, tags)]
+        if options.expansion_steps or options.environment_expansion:
+            og, orow, ocol, depth = mo.outer_places(g, r, c, reach, size)
+            around = np.full(len(og), 1 << _ENVIRONMENT if options.environment_expansion else 0)
+            if options.expansion_steps:
+                around |= 1 << (_EXPANSION - 1 + mo.shells(og, depth, False))
+            parts.append((og, orow, ocol, around))
+        g, r, c, tags = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids = table["cell_id"].to_numpy()[starts][g]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(tags, pa.int32())], names=["cell_id", "r", "c", "tags"])
+
+    own = pixels.join(cp.bounded(cells), "cell_id").select(F.col("cell_id").cast("long").alias("cell_id"), "r", "c", "is_nuc", "is_membrane", "_b")
+    return grouped(own, ["cell_id"], families, "cell_id long, r int, c int, tags int")
 
 
 def _intensities(tagged: DataFrame, image: DataFrame, channels: DataFrame, options: Options) -> DataFrame:
     """``cell_id, ch, key, value`` of all families: the image is read once and meets each place once, whatever lies there."""
     exact = options.performance_mode == "exact"
-    places = tagged.groupBy("r", "c").agg(F.collect_list(F.struct("cell_id", "tag", "kind", "ranked")).alias("_t"))
-    rows = image.join(places, ["r", "c"]).select("ch", "v", F.inline("_t"))
-    v, ring = F.col("v"), F.col("kind") == 1
-    at = F.array(*[F.lit(p / 100.0) for p in [50.0, *options.percentiles]])
-    sorted_ = v if exact else F.when((F.col("kind") > 0) | F.col("ranked"), v)
-    found = rows.groupBy("cell_id", "tag", "kind", "ranked", "ch").agg(*cp.summary(v, F.when(~ring, v), image), F.percentile(sorted_, at).alias("q")).filter("n > 0")
+    bit = lambda i: F.col("tags").bitwiseAND(F.lit(1 << i)) != 0
+    told = [F.when(bit(i), F.struct(F.lit(tag).alias("tag"), F.lit(kind).alias("kind"), (bit(_RANKED) if kind == 0 else F.lit(False)).alias("ranked"))) for i, (tag, kind) in enumerate(TAGS)]
+    rows = cp.sampled(tagged, image, ["cell_id", "tags"]).repartition("cell_id")
+    rows = rows.select("cell_id", "ch", "vals", F.inline(F.array_compact(F.array(*told))))
+    at = [0.5, *[p / 100.0 for p in options.percentiles]]
+    found = cp.statistics(cp.gathered(rows, ["cell_id", "tag", "kind", "ranked", "ch"]), at)
+    ring = F.col("kind") == 1
     of = lambda key, value, when: F.when(when, F.struct(F.lit(key).alias("k"), value.cast("double").alias("value")))
     middle = F.get("q", F.lit(0))
     wanted = {"mean": F.lit(True), "median": F.lit(exact) | (F.col("kind") > 0)}  # the others but for rings

@@ -1,77 +1,143 @@
-"""Inward and outward rings of cells. Erosion and dilation by a cross are thresholds of the city-block distance,
-which two passes of window minima give for all cells at once."""
+"""Inward and outward rings of cells. Erosion and dilation by a cross are steps over side neighbours, which are taken
+for all cells of a batch at once; nothing is held but places."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from cellweave.functions.groups import grouped
 
 BINS = 5
-FAR = 1 << 20
 
 
-def depths(frame: DataFrame, by: list[str]) -> DataFrame:
-    """``frame`` (dense ``r, c`` for each group, with a boolean ``t``) and ``depth``: the distance to the nearest ``t``."""
-    down = Window.partitionBy(*by, "c").orderBy("r")
-    before, behind = down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col("t"), F.col("r"))
-    rows = frame.withColumn("_g", F.least(F.coalesce(F.col("r") - F.max(at).over(before), F.lit(FAR)), F.coalesce(F.min(at).over(behind) - F.col("r"), F.lit(FAR))))
-    across = Window.partitionBy(*by, "r").orderBy("c")
-    before, behind = across.rowsBetween(Window.unboundedPreceding, 0), across.rowsBetween(0, Window.unboundedFollowing)
-    depth = F.least(F.col("c") + F.min(F.col("_g") - F.col("c")).over(before), F.min(F.col("_g") + F.col("c")).over(behind) - F.col("c"))
-    return rows.withColumn("depth", depth.cast("int")).drop("_g")
+class Places:
+    """Places of numbered groups as sorted whole numbers, each beside its side neighbours; a rim of ``margin`` is free."""
+
+    def __init__(self, g: np.ndarray, r: np.ndarray, c: np.ndarray, margin: int = 1):
+        self.r0, self.c0 = int(r.min()) - margin, int(c.min()) - margin
+        self.rows, self.columns = int(r.max()) - self.r0 + margin + 1, int(c.max()) - self.c0 + margin + 1
+        self.key = (g.astype(np.int64) * self.rows + (r.astype(np.int64) - self.r0)) * self.columns + (c.astype(np.int64) - self.c0)
+        self.sides = (1, -1, self.columns, -self.columns)
+
+    def split(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Group, row and column."""
+        line, c = np.divmod(key, self.columns)
+        g, r = np.divmod(line, self.rows)
+        return g, r + self.r0, c + self.c0
+
+
+def _at(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where ``wanted`` stands in sorted ``known``, or -1."""
+    k = np.searchsorted(known, wanted)
+    k[k == len(known)] = 0
+    return np.where(known[k] == wanted, k, -1) if len(known) else np.full(len(wanted), -1)
+
+
+def inner_depths(g: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The city-block distance of each place to the nearest one outside its group."""
+    key = Places(g, r, c)
+    order = np.argsort(key.key, kind="stable")
+    sorted_ = key.key[order]
+    beside = np.stack([_at(sorted_, sorted_ + s) for s in key.sides])
+    depth = np.where((beside < 0).any(axis=0), 1, 0)
+    left, d = np.flatnonzero(depth == 0), 1
+    while len(left):
+        near = (depth[beside[:, left]] == d).any(axis=0)
+        d += 1
+        depth[left[near]] = d
+        left = left[~near]
+    out = np.empty(len(depth), np.int64)
+    out[order] = depth
+    return out
+
+
+def outer_places(g: np.ndarray, r: np.ndarray, c: np.ndarray, reach: int, size: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Group, row, column and distance of the places within ``reach`` of each group, but outside it and inside the image."""
+    key = Places(g, r, c, reach + 1)
+    own = np.unique(key.key)
+    before, now, found = own, own, []
+    for d in range(1, reach + 1):
+        near = np.unique(np.concatenate([now + s for s in key.sides]))
+        near = near[(_at(before, near) < 0) & (_at(now, near) < 0)]
+        _, y, x = key.split(near)
+        near = near[(y >= 0) & (y < size[0]) & (x >= 0) & (x < size[1])]
+        before, now = now, near
+        found.append(near)
+    depth = np.repeat(np.arange(1, reach + 1), [len(x) for x in found])
+    return *key.split(np.concatenate(found)), depth
+
+
+def shells(g: np.ndarray, depth: np.ndarray, outermost: bool) -> np.ndarray:
+    """Depths of each group dealt into five shells of about equal area: inward ones, the outermost first, or outward ones, the innermost first."""
+    if not len(g):
+        return np.zeros(0, np.int64)
+    deep = int(depth.max()) + 1
+    level, at, n = np.unique(g * deep + depth, return_inverse=True, return_counts=True)
+    own = level // deep
+    total = np.bincount(own, n)[own]
+    run = np.cumsum(n)
+    first = np.searchsorted(own, own)
+    less = run - n - (run - n)[first]
+    out = np.full(len(level), BINS)
+    for b in range(BINS - 1, 0, -1):
+        out[total - less > np.floor(total * (1.0 - b / BINS)) if outermost else less < np.floor(total * (b / BINS))] = b
+    return out[at]
+
+
+def numbers(table: pa.Table, starts: np.ndarray) -> np.ndarray:
+    """The number of each row's group."""
+    return np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
 
 
-def _grid(pixels: DataFrame, by: list[str], margin: int, size: tuple[int, int] | None) -> DataFrame:
-    """Every place of each group's bounding box grown by ``margin`` (within ``size``, if given); ``own`` marks the group's pixels."""
-    low = [F.min(x) - margin for x in ("r", "c")]
-    high = [F.max(x) + margin for x in ("r", "c")]
-    if size:
-        low = [F.greatest(x, F.lit(0)) for x in low]
-        high = [F.least(x, F.lit(s - 1)) for x, s in zip(high, size, strict=True)]
-    box = pixels.groupBy(*by).agg(*[x.cast("int").alias(n) for x, n in zip([*low, *high], ("r0", "c0", "r1", "c1"), strict=True)])
-    grid = box.select(*by, F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1").select(*by, "r", F.explode(F.sequence("c0", "c1")).alias("c"))
-    return grid.join(pixels.select(*by, "r", "c", F.lit(True).alias("own")), [*by, "r", "c"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+def _rings(pixels: DataFrame, by: list[str], made) -> DataFrame:
+    kinds = ", ".join(f"{x} {pixels.schema[x].dataType.simpleString()}" for x in by)
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        g, r, c, depth, bins = made(numbers(table, starts), table["r"].to_numpy(), table["c"].to_numpy())
+        keys = table.select(by).take(pa.array(starts[g]))
+        columns = [keys[x].combine_chunks() for x in by] + [pa.array(x, pa.int32()) for x in (r, c, depth, bins)]
+        return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in columns], names=[*by, "r", "c", "depth", "bin"])
+
+    return grouped(pixels.select(*by, "r", "c"), by, run, f"{kinds}, r int, c int, depth int, bin int")
 
 
 def inward(pixels: DataFrame, by: list[str]) -> DataFrame:
-    """``by, r, c, depth``: 1 at the border of each group's mask; outside is background, at the image's edge too."""
-    return depths(_grid(pixels, by, 1, None).withColumn("t", ~F.col("own")), by).filter("own").select(*by, "r", "c", "depth")
+    """``by, r, c, depth, bin``: 1 at the border of each group's mask, and the shell; outside is background, at the image's edge too."""
+
+    def made(g, r, c):
+        depth = inner_depths(g, r, c)
+        return g, r, c, depth, shells(g, depth, True)
+
+    return _rings(pixels, by, made)
 
 
 def outward(pixels: DataFrame, by: list[str], reach: int, size: tuple[int, int]) -> DataFrame:
-    """``by, r, c, depth`` of the places within ``reach`` of each group's mask but outside it, inside the image.
+    """``by, r, c, depth, bin`` of the places within ``reach`` of each group's mask but outside it, inside the image.
 
     One group's ring may cover another's pixels.
     """
-    return depths(_grid(pixels, by, reach, size).withColumn("t", F.col("own")), by).filter((~F.col("own")) & (F.col("depth") <= reach)).select(*by, "r", "c", "depth")
+
+    def made(g, r, c):
+        g, r, c, depth = outer_places(g, r, c, reach, size)
+        return g, r, c, depth, shells(g, depth, False)
+
+    return _rings(pixels, by, made)
 
 
 def reach_px(pixel_size: float, microns: float = 20.0) -> int:
     return max(1, round(microns / pixel_size))
 
 
-def _rings(places: DataFrame, by: list[str], rule: Column) -> DataFrame:
-    counts = places.groupBy(*by, "depth").agg(F.count(F.lit(1)).alias("n"))
-    own = Window.partitionBy(*by)
-    before = F.sum("n").over(own.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1))
-    return counts.withColumns({"lt": F.coalesce(before, F.lit(0)), "total": F.sum("n").over(own)}).withColumn("bin", rule).select(*by, "depth", "n", "bin")
+def rings(places: DataFrame, by: list[str]) -> DataFrame:
+    """``by, depth, n, bin``: the depths of ``inward`` or ``outward`` with their numbers of places and shells."""
+    return places.groupBy(*by, "depth", "bin").agg(F.count(F.lit(1)).alias("n")).select(*by, "depth", "n", "bin")
 
 
 def erosion_rings(places: DataFrame, by: list[str]) -> DataFrame:
-    """``by, depth, n, bin``: inward depths dealt into five shells of about equal area, the outermost first."""
-    rule = F.lit(BINS)
-    for b in range(BINS - 1, 0, -1):
-        rule = F.when(F.col("total") - F.col("lt") > F.floor(F.col("total") * F.lit(1.0 - b / BINS)), F.lit(b)).otherwise(rule)
-    return _rings(places, by, rule)
+    return rings(places, by)
 
 
 def expansion_rings(places: DataFrame, by: list[str]) -> DataFrame:
-    """``by, depth, n, bin``: outward depths dealt into five shells of about equal area, the innermost first."""
-    rule = F.lit(BINS)
-    for b in range(BINS - 1, 0, -1):
-        rule = F.when(F.col("lt") < F.floor(F.col("total") * F.lit(b / BINS)), F.lit(b)).otherwise(rule)
-    return _rings(places, by, rule)
-
-
-def binned(places: DataFrame, rings: DataFrame, by: list[str]) -> DataFrame:
-    return places.join(rings.select(*by, "depth", "bin"), [*by, "depth"])
+    return rings(places, by)

@@ -6,11 +6,28 @@ import numpy as np
 import pyarrow as pa
 
 from cellweave.functions.groups import grouped
-from cellweave.operators import outlines as ol, overlay as ov, shape as sh
+from cellweave.operators import compartments as cp, morphology as mo, outlines as ol, overlay as ov, shape as sh
 from cellweave.sources import boundaries as bd
 from pyspark.sql import functions as F
 
 
+def test_rings_of_far_pieces_need_no_box(spark):
+    far = 10**6
+    pixels = spark.createDataFrame([(1, 10, 10), (1, far, far)], "cell_id long, r int, c int")
+    around = mo.outward(pixels, ["cell_id"], 3, (far + 10, far + 10)).collect()
+    assert len(around) == 2 * 24 and {(r.r, r.c) for r in around if r.depth == 3} >= {(7, 10), (far, far + 3)}
+    assert [r.depth for r in mo.inward(pixels, ["cell_id"]).collect()] == [1, 1]
+
+
+def test_values_travel_as_a_row_for_each_square(spark):
+    places = spark.range(40 * 130).select(F.lit(7).cast("long").alias("cell_id"), F.floor(F.col("id") / 130).cast("int").alias("r"), (F.col("id") % 130).cast("int").alias("c"))
+    image = spark.range(40 * 128).select(F.lit(1).alias("ch"), F.floor(F.col("id") / 128).cast("int").alias("r"), (F.col("id") % 128).cast("int").alias("c"), F.col("id").alias("v"))
+    rows = cp.sampled(places, image, ["cell_id"]).collect()
+    assert len(rows) == 2 and sorted(v for r in rows for v in r.vals) == list(range(40 * 128))
+    got = cp.intensity(places, image, ["cell_id"]).first()
+    assert (got.n, got["min"], got["max"], got.median) == (5120, 0, 5119, 2559.5) and abs(got["std"] - np.arange(5120).std()) < 1e-9
+
+
 def test_groups_stay_whole_over_batches(spark):
     def sizes(table, starts):
         return pa.RecordBatch.from_arrays([pa.array(table["k"].to_numpy()[starts]), pa.array(np.diff(np.append(starts, table.num_rows)))], names=["k", "n"])
