@@ -23,6 +23,24 @@ def with_membrane(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("is_membrane", ~inner)
 
 
+def _bodies(cells: DataFrame, nuclei: DataFrame, whole: DataFrame, grown: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """``cell_id, r, c, nucleus_label`` of the cells that have pixels of their own, and ``cell_id, r, c`` of those with a nucleus alone."""
+    known = cells.select("cell_id", "nucleus_label", "whole_cell_label", F.col("match_source") if "match_source" in cells.columns else F.lit("").alias("match_source"))
+    body = whole.filter("label > 0").join(known.filter("whole_cell_label is not null"), F.col("label") == F.col("whole_cell_label")).select("cell_id", "r", "c", "nucleus_label")
+    if grown is not None:
+        more = grown.join(known.filter("match_source = 'watershed_synth'"), F.col("label") == F.col("nucleus_label"))
+        body = body.unionByName(more.select("cell_id", "r", "c", "nucleus_label"))
+    bare = known.join(body.select("cell_id").distinct(), "cell_id", "left_anti")
+    alone = nuclei.filter("label > 0").join(bare, F.col("label") == F.col("nucleus_label")).select("cell_id", "r", "c")
+    return body, alone
+
+
+def cell_places(cells: DataFrame, nuclei: DataFrame, whole: DataFrame, grown: DataFrame | None = None) -> DataFrame:
+    """``cell_id, r, c`` of ``cell_pixels``, for what asks neither for nuclei nor for membranes."""
+    body, alone = _bodies(cells, nuclei, whole, grown)
+    return body.select("cell_id", "r", "c").unionByName(alone)
+
+
 def cell_pixels(cells: DataFrame, nuclei: DataFrame, whole: DataFrame, grown: DataFrame | None = None) -> DataFrame:
     """``cell_id, r, c, is_nuc, is_membrane``: a cell's own pixels, and which of them its nucleus covers.
 
@@ -30,17 +48,10 @@ def cell_pixels(cells: DataFrame, nuclei: DataFrame, whole: DataFrame, grown: Da
     gives its nucleus; the nucleus' own ones among them count as nucleus. One with a nucleus alone, or whose other
     pixels are gone, has the nucleus' pixels.
     """
-    known = cells.select("cell_id", "nucleus_label", "whole_cell_label", F.col("match_source") if "match_source" in cells.columns else F.lit("").alias("match_source"))
-    nuc = nuclei.filter("label > 0").select("r", "c", F.col("label").alias("nucleus_label"))
-    body = whole.filter("label > 0").join(known.filter("whole_cell_label is not null"), F.col("label") == F.col("whole_cell_label")).select("cell_id", "r", "c", "nucleus_label")
-    if grown is not None:
-        more = grown.join(known.filter("match_source = 'watershed_synth'"), F.col("label") == F.col("nucleus_label"))
-        body = body.unionByName(more.select("cell_id", "r", "c", "nucleus_label"))
-    body = body.join(nuc.withColumn("_n", F.lit(True)), ["r", "c", "nucleus_label"], "left")
-    body = body.select("cell_id", "r", "c", F.coalesce("_n", F.lit(False)).alias("is_nuc"))
-    bare = known.join(body.select("cell_id").distinct(), "cell_id", "left_anti")
-    alone = nuc.join(bare, "nucleus_label").select("cell_id", "r", "c", F.lit(True).alias("is_nuc"))
-    return with_membrane(body.unionByName(alone))
+    body, alone = _bodies(cells, nuclei, whole, grown)
+    nuc = nuclei.filter("label > 0").select("r", "c", F.col("label").alias("nucleus_label"), F.lit(True).alias("_n"))
+    body = body.join(nuc, ["r", "c", "nucleus_label"], "left").select("cell_id", "r", "c", F.coalesce("_n", F.lit(False)).alias("is_nuc"))
+    return with_membrane(body.unionByName(alone.withColumn("is_nuc", F.lit(True))))
 
 
 def bounded(cells: DataFrame) -> DataFrame:
@@ -59,42 +70,92 @@ def compartments(pixels: DataFrame, cells: DataFrame) -> DataFrame:
 
 #: Sides of the squares of the image in which places meet it.
 SQUARE = 64
+#: Rows of a task that are packed at once.
+_HELD = 1 << 18
+
+
+def pack(table: pa.Table, by: list[str], more: list[str]) -> pa.RecordBatch:
+    """``packed`` for the rows of one table."""
+    r, c = (table[x].to_numpy().astype(np.int64) for x in ("r", "c"))
+    table = table.select([*by, *more])
+    for name, x, kind in (("by_", r // SQUARE, pa.int32()), ("bx_", c // SQUARE, pa.int32()), ("at", r % SQUARE * SQUARE + c % SQUARE, pa.int16())):
+        table = table.append_column(name, pa.array(x, kind))
+    keys, values = [*by, "by_", "bx_"], ["at", *more]
+    made = table.group_by(keys, use_threads=False).aggregate([(x, "list") for x in values])
+    return pa.RecordBatch.from_arrays([made[x].combine_chunks() for x in [*keys, *[f"{x}_list" for x in values]]], names=[*keys, *values])
+
+
+def packed_schema(rows: DataFrame, by: list[str], more: list[str]) -> str:
+    kinds = [f"{x} {rows.schema[x].dataType.simpleString()}" for x in by] + ["by_ int", "bx_ int", "at array<smallint>"]
+    return ", ".join(kinds + [f"{x} array<{rows.schema[x].dataType.simpleString()}>" for x in more])
+
+
+def packed(rows: DataFrame, by: list[str], more: list[str]) -> DataFrame:
+    """``by, by_, bx_, at`` and ``more``: what a task holds of one group in one square of the image at a time is one row of lists; ``at`` is the place there.
+
+    A group's rows that stand near each other travel together; others travel in more rows, but none is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= _HELD:
+                yield pack(pa.Table.from_batches(held), by, more)
+                held, n = [], 0
+        if held:
+            yield pack(pa.Table.from_batches(held), by, more)
+
+    rows = rows.filter("r is not null and c is not null").select(*by, "r", "c", *more)
+    return rows.mapInArrow(run, packed_schema(rows, by, more))
+
+
+def _flat(lists: pa.ChunkedArray) -> np.ndarray:
+    return pc.list_flatten(lists).to_numpy()
 
 
 def sampled(places: DataFrame, image: DataFrame, by: list[str]) -> DataFrame:
     """``by, ch, vals``: the values under each group of ``places``, a row for each square of the image that it meets.
 
-    Places and image are dealt to squares, which meet in one task each. What lies outside the image has no values.
+    Places and image are dealt to squares, packed, and each square meets in one task. What lies outside the image has no values.
+    What is ``packed`` already (places by ``by`` or finer, the image by ``ch``) is taken as it is.
     """
-    kind = image.schema["v"].dataType
+    squares = image if "at" in image.columns else packed(image.filter("v is not null"), ["ch"], ["v"])
+    kind = squares.schema["v"].dataType.simpleString()
     known = ", ".join(f"{x} {places.schema[x].dataType.simpleString()}" for x in by)
-    channel = image.schema["ch"].dataType.simpleString()
+    channel = squares.schema["ch"].dataType.simpleString()
 
     def values(at: pa.Table, square: pa.Table) -> pa.Table:
+        groups = at.select(by).append_column("_k", pa.array(np.arange(at.num_rows))).group_by(by, use_threads=False).aggregate([("_k", "list")])
+        rows = pc.list_flatten(groups["_k_list"])
+        group = np.repeat(np.arange(groups.num_rows), pc.list_value_length(groups["_k_list"]).to_numpy())
+        lists = at["at"].take(rows)
+        group = np.repeat(group, pc.list_value_length(lists).to_numpy())
+        wanted = _flat(lists)
         parts = []
-        line = lambda t: t["r"].to_numpy().astype(np.int64) % SQUARE * SQUARE + t["c"].to_numpy() % SQUARE
-        wanted = line(at)
         for ch in pc.unique(square["ch"]):
             own = square.filter(pc.equal(square["ch"], ch))
+            v = pc.list_flatten(own["v"]).combine_chunks()
             row = np.full(SQUARE * SQUARE, -1)
-            row[line(own)] = np.arange(own.num_rows)
+            row[_flat(own["at"])] = np.arange(len(v))
             hit = row[wanted]
-            there = np.flatnonzero(hit >= 0)
-            found = at.select(by).take(pa.array(there)).append_column("vals", own["v"].take(pa.array(hit[there])))
-            lists = found.group_by(by).aggregate([("vals", "list")]).rename_columns({"vals_list": "vals"})
-            parts.append(lists.append_column("ch", pa.array([ch.as_py()] * lists.num_rows, square.schema.field("ch").type)).select([*by, "ch", "vals"]))
-        return pa.concat_tables(parts) if parts else pa.table({}, pa.schema([]))
+            n = np.bincount(group[hit >= 0], minlength=groups.num_rows)
+            some = np.flatnonzero(n)
+            found = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[some])), pa.int32()), v.take(pa.array(hit[hit >= 0])))
+            part = groups.select(by).take(pa.array(some)).append_column("ch", pa.array([ch.as_py()] * len(some), square.schema.field("ch").type))
+            parts.append(part.append_column("vals", found))
+        return pa.concat_tables(parts)
 
     def met(at: pa.Table, square: pa.Table) -> pa.Table:
         if at.num_rows and square.num_rows:
             return values(at, square)
-        fields = [at.schema.field(x) for x in by] + [square.schema.field("ch"), pa.field("vals", pa.list_(square.schema.field("v").type))]
+        fields = [at.schema.field(x) for x in by] + [square.schema.field("ch"), pa.field("vals", square.schema.field("v").type)]
         return pa.schema(fields).empty_table()
 
-    square_of = [F.floor(F.col(x) / SQUARE).cast("int").alias(n) for x, n in (("r", "by_"), ("c", "bx_"))]
-    a = places.select(*by, "r", "c", *square_of).groupBy("by_", "bx_")
-    b = image.filter("v is not null").select("ch", "r", "c", "v", *square_of).groupBy("by_", "bx_")
-    return a.cogroup(b).applyInArrow(met, f"{known}, ch {channel}, vals array<{kind.simpleString()}>")
+    own = (places if "at" in places.columns else packed(places, by, [])).groupBy("by_", "bx_")
+    return own.cogroup(squares.groupBy("by_", "bx_")).applyInArrow(met, f"{known}, ch {channel}, vals {kind}")
 
 
 def gathered(samples: DataFrame, by: list[str]) -> DataFrame:

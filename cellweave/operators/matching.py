@@ -67,11 +67,17 @@ def unmatched(stats: DataFrame, matched: DataFrame, column: str) -> DataFrame:
     return stats.join(matched.select(F.col(column).alias("label")), "label", "left_anti")
 
 
-def match_pairs(nuclei: DataFrame, cells: DataFrame, radius: float = 10.0) -> DataFrame:
+def _stats(nuclei: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The statistics of both masks, written, as they are read several times."""
+    return written(label_stats(nuclei), "nucleus-stats"), written(label_stats(cells), "cell-stats")
+
+
+def match_pairs(nuclei: DataFrame, cells: DataFrame, radius: float = 10.0, stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``nuc, wc, px, phase``: matches by overlap (phase 1), then of what is left by distance (phase 2)."""
     by_overlap = written(greedy_match(overlap_counts(nuclei, cells)), "by-overlap")
-    left_n = unmatched(label_stats(nuclei), by_overlap, "nuc")
-    left_w = unmatched(label_stats(cells), by_overlap, "wc")
+    of_nuclei, of_cells = stats or (label_stats(nuclei), label_stats(cells))
+    left_n = unmatched(of_nuclei, by_overlap, "nuc")
+    left_w = unmatched(of_cells, by_overlap, "wc")
     by_distance = distance_match(_points(left_n), _points(left_w), radius)
     rows = by_overlap.withColumn("phase", F.lit(1))
     return rows.unionByName(by_distance.select("nuc", "wc", F.lit(0).cast("long").alias("px"), F.lit(2).alias("phase")))
@@ -79,10 +85,11 @@ def match_pairs(nuclei: DataFrame, cells: DataFrame, radius: float = 10.0) -> Da
 
 def matched_cells(nuclei: DataFrame, cells: DataFrame, radius: float = 10.0) -> DataFrame:
     """The cell records of all matches; ids in order of acceptance. ``by_distance`` tells the two kinds apart."""
-    pairs = match_pairs(nuclei, cells, radius)
+    stats = _stats(nuclei, cells)
+    pairs = match_pairs(nuclei, cells, radius, stats)
     order = [F.col("phase"), F.col("px").desc(), F.col("nuc"), F.col("wc")]
     pairs = numbered(pairs, order, "cell_id")
-    n, w = (centroid(label_stats(p)).select(*[F.col(c).alias(f"{x}_{c}") for c in ("label", "area", "row_min", "row_max", "col_min", "col_max", "centroid_r", "centroid_c")]) for p, x in ((nuclei, "n"), (cells, "w")))
+    n, w = (centroid(p).select(*[F.col(c).alias(f"{x}_{c}") for c in ("label", "area", "row_min", "row_max", "col_min", "col_max", "centroid_r", "centroid_c")]) for p, x in zip(stats, "nw", strict=True))
     rows = pairs.join(n, pairs["nuc"] == n["n_label"]).join(w, pairs["wc"] == w["w_label"])
     return rows.select(
         "cell_id", F.col("nuc").alias("nucleus_label"), F.col("wc").alias("whole_cell_label"),

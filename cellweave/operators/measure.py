@@ -117,7 +117,7 @@ _RANKED = len(TAGS)
 
 
 def _tagged(pixels: DataFrame, cells: DataFrame, size: tuple[int, int], options: Options) -> DataFrame:
-    """``cell_id, r, c, tags``: every place of a cell once, with the bits of all that is measured there."""
+    """``cell_id, tags`` and places, packed: every place of a cell once, with the bits of all that is measured there."""
     reach = mo.reach_px(options.pixel)
     least = SMALL_CELL if options.performance_mode == "fast_small_cells" else 0
 
@@ -140,10 +140,10 @@ def _tagged(pixels: DataFrame, cells: DataFrame, size: tuple[int, int], options:
             parts.append((og, orow, ocol, around))
         g, r, c, tags = (np.concatenate(x) for x in zip(*parts, strict=True))
         ids = table["cell_id"].to_numpy()[starts][g]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(tags, pa.int32())], names=["cell_id", "r", "c", "tags"])
+        return cp.pack(pa.table({"cell_id": ids, "r": r, "c": c, "tags": pa.array(tags, pa.int32())}), ["cell_id", "tags"], [])
 
     own = pixels.join(cp.bounded(cells), "cell_id").select(F.col("cell_id").cast("long").alias("cell_id"), "r", "c", "is_nuc", "is_membrane", "_b")
-    return grouped(own, ["cell_id"], families, "cell_id long, r int, c int, tags int")
+    return grouped(own, ["cell_id"], families, "cell_id long, tags int, by_ int, bx_ int, at array<smallint>")
 
 
 def _intensities(tagged: DataFrame, image: DataFrame, channels: DataFrame, options: Options) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from cellweave.functions.groups import grouped
 
+from .compartments import pack
+
 BINS = 5
 
 
@@ -91,30 +93,34 @@ def numbers(table: pa.Table, starts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
 
 
-def _rings(pixels: DataFrame, by: list[str], made) -> DataFrame:
+def _rings(pixels: DataFrame, by: list[str], made, squares: bool) -> DataFrame:
     kinds = ", ".join(f"{x} {pixels.schema[x].dataType.simpleString()}" for x in by)
 
     def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         g, r, c, depth, bins = made(numbers(table, starts), table["r"].to_numpy(), table["c"].to_numpy())
         keys = table.select(by).take(pa.array(starts[g]))
         columns = [keys[x].combine_chunks() for x in by] + [pa.array(x, pa.int32()) for x in (r, c, depth, bins)]
-        return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in columns], names=[*by, "r", "c", "depth", "bin"])
+        rows = pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in columns], names=[*by, "r", "c", "depth", "bin"])
+        return pack(pa.Table.from_batches([rows]), [*by, "bin"], []) if squares else rows
+
+    return grouped(pixels.select(*by, "r", "c"), by, run, f"{kinds}, bin int, by_ int, bx_ int, at array<smallint>" if squares else f"{kinds}, r int, c int, depth int, bin int")
 
-    return grouped(pixels.select(*by, "r", "c"), by, run, f"{kinds}, r int, c int, depth int, bin int")
 
+def inward(pixels: DataFrame, by: list[str], squares: bool = False) -> DataFrame:
+    """``by, r, c, depth, bin``: 1 at the border of each group's mask, and the shell; outside is background, at the image's edge too.
 
-def inward(pixels: DataFrame, by: list[str]) -> DataFrame:
-    """``by, r, c, depth, bin``: 1 at the border of each group's mask, and the shell; outside is background, at the image's edge too."""
+    With ``squares`` the places are ``packed`` by ``by`` and ``bin``, as ``compartments.sampled`` takes them.
+    """
 
     def made(g, r, c):
         depth = inner_depths(g, r, c)
         return g, r, c, depth, shells(g, depth, True)
 
-    return _rings(pixels, by, made)
+    return _rings(pixels, by, made, squares)
 
 
-def outward(pixels: DataFrame, by: list[str], reach: int, size: tuple[int, int]) -> DataFrame:
-    """``by, r, c, depth, bin`` of the places within ``reach`` of each group's mask but outside it, inside the image.
+def outward(pixels: DataFrame, by: list[str], reach: int, size: tuple[int, int], squares: bool = False) -> DataFrame:
+    """``by, r, c, depth, bin`` of the places within ``reach`` of each group's mask but outside it, inside the image; ``squares`` as in ``inward``.
 
     One group's ring may cover another's pixels.
     """
@@ -123,7 +129,7 @@ def outward(pixels: DataFrame, by: list[str], reach: int, size: tuple[int, int])
         g, r, c, depth = outer_places(g, r, c, reach, size)
         return g, r, c, depth, shells(g, depth, False)
 
-    return _rings(pixels, by, made)
+    return _rings(pixels, by, made, squares)
 
 
 def reach_px(pixel_size: float, microns: float = 20.0) -> int:

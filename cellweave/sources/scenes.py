@@ -5,9 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellweave.functions.tables import table
+from cellweave.functions.groups import grouped
+from cellweave.functions.tables import table, written
+from cellweave.operators.compartments import SQUARE
 
 WIDTH, CELL = 160, 16
 #: Disks of one task: the table of suppliers is a small file, but each of its rows makes a hundred pixels.
@@ -71,12 +75,41 @@ class Scene:
         return self._mask(self.nucleus_disks)
 
     @cached_property
-    def image(self) -> DataFrame:
-        """Both channels on the whole grid."""
+    def masks(self) -> tuple[DataFrame, DataFrame]:
+        """Nuclei and whole cells as written tables, for plans that read them several times."""
+        return written(self.nuclei, "nuclei"), written(self.cells, "whole")
+
+    @cached_property
+    def squares(self) -> DataFrame:
+        """Both channels on the whole grid, cut into squares as ``compartments.sampled`` takes them: the sums of a band of rows meet in one task, which adds the rest."""
         h = self.height
         q = table(self.spark, self.sf_dir, "lineitem").groupBy((F.col("l_orderkey") % h).cast("int").alias("r"), (F.col("l_partkey") % WIDTH).cast("int").alias("c"))
-        q = q.agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
-        at = F.col("id")
-        grid = self.spark.range(h * WIDTH).select(F.floor(at / WIDTH).cast("int").alias("r"), (at % WIDTH).cast("int").alias("c"))
-        v: Column = (F.col("r") * 31 + F.col("c") * 17 + F.col("ch") * 97) % 251 + F.col("ch") * F.coalesce("q", F.lit(0))
-        return grid.join(q, ["r", "c"], "left").select(F.explode(F.array(F.lit(1), F.lit(2))).alias("ch"), "r", "c", "q").select("ch", "r", "c", v.cast("long").alias("v"))
+        q = q.agg(F.sum(F.col("l_quantity").cast("long")).alias("q")).filter("r >= 0 and c >= 0 and q is not null")
+        every = self.spark.range(0, h, SQUARE).select(F.col("id").cast("int").alias("r"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("q"))  # a row for each band
+        rows = q.unionByName(every).select(F.floor(F.col("r") / SQUARE).cast("int").alias("by_"), "r", "c", "q")
+
+        def made(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+            bands, g = rows["by_"].to_numpy()[starts], np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
+            sums = np.zeros((len(starts), SQUARE, WIDTH), np.int64)
+            np.add.at(sums, (g, rows["r"].to_numpy() % SQUARE, rows["c"].to_numpy()), rows["q"].to_numpy())
+            parts = []
+            for band, own in zip(bands.tolist(), sums, strict=True):
+                r = np.arange(band * SQUARE, min((band + 1) * SQUARE, h))[:, None]
+                for ch in (1, 2):
+                    v = (r * 31 + np.arange(WIDTH) * 17 + ch * 97) % 251 + ch * own[: len(r)]
+                    for left in range(0, WIDTH, SQUARE):
+                        part = v[:, left : left + SQUARE]
+                        at = np.arange(len(part))[:, None] * SQUARE + np.arange(part.shape[1])
+                        parts.append((ch, band, left // SQUARE, at.ravel(), part.ravel()))
+            ends = pa.array(np.append(0, np.cumsum([len(x[3]) for x in parts])), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in parts]), kind)) for k, kind in ((3, pa.int16()), (4, pa.int64()))]
+            return pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in parts], pa.int32()) for k in range(3)), *lists], names=["ch", "by_", "bx_", "at", "v"])
+
+        return grouped(rows, ["by_"], made, "ch int, by_ int, bx_ int, at array<smallint>, v array<bigint>")
+
+    @cached_property
+    def image(self) -> DataFrame:
+        """Both channels on the whole grid."""
+        rows = self.squares.select("ch", "by_", "bx_", F.inline(F.arrays_zip("at", "v")))
+        r, c = F.col("by_") * SQUARE + F.shiftright("at", SQUARE.bit_length() - 1), F.col("bx_") * SQUARE + F.col("at") % SQUARE
+        return rows.select("ch", r.cast("int").alias("r"), c.cast("int").alias("c"), "v")

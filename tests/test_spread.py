@@ -7,7 +7,9 @@ import pyarrow as pa
 
 from cellweave.functions.groups import grouped
 from cellweave.operators import compartments as cp, morphology as mo, outlines as ol, overlay as ov, shape as sh
+from cellweave.plans import catalog
 from cellweave.sources import boundaries as bd
+from cellweave.sources.scenes import Scene
 from pyspark.sql import functions as F
 
 
@@ -28,6 +30,32 @@ def test_values_travel_as_a_row_for_each_square(spark):
     assert (got.n, got["min"], got["max"], got.median) == (5120, 0, 5119, 2559.5) and abs(got["std"] - np.arange(5120).std()) < 1e-9
 
 
+def test_image_and_rings_travel_packed(spark, tmp_path):
+    spark.range(85).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    items = [(k * 37 % 500, k * 13 % 400, float(k % 50)) for k in range(3000)] + [(-1, 5, 9.0), (None, 5, 9.0), (3, 3, None)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    scene, sums = Scene(spark, str(tmp_path)), {}
+    for order, part, n in items[:3000]:
+        at = order % 144, part % 160
+        sums[at] = sums.get(at, 0) + int(n)
+    expected = {(ch, r, c): (r * 31 + c * 17 + ch * 97) % 251 + ch * sums.get((r, c), 0) for ch in (1, 2) for r in range(144) for c in range(160)}
+    got = scene.image.collect()
+    assert scene.height == 144 and len(got) == len(expected) and {(p.ch, p.r, p.c): p.v for p in got} == expected
+    assert scene.squares.count() == 2 * 3 * 3  # not a row for each pixel
+    pixels = spark.createDataFrame([(k, 16 * k + y, 60 + x) for k in range(1, 9) for y in range(4) for x in range(9)], "cell_id long, r int, c int")
+    rings = mo.outward(pixels, ["cell_id"], 3, (144, 160), True)
+    assert rings.count() < 8 * 5 * 4 < mo.outward(pixels, ["cell_id"], 3, (144, 160)).count()
+    told = [{(r.cell_id, r.bin, r.ch): tuple(r)[3:] for r in cp.intensity(places, image, ["cell_id", "bin"]).collect()} for places in (rings, mo.outward(pixels, ["cell_id"], 3, (144, 160))) for image in (scene.squares, scene.image)]
+    assert len(told[0]) == 2 * rings.select("cell_id", "bin").distinct().count() and all(x == told[0] for x in told)
+
+
+def test_masks_of_a_scene_are_made_once(spark):
+    scene = Scene(spark, "/root/testdata/sf0.001")
+    assert scene.masks[0] is scene.masks[0]
+    plan = "".join(catalog._outward(scene, True)._jdf.queryExecution().toString().split("Physical Plan")[-1:])
+    assert "supplier" not in plan and "is_nuc" not in plan
+
+
 def test_groups_stay_whole_over_batches(spark):
     def sizes(table, starts):
         return pa.RecordBatch.from_arrays([pa.array(table["k"].to_numpy()[starts]), pa.array(np.diff(np.append(starts, table.num_rows)))], names=["k", "n"])
