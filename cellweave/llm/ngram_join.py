@@ -7,8 +7,9 @@ sample of its shingles names, of whose own shingles the fewest come before. That
 few texts. Then, at every prefix shingle whose classes are in several components, all pairs of classes of different
 components are compared that can still be alike by size and place. Classes at very mixed shingles come again with 16
 bits of each of their shingles, which bound an overlap almost exactly: of those with which it shares some of its
-rarest shingles there, a class is compared with the likeliest one of all other components, then with more of them from
-round to round, until no such pair is left.
+rarest shingles there, a class is compared with the likeliest ones of other components, then with more of them from
+round to round, until no such pair is left. Mixed shingles of the same classes are one bundle, in which a class stands
+once; its classes are dealt to sides of bounded size, and any two sides meet in a group of their own.
 
 A comparison is vertical: the global order is cut into fragments, partial overlaps are counted for each fragment
 on its own, and summed for each pair. Overlaps are counted on 64-bit hashes of the shingles; prefixes, which only
@@ -25,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cellweave.functions.groups import spread
+
 from .common import block_count, block_of, dealt, id_and_text, pack_arrays, text_chunks, unpack_arrays, unpacked, written
 from .components import components
 from .words import joined, run_hashes, word_bounds, word_hashes
@@ -44,6 +47,8 @@ FEW = 200_000
 SAMPLE = 4
 #: A shingle is mixed if it has more pairs than these of a class outside its largest component and any other class.
 MIXED = 16_384
+#: Shingles of the classes that one side of a bundle of mixed shingles should hold; how many sides there are follows the classes.
+SIDE_SHINGLES = 1 << 19
 #: So many of their rarest shingles two classes at a mixed shingle have to share before they are looked at.
 COMMON = 3
 CHUNK_BYTES = 1 << 19
@@ -145,16 +150,22 @@ def _wide(data: bytes) -> np.ndarray:
 
 
 class Members:
-    """The classes at one prefix shingle: id, set size, place of the shingle in the class's order, component."""
+    """The classes at one prefix shingle: id, set size, place of the shingle in the class's order, component.
+
+    Where ``side`` is given, only classes of different sides make a pair.
+    """
 
-    def __init__(self, ids: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, percent: int):
-        self.ids, self.n, self.root, self.percent = ids, n, root, percent
+    def __init__(self, ids: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, percent: int, side: np.ndarray | None = None):
+        self.ids, self.n, self.root, self.percent, self.side = ids, n, root, percent, side
         self.most = n - at  # what the class shares at most with another whose first common shingle this is
 
     def possible(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Whether two classes whose first common shingle is this one can be as alike as asked."""
         most = np.minimum(self.most[u], self.most[v])
-        return (self.root[u] != self.root[v]) & (100 * most >= self.percent * (self.n[u] + self.n[v] - most))
+        apart = self.root[u] != self.root[v]
+        if self.side is not None:
+            apart &= self.side[u] != self.side[v]
+        return apart & (100 * most >= self.percent * (self.n[u] + self.n[v] - most))
 
     def alive(self) -> tuple[np.ndarray, np.ndarray]:
         """Members that can be alike with any other, and those of them outside the largest component."""
@@ -164,10 +175,10 @@ class Members:
         _, code, count = np.unique(self.root[alive], return_inverse=True, return_counts=True)
         return alive, alive[code != count.argmax()]
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Pairs of different components that can be alike, and whether these are all: a mixed shingle gives none."""
+    def pairs(self, mixed: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Pairs of different components that can be alike, and whether these are all: a shingle of more than ``mixed`` gives none."""
         alive, minor = self.alive()
-        if len(minor) * len(alive) > MIXED:
+        if len(minor) * len(alive) > mixed:
             return alive[:0], alive[:0], False
         left, right = np.repeat(minor, len(alive)), np.tile(alive, len(minor))
         outside = np.zeros(len(self.n), bool)
@@ -235,12 +246,38 @@ class Members:
 CANDIDATES = "a long, b long, na long, nb long, votes long"
 
 
+def _distinct(left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once."""
+    low, high = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
+    order = np.lexsort((high, low))
+    new = np.ones(len(order), bool)
+    new[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
+    return left[order[new]], right[order[new]]
+
+
+def _told(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> pa.Table:
+    order = np.lexsort((b, a))
+    a, b, na, nb = a[order], b[order], na[order], nb[order]
+    head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else order
+    return pa.table({"a": a[head], "b": b[head], "na": na[head], "nb": nb[head], "votes": np.diff(np.append(head, len(a)))})
+
+
+def _found(left: np.ndarray, right: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, token: np.ndarray, open_: np.ndarray) -> pa.Table:
+    """CANDIDATES of the pairs, and of the rows ``open_``, at whose shingle pairs are left."""
+    first = ids[left] < ids[right]
+    left, right = np.where(first, left, right), np.where(first, right, left)
+    rest = pa.table({"a": ids[open_], "b": pa.nulls(len(open_), pa.int64()), "na": n[open_], "nb": at[open_], "votes": token[open_].astype(np.int64)})
+    return pa.concat_tables([_told(ids[left], ids[right], n[left], n[right]), rest])
+
+
 def _candidates(classes: DataFrame, parts: int, percent: int, round_: int) -> DataFrame:
-    """``a, b, na, nb, votes``: pairs of ``classes`` (``id, n, prefix, root, thin``) to compare, each once from each part of the shingles.
+    """``a, b, na, nb, votes``: pairs of ``classes`` (``id, n, prefix, root``) to compare, each once from each part of the shingles.
 
-    In round 0 ``a`` is a class and ``b`` the pivot of ``votes`` of its shingles; later ``a < b``, and ``b`` is null where
-    the class ``a`` has a shingle at which pairs are left for another round.
+    In round 0 ``a`` is a class and ``b`` the pivot of ``votes`` of its shingles; later ``a < b``, and ``b`` is null for
+    the classes at a mixed shingle: there ``a`` and ``na`` are a class and its size, ``nb`` is the place of the shingle in
+    it, and ``votes`` the shingle.
     """
+    mixed = MIXED
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -256,7 +293,6 @@ def _candidates(classes: DataFrame, parts: int, percent: int, round_: int) -> Da
     def dealt_out(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         tokens = [_wide(x) for batch in batches for x in batch.column("prefix").to_pylist()]
         ids, n, root = (np.concatenate([batch.column(c).to_numpy() for batch in batches]) for c in ("id", "n", "root"))
-        thin = [x for batch in batches for x in batch.column("thin").to_pylist()]
         size = np.array([len(t) for t in tokens], np.int64)
         flat, row = np.concatenate([np.zeros(0, np.uint64), *tokens]), np.repeat(np.arange(len(ids)), size)
         at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
@@ -270,7 +306,7 @@ def _candidates(classes: DataFrame, parts: int, percent: int, round_: int) -> Da
         out = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             own, place = np.unique(row[a:b], return_inverse=True)
-            out.append((int(part[a]), pack_arrays(np.diff(flat[a:b], prepend=np.uint64(0)), place.astype(np.uint32), at[a:b], ids[own], n[own].astype(np.uint32), root[own] - ids[own], np.frombuffer(b"".join(thin[i] or b"" for i in own.tolist()), np.uint16))))
+            out.append((int(part[a]), pack_arrays(np.diff(flat[a:b], prepend=np.uint64(0)), place.astype(np.uint32), at[a:b], ids[own], n[own].astype(np.uint32), root[own] - ids[own])))
         return pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in out], pa.int32()), "payload": pa.array([x for _, x in out], pa.binary())})
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
@@ -284,58 +320,69 @@ def _candidates(classes: DataFrame, parts: int, percent: int, round_: int) -> Da
         at = np.concatenate([np.zeros(0, np.int64), *(g[2].astype(np.int64) for g in got)])[shared]
         ids, n, moved = (np.concatenate([np.zeros(0, np.int64), *(g[k].astype(np.int64) for g in got)])[place] for k in (3, 4, 5))
         token, root = token[shared], ids + moved
-        if not round_:
-            return nominated(token, ids, n, at, root)
-        thin = [x for g in got if round_ > 1 for x in np.split(g[6], np.cumsum(g[4].astype(np.int64))[:-1])]
-        return remaining(token, ids, n, at, root, [thin[i] for i in place.tolist()] if round_ > 1 else [])
+        return remaining(token, ids, n, at, root) if round_ else nominated(token, ids, n, at)
 
-    def nominated(token: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray) -> pa.Table:
+    def nominated(token: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.Table:
         order = np.lexsort((ids, at, token))
         token, ids, n, at = token[order], ids[order], n[order], at[order]
         head = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else order
         pivot = np.repeat(head, np.diff(np.append(head, len(token))))
         members = Members(ids, n, at, ids, percent)
         some = np.flatnonzero(members.possible(np.arange(len(ids)), pivot))
-        return told(ids[some], ids[pivot[some]], n[some], n[pivot[some]])
+        return _told(ids[some], ids[pivot[some]], n[some], n[pivot[some]])
 
-    def remaining(token: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, thin: list[np.ndarray]) -> pa.Table:
+    def remaining(token: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray) -> pa.Table:
         head = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
         ends = np.append(head[1:], len(token))
         several = np.minimum.reduceat(root, head) != np.maximum.reduceat(root, head) if len(head) else head
         left, right, open_, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for a, b in zip(head[several].tolist(), ends[several].tolist(), strict=True) if len(head) else []:
             members = Members(ids[a:b], n[a:b], at[a:b], root[a:b], percent)
-            u, v, all_ = members.pairs() if round_ == 1 else members.likeliest(thin[a:b], 4 ** (round_ - 2))
+            u, v, all_ = members.pairs(mixed)
             left.append(u + a)
             right.append(v + a)
             size += len(u)
             if size > 1 << 20:
-                left, right, size = *distinct(np.concatenate(left), np.concatenate(right), ids), 0
+                u, v = _distinct(np.concatenate(left), np.concatenate(right), ids)
+                left, right, size = [u], [v], 0
             if not all_:
-                open_.append(ids[a:b])
-        left, right = (x[0] for x in distinct(np.concatenate(left), np.concatenate(right), ids))
-        first = ids[left] < ids[right]
-        left, right = np.where(first, left, right), np.where(first, right, left)
-        found, rest = told(ids[left], ids[right], n[left], n[right]), np.unique(np.concatenate(open_))
-        none = pa.nulls(len(rest), pa.int64())
-        return pa.concat_tables([found, pa.table({"a": rest, "b": none, "na": none, "nb": none, "votes": none})])
-
-    def distinct(left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> tuple[list, list]:
-        low, high = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
-        order = np.lexsort((high, low))
-        new = np.ones(len(order), bool)
-        new[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
-        return [left[order[new]]], [right[order[new]]]
-
-    def told(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> pa.Table:
-        order = np.lexsort((b, a))
-        a, b, na, nb = a[order], b[order], na[order], nb[order]
-        head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else order
-        return pa.table({"a": a[head], "b": b[head], "na": na[head], "nb": nb[head], "votes": np.diff(np.append(head, len(a)))})
+                open_.append(members.alive()[0] + a)
+        left, right = _distinct(np.concatenate(left), np.concatenate(right), ids)
+        return _found(left, right, ids, n, at, token, np.concatenate(open_))
 
     return classes.mapInArrow(deal, "part int, payload binary").groupBy("part").applyInArrow(meet, CANDIDATES)
 
 
+def _sides(open_: DataFrame, roots: DataFrame, thin: DataFrame) -> DataFrame:
+    """``bundle, low, high, side, id, n, at, root, thin``: the classes that meet at mixed shingles of several components, any two sides of them together and each side alone.
+
+    ``open_`` (``token, id, n, at``) has the classes at each shingle. Shingles with the same smallest class are one bundle,
+    so that a class travels once for many shingles that it shares with the same others; ``at`` is the first of its places
+    there. A bundle has as many sides as SIDE_SHINGLES asks for, so no group holds more than two, however many classes meet.
+    """
+    rows = _with_root(open_, roots, "id", "root")
+    several = rows.groupBy("token").agg(F.min("id").alias("bundle"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high")
+    rows = rows.join(_small(written(several.select("token", "bundle"), "bundles")), "token")
+    rows = written(rows.groupBy("bundle", "id").agg(F.first("n").alias("n"), F.min("at").alias("at"), F.first("root").alias("root")), "bundled")
+    count = written(rows.groupBy("bundle").agg(F.ceil(F.sum("n") / F.lit(SIDE_SHINGLES)).cast("int").alias("sides")), "sides")
+    rows = rows.join(_small(count), "bundle").join(thin, "id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    return rows.select("bundle", F.least("side", "_other").alias("low"), F.greatest("side", "_other").alias("high"), "side", "id", "n", "at", "root", "thin")
+
+
+def _likeliest(sides: DataFrame, percent: int, top: int) -> DataFrame:
+    """CANDIDATES of ``_sides``: for each class outside the largest component of a group the ``top`` likeliest others; a bundle that has more is open as one shingle."""
+
+    def meet(key: tuple, group: pa.Table) -> pa.Table:
+        bundle, low, high = (x.as_py() for x in key)
+        side, ids, n, at, root = (group.column(c).to_numpy() for c in ("side", "id", "n", "at", "root"))
+        members = Members(ids, n, at, root, percent, side if low < high else None)
+        left, right, all_ = members.likeliest([np.frombuffer(x, np.uint16) for x in group.column("thin").to_pylist()], top)
+        return _found(left, right, ids, n, at, np.full(len(ids), bundle), members.alive()[0][: 0 if all_ else None])
+
+    return spread(sides, "bundle", "low", "high").groupBy("bundle", "low", "high").applyInArrow(meet, CANDIDATES)
+
+
 def _small(rows: DataFrame) -> DataFrame:
     """``rows`` to broadcast, if they are few."""
     return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
@@ -444,11 +491,12 @@ def _with_root(rows: DataFrame, roots: DataFrame | None, key: str, name: str) ->
 def _compared(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``id, root`` of the ``classes`` (``id, n, bins, prefix``) that have links; the root names the component."""
     parts = block_count(docs, PART_BYTES)
-    roots, tested, open_, thin, round_ = None, None, classes, None, 0
+    roots, tested, open_, thin, round_ = None, None, None, None, 0
     while True:
-        rows = _with_root(open_.select("id", "n", "prefix"), roots, "id", "root")
-        rows = rows.join(thin, "id") if thin is not None else rows.withColumn("thin", F.lit(None).cast("binary"))
-        found = _candidates(rows, parts, percent, round_)
+        if round_ < 2:
+            found = _candidates(_with_root(classes.select("id", "n", "prefix"), roots, "id", "root"), parts, percent, round_)
+        else:
+            found = _likeliest(_sides(open_, roots, thin), percent, 4 ** (round_ - 2))
         if round_ == 0:
             votes = found.groupBy("a", "b", "na", "nb").agg(F.sum("votes").alias("votes"))
             best = votes.groupBy("a").agg(F.max(F.struct("votes", (-F.col("b")).alias("_b"), "b", "na", "nb")).alias("best"))
@@ -458,7 +506,7 @@ def _compared(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> D
             found = written(found, "candidates")
             pairs = found.filter("b is not null").select("a", "b", "na", "nb").distinct()
             pairs = written(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-            left = found.filter("b is null").select(F.col("a").alias("id")).distinct()
+            left = found.filter("b is null").select(F.col("votes").alias("token"), F.col("a").alias("id"), F.col("na").alias("n"), F.col("nb").alias("at")).distinct()
         tested = pairs if tested is None else tested.unionByName(pairs)
         close = written(_close(pairs, classes, percent), "close")
         links = written(_links(close, docs, size, percent), "links")
@@ -473,9 +521,9 @@ def _compared(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> D
         if left is not None:
             if left.isEmpty():
                 return roots
-            open_ = written(open_.join(_small(left), "id", "left_semi"), "open")
+            open_ = written(left, "open")
             if thin is None:
-                thin = written(_thin(docs, left, size), "thin")
+                thin = written(_thin(docs, open_.select("id").distinct(), size), "thin")
         round_ += 1
 
 

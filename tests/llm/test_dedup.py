@@ -190,6 +190,45 @@ def test_very_mixed_shingles_lose_no_link(spark, monkeypatch, mixed):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked(rows, size, percent)
 
 
+@pytest.mark.parametrize("shingles", [150, 2000])
+def test_mixed_shingles_are_met_in_bounded_groups(spark, monkeypatch, shingles):
+    """However many mixed shingles classes share, a class travels once for each side that it meets, and a group holds two sides."""
+    monkeypatch.setattr(ngram_join, "SIDE_SHINGLES", shingles)
+    classes, tokens = [i for i in range(200) if i != 50], 40
+    open_ = spark.createDataFrame([(t, i, 10, t % 7) for t in range(tokens) for i in classes] + [(99, i, 10, 0) for i in (50, 51)], "token long, id long, n long, at long")
+    roots = spark.createDataFrame([(i, i // 2) for i in range(200)], "id long, root long")
+    thin = spark.createDataFrame([(i, bytes(20)) for i in range(200)], "id long, thin binary")
+    rows = ngram_join._sides(open_, roots, thin).collect()
+    sides = -(-len(classes) * 10 // shingles)
+    assert {(r.bundle, r.at, r.n) for r in rows} == {(0, 0, 10)}  # 50 and 51, alone at shingle 99, are one component
+    assert len(rows) == len(classes) * sides and len({(r.id, r.low, r.high) for r in rows}) == len(rows)
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault((r.low, r.high), {})[r.id] = r.side
+    assert all(10 * len(g) <= 2 * 2 * shingles for g in groups.values())
+    met = [(a, b) for (low, high), g in groups.items() for a in g for b in g if a < b and (low == high or g[a] != g[b])]
+    assert len(met) == len(set(met)) == len(classes) * (len(classes) - 1) // 2
+
+
+def test_sides_of_mixed_shingles_lose_no_link(spark, monkeypatch):
+    """Classes on different sides are compared as those on the same."""
+    monkeypatch.setattr(ngram_join, "MIXED", 0)
+    monkeypatch.setattr(ngram_join, "SIDE_SHINGLES", 100)
+    asked, plain = [], ngram_join._likeliest
+    monkeypatch.setattr(ngram_join, "_likeliest", lambda sides, percent, top: (asked.append(sides.agg({"high": "max"}).first()[0]), plain(sides, percent, top))[1])
+    rng, rows = np.random.default_rng(12), []
+    for group in range(2):
+        base = [f"g{group}w{i}" for i in range(60 + 30 * group)]
+        for d in range(50):
+            words = base.copy()
+            for j in rng.choice(len(base), int(rng.integers(0, 5)), replace=False):
+                words[j] = f"own{rng.integers(0, 80)}"
+            rows.append((100 * group + d, " ".join(words)))
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked(rows, 4, 85)
+    assert asked[0] > 2
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100)]
     roots = {}
