@@ -542,7 +542,8 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     table = written(shingle_sets(docs, size, percent, rarity_levels(docs, size)), "sets")
     same = table.filter("doc_id is not null and digest is not null")
     classes = written(same.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
-    first = same.select(F.col("doc_id").alias("id"), "n", "bins", "prefix").join(_small(classes.select("id")), "id", "left_semi")
+    copies = same.select("digest", "doc_id").join(classes, "digest").filter("doc_id <> id").select("digest", "doc_id").distinct()  # fewer than classes, so that prefixes seldom travel
+    first = same.join(_small(written(copies, "copies")), ["digest", "doc_id"], "left_anti").select(F.col("doc_id").alias("id"), "n", "bins", "prefix")
     roots = _compared(written(first, "representatives"), known, size, percent)
     rows = table.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(classes.select("digest", "id"), "digest", "left")
     low = written(roots.join(roots.groupBy("root").agg(F.min("id").alias("low")), "root").select("id", "low"), "low")
